@@ -1 +1,102 @@
+"""Scans and sinks."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulseframe import schema as S
+from pulseframe.catalog.registry import query
+from pulseframe.catalog.shape import rollup_out
+from pulseframe.catalog.sql import ROLLUP_OUT, with_parts
+from pulseframe.operators import clean as O, ledger as L, merge as G, rollup as R
+from pulseframe.schema import ROLLUP
+from pulseframe.session import work_folder
+from pulseframe.sources import adapter as A, mirror_csv as C, tables as T
+
+EXPORT = """SELECT user_id, hk_uuid, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, metric_type,
+ format('{:.4f}', metric_value) AS metric_value,
+ CASE metric_type WHEN 'heart_rate' THEN 'bpm' WHEN 'steps' THEN 'count' WHEN 'body_mass' THEN 'kg'
+  WHEN 'distance_walking_running_km' THEN 'km' ELSE 'min' END AS unit,
+ coalesce(hk_source_name, '') AS source, coalesce(tz_name, '') AS timezone,
+ coalesce(CAST(utc_offset_min AS VARCHAR), '') AS utc_offset_min, 'upsert' AS op,
+ CASE WHEN end_ts <> ts THEN strftime(end_ts, '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS end_ts,
+ coalesce(hk_metadata, '') AS hk_metadata FROM samples WHERE deleted_at IS NULL"""
+EXPORTED = ("user_id", "hk_uuid", "timestamp", "metric_type", "metric_value", "unit", "source",
+            "timezone", "utc_offset_min", "op", "end_ts", "hk_metadata")
+
+
+@query("export_rows", with_parts(EXPORT))
+def export_rows(spark, sf):
+    return C.export_mirror(R.live_rows(A.samples(spark, sf))).select(*EXPORTED)
+
+
+def _mirror_folder(spark, sf) -> str:
+    """All live samples written as mirror files."""
+    path = work_folder(spark, "mirror")
+    C.write_mirror_csv(C.export_mirror(R.live_rows(A.samples(spark, sf))), path)
+    return path
+
+
+@query("scan_mirror_csv", with_parts("""SELECT user_id, hk_uuid, date_trunc('second', ts) AS ts, metric_type,
+ CAST(format('{:.4f}', metric_value) AS DOUBLE) AS metric_value, date_trunc('second', CASE WHEN end_ts <> ts THEN end_ts END) AS end_ts,
+ tz_name, hk_metadata FROM samples WHERE deleted_at IS NULL"""))
+def scan_mirror_csv(spark, sf):
+    rows = O.parse_mirror(C.read_mirror_csv(spark, _mirror_folder(spark, sf)))
+    return rows.select(
+        "user_id", "hk_uuid", "ts", "metric_type", "metric_value", "end_ts",
+        F.col("meta.tz_name").alias("tz_name"), "hk_metadata",
+    )
+
+
+@query("optional_columns", with_parts("""SELECT hk_uuid, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS end_ts, 'upsert' AS op FROM mirror"""))
+def optional_columns(spark, sf):
+    old = A.mirror_samples(spark, sf).select("user_id", "hk_uuid", "metric_type")
+    return C.with_optional_columns(old).select("hk_uuid", "unit", "end_ts", "op")
+
+
+@query("scan_user_range", with_parts("""SELECT hk_uuid, ts, metric_type, metric_value FROM samples WHERE user_id = '7'
+ AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND metric_type IN ('heart_rate', 'steps')"""))
+def scan_user_range(spark, sf):
+    t0, t1 = (F.lit(d).cast("timestamp") for d in ("2024-01-05", "2024-01-20"))
+    rows = T.scan_samples(A.samples(spark, sf), "7", t0, t1, ["heart_rate", "steps"])
+    return rows.select("hk_uuid", "ts", "metric_type", "metric_value")
+
+
+@query("sink_upsert", with_parts("""SELECT s.user_id, s.hk_uuid, s.ts, coalesce(b.metric_value, s.metric_value) AS metric_value,
+ coalesce(b.unit, s.unit) AS unit, CASE WHEN b.hk_uuid IS NULL THEN s.deleted_at END AS deleted_at
+ FROM samples s LEFT JOIN batch b USING (user_id, hk_uuid)"""))
+def sink_upsert(spark, sf):
+    """Stored once, then a batch merged into the stored table."""
+    root = work_folder(spark, "samples")
+    base = A.samples(spark, sf).select(*S.SAMPLES.fieldNames())
+    T.replace_slice(base, f"{root}/t", "ts", G.SAMPLE_KEYS)
+    batch = A.upsert_batch(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    T.write_upsert(
+        spark, batch, f"{root}/t", S.SAMPLES, G.SAMPLE_KEYS, G.SAMPLE_OVERWRITE, G.SAMPLE_KEEP, f"{root}/s"
+    )
+    return T.read_table(spark, f"{root}/t", S.SAMPLES).select(
+        "user_id", "hk_uuid", "ts", "metric_value", "unit", "deleted_at"
+    )
+
+
+@query("sink_replace_slice", with_parts(f"SELECT {ROLLUP_OUT} FROM hourly"))
+def sink_replace_slice(spark, sf):
+    """A stale table whose later days are replaced by recomputed ones."""
+    path = work_folder(spark, "hourly")
+    fresh = R.rollup(A.samples(spark, sf), "hour").select(*ROLLUP.fieldNames())
+    late = F.col("bucket_ts") >= F.lit("2024-01-15").cast("timestamp")
+    stale = fresh.withColumn("n", F.when(late, F.col("n") + 1).otherwise(F.col("n")))
+    T.replace_slice(stale, path, "bucket_ts", R.BUCKET)
+    T.replace_slice(fresh.filter(late), path, "bucket_ts", R.BUCKET)
+    return rollup_out(T.read_table(spark, path, ROLLUP))
+
+
+@query("upload_lookup", with_parts("""SELECT user_id, sha256(content) AS content_hash, count(*) AS request_count FROM ups
+ WHERE user_id = (SELECT min(user_id) FROM ups) GROUP BY 1, 2"""))
+def upload_lookup(spark, sf):
+    """The stored ledger read back for one user."""
+    path = work_folder(spark, "ledger")
+    uploads = A.uploads(spark, sf)
+    L.dedupe_content(uploads).write.parquet(path)
+    first = uploads.agg(F.min("user_id")).first()[0]
+    return T.read_uploads(spark, path, first).select("user_id", "content_hash", "request_count")

@@ -1 +1,128 @@
+"""Streaming operators, run over the whole event table with an available-now trigger."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulseframe import schema as S
+from pulseframe.catalog.nights import GAP
+from pulseframe.catalog.registry import query
+from pulseframe.catalog.shape import rollup_out, rounded
+from pulseframe.catalog.sql import ROLLUP_OUT, local, sessions, utc, with_parts
+from pulseframe.operators import chunks as H, clean as O, merge as G, rollup as R, sleep as L
+from pulseframe.plans.ingest import Store, apply_batch
+from pulseframe.session import configure, work_folder
+from pulseframe.sources import adapter as A, mirror_csv as C
+from pulseframe.streaming import ingest, ratelimit, rollup, sessions as live, timeouts
+
+
+def _landed(spark, df, name: str, parts: int = 3):
+    """Rows written to a landing folder in several files, and a stream over them."""
+    path = work_folder(spark, name)
+    df.repartition(parts, "hk_uuid" if "hk_uuid" in df.columns else df.columns[0]).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_rollup", with_parts("""SELECT user_id, metric_type, bucket_ts, unit, round(avg_value, 6) AS avg_value,
+ round(sum_value, 6) AS sum_value, min_value, max_value, n FROM hourly"""))
+def stream_rollup(spark, sf):
+    folder = work_folder(spark, "rollup")
+    stream = _landed(spark, A.samples(spark, sf), "samples")
+    rollup.write_updates(rollup.stream_rollup(stream, "hour"), f"{folder}/log", f"{folder}/cp").awaitTermination()
+    return rounded(rollup.read_updates(spark, f"{folder}/log"), "avg_value", "sum_value")
+
+
+@query("stream_sessions", with_parts("""SELECT user_id, min(segment_start_ts) AS session_start_ts, max(segment_end_ts) AS session_end_ts,
+ arg_max(tz_name, segment_start_ts) AS session_tz FROM two GROUP BY user_id, session_id""", two=sessions("2 HOUR")))
+def stream_sessions(spark, sf):
+    folder = work_folder(spark, "sessions")
+    rows = L.sleep_rows(A.samples(spark, sf)).select(*live.ROWS.fieldNames())
+    live.stream_sessions(_landed(spark, rows, "sleep"), folder, f"{folder}/cp").awaitTermination()
+    return live.read_sessions(spark, folder).drop("session_id")
+
+
+@query("rate_limit")
+def rate_limit(spark, sf):
+    """Three requests in six hours: the test stream is too sparse for sixty a minute."""
+    folder = work_folder(spark, "rate")
+    stream = _landed(spark, A.events(spark, sf).select("event_id", "user_id", "ts"), "requests", 1)
+    decided = ratelimit.rate_limit(stream, 3, 6 * 3_600)
+    writer = decided.writeStream.format("parquet").option("path", f"{folder}/out")
+    writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(ratelimit.DECISIONS).parquet(f"{folder}/out")
+
+
+@query("rate_limit_batch")
+def rate_limit_batch(spark, sf):
+    return ratelimit.rate_limit_batch(A.events(spark, sf), 3, 6 * 3_600)
+
+
+@query("stream_timeout", with_parts("""SELECT 't' || event_id AS task_id,
+ CASE WHEN k % 4 <> 3 AND k * 5 < 300 THEN 'completed' ELSE 'timeout' END AS status, ts AS started_at FROM ev
+ WHERE k % 4 <> 3 OR ts + INTERVAL 301 SECOND < (SELECT max(ts) FROM ev)"""))
+def stream_timeout(spark, sf):
+    """Uploads that report completion after ``5k`` seconds, or never."""
+    folder = work_folder(spark, "timeouts")
+    e = A.events(spark, sf).withColumn("task_id", F.concat(F.lit("t"), "event_id"))
+    starts = e.select("task_id", F.lit("pending").alias("status"), "ts")
+    ends = e.filter("k % 4 <> 3").select(
+        "task_id", F.lit("completed").alias("status"), (F.col("ts") + F.make_dt_interval(secs=F.col("k") * 5)).alias("ts")
+    )
+    newest = e.agg(F.max("ts").alias("m"))
+    # reports after the newest event would move the watermark past it
+    reports = starts.union(ends).join(newest).filter(
+        (F.col("ts") <= F.col("m")) | (F.col("status") == "completed")
+    ).drop("m")
+    stream = _landed(spark, reports, "reports", 1)
+    writer = timeouts.stream_timeout(stream).writeStream.format("parquet").option("path", f"{folder}/out")
+    writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(timeouts.OUTCOMES).parquet(f"{folder}/out").drop("age_s")
+
+
+INGESTED = """SELECT user_id, hk_uuid, date_trunc('second', ts) AS ts, metric_type,
+ CAST(format('{:.4f}', metric_value) AS DOUBLE) AS metric_value FROM samples WHERE deleted_at IS NULL"""
+
+
+@query("stream_ingest", with_parts("SELECT * FROM ing", ing=INGESTED))
+def stream_ingest(spark, sf):
+    """All live samples exported to mirror files, ingested by the stream, read from the store."""
+    folder = work_folder(spark, "ingest")
+    configure(spark)
+    C.write_mirror_csv(C.export_mirror(R.live_rows(A.samples(spark, sf))), f"{folder}/in")
+    ingest.stream_ingest(spark, f"{folder}/in", f"{folder}/store", f"{folder}/cp", sleep_gap_s=GAP).awaitTermination()
+    return Store(spark, f"{folder}/store").read("samples").filter("deleted_at IS NULL").select(
+        "user_id", "hk_uuid", "ts", "metric_type", "metric_value"
+    )
+
+
+@query("late_recompute", with_parts(f"SELECT {ROLLUP_OUT} FROM hourly"))
+def late_recompute(spark, sf):
+    """Every third sample arrives late; refreshing the touched buckets gives the full rollup."""
+    samples = A.samples(spark, sf)
+    late = F.xxhash64("hk_uuid") % 3 == 0
+    before = R.rollup(samples.filter(~late), "hour")
+    windows = G.affected_window(samples.filter(late), samples, samples.filter(late).select("user_id", "hk_uuid"))
+    return rollup_out(G.refresh_rollup(before, samples, windows, "hour"))
+
+
+ANCHORS = "SELECT user_id, max(ts) AS anchor FROM ev GROUP BY 1"
+ZONE = "America/New_York"
+MIDNIGHT = utc("d", f"'{ZONE}'")
+CHUNKS = f"""SELECT user_id, anchor, i + 1 AS chunk_index, 5 AS chunk_total,
+ {utc("CAST(first + i * 7 AS TIMESTAMP)", f"'{ZONE}'")} AS chunk_start,
+ least({utc("CAST(first + (i + 1) * 7 AS TIMESTAMP)", f"'{ZONE}'")}, anchor) AS chunk_end
+ FROM (SELECT *, CAST({local('anchor', f"'{ZONE}'")} AS DATE) - 30 AS first FROM anc),
+ (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS i)"""
+
+
+@query("backfill_chunks", with_parts("SELECT * FROM chunk WHERE chunk_start < anchor", chunk=CHUNKS, anc=ANCHORS))
+def backfill_chunks(spark, sf):
+    anchors = A.events(spark, sf).groupBy("user_id").agg(F.max("ts").alias("anchor"))
+    return H.backfill_chunks(anchors, ZONE, 30, 7)
+
+
+@query("overlap_chunks", with_parts("""SELECT s.user_id, s.hk_uuid, c.chunk_index FROM samples s JOIN chunk c USING (user_id)
+ WHERE s.ts < c.chunk_end AND coalesce(s.end_ts, s.ts) > c.chunk_start""", chunk=CHUNKS, anc=ANCHORS))
+def overlap_chunks(spark, sf):
+    anchors = A.events(spark, sf).groupBy("user_id").agg(F.max("ts").alias("anchor"))
+    return H.overlap_chunks(A.samples(spark, sf), anchors, ZONE, 30, 7).select("user_id", "hk_uuid", "chunk_index")

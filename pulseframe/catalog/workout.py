@@ -82,15 +82,14 @@ def split_avg_hr(spark, sf):
 
 
 @query("split_measures", with_parts("""SELECT p.user_id, p.workout_uuid, p.segment_unit, p.segment_index,
- round(greatest(0, epoch_us(start_ts) - epoch_us(workout_start_ts)) / 60000000, 6) AS start_offset_min,
- round(greatest(0, epoch_us(end_ts) - epoch_us(workout_start_ts)) / 60000000, 6) AS end_offset_min,
- round(greatest(0, epoch_us(end_ts) - epoch_us(start_ts)) / 60000000, 6) AS duration_min,
- round(greatest(0, epoch_us(end_ts) - epoch_us(start_ts)) / 60000000 * 60, 4) AS pace_s_per_unit, round(h.bpm, 6) AS avg_hr_bpm
+ greatest(0, epoch_us(start_ts) - epoch_us(workout_start_ts)) / 60000000 AS start_offset_min,
+ greatest(0, epoch_us(end_ts) - epoch_us(workout_start_ts)) / 60000000 AS end_offset_min,
+ greatest(0, epoch_us(end_ts) - epoch_us(start_ts)) / 60000000 AS duration_min,
+ greatest(0, epoch_us(end_ts) - epoch_us(start_ts)) / 60000000 * 60 AS pace_s_per_unit, round(h.bpm, 6) AS avg_hr_bpm
  FROM parts p LEFT JOIN (SELECT user_id, workout_uuid, segment_unit, segment_index, avg(bpm) AS bpm FROM hr GROUP BY 1, 2, 3, 4) h
  USING (user_id, workout_uuid, segment_unit, segment_index)"""))
 def split_measures(spark, sf):
     rows = P.split_measures(P.splits(_stream(spark, sf)), A.samples(spark, sf))
-    rows = rounded(rows, "start_offset_min", "end_offset_min", "duration_min", "avg_hr_bpm")
-    return rounded(rows, "pace_s_per_unit", digits=4).select(
+    return rounded(rows, "avg_hr_bpm").select(
         *P.SPLIT, "start_offset_min", "end_offset_min", "duration_min", "pace_s_per_unit", "avg_hr_bpm"
     )

@@ -32,7 +32,7 @@ def merge_by_policy(
     base: DataFrame, batch: DataFrame, keys: Sequence[str], overwrite: Sequence[str],
     keep: Sequence[str], ordinal: str = "ordinal",
 ) -> DataFrame:
-    """Upsert of a batch, row by row in order of ``ordinal``.
+    """Upsert of a batch, row by row in order of ``ordinal`` (any orderable type).
 
     ``overwrite`` columns take the last row's value even when NULL; ``keep`` columns
     take the last non-NULL value.
@@ -40,12 +40,11 @@ def merge_by_policy(
     cols = [*keys, *overwrite, *keep]
     touched_keys = batch.select(*keys).distinct()
     untouched = base.join(touched_keys, list(keys), "left_anti").select(*cols)
-    touched = base.join(touched_keys, list(keys), "left_semi").select(*cols).withColumn(
-        "_ord", F.lit(-1).cast("long")
-    )
-    order = F.col("_ord")
+    touched = base.join(touched_keys, list(keys), "left_semi").select(*cols, F.lit(0).alias("_new"))
+    fresh = batch.select(*cols, F.lit(1).alias("_new"), F.col(ordinal).alias("_ord"))
+    order = F.struct("_new", "_ord")
     merged = (
-        touched.unionByName(batch.select(*cols, F.col(ordinal).cast("long").alias("_ord")))
+        touched.unionByName(fresh, allowMissingColumns=True)
         .groupBy(*keys)
         .agg(
             F.max_by(F.struct(*overwrite), order).alias("_last"),

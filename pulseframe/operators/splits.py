@@ -48,8 +48,8 @@ def splits(stream: DataFrame, units: tuple[str, ...] = ("km", "mi"), cap: int =
     units_col = F.array(
         *[F.struct(F.lit(u).alias("segment_unit"), F.lit(LENGTHS[u]).cast("long").alias("length_ukm")) for u in units]
     )
-    first = F.floor(F.col("before_ukm") / length) + 1
-    last = F.least(F.floor(F.col("covered_ukm") / length), F.lit(cap))
+    first = F.expr("before_ukm div length_ukm") + 1
+    last = F.least(F.expr("covered_ukm div length_ukm"), F.lit(cap))
     span = F.greatest(F.coalesce(F.unix_micros("end_ts") - F.unix_micros("ts"), F.lit(0)), F.lit(0))
     part = (F.col("segment_index") * length - F.col("before_ukm")) / F.col("distance_ukm")
     boundary = F.timestamp_micros(F.unix_micros("ts") + F.floor(span * part + 0.5))
@@ -57,7 +57,7 @@ def splits(stream: DataFrame, units: tuple[str, ...] = ("km", "mi"), cap: int =
         cumulative_distance(stream)
         .select("*", F.inline(units_col))
         .filter(last >= first)
-        .withColumn("segment_index", F.explode(F.sequence(first, last)).cast("int"))
+        .withColumn("segment_index", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
         .withColumn("end_mark", boundary)
     )
     chain = Window.partitionBy(*WORKOUT, "segment_unit").orderBy("segment_index")

@@ -148,5 +148,5 @@ def upsert_workouts(base: DataFrame, new: DataFrame) -> DataFrame:
 
     keep = [c for c in base.columns if c not in (*WORKOUT, "start_ts")]
     return merge_by_policy(
-        base, new.withColumn("ordinal", F.lit(0).cast("long")), WORKOUT, ["start_ts"], keep
+        base, new.withColumn("ordinal", F.lit(0)), WORKOUT, ["start_ts"], keep
     )

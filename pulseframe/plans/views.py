@@ -68,3 +68,10 @@ def calendar_spine(spark: SparkSession, start: str, end: str, step: str = "1 day
     return spark.sql(
         f"SELECT explode(sequence(timestamp '{start}', timestamp '{end}', interval {step})) AS step_ts"
     )
+
+
+def calendar_days(start: Column, end: Column) -> Column:
+    """Generator: the days between two instants of a row, both included."""
+    return F.explode(
+        F.sequence(F.date_trunc("day", start), F.date_trunc("day", end), F.expr("interval 1 day"))
+    )

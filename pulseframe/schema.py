@@ -10,6 +10,18 @@ META = T.StructType(
 SOURCES = T.ArrayType(
     T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType())])
 )
+_TYPES = {
+    "string": T.StringType(), "timestamp": T.TimestampType(), "date": T.DateType(),
+    "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType(),
+    "meta": META, "sources": SOURCES,
+}
+
+
+def table(text: str) -> T.StructType:
+    """Schema from ``name type`` pairs; works before a session exists."""
+    pairs = [item.split() for item in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
 
 # The column order of a mirror upload.
 MIRROR_COLUMNS = (
@@ -24,58 +36,43 @@ MIRROR_TEXT = T.StructType(
     + [T.StructField(CORRUPT_COLUMN, T.StringType())]
 )
 
-SAMPLES = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        T.StructField("hk_uuid", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("end_ts", T.TimestampType()),
-        T.StructField("metric_type", T.StringType()),
-        T.StructField("metric_value", T.DoubleType()),
-        T.StructField("unit", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("meta", META),
-        T.StructField("hk_source_name", T.StringType()),
-        T.StructField("hk_source_version", T.StringType()),
-        T.StructField("hk_metadata", T.StringType()),
-        T.StructField("deleted_at", T.TimestampType()),
-    ]
+SAMPLES = table(
+    "user_id string, hk_uuid string, ts timestamp, end_ts timestamp, metric_type string, "
+    "metric_value double, unit string, created_at timestamp, meta meta, hk_source_name string, "
+    "hk_source_version string, hk_metadata string, deleted_at timestamp"
+)
+EVENTS = table(
+    "user_id string, hk_uuid string, event_type string, ts timestamp, end_ts timestamp, value double, "
+    "unit string, source string, created_at timestamp, hk_source_name string, "
+    "hk_source_version string, hk_metadata string, deleted_at timestamp"
+)
+ROLLUP = table(
+    "user_id string, metric_type string, bucket_ts timestamp, unit string, avg_value double, "
+    "sum_value double, min_value double, max_value double, n bigint, meta meta, hk_sources sources"
+)
+NIGHTS = table(
+    "user_id string, sleep_date date, sleep_start_ts timestamp, sleep_end_ts timestamp, "
+    "asleep_minutes double, rem_minutes double, core_minutes double, deep_minutes double, "
+    "awake_minutes double, meta meta, hk_sources sources"
+)
+SEGMENTS = table(
+    "user_id string, hk_uuid string, sleep_date date, stage string, segment_start_ts timestamp, "
+    "segment_end_ts timestamp, minutes double, meta meta, hk_sources sources"
+)
+WORKOUTS = table(
+    "user_id string, workout_uuid string, workout_type string, start_ts timestamp, end_ts timestamp, "
+    "duration_min double, distance_km double, energy_kcal double, hk_sources sources, hk_metadata string"
 )
-EVENTS = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        T.StructField("hk_uuid", T.StringType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("end_ts", T.TimestampType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("unit", T.StringType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("hk_source_name", T.StringType()),
-        T.StructField("hk_source_version", T.StringType()),
-        T.StructField("hk_metadata", T.StringType()),
-        T.StructField("deleted_at", T.TimestampType()),
-    ]
+SPLITS = table(
+    "user_id string, workout_uuid string, segment_unit string, segment_index int, "
+    "workout_start_ts timestamp, start_ts timestamp, end_ts timestamp, start_offset_min double, "
+    "end_offset_min double, duration_min double, avg_hr_bpm double, pace_s_per_unit double"
 )
-LEDGER = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        T.StructField("content_hash", T.StringType()),
-        T.StructField("task_id", T.StringType()),
-        T.StructField("file_size", T.LongType()),
-        T.StructField("upload_mode", T.StringType()),
-        T.StructField("seed_batch_id", T.StringType()),
-        T.StructField("seed_chunk_index", T.IntegerType()),
-        T.StructField("seed_chunk_total", T.IntegerType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("request_count", T.LongType()),
-        T.StructField("row_count", T.LongType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
-        T.StructField("completed_at", T.TimestampType()),
-        T.StructField("error_message", T.StringType()),
-    ]
+LEDGER = table(
+    "user_id string, content_hash string, task_id string, file_size bigint, upload_mode string, "
+    "seed_batch_id string, seed_chunk_index int, seed_chunk_total int, status string, "
+    "request_count bigint, row_count bigint, created_at timestamp, updated_at timestamp, "
+    "completed_at timestamp, error_message string"
 )
 
 # Metric name -> (unit label, aggregation class).

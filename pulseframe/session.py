@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured or tempfile.mkdtemp(prefix="pulseframe-")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run, under the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: str | int = "*", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (

@@ -20,24 +20,30 @@ def _options(reader):
 
 
 def read_mirror_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Text rows of mirror files with file name and row order.
+    """Text rows of mirror files with their order.
 
     Rows wider than the header keep their leading columns and are flagged in the
-    corrupt-record column instead of shifting. ``ordinal`` grows with the position in a
-    file: the split number is in its high bits, and splits of a file are in order.
+    corrupt-record column instead of shifting.
     """
-    return with_ordinal(_options(spark.read).csv(path))
+    return with_ordinal(_placed(_options(spark.read).csv(path)))
 
 
-def stream_mirror_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The same scan over a landing folder, each file once."""
-    return _options(spark.readStream).csv(path)
+def stream_mirror_csv(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
+    """The same scan over a landing folder, each file once. Add :func:`with_ordinal` per micro-batch."""
+    return _placed(_options(spark.readStream).option("maxFilesPerTrigger", max_files).csv(path))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    place = F.struct(
+        F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    )
+    return df.withColumn("_place", place)
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {"file": F.col("_metadata.file_path"), "offset": F.col("_metadata.file_block_start")}
-    ).withColumn("ordinal", F.monotonically_increasing_id())
+    """Order of rows for rules in which the last row wins: older files first, then by
+    position. The row number grows within a split, and splits carry their own offset."""
+    return df.withColumn("ordinal", F.struct("_place", F.monotonically_increasing_id().alias("row"))).drop("_place")
 
 
 def with_optional_columns(df: DataFrame) -> DataFrame:

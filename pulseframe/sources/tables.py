@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from pulseframe.operators.merge import merge_by_policy
 
 DAY = "day"
+BUCKETS = 16
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A stored table, or an empty one with the given schema if nothing is stored yet."""
-    if schema is None:
-        return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table, or an empty one if nothing is stored yet."""
     full = T.StructType([*schema.fields, T.StructField(DAY, T.DateType())])
     try:
         return spark.read.schema(full).parquet(path)
@@ -26,7 +25,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return spark.createDataFrame([], full)
 
 
-def scan_samples(df: DataFrame, user_id: str, t0: Column, t1: Column, types: Sequence[str] | None = None) -> DataFrame:
+def scan_samples(
+    df: DataFrame, user_id: str, t0: Column, t1: Column, types: Sequence[str] | None = None
+) -> DataFrame:
     """Samples of one user in ``[t0, t1)``; every filter is on a stored column."""
     rows = df.filter((F.col("user_id") == user_id) & (F.col("ts") >= t0) & (F.col("ts") < t1))
     if DAY in df.columns:
@@ -34,11 +35,26 @@ def scan_samples(df: DataFrame, user_id: str, t0: Column, t1: Column, types: Seq
     return rows.filter(F.col("metric_type").isin(*types)) if types else rows
 
 
-def _write_days(df: DataFrame, path: str, sort: Sequence[str]) -> None:
-    # one shuffle spreads each day over hash buckets of the sort key, so a crowded day is
-    # written by several tasks; AQE sizes the partitions
+def days_of(df: DataFrame, day: Column | str = DAY) -> list:
+    """Distinct days of a set of rows. One value per calendar day of the retained span, so
+    the list stays small whatever the number of rows."""
+    day = F.col(day) if isinstance(day, str) else day
+    return sorted(r[0] for r in df.select(day).distinct().collect() if r[0] is not None)
+
+
+def on_days(df: DataFrame, days: Sequence) -> DataFrame:
+    """Rows of the listed days; prunes partitions. No days: no rows."""
+    return df.filter(F.col(DAY).isin(*days)) if days else df.filter(F.lit(False))
+
+
+def write_days(df: DataFrame, path: str, sort: Sequence[str]) -> None:
+    """Write rows over the days they belong to.
+
+    One shuffle spreads each day over hash buckets of the sort key, so a crowded day or
+    user is written by several tasks; inside a file rows are sorted for min/max pruning.
+    """
     (
-        df.repartition(DAY, F.pmod(F.xxhash64(*sort), F.lit(16)))
+        df.repartition(F.col(DAY), F.pmod(F.xxhash64(*sort), F.lit(BUCKETS)))
         .sortWithinPartitions(DAY, *sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -47,53 +63,54 @@ def _write_days(df: DataFrame, path: str, sort: Sequence[str]) -> None:
     )
 
 
-def days_of(df: DataFrame) -> list:
-    """Distinct days of a small set of rows; bounded by the retention window."""
-    return sorted(r[DAY] for r in df.select(DAY).distinct().collect() if r[DAY] is not None)
+def rewrite_days(
+    spark: SparkSession, path: str, schema: T.StructType, days: Sequence, day_col: str,
+    sort: Sequence[str], change: Callable[[DataFrame], DataFrame], staging: str,
+) -> None:
+    """Replace whole days of a stored table by what ``change`` makes of them.
 
-
-def replace_days(new: DataFrame, path: str, days: Sequence, sort: Sequence[str]) -> None:
-    """Replace whole days of a stored table by the given rows.
-
-    Written partitions are swapped in by the commit of the dynamic overwrite. A day that
-    ends up without rows is not part of that commit, so it is overwritten with an empty
-    file of the same schema.
+    The result goes to a staging folder of its own first, so nothing is overwritten while
+    it is still being read and a lost executor only repeats its tasks. Days that end up
+    without rows take no part in a dynamic overwrite; they get an empty file instead.
     """
-    spark = new.sparkSession
-    _write_days(new, path, sort)
-    written = set(days_of(spark.read.parquet(path).filter(F.col(DAY).isin(*days)))) if days else set()
-    present = set(days_of(new))
-    empty = spark.createDataFrame([], new.drop(DAY).schema)
-    for day in written - present:
-        empty.write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
+    if not days:
+        return
+    stored = on_days(read_table(spark, path, schema), days)
+    before = days_of(stored)
+    fresh = change(stored.drop(DAY)).select(*schema.fieldNames())
+    fresh.write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(schema).parquet(staging).withColumn(DAY, F.to_date(day_col))
+    write_days(staged, path, sort)
+    for day in set(before) - set(days_of(staged)):
+        nothing = spark.createDataFrame([], schema)
+        nothing.write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
 
 
 def write_upsert(
     spark: SparkSession, batch: DataFrame, path: str, schema: T.StructType, keys: Sequence[str],
-    overwrite: Sequence[str], keep: Sequence[str],
+    overwrite: Sequence[str], keep: Sequence[str], staging: str,
 ) -> list:
     """Merge a batch into a stored table; only days that hold touched rows are rewritten.
 
-    A sample may move to another day, so both the day it leaves and the day it enters
-    are affected. Returns the affected days.
+    A row may move to another day, so both the day it leaves and the day it enters are
+    affected. Returns the affected days.
     """
     base = read_table(spark, path, schema)
     touched = base.join(batch.select(*keys).distinct(), list(keys), "left_semi")
-    days = sorted(set(days_of(touched)) | set(days_of(batch.withColumn(DAY, F.to_date("ts")))))
-    if not days:
-        return days
-    stored = base.filter(F.col(DAY).isin(*days)).drop(DAY)
-    merged = merge_by_policy(stored, batch, keys, overwrite, keep).withColumn(DAY, F.to_date("ts"))
-    replace_days(merged.select(*schema.fieldNames(), DAY), path, days, keys)
+    days = sorted(set(days_of(touched)) | set(days_of(batch, F.to_date("ts"))))
+    rewrite_days(
+        spark, path, schema, days, "ts", keys,
+        lambda stored: merge_by_policy(stored, batch, keys, overwrite, keep), staging,
+    )
     return days
 
 
 def replace_slice(new: DataFrame, path: str, day_col: str, sort: Sequence[str]) -> None:
     """Write derived rows over the days they belong to."""
-    _write_days(new.withColumn(DAY, F.to_date(day_col)), path, sort)
+    write_days(new.withColumn(DAY, F.to_date(day_col)), path, sort)
 
 
 def read_uploads(spark: SparkSession, path: str, user_id: str | None = None) -> DataFrame:
-    """Uploads ledger, optionally of one user (filter reaches the scan)."""
+    """Uploads ledger, optionally of one user (the filter reaches the scan)."""
     rows = spark.read.parquet(path)
     return rows if user_id is None else rows.filter(F.col("user_id") == user_id)

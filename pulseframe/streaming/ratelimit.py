@@ -1,0 +1,80 @@
+"""Sliding-window admission in which rejected requests do not count."""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from pulseframe.operators.timeline import HOUR_S, sessionize
+
+DECISIONS = "user_id string, event_id bigint, ts timestamp, allowed boolean, wait_seconds int"
+
+
+def admit(at: int, window: deque, limit: int, span_us: int) -> tuple[bool, int]:
+    """Decide one request; ``window`` holds the admitted instants (microseconds) in force."""
+    while window and window[0] <= at - span_us:
+        window.popleft()
+    if len(window) >= limit:
+        return False, max(0, (window[0] + span_us - at) // 1_000_000)
+    window.append(at)
+    return True, 0
+
+
+def _decide(frame: pd.DataFrame, window: deque, limit: int, span_us: int) -> pd.DataFrame:
+    micros = frame["ts"].astype("datetime64[us]").astype("int64")
+    verdicts = [admit(int(at), window, limit, span_us) for at in micros]
+    return frame.assign(allowed=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts])
+
+
+def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60, width_s: int = HOUR_S) -> DataFrame:
+    """Decisions for recorded requests.
+
+    A pause longer than the window empties it, so requests are first cut into bursts at
+    such pauses; bursts are independent and are spread over tasks. Inside a task rows
+    stream by in order and at most ``limit`` instants are held, never a whole burst.
+    """
+    span_us = seconds * 1_000_000
+    bursts = sessionize(
+        requests.select("user_id", "event_id", "ts"), ["user_id"], "ts", "ts", ["event_id"], seconds, width_s
+    ).select("user_id", "event_id", "ts", F.col("session_id").alias("burst"))
+    ordered = bursts.repartition("user_id", "burst").sortWithinPartitions("user_id", "burst", "ts", "event_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, window = None, deque()
+        for frame in frames:
+            for key, part in frame.groupby(["user_id", "burst"], sort=False):
+                if key != current:
+                    current, window = key, deque()
+                yield _decide(part, window, limit, span_us).drop(columns="burst")
+
+    return ordered.mapInPandas(run, DECISIONS)
+
+
+def rate_limit(stream: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
+    """The same decisions on a stream; state per user is the admitted instants in force.
+
+    State is bounded by the limit. It expires when the window has passed without requests.
+    """
+    span_us = seconds * 1_000_000
+
+    def run(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        window = deque(state.get[0] if state.exists else [])
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
+        yield _decide(rows, window, limit, span_us)[["user_id", "event_id", "ts", "allowed", "wait_seconds"]]
+        state.update((list(window),))
+        state.setTimeoutDuration(2 * seconds * 1_000)
+
+    return (
+        stream.select("user_id", "event_id", "ts")
+        .groupBy("user_id")
+        .applyInPandasWithState(
+            run, DECISIONS, "admitted array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        )
+    )
