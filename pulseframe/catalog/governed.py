@@ -20,13 +20,13 @@ MINE = f"WHERE user_id = '{USER}'"
 
 def derived_tables(spark, sf):
     samples = A.samples(spark, sf)
-    labelled = S.label_sleep(samples, GAP)
+    rows = S.sleep_sessions_of(S.sleep_rows(samples), GAP)
     workouts = W.workouts(A.workout_events(spark, sf))
     return {
         "derived_rollup_hourly": R.rollup(samples, "hour"),
         "derived_rollup_daily": R.rollup(samples, "day"),
-        "derived_sleep_daily": S.sleep_daily(labelled),
-        "derived_sleep_segments": S.sleep_segments(labelled),
+        "derived_sleep_daily": S.sleep_daily(rows),
+        "derived_sleep_segments": S.sleep_segments(S.label_rows(rows, S.session_bounds(rows))),
         "derived_workouts": workouts,
         "derived_workout_segments": P.splits(P.distance_stream(samples, workouts)),
     }

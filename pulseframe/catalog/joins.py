@@ -16,7 +16,7 @@ REQUEST = "America/New_York"
 
 
 def _nights(spark, sf):
-    return S.sleep_daily(S.label_sleep(A.samples(spark, sf), GAP))
+    return S.sleep_daily(S.sleep_sessions_of(S.sleep_rows(A.samples(spark, sf)), GAP))
 
 
 @query("asof_timezone", with_parts(f"""SELECT hk_uuid, z AS timezone,

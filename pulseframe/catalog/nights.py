@@ -65,7 +65,7 @@ def sleep_segments(spark, sf):
 
 @query("sleep_daily", with_parts(f"SELECT {NIGHT_OUT} FROM nights"))
 def sleep_daily(spark, sf):
-    return night_out(S.sleep_daily(_labelled(spark, sf)))
+    return night_out(S.sleep_daily(S.sleep_sessions_of(S.sleep_rows(A.samples(spark, sf)), GAP)))
 
 
 @query("sleep_daily_reconciled", with_parts(f"SELECT {NIGHT_OUT} FROM nights_seg"))
@@ -116,7 +116,8 @@ def _split_history(nights):
  CASE WHEN d % 5 <> 0 AND d % 3 <> 0 OR d % 2 = 1 THEN CAST(to_json(hk_sources) AS VARCHAR) ELSE '[]' END AS hk_sources
  FROM (SELECT *, day(sleep_date) AS d FROM nights) WHERE d % 5 <> 0 OR d % 2 = 1"""))
 def upsert_sleep_daily(spark, sf):
-    base, new = _split_history(S.sleep_daily(_labelled(spark, sf)))
+    nights = S.sleep_daily(S.sleep_sessions_of(S.sleep_rows(A.samples(spark, sf)), GAP))
+    base, new = _split_history(nights)
     return nested_as_json(S.upsert_sleep_daily(base, new)).select(
         "user_id", "sleep_date", "asleep_minutes", "meta", "hk_sources"
     )
@@ -164,8 +165,8 @@ def last_n_per_user(spark, sf):
  lag(tz_name) OVER w AS p, row_number() OVER w AS rn FROM ctx WHERE tz_name IS NOT NULL
  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn = 1 OR p IS DISTINCT FROM tz_name"""))
 def dedupe_consecutive(spark, sf):
-    rows = A._context(A.events(spark, sf)).select(
-        "user_id", "event_id", "ts", F.col("timezone").alias("tz_name")
+    rows = A.events(spark, sf).selectExpr("*", *A.CONTEXT).selectExpr(
+        "user_id", "event_id", "ts", "timezone AS tz_name"
     ).filter("tz_name IS NOT NULL")
     return T.drop_repeats(rows, ["user_id"], "ts", ["event_id"], "tz_name", 86_400)
 

@@ -237,4 +237,5 @@ def with_parts(select: str, **extra: str) -> str:
                 needed[word] = known[word]
 
     visit(select)
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in needed.items()) + "\n" + select if needed else select
+    recursive = any(re.search(rf"(?i)\bfrom {n} ", t) for n, t in needed.items())
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({t})" for n, t in needed.items()) + "\n" + select if needed else select

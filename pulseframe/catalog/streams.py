@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe import schema as S
 from pulseframe.catalog.nights import GAP
 from pulseframe.catalog.registry import query
 from pulseframe.catalog.shape import rollup_out, rounded
 from pulseframe.catalog.sql import ROLLUP_OUT, local, sessions, utc, with_parts
-from pulseframe.operators import chunks as H, clean as O, merge as G, rollup as R, sleep as L
-from pulseframe.plans.ingest import Store, apply_batch
+from pulseframe.operators import chunks as H, merge as G, rollup as R, sleep as L
+from pulseframe.plans.ingest import Store
 from pulseframe.session import configure, work_folder
 from pulseframe.sources import adapter as A, mirror_csv as C
 from pulseframe.streaming import ingest, ratelimit, rollup, sessions as live, timeouts
@@ -41,7 +40,16 @@ def stream_sessions(spark, sf):
     return live.read_sessions(spark, folder).drop("session_id")
 
 
-@query("rate_limit")
+SPAN = 6 * 3_600 * 1_000_000
+REQ = "SELECT user_id, event_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev"
+DECIDED = f"""SELECT user_id, i, event_id, ts, [t] AS win, true AS allowed, 0 AS wait_seconds FROM req WHERE i = 1
+ UNION ALL SELECT user_id, i, event_id, ts, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END, len(f) < 3,
+  CASE WHEN len(f) < 3 THEN 0 ELSE CAST(greatest(0, (f[1] + {SPAN} - t) // 1000000) AS INTEGER) END
+ FROM (SELECT c.*, list_filter(p.win, lambda x: x > c.t - {SPAN}) AS f FROM rec p JOIN req c ON c.user_id = p.user_id AND c.i = p.i + 1)"""
+ADMISSION = with_parts("SELECT user_id, event_id, ts, allowed, wait_seconds FROM rec", rec=DECIDED, req=REQ)
+
+
+@query("rate_limit", ADMISSION)
 def rate_limit(spark, sf):
     """Three requests in six hours: the test stream is too sparse for sixty a minute."""
     folder = work_folder(spark, "rate")
@@ -52,7 +60,7 @@ def rate_limit(spark, sf):
     return spark.read.schema(ratelimit.DECISIONS).parquet(f"{folder}/out")
 
 
-@query("rate_limit_batch")
+@query("rate_limit_batch", ADMISSION)
 def rate_limit_batch(spark, sf):
     return ratelimit.rate_limit_batch(A.events(spark, sf), 3, 6 * 3_600)
 

@@ -52,7 +52,7 @@ def best_stream(spark, sf):
 
 @query("cumulative_distance", with_parts("SELECT user_id, workout_uuid, hk_uuid, distance_ukm, before_ukm, covered_ukm FROM cum"))
 def cumulative_distance(spark, sf):
-    return P.cumulative_distance(_stream(spark, sf)).select(
+    return _stream(spark, sf).select(
         "user_id", "workout_uuid", "hk_uuid", "distance_ukm", "before_ukm", "covered_ukm"
     )
 

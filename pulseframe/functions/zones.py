@@ -48,19 +48,20 @@ def offset_minutes(ts: Column, zone: Column | str) -> Column:
     return (shifted / 60_000_000).cast("int")
 
 
+ZONE_KEYS = ("HKTimeZone", "tz_name", "timezone")
+
+
 def zone_from_json(metadata: Column) -> Column:
-    """Zone stated in provider metadata, in order of trust."""
-    parsed = F.from_json(metadata, "HKTimeZone string, tz_name string, timezone string")
-    return F.coalesce(
-        blank_to_null(parsed["HKTimeZone"]),
-        blank_to_null(parsed["tz_name"]),
-        blank_to_null(parsed["timezone"]),
-    )
+    """Zone stated in provider metadata, in order of trust; blank text counts as not stated."""
+    return F.coalesce(*[blank_to_null(F.get_json_object(metadata, f"$.{k}")) for k in ZONE_KEYS])
 
 
 def stated_zone(meta: Column, metadata: Column) -> Column:
-    """Zone of a sample: context first, then provider metadata; NULL when unknown."""
-    return F.coalesce(meta["tz_name"], zone_from_json(metadata))
+    """Zone of a sample: context first, then provider metadata; NULL when unknown.
+
+    Metadata is parsed only for rows whose context has no zone.
+    """
+    return F.coalesce(meta["tz_name"], *[F.get_json_object(metadata, f"$.{k}") for k in ZONE_KEYS])
 
 
 def effective_zone(meta: Column, metadata: Column) -> Column:

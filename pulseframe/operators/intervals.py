@@ -21,8 +21,9 @@ def points_in_spans(
     spread over its slices and only neighbours in time are compared. A point lies in
     exactly one slice, hence no duplicates. AQE may split what is still skewed.
     """
-    last = F.unix_micros(F.col(end)) - 1
-    slices = F.sequence(slice_of(F.col(start), width_s), F.floor(last / F.lit(width_s * 1_000_000)))
+    last = F.timestamp_micros(F.unix_micros(F.col(end)) - 1)
+    step = F.lit(width_s * 1_000_000)
+    slices = F.sequence(slice_of(F.col(start), width_s), slice_of(last, width_s), step)
     laid = spans.filter(F.col(end) > F.col(start)).withColumn("_slice", F.explode(slices))
     return (
         points.withColumn("_slice", slice_of(F.col(ts), width_s))

@@ -61,33 +61,70 @@ def _row_context():
     return F.coalesce("meta", M.context_struct(F.col("tz_name"), F.lit(None)))
 
 
+MINUTES = ("asleep_minutes", "rem_minutes", "core_minutes", "deep_minutes", "awake_minutes")
+
+
 def _minutes(flag):
     return F.sum(F.when(flag, F.col("minutes")).otherwise(0.0))
 
 
-def night_totals(rows: DataFrame, *more) -> DataFrame:
-    """One row per user and night from rows with stage, minutes and context."""
+def _totals() -> list:
+    """Aggregates over rows with stage, minutes and context."""
     stage = F.col("stage")
-    return rows.groupBy("user_id", "sleep_date").agg(
+    return [
         F.min("segment_start_ts").alias("sleep_start_ts"),
         F.max("segment_end_ts").alias("sleep_end_ts"),
         _minutes(stage.isin(*S.ASLEEP_STAGES)).alias("asleep_minutes"),
         *[_minutes(stage == s).alias(f"{s}_minutes") for s in ("rem", "core", "deep", "awake")],
-        latest(F.col("meta"), F.col("segment_start_ts")).alias("meta"),
-        *more,
+        latest(F.struct("segment_start_ts", "meta"), F.when(F.col("meta").isNotNull(), F.col("segment_start_ts")))
+        .alias("last_meta"),
+    ]
+
+
+def night_totals(rows: DataFrame, *more) -> DataFrame:
+    """One row per user and night."""
+    return (
+        rows.groupBy("user_id", "sleep_date").agg(*_totals(), *more)
+        .withColumn("meta", F.col("last_meta.meta")).drop("last_meta")
     )
 
 
-def sleep_daily(labelled: DataFrame) -> DataFrame:
-    """Nights straight from labelled rows. Time in bed widens a night but adds no sleep."""
-    rows = labelled.withColumns(
+def sleep_daily(sessionized: DataFrame) -> DataFrame:
+    """Nights from sessionized rows. Time in bed widens a night but adds no sleep.
+
+    A night is made of whole sessions, so rows are summed up per session first and the
+    few session rows then per night; the rows are never joined back to their session.
+    """
+    rows = sessionized.withColumns(
         {
             "stage": stage_label(F.col("metric_type")),
             "minutes": F.coalesce("metric_value", F.lit(0.0)),
             "meta": _row_context(),
         }
     )
-    return night_totals(rows, distinct_sources().alias("hk_sources"))
+    sessions = rows.groupBy("user_id", "session_id").agg(
+        *_totals(),
+        F.max_by("tz_name", F.struct("segment_start_ts", "hk_uuid")).alias("session_tz"),
+        distinct_sources().alias("hk_sources"),
+    )
+    night = Z.local_date(F.col("sleep_end_ts"), Z.safe_zone(F.col("session_tz")))
+    last = F.max_by("last_meta", F.col("last_meta.segment_start_ts"))["meta"]
+    return (
+        sessions.withColumn("sleep_date", night)
+        .groupBy("user_id", "sleep_date")
+        .agg(
+            F.min("sleep_start_ts").alias("sleep_start_ts"),
+            F.max("sleep_end_ts").alias("sleep_end_ts"),
+            *[F.sum(c).alias(c) for c in MINUTES],
+            last.alias("meta"),
+            _union_sources().alias("hk_sources"),
+        )
+    )
+
+
+def _union_sources():
+    named = F.filter(F.array_distinct(F.flatten(F.collect_set("hk_sources"))), lambda s: s["name"].isNotNull())
+    return F.array_sort(named)
 
 
 def sleep_segments(labelled: DataFrame) -> DataFrame:
@@ -129,8 +166,7 @@ def sleep_daily_from_segments(segments: DataFrame) -> DataFrame:
     Source arrays are made distinct per segment value first and unpacked inside the same
     aggregation, so segments are read and shuffled once.
     """
-    named = F.filter(F.array_distinct(F.flatten(F.collect_set("hk_sources"))), lambda s: s["name"].isNotNull())
-    return night_totals(segments, F.array_sort(named).alias("hk_sources"))
+    return night_totals(segments, _union_sources().alias("hk_sources"))
 
 
 def upsert_sleep_daily(base: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,30 +11,66 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pulseframe import schema as S
 from pulseframe.operators.intervals import points_in_spans
 from pulseframe.operators.rollup import live_rows
-from pulseframe.operators.timeline import HOUR_S, running_sum
-from pulseframe.operators.workouts import WORKOUT, best_stream, distance_workouts, samples_in_workout
+from pulseframe.operators.timeline import HOUR_S, SLICE, slice_of
+from pulseframe.operators.workouts import WORKOUT, distance_workouts, samples_in_workout, stream_rank
 
 LENGTHS = {"km": S.MICRO_KM, "mi": S.MICRO_KM_PER_MILE}
 SPLIT = (*WORKOUT, "segment_unit", "segment_index")
 
 
-def distance_stream(samples: DataFrame, workouts: DataFrame, **gate) -> DataFrame:
-    """Samples of the best distance stream of every workout that passes the gate."""
+def distance_in_workouts(samples: DataFrame, workouts: DataFrame, **gate) -> DataFrame:
+    """Distance samples inside workouts that pass the distance gate."""
     distance = samples.filter(F.col("metric_type").isin(*S.DISTANCE_METRICS)).select(
         "user_id", "hk_uuid", "ts", "end_ts", "metric_type", "metric_value", "deleted_at"
     )
-    inside = samples_in_workout(distance, distance_workouts(workouts, **gate))
-    return inside.join(best_stream(inside), [*WORKOUT, "metric_type"])
+    return samples_in_workout(distance, distance_workouts(workouts, **gate))
+
+
+def cumulative_distance(inside: DataFrame, min_km: float = 1.0, width_s: int = 6 * HOUR_S) -> DataFrame:
+    """Samples of each workout's best distance stream with the distance covered before and after.
+
+    Works in time slices (see ``timeline``): slice totals of all streams give, in one go,
+    the distance before each slice, the total and first instant of each stream, and which
+    stream of a workout is best, so samples are joined with their slice's row only.
+    """
+    rows = inside.withColumns(
+        {
+            "distance_ukm": F.floor(F.col("metric_value") * S.MICRO_KM + 0.5).cast("long"),
+            SLICE: slice_of(F.col("ts"), width_s),
+        }
+    )
+    positive = F.when(F.col("distance_ukm") > 0, F.col("distance_ukm")).otherwise(0)
+    stream = Window.partitionBy(*WORKOUT, "metric_type")
+    rank = stream_rank()
+    best = F.max(F.struct("total_km", (-rank).alias("r"))).over(Window.partitionBy(*WORKOUT))
+    carry = (
+        rows.groupBy(*WORKOUT, "metric_type", SLICE)
+        .agg(F.sum(positive).alias("ukm"), F.sum("metric_value").alias("km"), F.min("ts").alias("first"))
+        .select(
+            *WORKOUT, "metric_type", SLICE,
+            F.coalesce(
+                F.sum("ukm").over(stream.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ).alias("_before"),
+            F.sum("km").over(stream).alias("total_km"),
+            F.min("first").over(stream).alias("first_ts"),
+        )
+        .withColumn("_best", best)
+        .filter((F.col("_best.r") == -rank) & (F.col("total_km") >= min_km))
+        .drop("_best")
+    )
+    inside_slice = Window.partitionBy(*WORKOUT, "metric_type", SLICE).orderBy("ts", "hk_uuid")
+    upto = inside_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.filter(F.col("distance_ukm") > 0)
+        .join(carry, [*WORKOUT, "metric_type", SLICE])
+        .withColumn("covered_ukm", F.col("_before") + F.sum("distance_ukm").over(upto))
+        .withColumn("before_ukm", F.col("covered_ukm") - F.col("distance_ukm"))
+        .drop(SLICE, "_before")
+    )
 
 
-def cumulative_distance(stream: DataFrame, width_s: int = HOUR_S * 6) -> DataFrame:
-    """Distance of a sample and distance before it, in micro-kilometres."""
-    measured = stream.withColumn(
-        "distance_ukm", F.floor(F.col("metric_value") * S.MICRO_KM + 0.5).cast("long")
-    ).filter(F.col("distance_ukm") > 0)
-    return running_sum(
-        measured, WORKOUT, "ts", ["hk_uuid"], {"covered_ukm": "distance_ukm"}, width_s
-    ).withColumn("before_ukm", F.col("covered_ukm") - F.col("distance_ukm"))
+def distance_stream(samples: DataFrame, workouts: DataFrame, **gate) -> DataFrame:
+    return cumulative_distance(distance_in_workouts(samples, workouts, **gate))
 
 
 def splits(stream: DataFrame, units: tuple[str, ...] = ("km", "mi"), cap: int = S.SPLIT_CAP) -> DataFrame:
@@ -54,8 +90,7 @@ def splits(stream: DataFrame, units: tuple[str, ...] = ("km", "mi"), cap: int =
     part = (F.col("segment_index") * length - F.col("before_ukm")) / F.col("distance_ukm")
     boundary = F.timestamp_micros(F.unix_micros("ts") + F.floor(span * part + 0.5))
     marks = (
-        cumulative_distance(stream)
-        .select("*", F.inline(units_col))
+        stream.select("*", F.inline(units_col))
         .filter(last >= first)
         .withColumn("segment_index", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
         .withColumn("end_mark", boundary)

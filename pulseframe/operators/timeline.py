@@ -27,8 +27,9 @@ HOUR_S = 3_600
 
 
 def slice_of(ts: Column, width_s: int) -> Column:
-    """Number of the time slice an instant falls into."""
-    return F.floor(F.unix_micros(ts) / F.lit(width_s * 1_000_000)).cast("long")
+    """Start (in microseconds) of the time slice an instant falls into."""
+    micros = F.unix_micros(ts)
+    return micros - F.pmod(micros, F.lit(width_s * 1_000_000))
 
 
 def _sliced(df: DataFrame, ts: str, width_s: int) -> DataFrame:

@@ -126,9 +126,14 @@ def samples_in_workout(samples: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def stream_rank() -> Column:
+    """Position of a distance metric in the order of preference, from one on."""
+    return F.array_position(F.array(*[F.lit(m) for m in S.DISTANCE_METRICS]), F.col("metric_type"))
+
+
 def best_stream(in_workout: DataFrame, min_km: float = 1.0) -> DataFrame:
     """The distance metric with the largest total per workout; equal totals keep the listed order."""
-    rank = F.array_position(F.array(*[F.lit(m) for m in S.DISTANCE_METRICS]), F.col("metric_type"))
+    rank = stream_rank()
     totals = (
         in_workout.filter(F.col("metric_type").isin(*S.DISTANCE_METRICS))
         .groupBy(*WORKOUT, "metric_type")

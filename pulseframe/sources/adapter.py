@@ -8,103 +8,78 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulseframe.functions import meta as M
 from pulseframe.session import configure
 
-ZONES = ("UTC", "America/New_York", "Asia/Kolkata")
-STAGES = ("awake", "in_bed", "rem", "core", "deep", "asleep_unspecified")
-ACTIVITY = (37, 52, 13, 50)
-
-
-def _pick(index: Column, values) -> Column:
-    """Value at ``index``; NULL past the end."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream with instants as timestamps and ``k`` taken out of the props."""
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spark.read.schema(EVENT_COLUMNS).parquet(f"{sf_dir}/events.parquet").selectExpr(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").cast("string").alias("user_id"),
-        "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-    )
-
-
-def _context(df: DataFrame) -> DataFrame:
-    k = F.col("k")
-    zone, offset = _pick(k % 4, ZONES), _pick(k % 4, (0, -300, 330))
-    metadata = (
-        F.when(k % 5 == 0, '{"HKTimeZone":"Europe/Paris"}').when(k % 5 == 1, '{"tz_name":"Asia/Tokyo","x":1}')
-    )
-    return df.withColumns(
-        {
-            "timezone": zone,
-            "utc_offset_min": offset,
-            "meta": M.context_struct(zone, offset),
-            "hk_metadata": metadata,
-            "hk_source_name": _pick(k % 3, ("Watch", "Phone")),
-            "hk_source_version": F.when(k % 3 < 2, (k % 2).cast("string")),
-            "created_at": F.col("ts") + F.expr("interval 1 minute"),
-            "op": F.when(F.col("event_id") % 37 == 0, "delete").otherwise("upsert"),
-            "ordinal": F.col("event_id"),
-        }
-    )
+        "cast(ts AS timestamp) AS ts",
+        "cast(user_id AS string) AS user_id",
+        "event_type",
+        "value",
+        "cast(get_json_object(props, '$.k') AS int) AS k",
+    )
+
+
+# context columns of a mirror row, by k
+CONTEXT = (
+    "CASE k % 4 WHEN 0 THEN 'UTC' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Asia/Kolkata' END AS timezone",
+    "CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN -300 WHEN 2 THEN 330 END AS utc_offset_min",
+    """CASE k % 4 WHEN 0 THEN named_struct('tz_name', 'UTC', 'utc_offset_min', 0)
+        WHEN 1 THEN named_struct('tz_name', 'America/New_York', 'utc_offset_min', -300)
+        WHEN 2 THEN named_struct('tz_name', 'Asia/Kolkata', 'utc_offset_min', 330) END AS meta""",
+    """CASE k % 5 WHEN 0 THEN '{"HKTimeZone":"Europe/Paris"}' WHEN 1 THEN '{"tz_name":"Asia/Tokyo","x":1}' END
+        AS hk_metadata""",
+    "CASE k % 3 WHEN 0 THEN 'Watch' WHEN 1 THEN 'Phone' END AS hk_source_name",
+    "CASE WHEN k % 3 < 2 THEN cast(k % 2 AS string) END AS hk_source_version",
+    "ts + interval 1 minute AS created_at",
+    "CASE WHEN event_id % 37 = 0 THEN 'delete' ELSE 'upsert' END AS op",
+    "event_id AS ordinal",
+)
 
 
 def mirror_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sample rows of the mirror, deletes included, typed."""
-    e = events(spark, sf_dir).filter("event_type <> 'signup'")
-    k, kind = F.col("k"), F.col("event_type")
-    metric = (
-        F.when(kind == "view", "heart_rate")
-        .when(kind == "purchase", "distance_walking_running_km")
-        .when(kind == "error", F.when(k % 2 == 0, "steps").otherwise("body_mass"))
-        .otherwise(F.format_string("sleep_%s_minutes", _pick(k % 6, STAGES)))
-    )
-    value = (
-        F.when(kind == "click", k.cast("double"))
-        .when(kind == "purchase", F.round(F.col("value") / 10, 4))
-        .otherwise(F.col("value"))
-    )
-    unit = (
-        F.when(kind == "view", "bpm").when(kind == "purchase", "km")
-        .when(kind == "error", F.when(k % 2 == 0, "count").otherwise("kg")).otherwise("min")
-    )
-    return _context(e).select(
-        "user_id", F.concat(F.lit("S-"), "event_id").alias("hk_uuid"), "ts",
-        F.when(kind.isin("click", "purchase"), F.col("ts") + F.make_dt_interval(mins=k)).alias("end_ts"),
-        metric.alias("metric_type"), value.alias("metric_value"),
-        F.when(k % 10 != 9, unit).alias("unit"),
-        "created_at", "meta", "hk_source_name", "hk_source_version", "hk_metadata", "op",
-        "timezone", "utc_offset_min", "event_id", "k", "ordinal",
+    return events(spark, sf_dir).filter("event_type <> 'signup'").selectExpr(
+        "user_id", "concat('S-', event_id) AS hk_uuid", "ts",
+        "CASE WHEN event_type IN ('click', 'purchase') THEN ts + make_dt_interval(0, 0, k) END AS end_ts",
+        """CASE event_type WHEN 'view' THEN 'heart_rate' WHEN 'purchase' THEN 'distance_walking_running_km'
+            WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 'steps' ELSE 'body_mass' END
+            ELSE CASE k % 6 WHEN 0 THEN 'sleep_awake_minutes' WHEN 1 THEN 'sleep_in_bed_minutes'
+             WHEN 2 THEN 'sleep_rem_minutes' WHEN 3 THEN 'sleep_core_minutes' WHEN 4 THEN 'sleep_deep_minutes'
+             ELSE 'sleep_asleep_unspecified_minutes' END END AS metric_type""",
+        """CASE event_type WHEN 'click' THEN cast(k AS double) WHEN 'purchase' THEN round(value / 10, 4)
+            ELSE value END AS metric_value""",
+        """CASE WHEN k % 10 <> 9 THEN CASE event_type WHEN 'view' THEN 'bpm' WHEN 'purchase' THEN 'km'
+            WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 'count' ELSE 'kg' END ELSE 'min' END END AS unit""",
+        *CONTEXT, "event_id", "k",
     )
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored samples: mirror rows after ingest, deleted ones with a tombstone."""
-    deleted = F.when(F.col("op") == "delete", F.col("ts") + F.expr("interval 1 day"))
-    return mirror_samples(spark, sf_dir).select(
-        "user_id", "hk_uuid", "ts", "end_ts", "metric_type", "metric_value", "unit", "created_at",
-        "meta", "hk_source_name", "hk_source_version", "hk_metadata", deleted.alias("deleted_at"),
+    return mirror_samples(spark, sf_dir).selectExpr(
+        "user_id", "hk_uuid", "ts", "end_ts", "metric_type", "metric_value", "unit", "created_at", "meta",
+        "hk_source_name", "hk_source_version", "hk_metadata",
+        "CASE WHEN op = 'delete' THEN ts + interval 1 day END AS deleted_at",
     )
 
 
 def workout_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per recorded workout, before it is taken apart into attributes."""
-    k = F.col("k")
-    e = events(spark, sf_dir).filter("event_type = 'signup'")
-    minutes = (F.lit(1440) * (1 + k % 5)).cast("int")
-    return _context(e).select(
-        "user_id", F.concat(F.lit("W-"), "event_id").alias("workout_uuid"), "ts",
-        F.when(k % 3 != 0, F.col("ts") + F.make_dt_interval(mins=minutes)).alias("end_ts"),
-        _pick(k % 4, ACTIVITY).alias("activity_code"),
-        F.col("value").alias("distance_km"),
-        minutes.cast("double").alias("duration_min"),
-        (F.col("value") * 2).alias("energy_kcal"),
-        "created_at", "meta", "hk_source_name", "hk_source_version", "hk_metadata", "op", "ordinal",
+    return events(spark, sf_dir).filter("event_type = 'signup'").selectExpr(
+        "user_id", "concat('W-', event_id) AS workout_uuid", "ts",
+        "CASE WHEN k % 3 <> 0 THEN ts + make_dt_interval(0, 0, 1440 * (1 + k % 5)) END AS end_ts",
+        "CASE k % 4 WHEN 0 THEN 37 WHEN 1 THEN 52 WHEN 2 THEN 13 ELSE 50 END AS activity_code",
+        "value AS distance_km",
+        "cast(1440 * (1 + k % 5) AS double) AS duration_min",
+        "value * 2 AS energy_kcal",
+        *CONTEXT,
     )
 
 
@@ -115,10 +90,10 @@ def workout_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     facts = workout_facts(spark, sf_dir).withColumn("source", activity_label(F.col("activity_code")))
     rows = unpivot_workout(facts)
-    deleted = F.when(F.col("op") == "delete", F.col("ts") + F.expr("interval 1 day"))
-    return rows.select(
+    return rows.selectExpr(
         "user_id", "hk_uuid", "event_type", "ts", "end_ts", "value", "unit", "source", "created_at",
-        "hk_source_name", "hk_source_version", "hk_metadata", deleted.alias("deleted_at"),
+        "hk_source_name", "hk_source_version", "hk_metadata",
+        "CASE WHEN op = 'delete' THEN ts + interval 1 day END AS deleted_at",
     )
 
 

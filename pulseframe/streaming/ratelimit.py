@@ -24,10 +24,14 @@ def admit(at: int, window: deque, limit: int, span_us: int) -> tuple[bool, int]:
     return True, 0
 
 
-def _decide(frame: pd.DataFrame, window: deque, limit: int, span_us: int) -> pd.DataFrame:
-    micros = frame["ts"].astype("datetime64[us]").astype("int64")
-    verdicts = [admit(int(at), window, limit, span_us) for at in micros]
-    return frame.assign(allowed=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts])
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _decided(frame: pd.DataFrame, verdicts: list[tuple[bool, int]]) -> pd.DataFrame:
+    return frame[["user_id", "event_id", "ts"]].assign(
+        allowed=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts]
+    )
 
 
 def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60, width_s: int = HOUR_S) -> DataFrame:
@@ -46,10 +50,12 @@ def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60, wi
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, window = None, deque()
         for frame in frames:
-            for key, part in frame.groupby(["user_id", "burst"], sort=False):
-                if key != current:
-                    current, window = key, deque()
-                yield _decide(part, window, limit, span_us).drop(columns="burst")
+            verdicts = []
+            for user, burst, at in zip(frame["user_id"], frame["burst"], _micros(frame["ts"])):
+                if (user, burst) != current:
+                    current, window = (user, burst), deque()
+                verdicts.append(admit(at, window, limit, span_us))
+            yield _decided(frame, verdicts)
 
     return ordered.mapInPandas(run, DECISIONS)
 
@@ -57,24 +63,21 @@ def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60, wi
 def rate_limit(stream: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """The same decisions on a stream; state per user is the admitted instants in force.
 
-    State is bounded by the limit. It expires when the window has passed without requests.
+    State is at most ``limit`` instants per user and needs no timer, so no request is
+    ever dropped as late.
     """
     span_us = seconds * 1_000_000
 
     def run(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         window = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-        yield _decide(rows, window, limit, span_us)[["user_id", "event_id", "ts", "allowed", "wait_seconds"]]
+        yield _decided(rows, [admit(at, window, limit, span_us) for at in _micros(rows["ts"])])
         state.update((list(window),))
-        state.setTimeoutDuration(2 * seconds * 1_000)
 
     return (
         stream.select("user_id", "event_id", "ts")
         .groupBy("user_id")
         .applyInPandasWithState(
-            run, DECISIONS, "admitted array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+            run, DECISIONS, "admitted array<bigint>", "append", GroupStateTimeout.NoTimeout
         )
     )
