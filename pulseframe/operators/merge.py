@@ -176,9 +176,14 @@ def refresh_rollup(rollups: DataFrame, samples: DataFrame, windows: DataFrame, u
 
 
 def touched_workouts(
-    events: DataFrame, upserted: DataFrame, windows: DataFrame, hours: int = 72
+    events: DataFrame, upserted: DataFrame, windows: DataFrame, hours: int = 72,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Workouts to derive again: those in the batch and those near changed samples."""
+    """Workouts to derive again: those in the batch and those that start near changed samples.
+
+    With the ``stored`` workout table, also those already under way when the window opens;
+    otherwise a late sample in the middle of a workout would not reach its splits.
+    """
     wide = windows.select(
         "user_id",
         F.col("t_min").alias("t0"),
@@ -192,6 +197,11 @@ def touched_workouts(
     both = named.select("user_id", "workout_uuid").union(
         split_workout_id(near).select("user_id", "workout_uuid")
     )
+    if stored is not None:
+        running = stored.join(windows, "user_id").filter(
+            (F.col("start_ts") <= F.col("t_max")) & (F.coalesce("end_ts", "start_ts") >= F.col("t_min"))
+        )
+        both = both.union(running.select("user_id", "workout_uuid"))
     return both.filter(F.col("workout_uuid").isNotNull()).distinct()
 
 

@@ -168,7 +168,8 @@ def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float
 def _refresh_workouts(store, upserted, gone, windows, batch_id) -> None:
     events = store.read("events").drop("day")
     touched = _kept(
-        store, G.touched_workouts(events, upserted.select("user_id", "hk_uuid"), windows),
+        store,
+        G.touched_workouts(events, upserted.select("user_id", "hk_uuid"), windows, stored=store.read("workouts")),
         f"_staging/{batch_id}/touched",
     )
     mine = W.split_workout_id(events).join(touched, list(W.WORKOUT), "left_semi").select(*events.columns)
