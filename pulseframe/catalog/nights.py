@@ -168,7 +168,7 @@ def dedupe_consecutive(spark, sf):
     rows = A.events(spark, sf).selectExpr("*", *A.CONTEXT).selectExpr(
         "user_id", "event_id", "ts", "timezone AS tz_name"
     ).filter("tz_name IS NOT NULL")
-    return T.drop_repeats(rows, ["user_id"], "ts", ["event_id"], "tz_name", 86_400)
+    return T.drop_repeats(rows, ["user_id"], "ts", ["event_id"], "tz_name")
 
 
 @query("asof_window", with_parts("""SELECT event_id, user_id, ts, tz_seen FROM (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS)

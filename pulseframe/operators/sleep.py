@@ -8,7 +8,7 @@ from pulseframe import schema as S
 from pulseframe.functions import meta as M, zones as Z
 from pulseframe.functions.metrics import is_sleep, stage_label
 from pulseframe.operators.rollup import distinct_sources, latest, live_rows
-from pulseframe.operators.timeline import DAY_S, sessionize
+from pulseframe.operators.timeline import HOUR_S, sessionize
 
 GAP_S = 2 * 3_600
 
@@ -29,7 +29,7 @@ def sleep_rows(samples: DataFrame) -> DataFrame:
     )
 
 
-def sleep_sessions_of(rows: DataFrame, gap_s: float = GAP_S, width_s: int = DAY_S) -> DataFrame:
+def sleep_sessions_of(rows: DataFrame, gap_s: float = GAP_S, width_s: int = HOUR_S) -> DataFrame:
     """Sleep rows with the end of the row before and a session number per user."""
     return sessionize(
         rows, ["user_id"], "segment_start_ts", "segment_end_ts", ["hk_uuid"], gap_s, width_s
@@ -52,7 +52,7 @@ def label_rows(sessionized: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessionized.join(dated, ["user_id", "session_id"])
 
 
-def label_sleep(samples: DataFrame, gap_s: float = GAP_S, width_s: int = DAY_S) -> DataFrame:
+def label_sleep(samples: DataFrame, gap_s: float = GAP_S, width_s: int = HOUR_S) -> DataFrame:
     rows = sleep_sessions_of(sleep_rows(samples), gap_s, width_s)
     return label_rows(rows, session_bounds(rows))
 

@@ -11,8 +11,8 @@ user may hold a large share of all rows, so every operator here works in two ste
 
 Only summaries are ever windowed per key, and their number is bounded by elapsed
 time divided by the slice width, not by the number of rows. Rows with equal time
-always share a slice, so results do not depend on the width. Pick a narrower width
-for denser data: results stay the same, groups get smaller.
+always share a slice, so results do not depend on the width. :func:`fit_width` finds
+the width at which no slice of the data at hand is too large for a task.
 """
 
 from __future__ import annotations
@@ -32,6 +32,25 @@ def slice_of(ts: Column, width_s: int) -> Column:
     return micros - F.pmod(micros, F.lit(width_s * 1_000_000))
 
 
+WIDTHS_S = (DAY_S, HOUR_S, 300, 10, 1)
+
+
+def fit_width(
+    df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = 2_000_000, widths_s: Sequence[int] = WIDTHS_S
+) -> int:
+    """Widest slice, in seconds, whose fullest group stays under ``max_rows``.
+
+    Counts are combined before the shuffle and only their maximum is returned; usually
+    the first width fits, so this is one narrow aggregation.
+    """
+    for width_s in widths_s:
+        counts = df.groupBy(*keys, slice_of(F.col(ts), width_s).alias(SLICE)).agg(F.count(F.lit(1)).alias("n"))
+        fullest = counts.agg(F.max("n")).first()[0]
+        if fullest is None or fullest <= max_rows:
+            return width_s
+    return widths_s[-1]
+
+
 def _sliced(df: DataFrame, ts: str, width_s: int) -> DataFrame:
     return df.withColumn(SLICE, slice_of(F.col(ts), width_s))
 
@@ -49,7 +68,7 @@ def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def previous(
     df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], values: dict[str, str],
-    width_s: int = DAY_S,
+    width_s: int = HOUR_S,
 ) -> DataFrame:
     """Add, per output name, the value a column had in the previous row of the key."""
     rows = _sliced(df, ts, width_s)
@@ -69,7 +88,7 @@ def previous(
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], values: dict[str, str],
-    width_s: int = DAY_S, peers: bool = False,
+    width_s: int = HOUR_S, peers: bool = False,
 ) -> DataFrame:
     """Add running totals including the current row (with ``peers``: and its equals in order)."""
     rows = _sliced(df, ts, width_s)
@@ -95,7 +114,7 @@ def running_sum(
 
 def last_known(
     df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], values: dict[str, str],
-    width_s: int = DAY_S,
+    width_s: int = HOUR_S,
 ) -> DataFrame:
     """Add the latest non-NULL value up to and including the current row."""
     rows = _sliced(df, ts, width_s)
@@ -124,7 +143,7 @@ def last_known(
 
 def sessionize(
     df: DataFrame, keys: Sequence[str], start: str, end: str, tie: Sequence[str],
-    gap_s: float = 7_200, width_s: int = DAY_S,
+    gap_s: float = 7_200, width_s: int = HOUR_S,
 ) -> DataFrame:
     """Add ``prev_end`` and ``session_id``.
 
@@ -200,7 +219,7 @@ def trailing_count(
 
 def asof_last(
     points: DataFrame, history: DataFrame, keys: Sequence[str], ts: str, effective: str,
-    values: Sequence[str], tie: Sequence[str] = (), width_s: int = DAY_S,
+    values: Sequence[str], tie: Sequence[str] = (), width_s: int = HOUR_S,
 ) -> DataFrame:
     """Add the values of the latest history entry at or before each point.
 

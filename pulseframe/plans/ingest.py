@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pulseframe import schema as S
 from pulseframe.functions import clean as C
 from pulseframe.operators import clean as O, merge as G, rollup as R, sleep as L, splits as P, workouts as W
+from pulseframe.operators.timeline import fit_width
 from pulseframe.sources.mirror_csv import with_optional_columns
 from pulseframe.sources.tables import days_of, read_table, rewrite_days
 
@@ -149,7 +150,8 @@ def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float
         inside = F.col("d0").isNotNull() & F.col("sleep_date").between(F.col("d0"), F.col("d1"))
         return df.join(dates, "user_id", "left").filter(~inside).drop("d0", "d1")
 
-    fresh = touched(L.sleep_segments(L.label_sleep(near, gap_s)))
+    width_s = fit_width(L.sleep_rows(near), ["user_id"], "segment_start_ts")
+    fresh = touched(L.sleep_segments(L.label_sleep(near, gap_s, width_s)))
     store.rewrite(
         "sleep_segments", write_days,
         lambda base: others(base).unionByName(fresh.select(*S.SEGMENTS.fieldNames())), batch_id,

@@ -15,6 +15,9 @@ def configure(spark: SparkSession) -> SparkSession:
     zone must be UTC or ``date_trunc`` would cut buckets at the wrong instants.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # hash aggregation with set and latest-value buffers gives way to sorting only after
+    # this many groups per task (a few ten MB); the built-in value is 128
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
     return spark
 
 

@@ -6,12 +6,14 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from pulseframe.operators.ranking import last_n
 from pulseframe.operators.timeline import HOUR_S, sessionize
 
-DECISIONS = "user_id string, event_id bigint, ts timestamp, allowed boolean, wait_seconds int"
+DECISIONS = "user_id string, event_id bigint, ts timestamp, carried boolean, allowed boolean, wait_seconds int"
+ORDER = ["user_id", "burst", "ts", "rank", "event_id"]
 
 
 def admit(at: int, window: deque, limit: int, span_us: int) -> tuple[bool, int]:
@@ -24,60 +26,77 @@ def admit(at: int, window: deque, limit: int, span_us: int) -> tuple[bool, int]:
     return True, 0
 
 
-def _micros(ts: pd.Series) -> list[int]:
-    return ts.astype("datetime64[us]").astype("int64").tolist()
-
-
-def _decided(frame: pd.DataFrame, verdicts: list[tuple[bool, int]]) -> pd.DataFrame:
-    return frame[["user_id", "event_id", "ts"]].assign(
-        allowed=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts]
-    )
-
-
-def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60, width_s: int = HOUR_S) -> DataFrame:
-    """Decisions for recorded requests.
+def _decide(rows: DataFrame, limit: int, seconds: int, width_s: int) -> DataFrame:
+    """Decisions for requests; rows marked ``carried`` were admitted earlier and stand.
 
     A pause longer than the window empties it, so requests are first cut into bursts at
     such pauses; bursts are independent and are spread over tasks. Inside a task rows
-    stream by in order and at most ``limit`` instants are held, never a whole burst.
+    stream by in shuffle order and at most ``limit`` instants are held, never a burst.
     """
     span_us = seconds * 1_000_000
-    bursts = sessionize(
-        requests.select("user_id", "event_id", "ts"), ["user_id"], "ts", "ts", ["event_id"], seconds, width_s
-    ).select("user_id", "event_id", "ts", F.col("session_id").alias("burst"))
-    ordered = bursts.repartition("user_id", "burst").sortWithinPartitions("user_id", "burst", "ts", "event_id")
+    ranked = rows.select("user_id", "event_id", "ts", "carried", F.when(F.col("carried"), 0).otherwise(1).alias("rank"))
+    bursts = sessionize(ranked, ["user_id"], "ts", "ts", ["rank", "event_id"], seconds, width_s)
+    ordered = (
+        bursts.withColumnRenamed("session_id", "burst").drop("prev_end")
+        .repartition("user_id", "burst").sortWithinPartitions(*ORDER)
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, window = None, deque()
         for frame in frames:
             verdicts = []
-            for user, burst, at in zip(frame["user_id"], frame["burst"], _micros(frame["ts"])):
+            micros = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for user, burst, at, carried in zip(frame["user_id"], frame["burst"], micros, frame["carried"]):
                 if (user, burst) != current:
                     current, window = (user, burst), deque()
-                verdicts.append(admit(at, window, limit, span_us))
-            yield _decided(frame, verdicts)
+                if carried:
+                    window.append(at)
+                    verdicts.append((True, 0))
+                else:
+                    verdicts.append(admit(at, window, limit, span_us))
+            yield frame[["user_id", "event_id", "ts", "carried"]].assign(
+                allowed=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts]
+            )
 
     return ordered.mapInPandas(run, DECISIONS)
 
 
-def rate_limit(stream: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """The same decisions on a stream; state per user is the admitted instants in force.
-
-    State is at most ``limit`` instants per user and needs no timer, so no request is
-    ever dropped as late.
+def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60, width_s: int = HOUR_S) -> DataFrame:
+    """Decisions for recorded requests."""
+    rows = requests.select("user_id", "event_id", "ts", F.lit(False).alias("carried"))
+    return _decide(rows, limit, seconds, width_s).drop("carried")
+
+
+def rate_limit(
+    stream: DataFrame, root: str, checkpoint: str, limit: int = 60, seconds: int = 60,
+    width_s: int = HOUR_S, available_now: bool = True,
+) -> StreamingQuery:
+    """The same decisions on a stream, written under ``root``.
+
+    What a micro-batch needs from the ones before it is the last ``limit`` admitted
+    instants per user. They are kept as a small table per micro-batch and enter the next
+    one as carried rows, so a busy user's requests are still cut into bursts and sorted by
+    the shuffle instead of being gathered as one group. A replayed micro-batch reads the
+    state of its predecessor and overwrites its own folders.
     """
-    span_us = seconds * 1_000_000
 
-    def run(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        window = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-        yield _decided(rows, [admit(at, window, limit, span_us) for at in _micros(rows["ts"])])
-        state.update((list(window),))
-
-    return (
-        stream.select("user_id", "event_id", "ts")
-        .groupBy("user_id")
-        .applyInPandasWithState(
-            run, DECISIONS, "admitted array<bigint>", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("user_id", "event_id", "ts", F.lit(False).alias("carried"))
+        if batch_id > 0:
+            state = spark.read.schema(DECISIONS).parquet(f"{root}/state/batch={batch_id - 1}")
+            rows = rows.unionByName(state.select("user_id", "event_id", "ts", F.lit(True).alias("carried")))
+        done = f"{root}/decisions/batch={batch_id}"
+        _decide(rows, limit, seconds, width_s).write.mode("overwrite").parquet(done)
+        admitted = spark.read.schema(DECISIONS).parquet(done).filter("allowed")
+        last_n(admitted, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], limit).write.mode(
+            "overwrite"
+        ).parquet(f"{root}/state/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_decisions(spark: SparkSession, root: str) -> DataFrame:
+    rows = spark.read.schema(f"{DECISIONS}, batch bigint").parquet(f"{root}/decisions")
+    return rows.filter("NOT carried").drop("carried", "batch")

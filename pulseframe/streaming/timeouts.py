@@ -30,15 +30,24 @@ def stream_timeout(
             state.remove()
             yield _outcome(task_id, "timeout", started, float(seconds))
             return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("ts")
-        start = rows.loc[rows["status"] == "pending", "ts"].min()
-        started = state.get[0] if state.exists else start
-        ends = rows[rows["status"].isin(["completed", "failed"])]
-        if started is None or pd.isna(started):
+        started = state.get[0] if state.exists else None
+        ended = None
+        # one pass in whatever order reports come, keeping two instants
+        for frame in frames:
+            if not state.exists:
+                starts = frame.loc[frame["status"] == "pending", "ts"]
+                if len(starts) and (started is None or starts.min() < started):
+                    started = starts.min()
+            ends = frame[frame["status"].isin(["completed", "failed"])]
+            if len(ends):
+                first = ends.loc[ends["ts"].idxmin()]
+                if ended is None or first["ts"] < ended["ts"]:
+                    ended = first
+        if started is None:
             return
-        if len(ends):
-            age = (ends["ts"].iloc[0] - started).total_seconds()
-            status = ends["status"].iloc[0] if age < seconds else "timeout"
+        if ended is not None:
+            age = (ended["ts"] - started).total_seconds()
+            status = ended["status"] if age < seconds else "timeout"
             if state.exists:
                 state.remove()
             yield _outcome(task_id, status, started, min(age, float(seconds)))

@@ -34,6 +34,14 @@ def plain():
 WIDTHS = (3_600, 86_400, 10**7)
 
 
+def test_width_fits_the_fullest_slice(hot):
+    assert T.fit_width(hot, ["user_id"], "ts", 10**6) == T.DAY_S
+    narrow = T.fit_width(hot, ["user_id"], "ts", 3)
+    assert narrow < T.DAY_S
+    fullest = hot.groupBy("user_id", T.slice_of(F.col("ts"), narrow)).count().agg(F.max("count")).first()[0]
+    assert fullest <= 3 or narrow == T.WIDTHS_S[-1]
+
+
 @pytest.mark.parametrize("width", WIDTHS)
 def test_previous_equals_plain_lag(hot, width):
     got = T.previous(hot, ["user_id"], "ts", ["event_id"], {"p": "value"}, width).select("event_id", "p")
