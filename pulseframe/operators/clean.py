@@ -134,12 +134,17 @@ def batch_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def outcome(df: DataFrame) -> DataFrame:
-    """What becomes of each mirror row: delete, metric, event or dropped."""
+    """What becomes of each mirror row: deleted, metric, event, dropped as incomplete, or (where
+    the row's ``cutoff`` is known) expired."""
     complete = F.col("ts").isNotNull() & F.col("metric_type").isNotNull() & F.col("metric_value").isNotNull()
+    if "user_id" in df.columns:
+        complete = complete & F.col("user_id").isNotNull()
+    expired = F.col("ts") < F.col("cutoff") if "cutoff" in df.columns else F.lit(False)
     return df.withColumn(
         "outcome",
         F.when(C.is_delete(F.col("op")), "deleted")
         .when(~complete, "dropped")
+        .when(expired, "expired")
         .when(is_event(F.col("metric_type")), "event")
         .otherwise("metric"),
     )

@@ -16,7 +16,7 @@ from pulseframe.functions import clean as C
 from pulseframe.operators import clean as O, merge as G, rollup as R, sleep as L, splits as P, workouts as W
 from pulseframe.operators.timeline import fit_width
 from pulseframe.sources.mirror_csv import with_optional_columns
-from pulseframe.sources.tables import days_of, read_table, rewrite_days
+from pulseframe.sources.tables import days_of, on_days, read_table, rewrite_days
 
 @dataclass(frozen=True)
 class Store:
@@ -61,12 +61,11 @@ def apply_batch(
     Replaying a batch gives the same tables, as a stream may do after a failure.
     """
     at = F.current_timestamp() if at is None else at
-    rows = _prepare(store, text, batch_id, user_id, retention_days, at)
+    parsed, cutoffs = _prepare(store, text, batch_id, user_id, retention_days, at)
+    rows = O.retention_filter(parsed, retention_days, at)
     deletes, upserts = O.split_ops(rows)
     event_rows, metric_rows = O.route(upserts)
     ids = G.deleted_ids(deletes)
-    cutoffs = store.spark.read.parquet(f"{store.root}/_staging/{batch_id}/cutoffs")
-
     events, samples = O.as_events(event_rows), O.as_samples(metric_rows)
     gone = G.deleted_workouts(ids)
     flags = gone.withColumn("f", F.explode(F.array(*[F.lit(f) for f in S.LEGACY_FLAGS]))).select(
@@ -81,7 +80,7 @@ def apply_batch(
     _refresh_rollups(store, windows, batch_id)
     _refresh_sleep(store, windows, batch_id, sleep_gap_s)
     _refresh_workouts(store, events, gone, windows, batch_id)
-    return O.batch_counts(O.outcome(rows))
+    return O.batch_counts(O.outcome(parsed.join(cutoffs, "user_id", "left")))
 
 
 def _kept(store: Store, df: DataFrame, name: str) -> DataFrame:
@@ -91,19 +90,24 @@ def _kept(store: Store, df: DataFrame, name: str) -> DataFrame:
     return store.spark.read.schema(df.schema).parquet(path)
 
 
-def _prepare(store, text, batch_id, user_id, retention_days, at) -> DataFrame:
+def _prepare(store, text, batch_id, user_id, retention_days, at) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of the batch and the retention cutoff of each user."""
     full = with_optional_columns(text)
     if user_id is not None:
         full = O.stamp_user(full, user_id)
     parsed = _kept(store, O.identity_guard(O.parse_mirror(full)), f"_staging/{batch_id}/rows")
-    _kept(store, O.retention_cutoffs(parsed, retention_days, at), f"_staging/{batch_id}/cutoffs")
-    return O.retention_filter(parsed, retention_days, at)
+    cutoffs = _kept(store, O.retention_cutoffs(parsed, retention_days, at), f"_staging/{batch_id}/cutoffs")
+    return parsed, cutoffs
 
 
 def _merge_raw(store, name, batch, ids, cutoffs, at, merge, batch_id) -> None:
     """Prune, tombstone, then upsert, all in one rewrite of the affected days."""
     stored = store.read(name)
-    expired = stored.join(cutoffs, "user_id").filter(F.col("ts") < F.col("cutoff"))
+    oldest_kept = cutoffs.agg(F.max(F.to_date("cutoff"))).first()[0]
+    # only days up to the newest cutoff can hold expired rows
+    expired = stored.filter(F.col("day") <= F.lit(oldest_kept)).join(cutoffs, "user_id").filter(
+        F.col("ts") < F.col("cutoff")
+    )
     hit = stored.join(ids.union(batch.select("user_id", "hk_uuid")).distinct(), ["user_id", "hk_uuid"], "left_semi")
     days = set(days_of(expired)) | set(days_of(hit)) | set(days_of(batch, F.to_date("ts")))
     store.rewrite(
@@ -122,7 +126,7 @@ def _refresh_rollups(store: Store, windows: DataFrame, batch_id: str) -> None:
     days = _window_days(windows)
     if not days:
         return
-    samples = store.read("samples").filter(F.col("day").isin(*days))
+    samples = on_days(store.read("samples"), days)
     for name, unit in (("rollup_hourly", "hour"), ("rollup_daily", "day")):
         store.rewrite(name, days, lambda base, u=unit: G.refresh_rollup(base, samples, windows, u), batch_id)
 
@@ -138,7 +142,7 @@ def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float
         "user_id", (F.col("t0") - F.expr("interval 48 hours")).alias("t0"),
         (F.col("t1") + F.expr("interval 48 hours")).alias("t1"),
     )
-    near = G.in_window(store.read("samples").filter(F.col("day").isin(*read_days)), wide, "ts")
+    near = G.in_window(on_days(store.read("samples"), read_days), wide, "ts")
     dates = whole.select(
         "user_id", F.date_add(F.to_date("t0"), -1).alias("d0"), F.date_add(F.to_date("t1"), 1).alias("d1")
     )
@@ -156,7 +160,7 @@ def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float
         "sleep_segments", write_days,
         lambda base: others(base).unionByName(fresh.select(*S.SEGMENTS.fieldNames())), batch_id,
     )
-    stored = store.read("sleep_segments").filter(F.col("day").isin(*write_days)).drop("day")
+    stored = on_days(store.read("sleep_segments"), write_days).drop("day")
     nights = L.sleep_daily_from_segments(touched(stored)).select(*S.NIGHTS.fieldNames())
 
     def change(base: DataFrame) -> DataFrame:
@@ -169,9 +173,10 @@ def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float
 
 def _refresh_workouts(store, upserted, gone, windows, batch_id) -> None:
     events = store.read("events").drop("day")
+    near = on_days(store.read("events"), _window_days(windows, 0, 4))
     touched = _kept(
         store,
-        G.touched_workouts(events, upserted.select("user_id", "hk_uuid"), windows, stored=store.read("workouts")),
+        G.touched_workouts(near, upserted.select("user_id", "hk_uuid"), windows, stored=store.read("workouts")),
         f"_staging/{batch_id}/touched",
     )
     mine = W.split_workout_id(events).join(touched, list(W.WORKOUT), "left_semi").select(*events.columns)
@@ -188,6 +193,6 @@ def _refresh_workouts(store, upserted, gone, windows, batch_id) -> None:
     sample_days = days_of(new.select(F.explode(span).alias("day")))
     if not days:
         return
-    samples = store.read("samples").filter(F.col("day").isin(*sample_days) if sample_days else F.lit(False))
+    samples = on_days(store.read("samples"), sample_days)
     parts = P.split_measures(P.splits(P.distance_stream(samples, new)), samples).select(*S.SPLITS.fieldNames())
     store.rewrite("workout_splits", days, lambda base: G.replace_splits(base, parts, changed), batch_id)
