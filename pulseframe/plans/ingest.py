@@ -7,8 +7,11 @@ with partition pruning and replaced whole; the rest of a table is never opened.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseframe import schema as S
@@ -75,14 +78,29 @@ def apply_batch(
     windows = _kept(
         store, G.affected_window(samples, store.read("samples"), ids), f"_staging/{batch_id}/windows"
     )
-    _merge_raw(store, "events", events, ids.union(flags), cutoffs, at, G.merge_events, batch_id)
-    _merge_raw(store, "samples", samples, ids, cutoffs, at, G.merge_samples, batch_id)
-    _refresh_rollups(store, windows, batch_id)
-    _refresh_sleep(store, windows, batch_id, sleep_gap_s)
-    _refresh_workouts(store, events, gone, windows, batch_id)
+    _together(
+        store,
+        lambda: _merge_raw(store, "events", events, ids.union(flags), cutoffs, at, G.merge_events, batch_id),
+        lambda: _merge_raw(store, "samples", samples, ids, cutoffs, at, G.merge_samples, batch_id),
+    )
+    # raw facts are in place; the derived tables do not depend on each other
+    _together(
+        store,
+        lambda: _refresh_rollup(store, windows, "rollup_hourly", "hour", batch_id),
+        lambda: _refresh_rollup(store, windows, "rollup_daily", "day", batch_id),
+        lambda: _refresh_sleep(store, windows, batch_id, sleep_gap_s),
+        lambda: _refresh_workouts(store, events, gone, windows, batch_id),
+    )
     return O.batch_counts(O.outcome(parsed.join(cutoffs, "user_id", "left")))
 
 
+def _together(store: Store, *steps: Callable[[], None]) -> None:
+    """Run independent steps at once, so that their jobs share the cluster; the first error is raised."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for done in [pool.submit(inheritable_thread_target(store.spark)(step)) for step in steps]:
+            done.result()
+
+
 def _kept(store: Store, df: DataFrame, name: str) -> DataFrame:
     """Written once and read back: later steps must not depend on tables they change."""
     path = store.path(name)
@@ -122,13 +140,10 @@ def _window_days(windows: DataFrame, before: int = 0, after: int = 0) -> list:
     return days_of(windows.select(F.explode(span).alias("day")))
 
 
-def _refresh_rollups(store: Store, windows: DataFrame, batch_id: str) -> None:
+def _refresh_rollup(store: Store, windows: DataFrame, name: str, unit: str, batch_id: str) -> None:
     days = _window_days(windows)
-    if not days:
-        return
     samples = on_days(store.read("samples"), days)
-    for name, unit in (("rollup_hourly", "hour"), ("rollup_daily", "day")):
-        store.rewrite(name, days, lambda base, u=unit: G.refresh_rollup(base, samples, windows, u), batch_id)
+    store.rewrite(name, days, lambda base: G.refresh_rollup(base, samples, windows, unit), batch_id)
 
 
 def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float) -> None:
