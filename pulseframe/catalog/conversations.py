@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from pulseframe.catalog.registry import query
 from pulseframe.catalog.sql import with_parts
 from pulseframe.operators import chat as C

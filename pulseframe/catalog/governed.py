@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.catalog.joins import _nights
 from pulseframe.catalog.nights import GAP
 from pulseframe.catalog.registry import query
 from pulseframe.catalog.shape import rollup_out, rounded
-from pulseframe.catalog.sql import ROLLUP_OUT, local, rebucket, utc, with_parts
+from pulseframe.catalog.sql import ROLLUP_OUT, local, rebucket, with_parts
 from pulseframe.operators import rollup as R, sleep as S, splits as P, workouts as W
 from pulseframe.plans import views as V
 from pulseframe.sources import adapter as A

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseframe.catalog.registry import query
-from pulseframe.catalog.shape import rollup_out, rounded
-from pulseframe.catalog.sql import PARTS, ROLLUP_OUT, with_parts
+from pulseframe.catalog.shape import rollup_out
+from pulseframe.catalog.sql import ROLLUP_OUT, with_parts
 from pulseframe.functions import meta as M
-from pulseframe.operators import merge as G, rollup as R, sleep as S, splits as P, workouts as W
+from pulseframe.operators import merge as G, rollup as R, splits as P, workouts as W
 from pulseframe.sources import adapter as A
 
 AT = "2024-03-01 00:00:00"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.catalog.registry import query
 from pulseframe.catalog.shape import nested_as_json, night_out, rounded
-from pulseframe.catalog.sql import NIGHT_OUT, PARTS, meta_json, sessions, with_parts
+from pulseframe.catalog.sql import NIGHT_OUT, meta_json, sessions, with_parts
 from pulseframe.functions import meta as M, metrics
 from pulseframe.operators import ranking as K, sleep as S, timeline as T
 from pulseframe.sources import adapter as A

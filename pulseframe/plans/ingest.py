@@ -15,7 +15,6 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseframe import schema as S
-from pulseframe.functions import clean as C
 from pulseframe.operators import clean as O, merge as G, rollup as R, sleep as L, splits as P, workouts as W
 from pulseframe.operators.timeline import fit_width
 from pulseframe.sources.mirror_csv import with_optional_columns

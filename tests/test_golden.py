@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pulseframe import schema as S
 from pulseframe.functions import clean as C, meta as M, zones as Z
 from pulseframe.operators import (
-    chat, clean as O, merge as G, rollup as R, sleep as L, splits as P, timeline as T, workouts as W, zones as N,
+    chat, clean as O, merge as G, rollup as R, sleep as L, splits as P, zones as N,
 )
 from pulseframe.sources import mirror_csv
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe import schema as S
-from pulseframe.operators import clean as O, rollup as R, sleep as L, workouts as W
+from pulseframe.operators import rollup as R, sleep as L
 from pulseframe.plans.ingest import Store, apply_batch
 from pulseframe.sources import mirror_csv
 
