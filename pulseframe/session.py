@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables and stream checkpoints.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only when it is
-    unset (local tests) do we fall back to a fresh temporary folder.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. A folder of this machine
+    serves only when it is unset and driver and executors are one process (local tests).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return configured or tempfile.mkdtemp(prefix="pulseframe-")
 
 

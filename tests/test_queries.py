@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from pulseframe import catalog
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,5 +22,10 @@ def test_query(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], ORACLES[name], SF) == ""
 
 
+def test_entry_lists_the_catalog():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert ORACLES.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
