@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from pulseframe.llm import bpe, exact_dedup, language_id, secrets
+from pulseframe.llm import bpe, exact_dedup, language_id, near_dedup, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,11 +55,41 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@query("op6_substrings", r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (
+        SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM t)
+    ),
+    sources AS (SELECT k, min(doc_id) AS source FROM windows GROUP BY k),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+        FROM windows JOIN sources USING (k) WHERE source < doc_id
+    ),
+    words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM t),
+    marked AS (SELECT words.*, gone.p IS NOT NULL AS removed FROM words LEFT JOIN gone USING (doc_id, p)),
+    kept AS (
+        SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (NOT removed) AS kept
+        FROM marked GROUP BY doc_id
+    )
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM t LEFT JOIN kept USING (doc_id)
+""")
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(read(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op7_secrets")
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir))
 
 
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir), width=2)
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
