@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import bpe, exact_dedup, language_id
+from pulseframe.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
 from pulseframe.llm.tables import stored
 
 
@@ -23,6 +23,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 over five-word shingles, the least doc_id stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, edited or not, go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole texts, with the digests of the ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +42,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_benchmark_copies),
     ("bpe", to_tokens),
 ]
 #: language models, similarity sketches, alignment and BPE are beyond SQL

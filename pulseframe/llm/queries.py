@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from pulseframe.llm import bpe, exact_dedup, language_id, near_dedup, secrets, substrings
+from pulseframe.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir), width=2)
 
 
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_leaks(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return hits.withColumn("contaminated", F.lit(True))
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
