@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from pulseframe.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, secrets, substrings
+from pulseframe.llm import bpe, decontaminate, exact_dedup, katz, language_id, near_dedup, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@query("op4_katz")
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir)
+    model = katz.train(docs.filter(~held_out(7)))
+    return katz.score(docs, model).select(
+        "doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
 @query("op6_substrings", r"""
     WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
     windows AS (

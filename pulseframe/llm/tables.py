@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseframe.session import work_folder
 
@@ -13,14 +15,21 @@ from pulseframe.session import work_folder
 GROUP_BYTES = 24 << 20
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """The rows written to a new folder of the shared checkpoint folder and read from there: made
     once, and still there when executors are lost."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so for those that the
+    driver's garbage collector finds unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def groups_for(docs: DataFrame) -> int:
     """Groups into which the texts are dealt, so that one of them fits a task at any size."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
