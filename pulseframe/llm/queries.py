@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from pulseframe.llm import bpe, decontaminate, exact_dedup, katz, language_id, near_dedup, secrets, substrings
+from pulseframe.llm import bpe, decontaminate, exact_dedup, katz, language_id, near_dedup, secrets, substrings, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir)
+    labels = read(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels, ("low_quality", "toxic")))
+    return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 @query("op4_katz")
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir)
@@ -65,6 +73,12 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_tokens(read(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 @query("op6_substrings", r"""
     WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
     windows AS (
