@@ -139,7 +139,7 @@ def train(examples: pd.DataFrame, order: int = ORDER) -> Model:
             levels.append(prob)
         for d, p in enumerate(levels):
             cost[offset[d] : offset[d] + size[d], :, i] = -np.log2(np.maximum(p, 1e-300))
-    return Model(languages, letter.astype(np.uint8), letters, steps, cost.reshape(-1, len(languages)))
+    return Model(languages, letter.astype(np.uint8), letters, steps, cost.reshape(states * letters, len(languages)))
 
 
 def _members(letters: int, seen: int) -> np.ndarray:
