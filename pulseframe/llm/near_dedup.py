@@ -6,7 +6,7 @@ round serves one bin only, so every bin is filled whatever the size of the set.
 two sketches are as frequent as the sets are similar, and concentrate around it. Bands of places
 give the candidates; a pair of similarity 0.8 shares no band with a probability of 3 in a million.
 
-Links are confirmed on the full sets. Documents of equal sets are one node. In a band the members
+Candidates whose sketches agree nearly often enough are confirmed on the full sets. Documents of equal sets are one node. In a band the members
 are compared with the least of them first. What this leaves in different components is compared
 with ever larger shares of the band, until the band is one component or every pair of different
 components was compared. So the work on a large group of copies follows its size, no pair within
@@ -85,20 +85,22 @@ def bands_of(sketch: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return out
 
 
-SKETCHED = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
+SKETCHED = "doc_id long, n_shingles long, set1 long, set2 long, places binary, bands array<long>"
 
 
 def _sketcher(width: int) -> Callable:
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("bands", pa.list_(pa.int64())),
+        ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("places", pa.binary()),
+        ("bands", pa.list_(pa.int64())),
     ])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x, first = shingle_sets(part, width)
             size = np.diff(first)
-            bands = bands_of(sketches(x, first))
-            bands = bands.view(np.int64).ravel()
+            sketch = sketches(x, first)
+            bands = bands_of(sketch).view(np.int64).ravel()
+            places = (sketch & U(0xFF)).astype(np.uint8)  # a byte of each place tells most of them apart
             sums = []
             for salt in (0x51ED2701A3C5, 0x7F4A7C159E37):
                 total = np.zeros(len(x) + 1, U)
@@ -107,7 +109,7 @@ def _sketcher(width: int) -> Callable:
             ends = pa.array(np.arange(len(size) + 1) * BANDS, pa.int32())
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(sums[0]), pa.array(sums[1]),
-                pa.ListArray.from_arrays(ends, pa.array(bands)),
+                pa.array([row.tobytes() for row in places], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands)),
             ], schema=schema)
 
     return run
@@ -125,15 +127,31 @@ def _set_maker(width: int) -> Callable:
     return run
 
 
+def _alike(percent: int) -> Callable:
+    """Pairs whose sketches agree nearly as often as linked sets do: five deviations below, which a
+    linked pair misses once in millions. It spares the full sets of the others a shuffle."""
+    share = percent / 100
+    least = BINS * share - 5 * np.sqrt(BINS * share * (1 - share))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("places_a", "places_b")]
+            keep = (places[0] == places[1]).sum(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _confirm(percent: int) -> Callable:
+    """Pairs whose full sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = unpack(left), unpack(right)
-                both = np.concatenate([x, y])
+                both = np.concatenate([unpack(left), unpack(right)])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
@@ -159,53 +177,63 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
 def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """``node, component`` of all nodes that have a link."""
-    nodes = linkable.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    nodes = nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("band"))
-    shared = nodes.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    crowded = stored(nodes.join(shared, "band"), "bands")
-    wanted = crowded.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_maker(width), "doc_id long, shingles binary"), "sets")
+    nodes = linkable.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nodes = nodes.select(F.col("doc_id").alias("node"), "n_shingles", "places", "bands")
+    rows = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    crowded = stored(rows.join(shared, "band"), "bands")
+    wanted = crowded.select("node").distinct()
+    nodes = stored(nodes.join(wanted, "node", "left_semi"), "nodes")
+    similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        a = nodes.select(F.col("node").alias("a"), F.col("places").alias("places_a"))
+        b = nodes.select(F.col("node").alias("b"), F.col("places").alias("places_b"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "places_a", "places_b")
+        return stored(both.mapInArrow(_alike(percent), "a long, b long"), "candidates")
 
     def links(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_maker(width), "doc_id long, shingles binary")
+        sets = stored(sets, "sets")
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-        return pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+        return stored(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
-    sized = crowded.join(shared_size(crowded), "band")
-    star = sized.filter("node != pivot").filter(
-        (100 * F.least("n_shingles", "pivot_size") >= percent * F.greatest("n_shingles", "pivot_size"))
-    ).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    labels = stored(components(links(star)), "labels")
+    size = crowded.filter("node = pivot").select("band", F.col("n_shingles").alias("pivot_size"))
+    star = crowded.filter("node != pivot").join(size, "band").filter(similar("n_shingles", "pivot_size"))
+    labels = stored(components(links(alike(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))), "labels")
     share = 8
     while True:
-        rest = crowded.filter("members > 2").join(labels, "node", "left")
+        rest = crowded.filter((F.col("members") > 2) & (F.col("members") > share // 8)).join(labels, "node", "left")
         rest = rest.select("band", "node", "n_shingles", "members", F.coalesce("component", "node").alias("component"))
-        rest = rest.filter(F.col("members") > share // 8)
-        mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-        open_ = stored(rest.join(mixed, "band", "left_semi"), "open")
-        if open_.isEmpty():
+        counts = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.max("members").alias("m"))
+        # the largest component of a band needs no member of its own: the others come to it
+        mixed = counts.groupBy("band").agg(F.count("*").alias("parts"), F.max("m").alias("m"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+        mixed = stored(mixed.filter("parts > 1").drop("parts"), "mixed")
+        if mixed.isEmpty():
             return labels
-        # the largest component of a band needs no member of its own: others come to it
-        counts = open_.groupBy("band", "component").count()
-        largest = counts.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        minor = open_.join(largest, "band").filter("component != largest").select(
-            "band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-        some = open_.filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / share)) == 0).select(
-            "band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-        pairs = minor.join(some, "band").filter("ca != cb").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        found = stored(links(pairs), "links")
-        if not found.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = stored(components(found.unionByName(known)), "labels")
+        minor = F.col("component") != F.col("largest")
+        some = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / share)) == 0
+        found = rest.join(mixed, "band").filter(minor | some).select("band", "node", "n_shingles", "component", minor.alias("minor"), some.alias("some"))
+        found = stored(found.join(nodes.select("node", "bands"), "node"), "open")
+        left = found.filter("minor").select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "n_shingles", "component", "bands")))
+        right = found.filter("some").select("band", *(F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "component", "bands")))
+        # a pair is made in the first band that both have, and in no other
+        pairs = left.join(right, "band").filter(
+            (F.col("component_a") != F.col("component_b")) & similar("n_shingles_a", "n_shingles_b")
+            & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band"))
+        ).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+        near = alike(pairs.distinct())
+        if not near.isEmpty():
+            fresh = links(near)
+            if not fresh.isEmpty():
+                known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                labels = stored(components(fresh.unionByName(known)), "labels")
         share *= 8
 
 
-def shared_size(crowded: DataFrame) -> DataFrame:
-    """The size of each band's pivot."""
-    return crowded.filter("node = pivot").select("band", F.col("n_shingles").alias("pivot_size"))
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """Of each component the document with the least doc_id, all columns as they are."""
     gone = near_duplicates(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
