@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII bytes in lower case, so punctuation and case do
-not matter. A seed is a sequence of three words of a test item that is rare by the words' shares
+Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and case
+do not matter. A seed is a sequence of three words of a test item that is rare by the words' shares
 of the corpus: their product is at most ``RARE``, a property of the words alone, so a passage
 that very many documents hold keeps its seeds and the rule is the same at every size. An item
 with fewer than ``LEAST_SEEDS`` rare sequences takes all of its own. Seeds meet the documents
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.llm.tables import documents
-from pulseframe.llm.words import U, Words, lower, slices, text_buffer, windows
+from pulseframe.llm.words import U, Words, slices, text_buffer, windows
 
 SEED_WORDS = 3
 RARE, LEAST_SEEDS = 1e-9, 4
@@ -75,7 +75,11 @@ def _words(part: pa.RecordBatch | pa.Table) -> Words:
     column = part.column("text")
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     raw, offsets = text_buffer(column)
-    return Words(lower(raw), offsets, loose=True)
+    return Words(raw, offsets, loose=True)
+
+
+def _lowered(docs: DataFrame, *more: str) -> DataFrame:
+    return documents(docs, *more).withColumn("text", F.lower("text"))
 
 
 def item_blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> int:
@@ -98,7 +102,7 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], total))], names=["word", "n"])
 
-    sums = documents(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sums = _lowered(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts, total = np.zeros(len(vocabulary), np.int64), 0  # as many rows as the block has words
     for word, n in sums:
         if word < 0:
@@ -202,7 +206,7 @@ def matches(words: Words, items: Items, known: Lookup, threshold: float) -> Iter
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
     n = item_blocks(benchmark)
-    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
+    rows = benchmark.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).filter("item_id is not null")
     for i in range(n):
         block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text")
         yield prepare(docs, block.toArrow())  # one block of the bounded size
@@ -223,7 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
-        hits = documents(docs).mapInArrow(run, HITS)
+        hits = _lowered(docs).mapInArrow(run, HITS)
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -234,7 +238,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     out = docs
     for items in _blocks(docs, benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        whole = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text"))
+        whole = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.lower("text").alias("text"))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
