@@ -33,7 +33,7 @@ from pulseframe.llm.words import U, Words, lower, mix, narrow, pack, slices, tex
 #: discounts apply to counts up to K; bigrams seen less often than LEAST count as unseen
 K, LEAST = 5, 2
 #: tokens that a task counts before it sends the counts on
-HELD = 3_000_000
+HELD = 1_500_000
 UNIGRAM, BIGRAM, COUNTS = 1, 2, 0
 END, BEGIN = U(0x7A3C_55E1_0D94_B62F), U(0x1F83_D9AB_FB41_BD6B)
 _PAIR = U(0xD6E8FEB86659FD93)
@@ -87,12 +87,14 @@ def _counter(ranges: int) -> Callable:
             yield UNIGRAM, i, pack(word[a:b]), b"", b"", narrow(n[a:b])
         # a frequent history is dealt over sixteen places by its successor
         spread = _range_of(mix(history + (token >> U(60)) * _PAIR), ranges)
-        order = np.argsort(pair_key(history, token), kind="stable")
-        h, w = history[order], token[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-        n = np.diff(np.append(new, len(h)))
-        h, w, spread = h[new], w[new], spread[order][new]
-        order = np.lexsort((h, spread))
+        key = pair_key(history, token)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(new, len(key)))
+        order = order[new]
+        h, w, spread = history[order], token[order], spread[order]
+        order = np.argsort((spread.astype(U) << U(44)) | (h >> U(20)))  # by place, and histories together
         h, w, n, spread = h[order], w[order], n[order], spread[order]
         cut = np.searchsorted(spread, np.arange(ranges + 1))
         for i in np.flatnonzero(np.diff(cut)):
@@ -132,14 +134,15 @@ def _merge(table: pa.Table) -> pa.Table:
         ws.append(np.frombuffer(b, U) if runs else first)
         ns.append(widen(n).astype(np.int64))
     h, w, n = np.concatenate(hs), np.concatenate(ws), np.concatenate(ns)
-    order = np.lexsort((w, h))
-    h, w, n = h[order], w[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-    h, w, n = h[new], w[new], np.add.reduceat(n, new)
+    key = w if kind == UNIGRAM else pair_key(h, w)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.add.reduceat(n[order], new)
+    h, w, key = h[order[new]], w[order[new]], key[new]
     of_counts = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]
     of_counts[0] = len(n)
     keep = np.ones(len(n), bool) if kind == UNIGRAM else n >= LEAST
-    key = w if kind == UNIGRAM else pair_key(h, w)
     more = K + 3
     signed = lambda x: x.view(np.int64)
     return pa.table({

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pulseframe.session import work_folder
 
 #: text bytes that one group of a grouped function holds at most, on average
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 8 << 20
 
 
 def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
