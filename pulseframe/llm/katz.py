@@ -250,7 +250,10 @@ def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
 def _distinct(part: pa.Table) -> tuple:
     """Tokens of a block, and its distinct words and bigrams, ascending, with the place of each
     token's word and bigram among them."""
-    token, history, text = _tokens(part)
+    parts = [_tokens(x) for x in slices(part.to_batches())]
+    token, history = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    text = np.repeat(np.arange(part.num_rows), np.concatenate([np.bincount(p[2]) for p in parts]))
+    del parts
     word, word_at = np.unique(token, return_inverse=True)
     pair, pair_at = np.unique(pair_key(history, token), return_inverse=True)
     return text, word, word_at, pair, pair_at

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: fixed values: tab, line feed, vertical tab, form feed, carriage return, blank
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
@@ -45,29 +45,36 @@ _BASE = 0x5851F42D4C957F2D
 _WINDOW = 0x2545F4914F6CDD1D
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size + 1, b, U)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U))
-    return out[0], out[1]
+#: powers are made from two small tables, which stay in the cache: of the low bits of an exponent
+#: and of the rest
+_LOW = 14
 
 
-def _room(n: int) -> int:
-    """Sizes in powers of two, so that the powers are made for few of them."""
-    return 1 << max(10, int(n).bit_length())
+@lru_cache(maxsize=16)
+def _powers(base: int, step: int, size: int) -> np.ndarray:
+    """Powers of ``base ** step`` modulo 2**64."""
+    p = np.full(size, pow(base, step, 1 << 64), U)
+    p[0] = 1
+    return np.cumprod(p, dtype=U)
 
 
 def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Rabin-Karp: the polynomial hash of ``values[start:end]`` for all ranges at once, from one
     running sum; dividing by the power of the start makes it independent of the place."""
-    up, down = _powers(base, _room(len(values)))
+    many = 1 << max(4, (len(values) >> _LOW).bit_length())
+    low, high = _powers(base, 1, 1 << _LOW), _powers(base, 1 << _LOW, many)
     total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[end] - total[start]) * down[start]
+    for i, at in enumerate(range(0, len(values), 1 << _LOW)):
+        part = values[at : at + (1 << _LOW)]
+        np.multiply(part, low[: len(part)] * high[i], out=total[at + 1 : at + 1 + len(part)])
+    np.cumsum(total, out=total)
+    inverse = pow(base, -1, 1 << 64)
+    low, high = _powers(inverse, 1, 1 << _LOW), _powers(inverse, 1 << _LOW, many)
+    out = total[end]
+    out -= total[start]
+    out *= low[start & ((1 << _LOW) - 1)]
+    out *= high[start >> _LOW]
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
