@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pulseframe.llm.blocks import deal, opened, whole
 from pulseframe.llm.tables import documents, groups_for, release, stored
 from pulseframe.llm.words import U, Words, lower, mix, narrow, pack, slices, text_buffer, unpack, widen
 
@@ -120,11 +121,19 @@ def _counter(ranges: int) -> Callable:
     return run
 
 
-_COUNTED = "kind int, h long, w long, key long, n long"
+_COUNTED = "kind int, h long, w long, part int, n long"
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Counts of one range summed: every unigram, bigrams of LEAST at least, counts of counts."""
+def _merge(ranges: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        return _merged(table, ranges)
+
+    return run
+
+
+def _merged(table: pa.Table, ranges: int) -> pa.Table:
+    """Counts of one range summed: every unigram (as ``w``), bigrams of LEAST at least, counts of
+    counts; ``part`` is the range of the n-gram's key, where scoring looks for it."""
     kind = table.column("kind")[0].as_py()
     rows = zip(*(table.column(c).to_pylist() for c in ("a", "runs", "b", "n")))
     hs, ws, ns = [], [], []
@@ -149,7 +158,7 @@ def _merge(table: pa.Table) -> pa.Table:
         "kind": pa.array(np.concatenate([np.full(keep.sum(), kind), np.full(more, COUNTS)]).astype(np.int32)),
         "h": pa.array(np.concatenate([signed(h[keep]), np.full(more, kind)])),
         "w": pa.array(np.concatenate([signed(w[keep]), np.arange(more)])),
-        "key": pa.array(np.concatenate([signed(key[keep]), np.zeros(more, np.int64)])),
+        "part": pa.array(np.concatenate([_range_of(key[keep], ranges), np.zeros(more, np.int64)]).astype(np.int32)),
         "n": pa.array(np.concatenate([n[keep], of_counts, [n.sum()]]).astype(np.int64)),
     })
 
@@ -171,11 +180,14 @@ def discounts(of_counts: list[int]) -> list[float]:
 
 @dataclass
 class Model:
-    """``unigrams`` (key, n, p, log_alpha) and ``bigrams`` (h, w, key, n, p, gain), with what all
-    tokens share. Logarithms are decimal."""
+    """``counts`` (kind, h, w, part, n), ``bigrams`` (h, w, part, gain, log_alpha: what a seen
+    bigram gains over backing off, and the weight of its history) and ``weights`` (h, log_alpha),
+    with what all tokens share. Logarithms are decimal."""
 
-    unigrams: DataFrame
+    ranges: int
+    counts: DataFrame
     bigrams: DataFrame
+    weights: DataFrame
     tokens: int
     words: int
     unknown: float
@@ -188,7 +200,7 @@ def train(docs: DataFrame, ranges: int | None = None) -> Model:
     spark = docs.sparkSession
     ranges = ranges or groups_for(docs)
     sent = documents(docs).mapInArrow(_counter(ranges), "kind int, part int, a binary, runs binary, b binary, n binary")
-    counts = stored(sent.groupBy("kind", "part").applyInArrow(_merge, _COUNTED), "ngram-counts", "kind")
+    counts = stored(sent.groupBy("kind", "part").applyInArrow(_merge(ranges), _COUNTED), "ngram-counts", "kind")
     del sent
     release(spark)
     sums = {(r["h"], r["w"]): r["n"] for r in counts.filter(F.col("kind") == COUNTS).groupBy("h", "w").agg(F.sum("n").alias("n")).collect()}
@@ -199,18 +211,12 @@ def train(docs: DataFrame, ranges: int | None = None) -> Model:
     scale = 1.0 if left > 0 else tokens / (tokens + 1)  # nothing discounted: one token is set aside
     unknown = (left if left > 0 else 1 / (tokens + 1)) if tokens else 1.0
     p_word = _discounted(F.col("n"), uni) * F.lit(scale / max(tokens, 1))
-    one = counts.filter(F.col("kind") == UNIGRAM).select("key", "n", p_word.alias("p"))
-    seen = _with_shares(counts, one, bi)
-    weights = stored(_weights(seen), "backoff")
+    bigrams = stored(_gains(counts, p_word, bi), "bigrams")
+    weights = stored(bigrams.groupBy("h").agg(F.max("log_alpha").alias("log_alpha")), "backoff")
     begin_key = int(BEGIN.astype(np.int64))
     begin = weights.filter(F.col("h") == begin_key).select("log_alpha").first()
-    unigrams = stored(one.join(weights.select(F.col("h").alias("key"), "log_alpha"), "key", "left").fillna(0.0, ["log_alpha"]), "unigrams")
-    p = F.col("share") * F.col("scale")
-    bigrams = seen.join(weights, "h").select(
-        "h", "w", "key", "n", p.alias("p"), (F.log10(p) - F.col("log_alpha") - F.log10("p_word")).alias("gain"))
-    bigrams = stored(bigrams, "bigrams")
     release(spark)
-    return Model(unigrams, bigrams, tokens, words, unknown, begin[0] if begin else 0.0, (tuple(uni), scale))
+    return Model(ranges, counts, bigrams, weights, tokens, words, unknown, begin[0] if begin else 0.0, (tuple(uni), scale))
 
 
 def _discounted(n: Column, factors: list[float]) -> Column:
@@ -219,24 +225,29 @@ def _discounted(n: Column, factors: list[float]) -> Column:
     return F.when(n <= K, n * factor).otherwise(n.cast("double"))
 
 
-def _with_shares(counts: DataFrame, one: DataFrame, factors: list[float]) -> DataFrame:
-    """Bigrams with their discounted share of the history and the probability of their word."""
-    two = counts.filter(F.col("kind") == BIGRAM).select("h", "w", "key", "n")
-    two = two.join(one.select(F.col("key").alias("w"), F.col("p").alias("p_word")), "w")
-    # a word is a history as often as it is a token; the beginning as often as the end
-    end, begin = (int(x.astype(np.int64)) for x in (END, BEGIN))
-    as_history = one.select(F.when(F.col("key") == end, F.lit(begin)).otherwise(F.col("key")).alias("h"), F.col("n").alias("n_history"))
-    two = two.join(as_history, "h")
-    return stored(two.withColumn("share", _discounted(F.col("n"), factors) / F.col("n_history")), "shares")
-
+def _gains(counts: DataFrame, p_word: Column, factors: list[float]) -> DataFrame:
+    """Seen bigrams with the backoff weight of their history and their gain over backing off.
 
-def _weights(seen: DataFrame) -> DataFrame:
-    """Of each history: the backoff weight, and the factor that leaves something to back off to
-    where discounting took nothing."""
-    sums = seen.groupBy("h").agg(F.sum("share").alias("kept"), F.sum("p_word").alias("covered"), F.first("n_history").alias("n_history"))
-    full = F.col("kept") > 1 - 1e-9
-    sums = sums.withColumn("scale", F.when(full, F.col("n_history") / (F.col("n_history") + 1) / F.col("kept")).otherwise(F.lit(1.0)))
-    return sums.select("h", "scale", F.log10((1 - F.col("kept") * F.col("scale")) / (1 - F.col("covered"))).alias("log_alpha"))
+    Both words of a seen bigram occur LEAST times at least, so rarer words stay out of the joins.
+    The sums of a history and the rows they are joined back to share one shuffle.
+    """
+    end, begin = (int(x.astype(np.int64)) for x in (END, BEGIN))
+    often = counts.filter((F.col("kind") == UNIGRAM) & (F.col("n") >= LEAST))
+    of_word = often.select("w", p_word.alias("p_word"))
+    # a word is a history as often as it is a token; the beginning as often as the end
+    as_history = often.select(F.when(F.col("w") == end, F.lit(begin)).otherwise(F.col("w")).alias("h"), F.col("n").alias("n_history"))
+    if LEAST > 1:  # the beginning counts as a history even after a single document
+        once = counts.filter((F.col("kind") == UNIGRAM) & (F.col("w") == end) & (F.col("n") < LEAST))
+        as_history = as_history.unionByName(once.select(F.lit(begin).alias("h"), F.col("n").alias("n_history")))
+    two = counts.filter(F.col("kind") == BIGRAM).select("h", "w", "part", "n").join(of_word, "w").join(as_history, "h")
+    two = two.select("h", "w", "part", "p_word", "n_history", (_discounted(F.col("n"), factors) / F.col("n_history")).alias("share"))
+    sums = two.groupBy("h").agg(F.sum("share").alias("kept"), F.sum("p_word").alias("covered"))
+    kept = F.col("kept")
+    # where discounting took nothing from a history, one more occurrence leaves room to back off
+    scale = F.when(kept > 1 - 1e-9, F.col("n_history") / (F.col("n_history") + 1) / kept).otherwise(F.lit(1.0))
+    log_alpha = F.log10((1 - kept * scale) / (1 - F.col("covered")))
+    gain = F.log10(F.col("share") * scale) - log_alpha - F.log10("p_word")
+    return two.join(sums, "h").select("h", "w", "part", gain.cast("float").alias("gain"), log_alpha.alias("log_alpha"))
 
 
 # ---- scoring
@@ -244,13 +255,13 @@ def _weights(seen: DataFrame) -> DataFrame:
 
 def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int")
-    return documents(docs).withColumn("block", block).repartition(blocks, "block")
+    return deal(docs, block, blocks)
 
 
-def _distinct(part: pa.Table) -> tuple:
+def _distinct(part: pa.RecordBatch) -> tuple:
     """Tokens of a block, and its distinct words and bigrams, ascending, with the place of each
     token's word and bigram among them."""
-    parts = [_tokens(x) for x in slices(part.to_batches())]
+    parts = [_tokens(x) for x in slices([part])]
     token, history = (np.concatenate([p[i] for p in parts]) for i in range(2))
     text = np.repeat(np.arange(part.num_rows), np.concatenate([np.bincount(p[2]) for p in parts]))
     del parts
@@ -264,11 +275,11 @@ def _asker(ranges: int) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for part in slices(batches):
-            blocks = np.asarray(part.column("block"))
-            for block in np.unique(blocks):
-                token, history, _ = _tokens(part.filter(pa.array(blocks == block)))
-                held.setdefault(int(block), []).append((np.unique(token), np.unique(pair_key(history, token))))
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), opened(batch)):
+                for some in slices([part]):
+                    token, history, _ = _tokens(some)
+                    held.setdefault(block, []).append((np.unique(token), np.unique(pair_key(history, token))))
         for block, parts in held.items():
             for kind, nth in ((UNIGRAM, 0), (BIGRAM, 1)):
                 keys = np.unique(np.concatenate([p[nth] for p in parts]))
@@ -281,7 +292,9 @@ def _asker(ranges: int) -> Callable:
 
 def _tell(asked: pa.Table, model: pa.Table) -> pa.Table:
     """What the model has on the keys of one range, for each block in the order of its keys."""
-    key = np.asarray(model.column("key")).view(U)
+    key = np.asarray(model.column("w")).view(U)
+    if model.num_rows and model.column("kind")[0].as_py() == BIGRAM:
+        key = pair_key(np.asarray(model.column("h")).view(U), key)
     order = np.argsort(key)
     key = key[order]
     n, x = np.asarray(model.column("n"))[order], np.asarray(model.column("x"))[order]
@@ -290,7 +303,7 @@ def _tell(asked: pa.Table, model: pa.Table) -> pa.Table:
         keys = unpack(keys)
         at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
         has = key[at] == keys if len(key) else np.zeros(len(keys), bool)
-        values = x[at[has]].astype(np.float32) if kind == BIGRAM else x[at[has]]
+        values = x[at[has]].astype(np.float32)
         rows.append((block, kind, part, np.packbits(has).tobytes(), narrow(n[at[has]]) if kind == UNIGRAM else b"", values.tobytes()))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3))] if rows else
                     [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3)],
@@ -302,7 +315,8 @@ SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 def _scorer(model: "Shared") -> Callable:
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        ids = docs.column("doc_id").cast(pa.int64())
+        docs = whole(docs)
+        ids = docs.column("doc_id")
         if not docs.num_rows:
             return pa.table([ids, *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]],
                             names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
@@ -315,7 +329,7 @@ def _scorer(model: "Shared") -> Callable:
             if kind == BIGRAM:
                 gain[at] = np.frombuffer(x, np.float32)
             else:
-                count[at], alpha[at] = widen(n).astype(np.int64), np.frombuffer(x, np.float64)
+                count[at], alpha[at] = widen(n).astype(np.int64), np.frombuffer(x, np.float32)
         uni, scale = model.factors
         factor = np.array([1.0, *uni, 1.0])[np.minimum(count, K + 1)]
         p = np.where(count > 0, count * factor * scale / max(model.tokens, 1), model.unknown)
@@ -343,14 +357,18 @@ class Shared:
     factors: tuple
 
 
-def score(docs: DataFrame, model: Model, ranges: int | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, groups: int | None = None) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every whole text."""
-    ranges = ranges or groups_for(docs)
-    base = _blocks(docs, ranges)
+    ranges = model.ranges
+    base = _blocks(docs, groups or groups_for(docs))
     asked = base.mapInArrow(_asker(ranges), "kind int, part int, block int, keys binary")
-    key_range = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(ranges).cast("long"), 32).cast("int")
-    table = model.unigrams.select(F.lit(UNIGRAM).alias("kind"), key_range.alias("part"), "key", "n", F.col("log_alpha").alias("x"))
-    table = table.unionByName(model.bigrams.select(F.lit(BIGRAM).alias("kind"), key_range.alias("part"), "key", "n", F.col("gain").alias("x")))
+    one = model.counts.filter(F.col("kind") == UNIGRAM).select("w", "part", "n")
+    # words that are no history have no weight; only the others are looked up
+    often = one.filter(F.col("n") >= LEAST).join(model.weights.withColumnRenamed("h", "w"), "w", "left")
+    rare = one.filter(F.col("n") < LEAST).withColumn("log_alpha", F.lit(None).cast("double"))
+    one = often.select("w", "part", "n", "log_alpha").unionByName(rare)
+    table = one.select(F.lit(UNIGRAM).alias("kind"), "part", F.lit(0).cast("long").alias("h"), "w", "n", F.coalesce("log_alpha", F.lit(0.0)).cast("float").alias("x"))
+    table = table.unionByName(model.bigrams.select(F.lit(BIGRAM).alias("kind"), "part", "h", "w", F.lit(0).cast("long").alias("n"), F.col("gain").alias("x")))
     told = asked.groupBy("kind", "part").cogroup(table.groupBy("kind", "part")).applyInArrow(
         _tell, "block int, kind int, part int, has binary, n binary, x binary")
     shared = Shared(ranges, model.tokens, model.words, model.unknown, model.begin_alpha, model.factors)
