@@ -6,10 +6,12 @@ round serves one bin only, so every bin is filled whatever the size of the set.
 two sketches are as frequent as the sets are similar, and concentrate around it. Bands of places
 give the candidates; a pair of similarity 0.8 shares no band with a probability of 3 in a million.
 
-Candidates whose sketches agree nearly often enough are confirmed on the full sets. Documents of equal sets are one node. In a band the members
-are compared with the least of them first. What this leaves in different components is compared
-with ever larger shares of the band, until the band is one component or every pair of different
-components was compared. So the work on a large group of copies follows its size, no pair within
+Links are confirmed on the full sets. Documents of equal sets are one node. In a band all members
+are compared with the least of them first, which also tells how far each is from it. What this
+leaves in different components is compared with ever larger shares of the band, until the band is
+one component or every pair of different components was compared or ruled out: by their sizes, by
+the triangle inequality of the Jaccard distance, or by sketches that agree far too seldom.
+So the work on a large group of copies follows its size, no pair within
 a component is made for nothing, and no candidate is dropped.
 
 A document of fewer words than a shingle has its whole sequence as its one shingle. Null or
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.llm.components import components
-from pulseframe.llm.tables import documents, stored
+from pulseframe.llm.tables import documents, release, stored
 from pulseframe.llm.words import U, Words, lower, mix, pack, range_hash, slices, text_buffer, unpack
 
 BAND_ROWS, BANDS = 5, 32
 BINS = BAND_ROWS * BANDS
-#: a link needs PART * shared >= WHOLE * joint shingles
+#: a link needs 100 * shared >= PERCENT * joint shingles
 PERCENT = 80
 _EMPTY = U(2**64 - 1)
 
@@ -143,21 +145,17 @@ def _alike(percent: int) -> Callable:
     return run
 
 
-def _confirm(percent: int) -> Callable:
-    """Pairs whose full sets are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                both = np.concatenate([unpack(left), unpack(right)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarity of the full sets of each pair, as shared and joint shingles."""
+    for batch in batches:
+        shared, joint = [], []
+        for left, right in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+            both = np.concatenate([unpack(left), unpack(right)])
+            both.sort()
+            shared.append(int((both[1:] == both[:-1]).sum()))
+            joint.append(len(both) - shared[-1])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())],
+                                         names=["a", "b", "shared", "joint"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -177,6 +175,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
 def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """``node, component`` of all nodes that have a link."""
+    spark, most = docs.sparkSession, 1 - percent / 100 + 1e-9
     nodes = linkable.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nodes = nodes.select(F.col("doc_id").alias("node"), "n_shingles", "places", "bands")
     rows = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
@@ -184,7 +183,15 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
     crowded = stored(rows.join(shared, "band"), "bands")
     wanted = crowded.select("node").distinct()
     nodes = stored(nodes.join(wanted, "node", "left_semi"), "nodes")
-    similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    sets = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stored(sets.mapInArrow(_set_maker(width), "doc_id long, shingles binary"), "sets")
+    release(spark)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+        b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+        return stored(both.mapInArrow(_compared, "a long, b long, shared long, joint long"), "compared")
 
     def alike(pairs: DataFrame) -> DataFrame:
         a = nodes.select(F.col("node").alias("a"), F.col("places").alias("places_a"))
@@ -192,22 +199,25 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "places_a", "places_b")
         return stored(both.mapInArrow(_alike(percent), "a long, b long"), "candidates")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_maker(width), "doc_id long, shingles binary")
-        sets = stored(sets, "sets")
-        a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        return stored(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
-
+    linked = F.expr(f"100 * shared >= {percent} * joint")
+    smaller = lambda x, y: F.least(x, y) / F.greatest(x, y)
     size = crowded.filter("node = pivot").select("band", F.col("n_shingles").alias("pivot_size"))
-    star = crowded.filter("node != pivot").join(size, "band").filter(similar("n_shingles", "pivot_size"))
-    labels = stored(components(links(alike(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))), "labels")
-    share = 8
+    sized = stored(crowded.join(size, "band"), "sized")
+    near_size = 100 * F.least("n_shingles", "pivot_size") >= percent * F.greatest("n_shingles", "pivot_size")
+    star = compared(sized.filter("node != pivot").filter(near_size).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    labels = stored(components(star.filter(linked).select("a", "b")), "labels")
+    release(spark)
+    # how far each member is from the pivot of its band, or between which bounds
+    far = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("joint")).alias("distance"))
+    exact = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance"))
+    members = sized.filter("members > 2").join(far, ["node", "pivot"], "left").select(
+        "band", "node", "n_shingles", "members",
+        F.coalesce(exact, 1 - smaller(F.col("n_shingles"), F.col("pivot_size"))).alias("least"), F.coalesce(exact, F.lit(1.0)).alias("most"),
+    )
+    members = stored(members, "members")
+    share, before = 4, 2
     while True:
-        rest = crowded.filter((F.col("members") > 2) & (F.col("members") > share // 8)).join(labels, "node", "left")
-        rest = rest.select("band", "node", "n_shingles", "members", F.coalesce("component", "node").alias("component"))
+        rest = members.filter(F.col("members") > before).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         counts = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.max("members").alias("m"))
         # the largest component of a band needs no member of its own: the others come to it
         mixed = counts.groupBy("band").agg(F.count("*").alias("parts"), F.max("m").alias("m"), F.max_by("component", F.struct("n", "component")).alias("largest"))
@@ -216,22 +226,26 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
             return labels
         minor = F.col("component") != F.col("largest")
         some = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / share)) == 0
-        found = rest.join(mixed, "band").filter(minor | some).select("band", "node", "n_shingles", "component", minor.alias("minor"), some.alias("some"))
+        columns = ("node", "n_shingles", "component", "least", "most", "bands")
+        found = rest.join(mixed, "band").filter(minor | some).select("band", *columns[:-1], minor.alias("minor"), some.alias("some"))
         found = stored(found.join(nodes.select("node", "bands"), "node"), "open")
-        left = found.filter("minor").select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "n_shingles", "component", "bands")))
-        right = found.filter("some").select("band", *(F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "component", "bands")))
-        # a pair is made in the first band that both have, and in no other
+        left = found.filter("minor").select("band", *(F.col(c).alias(f"{c}_a") for c in columns))
+        right = found.filter("some").select("band", *(F.col(c).alias(f"{c}_b") for c in columns))
+        # by the triangle inequality linked documents are about as far from the pivot; and a pair
+        # is made in the first band that both have, in no other
         pairs = left.join(right, "band").filter(
-            (F.col("component_a") != F.col("component_b")) & similar("n_shingles_a", "n_shingles_b")
+            (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+            & (F.col("least_a") - F.col("most_b") <= most) & (F.col("least_b") - F.col("most_a") <= most)
             & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band"))
         ).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
         near = alike(pairs.distinct())
         if not near.isEmpty():
-            fresh = links(near)
+            fresh = compared(near).filter(linked)
             if not fresh.isEmpty():
                 known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                labels = stored(components(fresh.unionByName(known)), "labels")
-        share *= 8
+                labels = stored(components(fresh.select("a", "b").unionByName(known)), "labels")
+        release(spark)
+        share, before = share * 64, share
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
