@@ -24,12 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pulseframe.llm.tables import documents, groups_for
+from pulseframe.llm.blocks import deal, opened, whole
+from pulseframe.llm.tables import groups_for
 from pulseframe.llm.words import U, Words, mix, narrow, pack, range_hash, slices, text_buffer, unpack, widen
 
 WIDTH = 13
 #: windows of one block held before they are sent on, which bounds a task's memory
-HELD = 3_000_000
+HELD = 2_000_000
 _CHECK = 0x9E3779B97F4A7C15 | 1
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>"
@@ -71,7 +72,7 @@ def _blocks(docs: DataFrame, groups: int) -> DataFrame:
         return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="right").astype(np.int32))
 
     first = F.lit(-(2**63)).cast("long")
-    return documents(docs).withColumn("block", block_of(F.coalesce("doc_id", first))).repartition(len(bounds) + 1, "block")
+    return deal(docs, block_of(F.coalesce("doc_id", first)), len(bounds) + 1)
 
 
 def _sender(width: int, buckets: int) -> Callable:
@@ -89,17 +90,13 @@ def _sender(width: int, buckets: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         count: dict[int, int] = {}
-        for part in slices(batches):
-            part = part.filter(pc.is_valid(part.column("doc_id")))
-            blocks = np.asarray(part.column("block"))
-            for block in np.unique(blocks):
-                own = part.filter(pa.array(blocks == block))
-                words = Words(*text_buffer(own.column("text")))
-                _, h, c = _keys(words, width)
-                if not len(h):
-                    continue
-                held.setdefault(int(block), []).append((h, c))
-                count[int(block)] = count.get(int(block), 0) + len(h)
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), opened(batch)):
+                for some in slices([part.filter(pc.is_valid(part.column("doc_id")))]):
+                    _, h, c = _keys(Words(*text_buffer(some.column("text"))), width)
+                    if len(h):
+                        held.setdefault(block, []).append((h, c))
+                        count[block] = count.get(block, 0) + len(h)
             if sum(count.values()) > HELD:
                 full = max(count, key=count.get)
                 count.pop(full)
@@ -138,7 +135,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _remover(width: int) -> Callable:
     def run(docs: pa.Table, heard: pa.Table) -> pa.Table:
-        docs = docs.sort_by("doc_id").combine_chunks()
+        docs = pa.Table.from_batches([whole(docs)]).sort_by("doc_id").combine_chunks()
         known_h = np.concatenate([unpack(x) for x in heard.column("hashes").to_pylist()] or [np.zeros(0, U)])
         known_c = np.concatenate([widen(x) for x in heard.column("checks").to_pylist()] or [np.zeros(0, U)]).astype(np.uint16)
         order = np.lexsort((known_c, known_h))
