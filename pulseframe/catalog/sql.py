@@ -178,7 +178,7 @@ PARTS["parts"] = """SELECT user_id, workout_uuid, segment_unit, segment_index, w
  FROM (SELECT *, make_timestamp(epoch_us(ts) + CAST(floor(greatest(coalesce(epoch_us(x_end) - epoch_us(ts), 0), 0)
    * ((segment_index * len - before_ukm) / CAST(distance_ukm AS DOUBLE)) + 0.5) AS BIGINT)) AS end_ts
   FROM (SELECT user_id, workout_uuid, ts, end_ts AS x_end, first_ts, workout_start_ts, workout_end_ts, before_ukm, distance_ukm,
-    u.segment_unit, u.len, CAST(unnest(range(before_ukm // u.len + 1, least(covered_ukm // u.len, 300) + 1)) AS INTEGER) AS segment_index
+    u.segment_unit, u.len, CAST(unnest(range(before_ukm // u.len + 1, covered_ukm // u.len + 1)) AS INTEGER) AS segment_index
    FROM cum, (VALUES ('km', 1000000), ('mi', 1609344)) AS u(segment_unit, len)))"""
 PARTS["hr"] = """SELECT p.user_id, p.workout_uuid, p.segment_unit, p.segment_index, s.hk_uuid, s.ts, s.metric_value AS bpm
  FROM samples s JOIN parts p ON s.user_id = p.user_id AND s.ts >= p.start_ts AND s.ts < p.end_ts

@@ -12,77 +12,74 @@ from pulseframe.operators import chunks as H, merge as G, rollup as R, sleep as
 from pulseframe.plans.ingest import Store
 from pulseframe.session import configure, work_folder
 from pulseframe.sources import adapter as A, mirror_csv as C
-from pulseframe.streaming import ingest, ratelimit, rollup, sessions as live, timeouts
+from pulseframe.streaming import ingest, rollup, sessions as live, timeouts
 
 
-def _landed(spark, df, name: str, parts: int = 3):
-    """Rows written to a landing folder in several files, and a stream over them."""
+def _with_history(df, moved, dead):
+    """Every row, each with an ``ordinal``; every fifth came first on another day and with another
+    value, and every seventh of the rest came first as live and was deleted later."""
+    k = F.abs(F.xxhash64("hk_uuid"))
+    late = df.withColumn("ordinal", F.lit(2))
+    before = moved(df.filter(k % 5 == 0)).withColumn("ordinal", F.lit(1))
+    ghosts = df.filter((k % 5 != 0) & (k % 7 == 0)).withColumn("hk_uuid", F.concat("hk_uuid", F.lit("-gone")))
+    return [before.unionByName(ghosts.withColumn("ordinal", F.lit(1))), late, dead(ghosts).withColumn("ordinal", F.lit(2))]
+
+
+def _landed_in_order(spark, name, frames):
+    """Each frame as files of its own, taken one after the other."""
     path = work_folder(spark, name)
-    df.repartition(parts, "hk_uuid" if "hk_uuid" in df.columns else df.columns[0]).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _shifted(*columns):
+    return lambda df: df.withColumns({c: F.col(c) + F.expr("interval 3 days") for c in columns})
 
 
-@query("stream_rollup", with_parts("""SELECT user_id, metric_type, bucket_ts, unit, round(avg_value, 6) AS avg_value,
- round(sum_value, 6) AS sum_value, min_value, max_value, n FROM hourly"""))
+@query("stream_rollup", with_parts(f"SELECT {ROLLUP_OUT} FROM hourly"))
 def stream_rollup(spark, sf):
+    """Samples that arrive in three files: first some on wrong days and some that will be deleted,
+    then all, then the deletes."""
     folder = work_folder(spark, "rollup")
-    stream = _landed(spark, A.samples(spark, sf), "samples")
-    rollup.write_updates(rollup.stream_rollup(stream, "hour"), f"{folder}/log", f"{folder}/cp").awaitTermination()
-    return rounded(rollup.read_updates(spark, f"{folder}/log"), "avg_value", "sum_value")
+    configure(spark)
+    samples = A.samples(spark, sf)
+    frames = _with_history(
+        samples, lambda df: _shifted("ts", "end_ts")(df).withColumn("metric_value", F.col("metric_value") + 1),
+        lambda df: df.withColumn("deleted_at", F.lit("2024-03-01").cast("timestamp")),
+    )
+    rollup.stream_rollup(_landed_in_order(spark, "samples", frames), folder, f"{folder}/cp", ("hour",)).awaitTermination()
+    return rollup_out(Store(spark, folder).read("rollup_hourly").drop("day"))
 
 
 @query("stream_sessions", with_parts("""SELECT user_id, min(segment_start_ts) AS session_start_ts, max(segment_end_ts) AS session_end_ts,
  arg_max(tz_name, segment_start_ts) AS session_tz FROM two GROUP BY user_id, session_id""", two=sessions("2 HOUR")))
 def stream_sessions(spark, sf):
+    """Sleep rows of which some move to another day and some are deleted again."""
     folder = work_folder(spark, "sessions")
-    rows = L.sleep_rows(A.samples(spark, sf)).select(*live.ROWS.fieldNames())
-    live.stream_sessions(_landed(spark, rows, "sleep"), folder, f"{folder}/cp").awaitTermination()
+    rows = L.sleep_rows(A.samples(spark, sf)).select(*live.ROWS.fieldNames()).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    frames = _with_history(
+        rows, _shifted("segment_start_ts", "segment_end_ts"), lambda df: df.withColumn("deleted_at", F.col("segment_start_ts"))
+    )
+    live.stream_sessions(_landed_in_order(spark, "sleep", frames), folder, f"{folder}/cp").awaitTermination()
     return live.read_sessions(spark, folder).drop("session_id")
 
 
-SPAN = 6 * 3_600 * 1_000_000
-REQ = "SELECT user_id, event_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev"
-DECIDED = f"""SELECT user_id, i, event_id, ts, [t] AS win, true AS allowed, 0 AS wait_seconds FROM req WHERE i = 1
- UNION ALL SELECT user_id, i, event_id, ts, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END, len(f) < 3,
-  CASE WHEN len(f) < 3 THEN 0 ELSE CAST(greatest(0, (f[1] + {SPAN} - t) // 1000000) AS INTEGER) END
- FROM (SELECT c.*, list_filter(p.win, lambda x: x > c.t - {SPAN}) AS f FROM rec p JOIN req c ON c.user_id = p.user_id AND c.i = p.i + 1)"""
-ADMISSION = with_parts("SELECT user_id, event_id, ts, allowed, wait_seconds FROM rec", rec=DECIDED, req=REQ)
-
-
-@query("rate_limit", ADMISSION)
-def rate_limit(spark, sf):
-    """Three requests in six hours: the test stream is too sparse for sixty a minute."""
-    folder = work_folder(spark, "rate")
-    requests = A.events(spark, sf).select("event_id", "user_id", "ts")
-    # files in time order, as requests arrive
-    middle = requests.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
-    path = work_folder(spark, "requests")
-    early = F.unix_micros("ts") <= F.lit(middle)
-    requests.filter(early).write.parquet(path)
-    requests.filter(~early).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    ratelimit.rate_limit(stream, folder, f"{folder}/cp", 3, 6 * 3_600).awaitTermination()
-    return ratelimit.read_decisions(spark, folder)
-
-
-@query("rate_limit_batch", ADMISSION)
-def rate_limit_batch(spark, sf):
-    return ratelimit.rate_limit_batch(A.events(spark, sf), 3, 6 * 3_600)
-
-
 @query("stream_timeout", with_parts("""SELECT 't' || event_id AS task_id,
- CASE WHEN k % 4 <> 3 AND k * 5 < 300 THEN 'completed' ELSE 'timeout' END AS status, ts AS started_at FROM ev
- WHERE k % 4 <> 3 OR epoch_ms(ts) + 300000 < (SELECT max(epoch_ms(CASE WHEN k % 4 <> 3 THEN ts + to_seconds(k * 5) ELSE ts END)) FROM ev)"""))
+ CASE WHEN k % 4 <> 3 AND k * 5 < 300 THEN 'completed' ELSE 'timeout' END AS status, ts AS started_at FROM ev"""))
 def stream_timeout(spark, sf):
-    """Uploads that report completion after ``5k`` seconds, or never."""
+    """Uploads that report completion after ``5k`` seconds, or never. Half of the ends arrive before
+    all starts and half after; a much later report of another upload then closes what is open."""
     folder = work_folder(spark, "timeouts")
     e = A.events(spark, sf).withColumn("task_id", F.concat(F.lit("t"), "event_id"))
     starts = e.select("task_id", F.lit("pending").alias("status"), "ts")
     ends = e.filter("k % 4 <> 3").select(
         "task_id", F.lit("completed").alias("status"), (F.col("ts") + F.make_dt_interval(secs=F.col("k") * 5)).alias("ts")
     )
-    stream = _landed(spark, starts.union(ends), "reports", 1)
-    writer = timeouts.stream_timeout(stream).writeStream.format("parquet").option("path", f"{folder}/out")
+    early = F.col("ts").isNotNull() & (F.xxhash64("task_id") % 2 == 0)
+    tick = starts.agg(F.lit("tick").alias("task_id"), F.lit("completed").alias("status"), (F.max("ts") + F.expr("interval 1000 days")).alias("ts"))
+    stream = _landed_in_order(spark, "reports", [ends.filter(early), starts, ends.filter(~early), tick])
+    writer = timeouts.stream_timeout(stream, "400 days").writeStream.format("parquet").option("path", f"{folder}/out")
     writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(timeouts.OUTCOMES).parquet(f"{folder}/out").drop("age_s")
 

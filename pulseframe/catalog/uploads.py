@@ -89,7 +89,7 @@ def latest_batch(spark, sf):
 
 @query("list_batch", with_parts("""SELECT task_id, seed_chunk_index, status, created_at FROM led WHERE seed_batch_id = 'b3'
  AND user_id = (SELECT user_id FROM led WHERE seed_batch_id = 'b3' ORDER BY event_id LIMIT 1)
- ORDER BY created_at DESC, content_hash DESC LIMIT 200""", led=LEDGER))
+ ORDER BY created_at DESC, content_hash DESC""", led=LEDGER))
 def list_batch(spark, sf):
     ledger = _ledger(spark, sf)
     user = ledger.filter("seed_batch_id = 'b3'").orderBy("event_id").first()["user_id"]

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+#: fixed values: blank, tab, line feed, vertical tab, form feed, carriage return
+WHITE = " \t\n\x0b\f\r"
+
+
+def strip(col: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(col.cast("string"), F.lit(WHITE))
+
+
 def blank_to_null(col: Column) -> Column:
-    """Trimmed text; empty or blank text is NULL."""
-    return F.nullif(F.trim(col.cast("string")), F.lit(""))
+    """Stripped text; empty or blank text is NULL."""
+    return F.nullif(strip(col), F.lit(""))
 
 
 def to_instant(col: Column) -> Column:
     """Instant from ISO text, UTC where the text carries no zone; junk is NULL."""
-    return F.try_to_timestamp(F.trim(col))
+    return F.try_to_timestamp(strip(col))
 
 
 def to_number(col: Column) -> Column:
-    """Double from text; junk is NULL."""
-    return F.trim(col.cast("string")).try_cast("double")
+    """Double from text; junk is NULL, and so is text that says NaN."""
+    return F.nullif(strip(col).try_cast("double"), F.lit(float("nan")))
 
 
 def to_offset_minutes(col: Column) -> Column:
@@ -36,7 +45,7 @@ def is_delete(op: Column) -> Column:
 
 def clean_title(col: Column) -> Column:
     """Conversation title: outer quotes and dots off, label prefix off, cut at 60 characters."""
-    bare = F.regexp_replace(F.trim(col), r"""^["'.:]+|["'.:]+$""", "")
+    bare = F.regexp_replace(strip(col), r"""^["'.:]+|["'.:]+$""", "")
     bare = F.regexp_replace(bare, r"^(?i:title:)\s*", "")
     short = F.when(F.length(bare) > 60, F.concat(F.substring(bare, 1, 57), F.lit("..."))).otherwise(bare)
     return F.coalesce(F.nullif(short, F.lit("")), F.lit("New Chat"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pulseframe.functions.clean import blank_to_null
+from pulseframe.functions.clean import blank_to_null, strip
 
 DISPLAY_FORMAT = "yyyy-MM-dd hh:mm a"
 
@@ -17,10 +17,10 @@ def known_zone(zone: Column | str) -> Column:
     """The zone name if the runtime knows it, else NULL (never an error)."""
     zone = _col(zone)
     parsed = F.try_to_timestamp(
-        F.concat(F.lit("2000-01-01 00:00:00 "), F.trim(zone)), F.lit("yyyy-MM-dd HH:mm:ss VV")
+        F.concat(F.lit("2000-01-01 00:00:00 "), strip(zone)), F.lit("yyyy-MM-dd HH:mm:ss VV")
     )
     # fixed values: short names the runtime accepts although they are no region ids
-    return F.when(parsed.isNotNull() | F.trim(zone).isin("EST", "MST", "HST"), F.trim(zone))
+    return F.when(parsed.isNotNull() | strip(zone).isin("EST", "MST", "HST"), strip(zone))
 
 
 def safe_zone(*zones: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pulseframe.functions.clean import strip
 from pulseframe.operators.ranking import latest_per_key
 
 CONVERSATION = ["user_id", "conversation_id"]
@@ -12,7 +13,7 @@ CONVERSATION = ["user_id", "conversation_id"]
 def chat_clean(messages: DataFrame) -> DataFrame:
     """Two roles only, blank messages dropped."""
     role = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
-    return messages.withColumn("role", role).filter(F.trim("content") != "")
+    return messages.withColumn("role", role).filter(strip(F.col("content")) != "")
 
 
 def chat_history(messages: DataFrame, conversation_id, user_id=None) -> DataFrame:
@@ -41,7 +42,7 @@ def session_titles(latest: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def recent_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Conversations with messages, newest first, unknown times last."""
-    return sessions.join(chat_last_active(messages), CONVERSATION).orderBy(
+    """Conversations, newest first; those without messages have no time and come last."""
+    return sessions.join(chat_last_active(messages), CONVERSATION, "left").orderBy(
         F.col("last_message_at").desc_nulls_last(), "user_id", "conversation_id"
     )

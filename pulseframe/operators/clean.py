@@ -31,7 +31,7 @@ def stamp_user(df: DataFrame, user_id: str) -> DataFrame:
 
 def audit_user_ids(df: DataFrame, user_id: str) -> DataFrame:
     """Distinct user ids stated in a file that are not the caller's."""
-    stated = F.trim("user_id")
+    stated = C.strip(F.col("user_id"))
     return df.select(stated.alias("user_id")).distinct().filter(F.col("user_id") != user_id)
 
 
@@ -89,7 +89,7 @@ def identity_guard(df: DataFrame) -> DataFrame:
 
 
 def complete_rows(df: DataFrame, value: str = "metric_value", kind: str = "metric_type") -> DataFrame:
-    return df.dropna(subset=["ts", kind, value])
+    return df.dropna(subset=["ts", kind, value])  # a NaN counts as missing
 
 
 def finite_only(df: DataFrame, col: str) -> DataFrame:
@@ -136,7 +136,8 @@ def batch_counts(outcomes: DataFrame) -> DataFrame:
 def outcome(df: DataFrame) -> DataFrame:
     """What becomes of each mirror row: deleted, metric, event, dropped as incomplete, or (where
     the row's ``cutoff`` is known) expired."""
-    complete = F.col("ts").isNotNull() & F.col("metric_type").isNotNull() & F.col("metric_value").isNotNull()
+    value = F.col("metric_value")
+    complete = F.col("ts").isNotNull() & F.col("metric_type").isNotNull() & value.isNotNull() & ~F.isnan(value)
     if "user_id" in df.columns:
         complete = complete & F.col("user_id").isNotNull()
     expired = F.col("ts") < F.col("cutoff") if "cutoff" in df.columns else F.lit(False)

@@ -40,7 +40,11 @@ def _age_s(now: Column) -> Column:
 def upload_decision(
     uploads: DataFrame, ledger: DataFrame, now: Column, timeout_s: int = S.PROCESSING_TIMEOUT_S
 ) -> DataFrame:
-    """What an arriving upload becomes: new, processing, completed or reprocessing."""
+    """What an arriving upload becomes: new, processing, completed or reprocessing.
+
+    Of equal uploads in one set of arrivals the first by ``ordinal`` is decided by the ledger; it
+    is then under way, so the others are processing unless it was completed already.
+    """
     known = ledger.select("user_id", "content_hash", "status", "created_at", F.lit(True).alias("_known"))
     running = F.col("status").isin(*OPEN) & (_age_s(now) < timeout_s)
     decision = (
@@ -49,9 +53,34 @@ def upload_decision(
         .when(F.col("status") == "completed", "completed")
         .otherwise("reprocessing")
     )
-    return uploads.join(known, ["user_id", "content_hash"], "left").select(
-        *uploads.columns, decision.alias("decision")
+    decided = uploads.join(known, ["user_id", "content_hash"], "left")
+    if "ordinal" not in uploads.columns:
+        return decided.select(*uploads.columns, decision.alias("decision"))
+    # the smallest ordinal of a content travels, one row a task, not the arrivals
+    first = uploads.groupBy("user_id", "content_hash").agg(F.min("ordinal").alias("_first"))
+    repeat = (F.col("ordinal") > F.col("_first")) & decision.isin("new", "reprocessing")
+    return decided.join(first, ["user_id", "content_hash"]).select(
+        *uploads.columns, F.when(repeat, "processing").otherwise(decision).alias("decision")
+    )
+
+
+def write_back(ledger: DataFrame, decided: DataFrame, now: Column, timeout_s: int = S.PROCESSING_TIMEOUT_S) -> DataFrame:
+    """The ledger after a set of decided uploads: repeats raise the request count, what is new
+    or processed again becomes pending from ``now`` on, and overdue entries that were not asked
+    for become ``timeout``. Seed fields that an upload does not give stay as they are."""
+    given = [c for c in ledger.columns if c in decided.columns and c not in ("user_id", "content_hash", "status", "created_at", "request_count")]
+    asked = decided.groupBy("user_id", "content_hash").agg(
+        F.count(F.lit(1)).alias("_requests"), F.bool_or(F.col("decision").isin("new", "reprocessing")).alias("_starts"),
+        *(F.max(c).alias(f"_{c}") for c in given),
     )
+    overdue = F.col("status").isin(*OPEN) & (_age_s(now) >= timeout_s)
+    change = {
+        "status": F.when(F.col("_starts"), "pending").when(overdue, "timeout").otherwise(F.col("status")),
+        "created_at": F.when(F.col("_starts"), now).otherwise(F.col("created_at")),
+        "request_count": F.coalesce("request_count", F.lit(0)) + F.coalesce("_requests", F.lit(0)),
+        **{c: F.coalesce(f"_{c}", c) for c in given},
+    }
+    return ledger.join(asked, ["user_id", "content_hash"], "full").select(*(change.get(c, F.col(c)).alias(c) for c in ledger.columns))
 
 
 def status_reconcile(
@@ -89,11 +118,13 @@ def latest_batch(ledger: DataFrame) -> DataFrame:
     ).select("user_id", "seed_batch_id")
 
 
-def list_batch(ledger: DataFrame, user_id: str, batch_id: str, limit: int = 200) -> DataFrame:
+def list_batch(ledger: DataFrame, user_id: str, batch_id: str, limit: int | None = None) -> DataFrame:
+    """Chunks of one seed batch, newest first; all of them unless a limit is asked for."""
     rows = ledger.filter(
         (F.col("user_id") == user_id) & (F.col("upload_mode") == "seed") & (F.col("seed_batch_id") == batch_id)
     )
-    return rows.orderBy(F.col("created_at").desc(), F.col("content_hash").desc()).limit(limit)
+    rows = rows.orderBy(F.col("created_at").desc(), F.col("content_hash").desc())
+    return rows if limit is None else rows.limit(limit)
 
 
 def seed_progress(ledger: DataFrame) -> DataFrame:

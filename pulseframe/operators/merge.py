@@ -120,11 +120,30 @@ def cascade_flags(events: DataFrame, workout_ids: DataFrame, at: Column) -> Data
     return tombstone(events, ids, at, only_live=True)
 
 
+def touched_hours(batch: DataFrame, base: DataFrame, ids: DataFrame) -> DataFrame:
+    """Hours of each user in which something changes: where rows of the batch lie, where the rows
+    they replace lay, and where deleted rows lay. Exactly these, not the span between them."""
+    keys = ids.select("user_id", "hk_uuid").union(batch.select("user_id", "hk_uuid")).distinct()
+    old = base.join(keys, ["user_id", "hk_uuid"], "left_semi")
+    hour = F.date_trunc("hour", "ts").alias("hour")
+    return batch.select("user_id", hour).union(old.select("user_id", hour)).filter(F.col("hour").isNotNull()).distinct()
+
+
+def refresh_buckets(rollups: DataFrame, samples: DataFrame, hours: DataFrame, unit: str) -> DataFrame:
+    """The buckets of the touched hours computed again, all others as they are."""
+    buckets = hours.select("user_id", F.date_trunc(unit, "hour").alias("bucket_ts")).distinct()
+    mine = samples.withColumn("bucket_ts", F.date_trunc(unit, "ts")).join(buckets, ["user_id", "bucket_ts"], "left_semi")
+    kept = rollups.join(buckets, ["user_id", "bucket_ts"], "left_anti").filter(~is_sleep(F.col("metric_type")))
+    return kept.unionByName(rollup(mine.select(*samples.columns), unit))
+
+
 def affected_window(batch: DataFrame, base: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per user: first and last instant a batch affects, widened by stored rows it deletes."""
+    """Per user: first and last instant a batch affects, widened by stored rows that it deletes
+    and by the stored instants of rows that it moves."""
     own = batch.groupBy("user_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    keys = ids.select("user_id", "hk_uuid").union(batch.select("user_id", "hk_uuid"))
     stored = (
-        base.join(ids.select("user_id", "hk_uuid").distinct(), ["user_id", "hk_uuid"], "left_semi")
+        base.join(keys.distinct(), ["user_id", "hk_uuid"], "left_semi")
         .groupBy("user_id")
         .agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     )

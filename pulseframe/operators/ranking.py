@@ -16,7 +16,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return _first_n(df, keys, order, 1)
 
 
-def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 64) -> DataFrame:
+def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key in the given order."""
     return _first_n(df, keys, order, n)
 

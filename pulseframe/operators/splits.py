@@ -73,19 +73,21 @@ def distance_stream(samples: DataFrame, workouts: DataFrame, **gate) -> DataFram
     return cumulative_distance(distance_in_workouts(samples, workouts, **gate))
 
 
-def splits(stream: DataFrame, units: tuple[str, ...] = ("km", "mi"), cap: int = S.SPLIT_CAP) -> DataFrame:
+def splits(stream: DataFrame, units: tuple[str, ...] = ("km", "mi"), cap: int | None = None) -> DataFrame:
     """Full splits with proportional boundaries inside a sample.
 
-    Per sample the boundaries it contains follow from the distance before and after
-    it; at most ``cap`` exist per workout and unit, so the window that chains them is
-    over a bounded group.
+    Per sample the boundaries it contains follow from the distance before and after it. Each
+    boundary ends one split and starts the next, so the two ends of a split meet by its number:
+    one shuffle on a key that is as fine as the result, however long the workout. All splits are
+    returned unless ``cap`` says how many of a workout and unit are wanted.
     """
     length = F.col("length_ukm")
     units_col = F.array(
         *[F.struct(F.lit(u).alias("segment_unit"), F.lit(LENGTHS[u]).cast("long").alias("length_ukm")) for u in units]
     )
     first = F.expr("before_ukm div length_ukm") + 1
-    last = F.least(F.expr("covered_ukm div length_ukm"), F.lit(cap))
+    last = F.expr("covered_ukm div length_ukm")
+    last = last if cap is None else F.least(last, F.lit(cap))
     span = F.greatest(F.coalesce(F.unix_micros("end_ts") - F.unix_micros("ts"), F.lit(0)), F.lit(0))
     part = (F.col("segment_index") * length - F.col("before_ukm")) / F.col("distance_ukm")
     boundary = F.timestamp_micros(F.unix_micros("ts") + F.floor(span * part + 0.5))
@@ -95,12 +97,18 @@ def splits(stream: DataFrame, units: tuple[str, ...] = ("km", "mi"), cap: int =
         .withColumn("segment_index", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
         .withColumn("end_mark", boundary)
     )
-    chain = Window.partitionBy(*WORKOUT, "segment_unit").orderBy("segment_index")
-    return marks.select(
-        *SPLIT,
-        "workout_start_ts", "workout_end_ts",
-        F.coalesce(F.lag("end_mark").over(chain), F.col("first_ts")).alias("start_ts"),
-        F.col("end_mark").alias("end_ts"),
+    nothing = F.lit(None).cast("timestamp")
+    ends = F.struct("segment_index", nothing.alias("start_mark"), "end_mark")
+    starts = F.struct((F.col("segment_index") + 1).alias("segment_index"), F.col("end_mark").alias("start_mark"), nothing.alias("end_mark"))
+    return (
+        marks.select(*WORKOUT, "segment_unit", "workout_start_ts", "workout_end_ts", "first_ts", F.inline(F.array(ends, starts)))
+        .groupBy(*SPLIT)
+        .agg(*(F.max(c).alias(c) for c in ("workout_start_ts", "workout_end_ts", "first_ts", "start_mark", "end_mark")))
+        .filter(F.col("end_mark").isNotNull())
+        .select(
+            *SPLIT, "workout_start_ts", "workout_end_ts",
+            F.coalesce("start_mark", "first_ts").alias("start_ts"), F.col("end_mark").alias("end_ts"),
+        )
     )
 
 

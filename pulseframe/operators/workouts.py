@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe import schema as S
 from pulseframe.functions import meta as M
+from pulseframe.functions.clean import blank_to_null, strip
 from pulseframe.operators.intervals import points_in_spans
 from pulseframe.operators.rollup import live_rows
 
@@ -42,7 +43,7 @@ def split_workout_id(df: DataFrame, col: str = "hk_uuid") -> DataFrame:
     """Parts of a composite id; ``touches`` marks base workout rows. No bar: both NULL."""
     parts = F.split(F.col(col), "[|]", 2)
     composite = F.col(col).contains("|")
-    wid = F.nullif(F.trim(parts[0]), F.lit(""))
+    wid = blank_to_null(parts[0])
     suffix = F.when(composite, F.get(parts, 1))
     return df.withColumns(
         {
@@ -62,7 +63,7 @@ def workout_pivot(events: DataFrame) -> DataFrame:
     """Attribute rows folded into one row per workout; workouts without a start drop out."""
     kind = F.col("event_type")
     rows = split_workout_id(live_rows(events)).filter(
-        F.col("workout_uuid").isNotNull() & F.trim("suffix").isin(*S.WORKOUT_ATTRIBUTES)
+        F.col("workout_uuid").isNotNull() & strip(F.col("suffix")).isin(*S.WORKOUT_ATTRIBUTES)
     )
     value = {
         "duration_min": "workout_duration_min",
@@ -108,7 +109,7 @@ def distance_workouts(
 
     The default words miss ``cycling`` and ``hiking``; pass others to include them.
     """
-    kind = F.lower(F.trim(F.coalesce("workout_type", F.lit(""))))
+    kind = F.lower(strip(F.coalesce("workout_type", F.lit(""))))
     return df.filter(kind.rlike("|".join(keywords))).filter(
         F.coalesce("distance_km", F.lit(0.0)) >= min_km
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseframe.functions import zones as Z
+from pulseframe.functions.clean import blank_to_null
 
 
 def history_spans(history: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def workout_tz(rows: DataFrame, workouts: DataFrame) -> DataFrame:
 
 
 def _meta_zone(meta: Column) -> Column:
-    return F.nullif(F.trim(meta["tz_name"]), F.lit(""))
+    return blank_to_null(meta["tz_name"])
 
 
 def bucket_tz(rows: DataFrame, hourly: DataFrame, daily: DataFrame) -> DataFrame:

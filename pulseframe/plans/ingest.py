@@ -1,8 +1,9 @@
 """Ingest of one batch of mirror rows into raw and derived tables.
 
-Everything the batch changes is described by days: raw facts are merged on the days
-they touch, and derived tables are recomputed on the days around them. Days are read
-with partition pruning and replaced whole; the rest of a table is never opened.
+Everything the batch changes is described by the hours of each user it touches: raw facts are
+merged on the days of these, and derived tables are recomputed on the days around them. Days are
+read with partition pruning and replaced whole. To find where replaced and deleted rows lie, the
+keys of a batch are looked up in the stored facts, of which only key, instant and day are read.
 """
 
 from __future__ import annotations
@@ -73,10 +74,12 @@ def apply_batch(
     flags = gone.withColumn("f", F.explode(F.array(*[F.lit(f) for f in S.LEGACY_FLAGS]))).select(
         "user_id", F.concat_ws("|", "workout_uuid", "f").alias("hk_uuid")
     )
-    # the window looks at stored rows of deleted ids, so it is taken before they are pruned
-    windows = _kept(
-        store, G.affected_window(samples, store.read("samples"), ids), f"_staging/{batch_id}/windows"
+    # what is touched depends on the stored rows as they were; a replay after a partial attempt
+    # finds them changed already, so the first complete answer of a batch stands
+    hours = _kept(
+        store, G.touched_hours(samples, store.read("samples"), ids), f"_staging/{batch_id}/hours", once=True
     )
+    windows = hours.groupBy("user_id").agg(F.min("hour").alias("t_min"), (F.max("hour") + F.expr("interval 1 hour")).alias("t_max"))
     _together(
         store,
         lambda: _merge_raw(store, "events", events, ids.union(flags), cutoffs, at, G.merge_events, batch_id),
@@ -85,12 +88,32 @@ def apply_batch(
     # raw facts are in place; the derived tables do not depend on each other
     _together(
         store,
-        lambda: _refresh_rollup(store, windows, "rollup_hourly", "hour", batch_id),
-        lambda: _refresh_rollup(store, windows, "rollup_daily", "day", batch_id),
-        lambda: _refresh_sleep(store, windows, batch_id, sleep_gap_s),
-        lambda: _refresh_workouts(store, events, gone, windows, batch_id),
+        lambda: _refresh_rollup(store, hours, "rollup_hourly", "hour", batch_id),
+        lambda: _refresh_rollup(store, hours, "rollup_daily", "day", batch_id),
+        lambda: _refresh_sleep(store, hours, batch_id, sleep_gap_s),
+        lambda: _refresh_workouts(store, events, gone, hours, windows, batch_id),
     )
-    return O.batch_counts(O.outcome(parsed.join(cutoffs, "user_id", "left")))
+    counts = O.batch_counts(O.outcome(parsed.join(cutoffs, "user_id", "left")))
+    rows = [tuple(r) for r in counts.collect()]  # one row an outcome
+    _remove(store, f"_staging/{batch_id}")
+    return store.spark.createDataFrame(rows, counts.schema)
+
+
+def apply_samples(store: Store, changes: DataFrame, batch_id: str, units: dict[str, str] | None = None) -> None:
+    """Merge changed samples (a ``deleted_at`` deletes) and refresh the rollups they touch.
+
+    ``ordinal`` orders the versions of one sample; without it the latest ``created_at`` counts.
+    """
+    if "ordinal" not in changes.columns:
+        changes = changes.withColumn("ordinal", F.struct(F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp")), "ts"))
+    last = F.max_by(F.struct(*changes.columns), "ordinal").alias("row")
+    latest = _kept(store, changes.groupBy(*G.SAMPLE_KEYS).agg(last).select("row.*"), f"_staging/{batch_id}/changes", once=True)
+    dead, live = latest.filter("deleted_at IS NOT NULL"), latest.filter("deleted_at IS NULL")
+    hours = _kept(store, G.touched_hours(live, store.read("samples"), dead), f"_staging/{batch_id}/hours", once=True)
+    _merge_raw(store, "samples", live, dead.select("user_id", "hk_uuid"), None, F.current_timestamp(), G.merge_samples, batch_id)
+    units = units or {"rollup_hourly": "hour", "rollup_daily": "day"}
+    _together(store, *(lambda n=n, u=u: _refresh_rollup(store, hours, n, u, batch_id) for n, u in units.items()))
+    _remove(store, f"_staging/{batch_id}")
 
 
 def _together(store: Store, *steps: Callable[[], None]) -> None:
@@ -100,10 +123,24 @@ def _together(store: Store, *steps: Callable[[], None]) -> None:
             done.result()
 
 
-def _kept(store: Store, df: DataFrame, name: str) -> DataFrame:
-    """Written once and read back: later steps must not depend on tables they change."""
+def _folder(store: Store, path: str):
+    """Spark's own view of a folder in whatever file system the store is."""
+    at = store.spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(store.spark._jsc.hadoopConfiguration())
+
+
+def _remove(store: Store, name: str) -> None:
+    at, files = _folder(store, store.path(name))
+    files.delete(at, True)
+
+
+def _kept(store: Store, df: DataFrame, name: str, once: bool = False) -> DataFrame:
+    """Written and read back: later steps must not depend on tables they change. With ``once`` a
+    complete earlier answer is taken instead."""
     path = store.path(name)
-    df.write.mode("overwrite").parquet(path)
+    done, files = _folder(store, f"{path}/_SUCCESS")
+    if not (once and files.exists(done)):
+        df.write.mode("overwrite").parquet(path)
     return store.spark.read.schema(df.schema).parquet(path)
 
 
@@ -120,53 +157,46 @@ def _prepare(store, text, batch_id, user_id, retention_days, at) -> tuple[DataFr
 def _merge_raw(store, name, batch, ids, cutoffs, at, merge, batch_id) -> None:
     """Prune, tombstone, then upsert, all in one rewrite of the affected days."""
     stored = store.read(name)
-    oldest_kept = cutoffs.agg(F.max(F.to_date("cutoff"))).first()[0]
-    # only days up to the newest cutoff can hold expired rows
-    expired = stored.filter(F.col("day") <= F.lit(oldest_kept)).join(cutoffs, "user_id").filter(
-        F.col("ts") < F.col("cutoff")
-    )
+    expired_days = set()
+    if cutoffs is not None:
+        oldest_kept = cutoffs.agg(F.max(F.to_date("cutoff"))).first()[0]
+        # only days up to the newest cutoff can hold expired rows
+        expired = stored.filter(F.col("day") <= F.lit(oldest_kept)).join(cutoffs, "user_id").filter(
+            F.col("ts") < F.col("cutoff")
+        )
+        expired_days = set(days_of(expired))
     hit = stored.join(ids.union(batch.select("user_id", "hk_uuid")).distinct(), ["user_id", "hk_uuid"], "left_semi")
-    days = set(days_of(expired)) | set(days_of(hit)) | set(days_of(batch, F.to_date("ts")))
-    store.rewrite(
-        name, sorted(days), lambda base: merge(G.tombstone(G.prune(base, cutoffs), ids, at), batch), batch_id
-    )
+    days = expired_days | set(days_of(hit)) | set(days_of(batch, F.to_date("ts")))
+    pruned = (lambda base: base) if cutoffs is None else (lambda base: G.prune(base, cutoffs))
+    store.rewrite(name, sorted(days), lambda base: merge(G.tombstone(pruned(base), ids, at), batch), batch_id)
 
 
-def _window_days(windows: DataFrame, before: int = 0, after: int = 0) -> list:
-    span = F.sequence(
-        F.date_add(F.to_date("t_min"), -before), F.date_add(F.to_date("t_max"), after), F.expr("interval 1 day")
-    )
-    return days_of(windows.select(F.explode(span).alias("day")))
+def _dates(hours: DataFrame, before: int = 0, after: int = 0, name: str = "day") -> DataFrame:
+    """Users and the days around their touched hours."""
+    near = F.array(*(F.date_add(F.to_date("hour"), i) for i in range(-before, after + 1)))
+    return hours.select("user_id", F.explode(near).alias(name)).distinct()
 
 
-def _refresh_rollup(store: Store, windows: DataFrame, name: str, unit: str, batch_id: str) -> None:
-    days = _window_days(windows)
-    samples = on_days(store.read("samples"), days)
-    store.rewrite(name, days, lambda base: G.refresh_rollup(base, samples, windows, unit), batch_id)
+def _refresh_rollup(store: Store, hours: DataFrame, name: str, unit: str, batch_id: str) -> None:
+    days = days_of(_dates(hours))
+    samples = on_days(store.read("samples"), days).drop("day")
+    store.rewrite(name, days, lambda base: G.refresh_buckets(base, samples, hours, unit), batch_id)
 
 
-def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float) -> None:
-    """Recompute the nights around changed samples: rows are read two days to either side,
-    nights are written one day to either side."""
-    read_days, write_days = _window_days(windows, 2, 3), _window_days(windows, 1, 2)
+def _refresh_sleep(store: Store, hours: DataFrame, batch_id: str, gap_s: float) -> None:
+    """Recompute the nights around changed samples: nights are written from one day before to two
+    days after a touched day, and rows are read two days further to either side."""
+    dates, reach = _dates(hours, 1, 2, "sleep_date"), _dates(hours, 3, 4)
+    write_days, read_days = days_of(dates, "sleep_date"), days_of(reach)
     if not write_days:
         return
-    whole = G.align_window(windows, "day")
-    wide = whole.select(
-        "user_id", (F.col("t0") - F.expr("interval 48 hours")).alias("t0"),
-        (F.col("t1") + F.expr("interval 48 hours")).alias("t1"),
-    )
-    near = G.in_window(on_days(store.read("samples"), read_days), wide, "ts")
-    dates = whole.select(
-        "user_id", F.date_add(F.to_date("t0"), -1).alias("d0"), F.date_add(F.to_date("t1"), 1).alias("d1")
-    )
+    near = on_days(store.read("samples"), read_days).join(reach, ["user_id", "day"], "left_semi").drop("day")
 
     def touched(df: DataFrame) -> DataFrame:
-        return df.join(dates, "user_id").filter(F.col("sleep_date").between(F.col("d0"), F.col("d1"))).drop("d0", "d1")
+        return df.join(dates, ["user_id", "sleep_date"], "left_semi")
 
     def others(df: DataFrame) -> DataFrame:
-        inside = F.col("d0").isNotNull() & F.col("sleep_date").between(F.col("d0"), F.col("d1"))
-        return df.join(dates, "user_id", "left").filter(~inside).drop("d0", "d1")
+        return df.join(dates, ["user_id", "sleep_date"], "left_anti")
 
     width_s = fit_width(L.sleep_rows(near), ["user_id"], "segment_start_ts")
     fresh = touched(L.sleep_segments(L.label_sleep(near, gap_s, width_s)))
@@ -185,9 +215,9 @@ def _refresh_sleep(store: Store, windows: DataFrame, batch_id: str, gap_s: float
     store.rewrite("sleep_daily", write_days, change, batch_id)
 
 
-def _refresh_workouts(store, upserted, gone, windows, batch_id) -> None:
+def _refresh_workouts(store, upserted, gone, hours, windows, batch_id) -> None:
     events = store.read("events").drop("day")
-    near = on_days(store.read("events"), _window_days(windows, 0, 4))
+    near = on_days(store.read("events"), days_of(_dates(hours, 0, 4)))
     touched = _kept(
         store,
         G.touched_workouts(near, upserted.select("user_id", "hk_uuid"), windows, stored=store.read("workouts")),

@@ -36,16 +36,29 @@ def register_rollup_views(
             rebucket_tz(scope(tables[name], user_id), unit, tz).createOrReplaceTempView(name)
 
 
+#: the setting that says whose views a session holds
+GOVERNED_USER = "pulseframe.governed.user"
+#: what a query may be made of, by the names of Spark's parsed plan; anything else is refused
+_ALLOWED = {
+    "Project", "Filter", "Join", "LateralJoin", "SubqueryAlias", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit",
+    "Offset", "Distinct", "Union", "Except", "Intersect", "OneRowRelation", "LocalRelation", "UnresolvedInlineTable",
+    "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Window", "Pivot", "Unpivot", "UnresolvedRelation", "UnresolvedWith",
+}
+#: functions that run code or look outside the rows
+_REFUSED = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "version"}
+
+
 def governed_session(
     spark: SparkSession, load: Callable[[SparkSession], Mapping[str, DataFrame]], user_id: str, tz: str
 ) -> SparkSession:
-    """A session that holds nothing but the governed views of one user.
+    """A session with the governed views of one user, to be used through :func:`ask`.
 
-    ``load`` builds the derived tables in the session it is given. Reading files by
-    path is switched off for SQL text, so the views are the only way in.
+    ``load`` builds the derived tables in the session it is given. The session shares the
+    catalog and the global views with others; ``ask`` sees to it that a text reaches none.
     """
     session = configure(spark.newSession())
     session.conf.set("spark.sql.runSQLOnFiles", "false")
+    session.conf.set(GOVERNED_USER, user_id)
     register_views(session, load(session), user_id, tz)
     return session
 
@@ -53,9 +66,56 @@ def governed_session(
 def ask(session: SparkSession, sql: str, user_id: str, tz: str) -> DataFrame:
     """Run one ad-hoc query with the two binds ``:user_id`` and ``:tz_name``.
 
-    The text is placed as a subquery, where the grammar admits nothing but a query.
+    The text is parsed on its own, so it must be one whole statement, and its plan may only hold
+    query parts, governed views and the text's own common table expressions.
     """
-    return session.sql(f"SELECT * FROM (\n{sql}\n)", args={"user_id": user_id, "tz_name": tz})
+    if session.conf.get(GOVERNED_USER, None) != user_id:
+        raise PermissionError("the session holds the views of another user")
+    try:
+        plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as error:
+        raise ValueError(f"not one whole query: {error}") from error
+    _check(plan, {*SCOPED, *ROLLUPS})
+    return session.sql(sql, args={"user_id": user_id, "tz_name": tz})
+
+
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def _check(plan, known: set[str]) -> None:
+    """Refuse a parsed plan that reaches for more than the ``known`` relations."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in _ALLOWED:
+        raise PermissionError(f"not allowed in a query: {kind}")
+    if kind == "UnresolvedRelation":
+        name = [str(x) for x in _seq(plan.multipartIdentifier())]
+        if len(name) != 1 or name[0].lower() not in known:
+            raise PermissionError(f"not a governed view: {'.'.join(name)}")
+    if kind == "UnresolvedWith":
+        for entry in _seq(plan.cteRelations()):  # each sees those before it
+            _check(entry._2(), known)
+            known = known | {str(entry._1()).lower()}
+        _check(plan.child(), known)
+        return
+    for child in _seq(plan.children()):
+        _check(child, known)
+    for expression in _seq(plan.expressions()):
+        _check_expression(expression, known)
+
+
+def _check_expression(expression, known: set[str]) -> None:
+    kind = expression.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        name = [str(x).lower() for x in _seq(expression.nameParts())]
+        if name[-1] in _REFUSED or name[:-1] not in ([], ["system", "builtin"], ["builtin"]):
+            raise PermissionError(f"function not allowed: {'.'.join(name)}")
+    if kind.startswith("ExpressionWithUnresolvedIdentifier"):
+        raise PermissionError("identifiers are written out")
+    if hasattr(expression, "plan") and kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        _check(expression.plan(), known)
+    for child in _seq(expression.children()):
+        _check_expression(child, known)
 
 
 def post_filter(df: DataFrame, condition: Column | str) -> DataFrame:
@@ -63,13 +123,6 @@ def post_filter(df: DataFrame, condition: Column | str) -> DataFrame:
     return df.filter(condition)
 
 
-def calendar_spine(spark: SparkSession, start: str, end: str, step: str = "1 day") -> DataFrame:
-    """One row per step from start to end, both included; generated on the executors."""
-    return spark.sql(
-        f"SELECT explode(sequence(timestamp '{start}', timestamp '{end}', interval {step})) AS step_ts"
-    )
-
-
 def calendar_days(start: Column, end: Column) -> Column:
     """Generator: the days between two instants of a row, both included."""
     return F.explode(

@@ -123,7 +123,6 @@ WORKOUT_ATTRIBUTES = ("workout_distance_km", "workout_duration_min", "workout_en
 LEGACY_FLAGS = ("event_hard_workout", "event_long_run_km")
 # Limits.
 RETENTION_DAYS = 60
-SPLIT_CAP = 300
 MICRO_KM = 1_000_000
 MICRO_KM_PER_MILE = 1_609_344
 MAX_UPLOAD_BYTES = 200 * 1024 * 1024

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pulseframe.operators.merge import merge_by_policy
 
 DAY = "day"
-BUCKETS = 16
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -50,11 +49,12 @@ def on_days(df: DataFrame, days: Sequence) -> DataFrame:
 def write_days(df: DataFrame, path: str, sort: Sequence[str]) -> None:
     """Write rows over the days they belong to.
 
-    One shuffle spreads each day over hash buckets of the sort key, so a crowded day or
-    user is written by several tasks; inside a file rows are sorted for min/max pruning.
+    The rows of a day are brought together, and Spark splits a day into as many tasks as its
+    measured size needs (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so a crowded day
+    or user is written by many; inside a file rows are sorted for min/max pruning.
     """
     (
-        df.repartition(F.col(DAY), F.pmod(F.xxhash64(*sort), F.lit(BUCKETS)))
+        df.hint("rebalance", DAY)
         .sortWithinPartitions(DAY, *sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -71,7 +71,7 @@ def rewrite_days(
 
     The result goes to a staging folder of its own first, so nothing is overwritten while
     it is still being read and a lost executor only repeats its tasks. Days that end up
-    without rows take no part in a dynamic overwrite; they get an empty file instead.
+    without rows take no part in a dynamic overwrite; their folders are removed.
     """
     if not days:
         return
@@ -81,9 +81,12 @@ def rewrite_days(
     fresh.write.mode("overwrite").parquet(staging)
     staged = spark.read.schema(schema).parquet(staging).withColumn(DAY, F.to_date(day_col))
     write_days(staged, path, sort)
-    for day in set(before) - set(days_of(staged)):
-        nothing = spark.createDataFrame([], schema)
-        nothing.write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
+    empty = sorted(set(before) - set(days_of(staged)))
+    if empty:
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for day in empty:  # a folder operation a day, no job
+            files.delete(at(f"{path}/{DAY}={day}"), True)
 
 
 def write_upsert(

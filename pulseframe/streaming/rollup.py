@@ -2,58 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from pulseframe import schema as S
-from pulseframe.functions.metrics import is_sleep
-from pulseframe.operators.rollup import BUCKET, latest, live_rows
+from pulseframe.plans.ingest import Store, apply_samples
 
+TABLES = {"hour": "rollup_hourly", "day": "rollup_daily"}
 
-def stream_rollup(stream: DataFrame, unit: str, watermark: str = "60 days") -> DataFrame:
-    """Streaming rollup in update mode; buckets stay open for the retention span.
 
-    The same numbers as the batch rollup: state per bucket is a handful of numbers and
-    one unit, combined before the shuffle.
-    """
-    metric = F.col("metric_type")
-    total, n = F.sum("metric_value"), F.count(F.lit(1))
-    return (
-        live_rows(stream)
-        .filter(~is_sleep(metric))
-        .withWatermark("ts", watermark)
-        .groupBy("user_id", "metric_type", F.window("ts", f"1 {unit}").alias("w"))
-        .agg(
-            latest(F.col("unit"), F.col("ts")).alias("unit"),
-            total.alias("_total"),
-            F.min("metric_value").alias("min_value"),
-            F.max("metric_value").alias("max_value"),
-            n.alias("n"),
-        )
-        .select(
-            "user_id", "metric_type", F.col("w.start").alias("bucket_ts"), "unit",
-            F.when(metric.isin(*S.AVERAGE_METRICS), F.col("_total") / F.col("n")).alias("avg_value"),
-            F.when(metric.isin(*S.SUM_METRICS), F.col("_total")).alias("sum_value"),
-            "min_value", "max_value", "n",
-        )
-    )
-
-
-def write_updates(updates: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write changed buckets of every micro-batch to a folder of their own.
-
-    A replayed micro-batch overwrites its own folder, so the log stays exact.
+def stream_rollup(
+    stream: DataFrame, root: str, checkpoint: str, units: tuple[str, ...] = ("hour", "day"), available_now: bool = True
+) -> StreamingQuery:
+    """Keep the rollups under ``root`` equal to a full rollup of all samples seen.
+
+    Rows are samples; one that was seen before replaces its earlier version wherever it lay, and
+    one with ``deleted_at`` takes it away. Each micro-batch is merged into the stored samples and
+    the buckets that it touches are computed again, so no state is kept between micro-batches,
+    nothing is ever too late, and a replayed micro-batch gives the same tables.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        apply_samples(Store(batch.sparkSession, root), batch, f"batch={batch_id}", {TABLES[u]: u for u in units})
 
-    writer = updates.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """Current state of a rollup: the newest update of each bucket."""
-    log = spark.read.parquet(path)
-    cols = [c for c in log.columns if c not in (*BUCKET, "batch")]
-    return log.groupBy(*BUCKET).agg(F.max_by(F.struct(*cols), "batch").alias("s")).select(*BUCKET, "s.*")

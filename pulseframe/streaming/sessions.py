@@ -20,6 +20,11 @@ def stream_sessions(
 ) -> StreamingQuery:
     """Keep the table of sleep rows current; sessions are derived from it on read.
 
+    A row seen again replaces its earlier version, also on another day, and one with a
+    ``deleted_at`` takes it away. Of several versions in a micro-batch the last by ``ordinal``
+    counts, or else the one that starts last. A stored row is found by its key, of which only
+    key and day are read; both the day it leaves and the day it enters are rewritten.
+
     A session boundary depends on the row before in start order, and late rows may fall
     between rows seen long ago. Per-key operator state would have to hold a user's whole
     history in one task; merging rows into day partitions and cutting sessions with the
@@ -27,14 +32,20 @@ def stream_sessions(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*ROWS.fieldNames()).dropDuplicates(["user_id", "hk_uuid"])
-        spark, path = batch.sparkSession, f"{root}/sleep_rows"
-        days = days_of(rows, F.to_date("segment_start_ts"))
+        spark, path, keys = batch.sparkSession, f"{root}/sleep_rows", ["user_id", "hk_uuid"]
+        gone = F.col("deleted_at").isNotNull() if "deleted_at" in batch.columns else F.lit(False)
+        order = F.col("ordinal") if "ordinal" in batch.columns else F.struct("segment_start_ts", "segment_end_ts", "metric_value")
+        last = F.max_by(F.struct(*ROWS.fieldNames(), gone.alias("gone")), order).alias("row")
+        staged, names = f"{root}/_staging/batch={batch_id}/changes", [*ROWS.fieldNames(), "gone"]
+        batch.groupBy(*keys).agg(last).select("row.*").select(*names).write.mode("overwrite").parquet(staged)
+        changes = spark.read.parquet(staged)
+        rows = changes.filter(~F.col("gone")).drop("gone")
+        # the days a row left are rewritten whole, so a replay need not find them again
+        moved = read_table(spark, path, ROWS).join(changes.select(*keys), keys, "left_semi")
+        days = sorted(set(days_of(rows, F.to_date("segment_start_ts"))) | set(days_of(moved)))
         rewrite_days(
             spark, path, ROWS, days, "segment_start_ts", ("user_id", "hk_uuid"),
-            lambda stored: stored.join(
-                rows.select("user_id", "hk_uuid"), ["user_id", "hk_uuid"], "left_anti"
-            ).unionByName(rows),
+            lambda stored: stored.join(changes.select(*keys), keys, "left_anti").unionByName(rows),
             f"{root}/_staging/batch={batch_id}/sleep_rows",
         )
 

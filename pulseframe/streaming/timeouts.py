@@ -13,59 +13,56 @@ from pulseframe import schema as S
 OUTCOMES = "task_id string, status string, started_at timestamp, age_s double"
 
 
-def stream_timeout(
-    reports: DataFrame, seconds: int = S.PROCESSING_TIMEOUT_S, watermark: str = "0 seconds"
-) -> DataFrame:
+def stream_timeout(reports: DataFrame, watermark: str, seconds: int = S.PROCESSING_TIMEOUT_S) -> DataFrame:
     """One outcome per upload: completed, failed, or timeout when nothing came in time.
 
-    Input are status reports ``(task_id, status, ts)``; an upload starts with its
-    ``pending`` report. Time is event time, so reruns decide alike. The key is one upload
-    and its state one instant, so no group can grow.
+    Input are status reports ``(task_id, status, ts)``; an upload starts with its ``pending``
+    report. Time is event time, so reruns decide alike. ``watermark`` is how late a report may
+    come: reports may come in any order within it. The key is one upload and its state two
+    instants and a status, so no group can grow. An end whose start does not come within the
+    lateness is given up.
     """
 
     def run(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
         (task_id,) = key
+        started, ended, status = state.get if state.exists else (None, None, None)
         if state.hasTimedOut:
-            started = state.get[0]
             state.remove()
-            yield _outcome(task_id, "timeout", started, float(seconds))
+            if started is not None:
+                yield _outcome(task_id, "timeout", started, float(seconds))
             return
-        started = state.get[0] if state.exists else None
-        ended = None
-        # one pass in whatever order reports come, keeping two instants
+        # one pass in whatever order reports come
         for frame in frames:
-            if not state.exists:
-                starts = frame.loc[frame["status"] == "pending", "ts"]
-                if len(starts) and (started is None or starts.min() < started):
-                    started = starts.min()
-            ends = frame[frame["status"].isin(["completed", "failed"])]
-            if len(ends):
-                first = ends.loc[ends["ts"].idxmin()]
-                if ended is None or first["ts"] < ended["ts"]:
-                    ended = first
-        if started is None:
-            return
-        if ended is not None:
-            age = (ended["ts"] - started).total_seconds()
-            status = ended["status"] if age < seconds else "timeout"
+            for at in frame.loc[frame["status"] == "pending", "ts"]:
+                started = at if started is None else min(pd.Timestamp(started), at)
+            for row in frame[frame["status"].isin(["completed", "failed"])].itertuples(index=False):
+                if ended is None or row.ts < pd.Timestamp(ended):
+                    ended, status = row.ts, row.status
+        if started is not None and ended is not None:
+            age = (pd.Timestamp(ended) - pd.Timestamp(started)).total_seconds()
             if state.exists:
                 state.remove()
-            yield _outcome(task_id, status, started, min(age, float(seconds)))
+            yield _outcome(task_id, status if age < seconds else "timeout", started, min(age, float(seconds)))
+            return
+        known = started if started is not None else ended
+        if known is None:
             return
-        deadline = int(pd.Timestamp(started).timestamp() * 1_000) + seconds * 1_000
+        deadline = int(pd.Timestamp(known).timestamp() * 1_000) + seconds * 1_000
         if deadline <= state.getCurrentWatermarkMs():
             if state.exists:
                 state.remove()
-            yield _outcome(task_id, "timeout", started, float(seconds))
+            if started is not None:
+                yield _outcome(task_id, "timeout", started, float(seconds))
             return
-        state.update((pd.Timestamp(started).to_pydatetime(),))
+        plain = lambda t: None if t is None else pd.Timestamp(t).to_pydatetime()
+        state.update((plain(started), plain(ended), status))
         state.setTimeoutTimestamp(deadline)
 
     return (
         reports.withWatermark("ts", watermark)
         .groupBy("task_id")
         .applyInPandasWithState(
-            run, OUTCOMES, "started timestamp", "append", GroupStateTimeout.EventTimeTimeout
+            run, OUTCOMES, "started timestamp, ended timestamp, status string", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

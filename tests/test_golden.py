@@ -227,10 +227,10 @@ def test_ten_tenths_make_one_kilometre(spark):
     assert (only.start_ts, only.end_ts) == (at("2024-01-01T01:00:00"), at("2024-01-01T01:19:00"))
 
 
-def test_one_long_sample_gives_the_cap(spark):
+def test_one_long_sample_gives_all_its_splits(spark):
     rows = split_rows(spark, [distance("a", "2024-01-01T01:00:00", "2024-01-01T08:00:00", 700.0)], ("km", "mi"))
     km = [r for r in rows if r.segment_unit == "km"]
-    assert len(km) == 300 and len(rows) == 600
+    assert len(km) == 700 and len(rows) == 700 + 434
     assert (km[1].start_ts, km[1].end_ts) == (at("2024-01-01T01:00:36"), at("2024-01-01T01:01:12"))
 
 

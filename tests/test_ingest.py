@@ -115,3 +115,59 @@ def test_old_rows_are_pruned(spark, store, tmp_path):
     left = {r.hk_uuid for r in s.read("samples").filter("user_id = 'u'").collect()}
     assert left == {"n1"}
     assert s.read("samples").filter("user_id = 'other'").count() == 1
+
+
+def full(store):
+    """Derived tables computed from all stored samples, to compare with the maintained ones."""
+    live = store.read("samples").drop("day")
+    night = L.sleep_daily_from_segments(L.sleep_segments(L.label_sleep(live)))
+    return {
+        "rollup_hourly": R.rollup(live, "hour").select(*S.ROLLUP.fieldNames()),
+        "rollup_daily": R.rollup(live, "day").select(*S.ROLLUP.fieldNames()),
+        "sleep_daily": night.select(*S.NIGHTS.fieldNames()),
+    }
+
+
+def same(store):
+    for name, want in full(store).items():
+        got = store.read(name).drop("day")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+
+
+def test_a_moved_sample_leaves_its_old_bucket(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    apply(spark, s, tmp_path, "one", [
+        line("a", "2024-01-10T10:00:00Z", "heart_rate", "10"), line("b", "2024-01-11T10:00:00Z", "heart_rate", "20"),
+        line("s", "2024-01-10T23:00:00Z", "sleep_core_minutes", "120", "2024-01-11T01:00:00Z"),
+    ])
+    apply(spark, s, tmp_path, "two", [
+        line("a", "2024-01-13T10:00:00Z", "heart_rate", "10"),
+        line("s", "2024-01-15T23:00:00Z", "sleep_core_minutes", "120", "2024-01-16T01:00:00Z"),
+    ])
+    same(s)
+    days = {str(r.bucket_ts.date()) for r in s.read("rollup_daily").collect()}
+    assert days == {"2024-01-11", "2024-01-13"}
+    assert [str(r.sleep_date) for r in s.read("sleep_daily").collect()] == ["2024-01-16"]
+    assert not (tmp_path / "store" / "_staging" / "two").exists()
+
+
+def test_replay_after_a_failure_between_raw_and_derived(spark, tmp_path, monkeypatch):
+    from pulseframe.plans import ingest
+
+    s = Store(spark, str(tmp_path / "store"))
+    apply(spark, s, tmp_path, "one", [line("a", "2024-01-10T10:00:00Z", "heart_rate", "10"), line("b", "2024-01-10T11:00:00Z", "heart_rate", "20")])
+    second = [line("a", "2024-01-13T10:00:00Z", "heart_rate", "10"), line("b", op="delete")]
+    monkeypatch.setattr(ingest, "_refresh_rollup", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        apply(spark, s, tmp_path, "two", second)
+    monkeypatch.undo()
+    apply(spark, s, tmp_path, "two", second)
+    same(s)
+
+
+def test_rollups_of_pruned_days_stay(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    apply(spark, s, tmp_path, "one", [line(str(i), f"{d}T10:00:00Z", "heart_rate", "10") for i, d in enumerate(("2023-12-31", "2024-01-01", "2024-01-02", "2024-01-10"))])
+    apply(spark, s, tmp_path, "two", [line("9", "2024-03-05T10:00:00Z", "heart_rate", "10"), line("1", op="delete")])
+    days = {str(r.bucket_ts.date()) for r in s.read("rollup_daily").collect()}
+    assert days == {"2023-12-31", "2024-01-02", "2024-01-10", "2024-03-05"}
