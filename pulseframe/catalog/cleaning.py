@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.catalog.registry import query
 from pulseframe.catalog.shape import rounded
-from pulseframe.catalog.sql import local, meta_json, with_parts
+from pulseframe.catalog.sql import WHITE, local, meta_json, with_parts
 from pulseframe.functions import clean as C, meta as M, metrics, zones as Z
 from pulseframe.operators import clean as O, rollup as R, workouts as W
 from pulseframe.sources import adapter as A
@@ -37,7 +37,7 @@ def stamp_user(spark, sf):
     return O.stamp_user(A.text_rows(spark, sf), "caller").select("event_id", "user_id")
 
 
-@query("audit_user_ids", with_parts("SELECT DISTINCT trim(user_id) AS user_id FROM text_rows WHERE trim(user_id) <> '1'"))
+@query("audit_user_ids", with_parts(f"SELECT DISTINCT trim(user_id, {WHITE}) AS user_id FROM text_rows WHERE trim(user_id, {WHITE}) <> '1'"))
 def audit_user_ids(spark, sf):
     return O.audit_user_ids(A.text_rows(spark, sf), "1")
 
@@ -78,7 +78,7 @@ def split_ops(spark, sf):
     )
 
 
-@query("identity_guard", with_parts("SELECT event_id, user_id FROM text_rows WHERE coalesce(lower(op), 'upsert') <> 'delete' AND nullif(trim(hk_uuid), '') IS NULL"))
+@query("identity_guard", with_parts(f"SELECT event_id, user_id FROM text_rows WHERE coalesce(lower(op), 'upsert') <> 'delete' AND nullif(trim(hk_uuid, {WHITE}), '') IS NULL"))
 def identity_guard(spark, sf):
     return O.identity_violations(A.text_rows(spark, sf)).select("event_id", "user_id")
 

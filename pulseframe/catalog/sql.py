@@ -25,6 +25,10 @@ def utc(ts: str, zone: str) -> str:
     return f"({ts} AT TIME ZONE {zone} AT TIME ZONE 'UTC')"
 
 
+#: white space of any kind, as SQL
+WHITE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+# The metrics that a rollup averages and those that it sums.
 AVG_METRICS = """('heart_rate','resting_heart_rate','walking_hr_avg','hr_variability_sdnn','walking_speed',
 'vo2_max','body_mass','body_mass_index','blood_glucose','oxygen_saturation','blood_pressure_systolic',
 'blood_pressure_diastolic','respiratory_rate','body_temperature')"""
@@ -67,19 +71,19 @@ PARTS["text_rows"] = """SELECT event_id,
  CASE WHEN k % 11 = 0 THEN 'not a time' WHEN k % 11 = 1 THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS timestamp,
  ts AS true_ts,
  CASE WHEN k % 13 = 0 THEN '' ELSE metric_type END AS metric_type,
- CASE WHEN k % 7 = 0 THEN 'n/a' WHEN k % 7 = 1 THEN '  ' ELSE ' ' || format('{:.4f}', metric_value) END AS metric_value,
- CASE WHEN k % 8 = 0 THEN '   ' ELSE ' ' || unit END AS unit,
+ CASE WHEN k % 7 = 0 THEN 'n/a' WHEN k % 7 = 1 THEN ' ' || chr(9) WHEN k % 7 = 2 THEN 'NaN' ELSE ' ' || format('{:.4f}', metric_value) END AS metric_value,
+ CASE WHEN k % 8 = 0 THEN ' ' || chr(10) || chr(13) ELSE chr(9) || unit || chr(10) END AS unit,
  coalesce(tz_name, ' ') AS timezone,
  CASE WHEN k % 4 = 1 THEN '-300.0' ELSE CAST(utc_offset_min AS VARCHAR) END AS utc_offset_min,
  CASE WHEN op = 'delete' THEN 'DELETE' WHEN k % 2 = 0 THEN 'upsert' END AS op,
- CASE WHEN k % 17 = 0 THEN ' ' ELSE hk_uuid END AS hk_uuid, k FROM mirror"""
+ CASE WHEN k % 17 = 0 THEN chr(11) ELSE hk_uuid END AS hk_uuid, k FROM mirror"""
 
-PARTS["typed"] = """SELECT event_id, nullif(trim(user_id), '') AS user_id,
+PARTS["typed"] = f"""SELECT event_id, nullif(trim(user_id, {WHITE}), '') AS user_id,
  CASE WHEN timestamp NOT IN ('not a time', '') THEN true_ts END AS ts,
- nullif(trim(metric_type), '') AS metric_type, TRY_CAST(trim(metric_value) AS DOUBLE) AS metric_value,
- nullif(trim(unit), '') AS unit, nullif(trim(timezone), '') AS tz_name,
+ nullif(trim(metric_type, {WHITE}), '') AS metric_type, nullif(TRY_CAST(trim(metric_value, {WHITE}) AS DOUBLE), CAST('nan' AS DOUBLE)) AS metric_value,
+ nullif(trim(unit, {WHITE}), '') AS unit, nullif(trim(timezone, {WHITE}), '') AS tz_name,
  CAST(TRY_CAST(utc_offset_min AS DOUBLE) AS INTEGER) AS utc_offset_min,
- op, nullif(trim(hk_uuid), '') AS hk_uuid, k FROM text_rows"""
+ op, nullif(trim(hk_uuid, {WHITE}), '') AS hk_uuid, k FROM text_rows"""
 
 PARTS["facts"] = """SELECT user_id, 'W-' || event_id AS workout_uuid, ts,
  CASE WHEN k % 3 <> 0 THEN ts + to_minutes(1440 * (1 + k % 5)) END AS end_ts,

@@ -61,14 +61,19 @@ def size_gate(spark, sf):
     return L.size_gate(A.uploads(spark, sf), 2_000).select("doc_id", "user_id")
 
 
-@query("upload_decision", with_parts("""SELECT u.user_id, u.content_hash, CASE WHEN l.status IS NULL THEN 'new'
+@query("upload_decision", with_parts("""SELECT user_id, content_hash, ordinal, CASE WHEN ordinal > min(ordinal) OVER (PARTITION BY user_id, content_hash)
+ AND decision IN ('new', 'reprocessing') THEN 'processing' ELSE decision END AS decision FROM (
+ SELECT u.user_id, u.content_hash, u.ordinal, CASE WHEN l.status IS NULL THEN 'new'
  WHEN l.status IN ('pending', 'processing') AND epoch_us(TIMESTAMP '2024-02-01') - epoch_us(l.created_at) < 300000000 THEN 'processing'
  WHEN l.status = 'completed' THEN 'completed' ELSE 'reprocessing' END AS decision
- FROM (SELECT user_id, 'h' || event_id AS content_hash FROM ev) u
- LEFT JOIN (SELECT * FROM led WHERE event_id % 4 <> 0) l USING (user_id, content_hash)""", led=LEDGER))
+ FROM (SELECT user_id, 'h' || event_id AS content_hash, event_id * 2 + r.i AS ordinal FROM ev, (VALUES (0), (1)) AS r(i) WHERE r.i = 0 OR event_id % 3 = 0) u
+ LEFT JOIN (SELECT * FROM led WHERE event_id % 4 <> 0) l USING (user_id, content_hash))""", led=LEDGER))
 def upload_decision(spark, sf):
     ledger = _ledger(spark, sf)
-    arrivals = ledger.select("user_id", "content_hash")
+    # every third content is uploaded twice
+    again = F.array(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1))
+    arrivals = ledger.select("user_id", "content_hash", "event_id", F.explode(F.array_compact(again)).alias("i"))
+    arrivals = arrivals.select("user_id", "content_hash", (F.col("event_id") * 2 + F.col("i")).alias("ordinal"))
     return L.upload_decision(arrivals, ledger.filter("event_id % 4 <> 0"), _now())
 
 

@@ -238,5 +238,6 @@ def _refresh_workouts(store, upserted, gone, hours, windows, batch_id) -> None:
     if not days:
         return
     samples = on_days(store.read("samples"), sample_days)
-    parts = P.split_measures(P.splits(P.distance_stream(samples, new)), samples).select(*S.SPLITS.fieldNames())
+    bare = _kept(store, P.splits(P.distance_stream(samples, new)), f"_staging/{batch_id}/splits")  # read twice below
+    parts = P.split_measures(bare, samples).select(*S.SPLITS.fieldNames())
     store.rewrite("workout_splits", days, lambda base: G.replace_splits(base, parts, changed), batch_id)

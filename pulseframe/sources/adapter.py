@@ -111,15 +111,15 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 9 == 0, F.concat(F.lit(" u"), "user_id")).otherwise(F.col("user_id")).alias("user_id"),
         F.when(k % 11 == 0, "not a time").when(k % 11 == 1, "").otherwise(text("ts")).alias("timestamp"),
         F.when(k % 13 == 0, "").otherwise(F.col("metric_type")).alias("metric_type"),
-        F.when(k % 7 == 0, "n/a").when(k % 7 == 1, "  ")
+        F.when(k % 7 == 0, "n/a").when(k % 7 == 1, " \t").when(k % 7 == 2, "NaN")
         .otherwise(F.concat(F.lit(" "), F.format_string("%.4f", "metric_value"))).alias("metric_value"),
-        F.when(k % 8 == 0, "   ").otherwise(F.concat(F.lit(" "), "unit")).alias("unit"),
+        F.when(k % 8 == 0, " \n\r").otherwise(F.concat(F.lit("\t"), "unit", F.lit("\n"))).alias("unit"),
         F.lit(None).cast("string").alias("source"),
         F.coalesce("timezone", F.lit(" ")).alias("timezone"),
         F.when(k % 4 == 1, "-300.0").otherwise(F.col("utc_offset_min").cast("string")).alias("utc_offset_min"),
         text("created_at").alias("created_at"),
         F.when(F.col("op") == "delete", "DELETE").when(k % 2 == 0, "upsert").alias("op"),
-        F.when(k % 17 == 0, " ").otherwise(F.col("hk_uuid")).alias("hk_uuid"),
+        F.when(k % 17 == 0, "\x0b").otherwise(F.col("hk_uuid")).alias("hk_uuid"),
         text("end_ts").alias("end_ts"),
         "hk_source_name", "hk_source_version",
         F.when(k % 6 == 0, "not json").otherwise(F.col("hk_metadata")).alias("hk_metadata"),
