@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.llm.blocks import deal, opened, whole
-from pulseframe.llm.tables import documents, groups_for, release, stored
+from pulseframe.llm.tables import documents, drop_partition, groups_for, release, stored
 from pulseframe.llm.words import U, Words, lower, mix, narrow, pack, slices, text_buffer, unpack, widen
 
 #: discounts apply to counts up to K; bigrams seen less often than LEAST count as unseen
 K, LEAST = 5, 2
 #: tokens that a task counts before it sends the counts on
-HELD = 1_500_000
+HELD = 1_000_000
 UNIGRAM, BIGRAM, COUNTS = 1, 2, 0
 END, BEGIN = U(0x7A3C_55E1_0D94_B62F), U(0x1F83_D9AB_FB41_BD6B)
 _PAIR = U(0xD6E8FEB86659FD93)
@@ -121,7 +121,7 @@ def _counter(ranges: int) -> Callable:
     return run
 
 
-_COUNTED = "kind int, h long, w long, part int, n long"
+_COUNTED = "kind int, h long, w long, key long, part int, n long"
 
 
 def _merge(ranges: int) -> Callable:
@@ -158,6 +158,7 @@ def _merged(table: pa.Table, ranges: int) -> pa.Table:
         "kind": pa.array(np.concatenate([np.full(keep.sum(), kind), np.full(more, COUNTS)]).astype(np.int32)),
         "h": pa.array(np.concatenate([signed(h[keep]), np.full(more, kind)])),
         "w": pa.array(np.concatenate([signed(w[keep]), np.arange(more)])),
+        "key": pa.array(np.concatenate([signed(key[keep]), np.zeros(more, np.int64)])),
         "part": pa.array(np.concatenate([_range_of(key[keep], ranges), np.zeros(more, np.int64)]).astype(np.int32)),
         "n": pa.array(np.concatenate([n[keep], of_counts, [n.sum()]]).astype(np.int64)),
     })
@@ -180,8 +181,8 @@ def discounts(of_counts: list[int]) -> list[float]:
 
 @dataclass
 class Model:
-    """``counts`` (kind, h, w, part, n), ``bigrams`` (h, w, part, gain, log_alpha: what a seen
-    bigram gains over backing off, and the weight of its history) and ``weights`` (h, log_alpha),
+    """``counts`` (kind, h, w, key, part, n), ``bigrams`` (h, key, part, gain, log_alpha: what a
+    seen bigram gains over backing off, and the weight of its history) and ``weights`` (h, log_alpha),
     with what all tokens share. Logarithms are decimal."""
 
     ranges: int
@@ -212,6 +213,8 @@ def train(docs: DataFrame, ranges: int | None = None) -> Model:
     unknown = (left if left > 0 else 1 / (tokens + 1)) if tokens else 1.0
     p_word = _discounted(F.col("n"), uni) * F.lit(scale / max(tokens, 1))
     bigrams = stored(_gains(counts, p_word, bi), "bigrams")
+    drop_partition(spark, counts, f"kind={BIGRAM}")  # the gains stand for them now
+    counts = spark.read.schema(counts.schema).parquet(*{f.split("/kind=")[0] for f in counts.inputFiles()})
     weights = stored(bigrams.groupBy("h").agg(F.max("log_alpha").alias("log_alpha")), "backoff")
     begin_key = int(BEGIN.astype(np.int64))
     begin = weights.filter(F.col("h") == begin_key).select("log_alpha").first()
@@ -239,15 +242,15 @@ def _gains(counts: DataFrame, p_word: Column, factors: list[float]) -> DataFrame
     if LEAST > 1:  # the beginning counts as a history even after a single document
         once = counts.filter((F.col("kind") == UNIGRAM) & (F.col("w") == end) & (F.col("n") < LEAST))
         as_history = as_history.unionByName(once.select(F.lit(begin).alias("h"), F.col("n").alias("n_history")))
-    two = counts.filter(F.col("kind") == BIGRAM).select("h", "w", "part", "n").join(of_word, "w").join(as_history, "h")
-    two = two.select("h", "w", "part", "p_word", "n_history", (_discounted(F.col("n"), factors) / F.col("n_history")).alias("share"))
+    two = counts.filter(F.col("kind") == BIGRAM).select("h", "w", "key", "part", "n").join(of_word, "w").join(as_history, "h")
+    two = two.select("h", "key", "part", "p_word", "n_history", (_discounted(F.col("n"), factors) / F.col("n_history")).alias("share"))
     sums = two.groupBy("h").agg(F.sum("share").alias("kept"), F.sum("p_word").alias("covered"))
     kept = F.col("kept")
     # where discounting took nothing from a history, one more occurrence leaves room to back off
     scale = F.when(kept > 1 - 1e-9, F.col("n_history") / (F.col("n_history") + 1) / kept).otherwise(F.lit(1.0))
     log_alpha = F.log10((1 - kept * scale) / (1 - F.col("covered")))
     gain = F.log10(F.col("share") * scale) - log_alpha - F.log10("p_word")
-    return two.join(sums, "h").select("h", "w", "part", gain.cast("float").alias("gain"), log_alpha.alias("log_alpha"))
+    return two.join(sums, "h").select("h", "key", "part", gain.cast("float").alias("gain"), log_alpha.cast("float").alias("log_alpha"))
 
 
 # ---- scoring
@@ -292,9 +295,7 @@ def _asker(ranges: int) -> Callable:
 
 def _tell(asked: pa.Table, model: pa.Table) -> pa.Table:
     """What the model has on the keys of one range, for each block in the order of its keys."""
-    key = np.asarray(model.column("w")).view(U)
-    if model.num_rows and model.column("kind")[0].as_py() == BIGRAM:
-        key = pair_key(np.asarray(model.column("h")).view(U), key)
+    key = np.asarray(model.column("key")).view(U)
     order = np.argsort(key)
     key = key[order]
     n, x = np.asarray(model.column("n"))[order], np.asarray(model.column("x"))[order]
@@ -365,10 +366,10 @@ def score(docs: DataFrame, model: Model, groups: int | None = None) -> DataFrame
     one = model.counts.filter(F.col("kind") == UNIGRAM).select("w", "part", "n")
     # words that are no history have no weight; only the others are looked up
     often = one.filter(F.col("n") >= LEAST).join(model.weights.withColumnRenamed("h", "w"), "w", "left")
-    rare = one.filter(F.col("n") < LEAST).withColumn("log_alpha", F.lit(None).cast("double"))
+    rare = one.filter(F.col("n") < LEAST).withColumn("log_alpha", F.lit(None).cast("float"))
     one = often.select("w", "part", "n", "log_alpha").unionByName(rare)
-    table = one.select(F.lit(UNIGRAM).alias("kind"), "part", F.lit(0).cast("long").alias("h"), "w", "n", F.coalesce("log_alpha", F.lit(0.0)).cast("float").alias("x"))
-    table = table.unionByName(model.bigrams.select(F.lit(BIGRAM).alias("kind"), "part", "h", "w", F.lit(0).cast("long").alias("n"), F.col("gain").alias("x")))
+    table = one.select(F.lit(UNIGRAM).alias("kind"), "part", F.col("w").alias("key"), "n", F.coalesce("log_alpha", F.lit(0.0)).cast("float").alias("x"))
+    table = table.unionByName(model.bigrams.select(F.lit(BIGRAM).alias("kind"), "part", "key", F.lit(0).cast("long").alias("n"), F.col("gain").alias("x")))
     told = asked.groupBy("kind", "part").cogroup(table.groupBy("kind", "part")).applyInArrow(
         _tell, "block int, kind int, part int, has binary, n binary, x binary")
     shared = Shared(ranges, model.tokens, model.words, model.unknown, model.begin_alpha, model.factors)

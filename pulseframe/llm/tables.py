@@ -23,6 +23,14 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_partition(spark: SparkSession, df: DataFrame, partition: str) -> None:
+    """Remove one partition of a stored table that nothing reads any more."""
+    at = next((f for f in df.inputFiles() if f"/{partition}/" in f), None)
+    if at is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at.split(f"/{partition}/")[0] + f"/{partition}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now: it does so for those that the
     driver's garbage collector finds unused."""

@@ -87,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         first = np.flatnonzero(np.diff(cut, prepend=-1))
         for a, b in zip(first, [*first[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
