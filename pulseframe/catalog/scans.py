@@ -8,6 +8,7 @@ from pulseframe import schema as S
 from pulseframe.catalog.registry import query
 from pulseframe.catalog.shape import rollup_out
 from pulseframe.catalog.sql import ROLLUP_OUT, with_parts
+from pulseframe.functions.metrics import activity_label
 from pulseframe.operators import clean as O, ledger as L, merge as G, rollup as R
 from pulseframe.schema import ROLLUP
 from pulseframe.session import work_folder
@@ -25,9 +26,26 @@ EXPORTED = ("user_id", "hk_uuid", "timestamp", "metric_type", "metric_value", "u
             "timezone", "utc_offset_min", "op", "end_ts", "hk_metadata")
 
 
-@query("export_rows", with_parts(EXPORT))
+KINDS = f"""SELECT 'sample' AS kind, * FROM ({EXPORT})
+ UNION ALL SELECT 'workout', user_id, workout_uuid || '|' || a.attr, strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), a.attr,
+  format('{{:.4f}}', CASE a.u WHEN 'km' THEN distance_km WHEN 'min' THEN duration_min ELSE energy_kcal END), a.u, source, '', '', 'upsert',
+  coalesce(strftime(end_ts, '%Y-%m-%dT%H:%M:%SZ'), ''), ''
+  FROM facts, (VALUES ('workout_distance_km', 'km'), ('workout_duration_min', 'min'), ('workout_energy_kcal', 'kcal')) AS a(attr, u)
+ UNION ALL SELECT 'delete', user_id, hk_uuid || d.suffix, '', '', '', '', '', '', '', 'delete', '', '' FROM samples,
+  (VALUES (''), ('|workout_distance_km'), ('|workout_duration_min'), ('|workout_energy_kcal')) AS d(suffix) WHERE deleted_at IS NOT NULL"""
+
+
+@query("export_rows", with_parts(KINDS))
 def export_rows(spark, sf):
-    return C.export_mirror(R.live_rows(A.samples(spark, sf))).select(*EXPORTED)
+    """A delta with samples, workouts and deletes."""
+    samples = A.samples(spark, sf)
+    facts = A.workout_facts(spark, sf).withColumn("source", activity_label(F.col("activity_code")))
+    parts = {
+        "sample": C.export_mirror(R.live_rows(samples)), "workout": C.export_workouts(facts),
+        "delete": C.export_deletes(samples.filter("deleted_at IS NOT NULL")),
+    }
+    rows = [df.select(F.lit(kind).alias("kind"), *EXPORTED) for kind, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def _mirror_folder(spark, sf) -> str:

@@ -9,7 +9,7 @@ from pulseframe.catalog.registry import query
 from pulseframe.catalog.shape import rollup_out, rounded
 from pulseframe.catalog.sql import ROLLUP_OUT, local, sessions, utc, with_parts
 from pulseframe.operators import chunks as H, merge as G, rollup as R, sleep as L
-from pulseframe.plans.ingest import Store
+from pulseframe.plans.ingest import Store, apply_batch
 from pulseframe.session import configure, work_folder
 from pulseframe.sources import adapter as A, mirror_csv as C
 from pulseframe.streaming import ingest, rollup, sessions as live, timeouts
@@ -100,6 +100,27 @@ def stream_ingest(spark, sf):
     )
 
 
+@query("ingest_incremental", with_parts("""SELECT user_id, metric_type, date_trunc('day', ts) AS bucket_ts, count(*) AS n,
+ min(metric_value) AS min_value, max(metric_value) AS max_value, round(sum(metric_value), 3) AS total
+ FROM ing WHERE metric_type NOT LIKE 'sleep_%' GROUP BY 1, 2, 3""", ing=INGESTED))
+def ingest_incremental(spark, sf):
+    """Three delta files: some samples on wrong days and some that go again, then all, then the
+    deletes. The daily rollups kept up to date are those of a full computation."""
+    folder = work_folder(spark, "deltas")
+    configure(spark)
+    live = R.live_rows(A.samples(spark, sf))
+    early, late, gone = _with_history(live, _shifted("ts", "end_ts"), lambda df: df)
+    store = Store(spark, f"{folder}/store")
+    at = F.lit("2024-03-01").cast("timestamp")
+    texts = [C.export_mirror(early.drop("ordinal")), C.export_mirror(late.drop("ordinal")), C.export_deletes(gone)]
+    for i, text in enumerate(texts):
+        C.write_mirror_csv(text, f"{folder}/in{i}")
+        apply_batch(store, C.read_mirror_csv(spark, f"{folder}/in{i}"), f"delta{i}", at, retention_days=3650, sleep_gap_s=GAP)
+    total = F.coalesce("sum_value", F.col("avg_value") * F.col("n"))
+    return store.read("rollup_daily").select(
+        "user_id", "metric_type", "bucket_ts", "n", "min_value", "max_value", F.round(total, 3).alias("total"))
+
+
 @query("late_recompute", with_parts(f"SELECT {ROLLUP_OUT} FROM hourly"))
 def late_recompute(spark, sf):
     """Every third sample arrives late; refreshing the touched buckets gives the full rollup."""

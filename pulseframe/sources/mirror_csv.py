@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pulseframe import schema as S
 from pulseframe.functions import clean as C
 from pulseframe.functions.metrics import with_catalog
+from pulseframe.operators.workouts import expand_deletes, unpivot_workout
 
 OPTIONAL_DEFAULTS = {"op": "upsert"}
 
@@ -94,5 +95,27 @@ def export_mirror(samples: DataFrame) -> DataFrame:
     )
 
 
+def export_workouts(workouts: DataFrame) -> DataFrame:
+    """Workouts as mirror rows, one for each attribute that has a value."""
+    rows = unpivot_workout(workouts).withColumnsRenamed({"event_type": "metric_type", "value": "metric_value"})
+    rows = rows.filter(C.is_finite(F.col("metric_value")))
+    stamp = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    text = {"timestamp": stamp("ts"), "end_ts": stamp("end_ts"), "metric_value": C.four_decimals(F.col("metric_value")), "op": F.lit("upsert")}
+    rows = rows.withColumn("source", F.col("workout_type")) if "workout_type" in rows.columns else rows
+    plain = {c for c in ("user_id", "metric_type", "unit", "hk_uuid", "source") if c in rows.columns}
+    return rows.select(*(text.get(c, C.one_line(F.col(c)) if c in plain else F.lit("")).alias(c) for c in S.MIRROR_COLUMNS))
+
+
+def export_deletes(deleted: DataFrame) -> DataFrame:
+    """Delete rows of a delta: an id may be a sample's or a workout's, so each is stated in every form."""
+    ids = expand_deletes(deleted.select("user_id", "hk_uuid"))
+    return ids.select(*(F.col(c) if c in ("user_id", "hk_uuid", "op") else F.lit("").alias(c) for c in S.MIRROR_COLUMNS))
+
+
+def export_delta(samples: DataFrame, workouts: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Everything a delta upload carries."""
+    return export_mirror(samples).unionByName(export_workouts(workouts)).unionByName(export_deletes(deleted))
+
+
 def write_mirror_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
