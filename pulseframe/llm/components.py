@@ -17,10 +17,11 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges mean nothing. No edges give no rows.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = stored(edges.filter("a != b").select(high, low).distinct(), "edges")
+    edges = edges.filter("a != b").select(high, low).distinct()
+    now = stored(edges, "edges", files=files_for(edges.count()))
     state = _state(now)
     while True:
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(_small_star(_large_star(now)), "edges", files=files_for(state[0]))
         before, state = state, _state(now)
         if state == before:
             break
@@ -28,6 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def files_for(rows: int) -> int:
+    """Files for so many narrow rows."""
+    return max(2, -(-rows // 200_000))
+
+
 def _state(edges: DataFrame) -> tuple:
     """Two equal states are the same edges."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -38,7 +44,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     tied = both.filter("v > u").join(least, "u")
-    return tied.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
+    return tied.select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

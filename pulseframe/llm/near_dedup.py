@@ -27,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulseframe.llm.components import components
+from pulseframe.llm.components import components, files_for
 from pulseframe.llm.tables import documents, release, stored
 from pulseframe.llm.words import U, Words, lower, mix, pack, range_hash, slices, text_buffer, unpack
 
-BAND_ROWS, BANDS = 5, 32
+#: long bands keep documents apart that only share a passage, and so many of them miss no link
+BAND_ROWS, BANDS = 7, 54
 BINS = BAND_ROWS * BANDS
 #: a link needs 100 * shared >= PERCENT * joint shingles
 PERCENT = 80
@@ -181,8 +182,9 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
     rows = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     crowded = stored(rows.join(shared, "band"), "bands")
+    files = 2 * files_for(crowded.count())  # for all that is made of these rows
     wanted = crowded.select("node").distinct()
-    nodes = stored(nodes.join(wanted, "node", "left_semi"), "nodes")
+    nodes = stored(nodes.join(wanted, "node", "left_semi"), "nodes", files=files)
     sets = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(sets.mapInArrow(_set_maker(width), "doc_id long, shingles binary"), "sets")
     release(spark)
@@ -191,21 +193,21 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        return stored(both.mapInArrow(_compared, "a long, b long, shared long, joint long"), "compared")
+        return stored(both.mapInArrow(_compared, "a long, b long, shared long, joint long"), "compared", files=3 * files)
 
     def alike(pairs: DataFrame) -> DataFrame:
         a = nodes.select(F.col("node").alias("a"), F.col("places").alias("places_a"))
         b = nodes.select(F.col("node").alias("b"), F.col("places").alias("places_b"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "places_a", "places_b")
-        return stored(both.mapInArrow(_alike(percent), "a long, b long"), "candidates")
+        return stored(both.mapInArrow(_alike(percent), "a long, b long"), "candidates", files=files)
 
     linked = F.expr(f"100 * shared >= {percent} * joint")
     smaller = lambda x, y: F.least(x, y) / F.greatest(x, y)
     size = crowded.filter("node = pivot").select("band", F.col("n_shingles").alias("pivot_size"))
-    sized = stored(crowded.join(size, "band"), "sized")
+    sized = stored(crowded.join(size, "band"), "sized", files=files)
     near_size = 100 * F.least("n_shingles", "pivot_size") >= percent * F.greatest("n_shingles", "pivot_size")
     star = compared(sized.filter("node != pivot").filter(near_size).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    labels = stored(components(star.filter(linked).select("a", "b")), "labels")
+    labels = stored(components(star.filter(linked).select("a", "b")), "labels", files=files)
     release(spark)
     # how far each member is from the pivot of its band, or between which bounds
     far = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("joint")).alias("distance"))
@@ -214,21 +216,21 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
         "band", "node", "n_shingles", "members",
         F.coalesce(exact, 1 - smaller(F.col("n_shingles"), F.col("pivot_size"))).alias("least"), F.coalesce(exact, F.lit(1.0)).alias("most"),
     )
-    members = stored(members, "members")
+    members = stored(members, "members", files=files)
     share, before = 4, 2
     while True:
         rest = members.filter(F.col("members") > before).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         counts = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.max("members").alias("m"))
         # the largest component of a band needs no member of its own: the others come to it
         mixed = counts.groupBy("band").agg(F.count("*").alias("parts"), F.max("m").alias("m"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-        mixed = stored(mixed.filter("parts > 1").drop("parts"), "mixed")
+        mixed = stored(mixed.filter("parts > 1").drop("parts"), "mixed", files=files)
         if mixed.isEmpty():
             return labels
         minor = F.col("component") != F.col("largest")
         some = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / share)) == 0
         columns = ("node", "n_shingles", "component", "least", "most", "bands")
         found = rest.join(mixed, "band").filter(minor | some).select("band", *columns[:-1], minor.alias("minor"), some.alias("some"))
-        found = stored(found.join(nodes.select("node", "bands"), "node"), "open")
+        found = stored(found.join(nodes.select("node", "bands"), "node"), "open", files=files)
         left = found.filter("minor").select("band", *(F.col(c).alias(f"{c}_a") for c in columns))
         right = found.filter("some").select("band", *(F.col(c).alias(f"{c}_b") for c in columns))
         # by the triangle inequality linked documents are about as far from the pivot; and a pair
@@ -243,7 +245,7 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
             fresh = compared(near).filter(linked)
             if not fresh.isEmpty():
                 known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                labels = stored(components(fresh.select("a", "b").unionByName(known)), "labels")
+                labels = stored(components(fresh.select("a", "b").unionByName(known)), "labels", files=files)
         release(spark)
         share, before = share * 64, share
 
