@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pulseframe.session import work_folder
 
 #: text bytes that one group of a grouped function holds at most, on average
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
-def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partitions: str, files: int | None = None) -> DataFrame:
     """The rows written to a new folder of the shared checkpoint folder and read from there: made
-    once, and still there when executors are lost."""
+    once, and still there when executors are lost. ``files``: how many tasks write, if that is
+    to follow a measured number of rows and not the number of shuffle partitions."""
     path = work_folder(df.sparkSession, name)
+    df = df if files is None else df.coalesce(files)
     (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

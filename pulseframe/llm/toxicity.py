@@ -37,8 +37,7 @@ def _features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes of words and word beginnings, and the text of each."""
     raw, offsets = text_buffer(part.column("text"))
     words = Words(lower(raw), offsets, loose=True)
-    letters = _BYTE[words.raw]
-    stems = [range_hash(letters, words.start, np.minimum(words.start + n, words.end), 0x2545F4914F6CDD1D) ^ U(n) for n in STEMS]
+    stems = [range_hash(words.raw, words.start, np.minimum(words.start + n, words.end), 0x2545F4914F6CDD1D, of=_BYTE) ^ U(n) for n in STEMS]
     return np.concatenate([words.hash, *(mix(x) for x in stems)]), np.tile(words.text, 1 + len(STEMS))
 
 

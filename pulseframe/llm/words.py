@@ -58,14 +58,15 @@ def _powers(base: int, step: int, size: int) -> np.ndarray:
     return np.cumprod(p, dtype=U)
 
 
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, of: np.ndarray | None = None) -> np.ndarray:
     """Rabin-Karp: the polynomial hash of ``values[start:end]`` for all ranges at once, from one
-    running sum; dividing by the power of the start makes it independent of the place."""
+    running sum; dividing by the power of the start makes it independent of the place. With
+    ``of`` the values are places in that table."""
     many = 1 << max(4, (len(values) >> _LOW).bit_length())
     low, high = _powers(base, 1, 1 << _LOW), _powers(base, 1 << _LOW, many)
     total = np.zeros(len(values) + 1, U)
     for i, at in enumerate(range(0, len(values), 1 << _LOW)):
-        part = values[at : at + (1 << _LOW)]
+        part = values[at : at + (1 << _LOW)] if of is None else of[values[at : at + (1 << _LOW)]]
         np.multiply(part, low[: len(part)] * high[i], out=total[at + 1 : at + 1 + len(part)])
     np.cumsum(total, out=total)
     inverse = pow(base, -1, 1 << 64)
@@ -126,7 +127,7 @@ class Words:
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = mix(range_hash(_BYTE[raw], self.start, self.end, _BASE)) if hashed else None
+        self.hash = mix(range_hash(raw, self.start, self.end, _BASE, of=_BYTE)) if hashed else None
 
     def __len__(self) -> int:
         return len(self.start)
