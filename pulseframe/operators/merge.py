@@ -1,9 +1,9 @@
 """Keyed merges, tombstones and slice maintenance of stored tables.
 
-Stored tables are large and batches are small, so stored rows are never shuffled by
-key as a whole: those a batch does not touch pass an anti join in place, and only the
-touched ones meet the batch. Spark broadcasts the key set when its measured size is
-under the session threshold and sort-merges it otherwise.
+Stored tables are large and batches are small: rows that a batch does not touch pass an
+anti join, and only the touched ones meet the batch. While the key set is under the
+session's broadcast threshold, stored rows stay in place; beyond it Spark sort-merges, and
+both sides are shuffled by key.
 """
 
 from __future__ import annotations
