@@ -34,7 +34,7 @@ from pulseframe.llm.words import U, Words, lower, mix, narrow, pack, slices, tex
 #: discounts apply to counts up to K; bigrams seen less often than LEAST count as unseen
 K, LEAST = 5, 2
 #: tokens that a task counts before it sends the counts on
-HELD = 1_000_000
+HELD = 2_000_000
 UNIGRAM, BIGRAM, COUNTS = 1, 2, 0
 END, BEGIN = U(0x7A3C_55E1_0D94_B62F), U(0x1F83_D9AB_FB41_BD6B)
 _PAIR = U(0xD6E8FEB86659FD93)
@@ -203,8 +203,8 @@ def train(docs: DataFrame, ranges: int | None = None) -> Model:
     sent = documents(docs).mapInArrow(_counter(ranges), "kind int, part int, a binary, runs binary, b binary, n binary")
     counts = stored(sent.groupBy("kind", "part").applyInArrow(_merge(ranges), _COUNTED), "ngram-counts", "kind")
     del sent
-    release(spark)
     sums = {(r["h"], r["w"]): r["n"] for r in counts.filter(F.col("kind") == COUNTS).groupBy("h", "w").agg(F.sum("n").alias("n")).collect()}
+    release(spark)  # after another job: Spark holds on to the shuffles of its last one
     of = {kind: [sums.get((kind, r), 0) for r in range(K + 3)] for kind in (UNIGRAM, BIGRAM)}
     tokens, words = of[UNIGRAM][K + 2], of[UNIGRAM][0]
     uni, bi = discounts(of[UNIGRAM]), discounts(of[BIGRAM])
