@@ -2,16 +2,17 @@
 
 Counting: training texts are counted in the tasks that read them, and what each counted is merged
 by ranges of a hash; the counts and the counts of counts are written as one table partitioned by
-kind. Good-Turing discounts follow from the counts of counts. A bigram seen at least ``LEAST``
-times keeps its discounted share of its history; what a history has left goes to the words not
-seen after it, in proportion to their unigram probabilities, with a backoff weight that makes the
-sum over all words exactly one. Unigrams are discounted the same way, and what they leave belongs
-to the one class of unknown words.
+kind, the bigrams of a range packed into one row. Good-Turing discounts follow from the counts of
+counts. Every bigram seen keeps its discounted share of its history; what a history has left goes
+to the words not seen after it, in proportion to their unigram probabilities, with a backoff
+weight that makes the sum over all words exactly one: a range of bigrams asks for each of its
+distinct words once and sums up its histories. Unigrams are discounted the same way, and what they
+leave belongs to the one class of unknown words.
 
 Scoring: a token's probability is its bigram's, else the history's weight times the unigram's,
 else that of an unknown word. The sum over a text is taken as unigrams and weights of all tokens,
 plus for each seen bigram what it gains over backing off. Documents are dealt into blocks once;
-a block asks for each distinct n-gram once, whatever its number of copies, and hears the values.
+a block asks for each distinct n-gram once, whatever its number of copies, and hears the counts.
 
 Tokens are words (runs of anything but white space, A-Z in lower case) and one end a document;
 its first history is a beginning that is no token. A null text is empty and has its end alone.
@@ -25,19 +26,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.llm.blocks import deal, opened, whole
-from pulseframe.llm.tables import documents, drop_partition, groups_for, release, stored
+from pulseframe.llm.tables import documents, groups_for, release, stored
 from pulseframe.llm.words import U, Words, lower, mix, narrow, pack, slices, text_buffer, unpack, widen
 
-#: discounts apply to counts up to K; bigrams seen less often than LEAST count as unseen
-K, LEAST = 5, 2
+#: discounts apply to counts up to K; bigrams of LEAST occurrences at least are seen, which is all of them
+K, LEAST = 5, 1
 #: tokens that a task counts before it sends the counts on
 HELD = 2_000_000
 UNIGRAM, BIGRAM, COUNTS = 1, 2, 0
 END, BEGIN = U(0x7A3C_55E1_0D94_B62F), U(0x1F83_D9AB_FB41_BD6B)
 _PAIR = U(0xD6E8FEB86659FD93)
+#: bits of a bigram's key that its history gives
+_LEAD = 16
 
 
 def _tokens(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +63,10 @@ def _tokens(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np
 
 
 def pair_key(history: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(history * _PAIR + token)
+    """The first bits bring the bigrams of a history together; a frequent one is dealt over
+    sixteen places by its successor."""
+    lead = mix(history + (token >> U(60)) * _PAIR) >> U(64 - _LEAD)
+    return (lead << U(64 - _LEAD)) | (mix(history * _PAIR + token) >> U(_LEAD))
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -72,6 +78,23 @@ def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def _packed(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Bigrams and their counts: each history once, how many follow, and the words."""
+    order = np.argsort(h)
+    h = h[order]
+    first = _firsts(h)
+    return pack(h[first]), narrow(np.diff(np.append(first, len(h)))), w[order].tobytes(), narrow(n[order])
+
+
+def _unpacked(a: bytes, runs: bytes, b: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(unpack(a), widen(runs).astype(np.int64)), np.frombuffer(b, U), widen(n).astype(np.int64)
+
+
 # ---- counting
 
 _SENT = pa.schema([
@@ -86,22 +109,16 @@ def _counter(ranges: int) -> Callable:
         for i in np.flatnonzero(np.diff(cut)):
             a, b = cut[i], cut[i + 1]
             yield UNIGRAM, i, pack(word[a:b]), b"", b"", narrow(n[a:b])
-        # a frequent history is dealt over sixteen places by its successor
-        spread = _range_of(mix(history + (token >> U(60)) * _PAIR), ranges)
         key = pair_key(history, token)
         order = np.argsort(key)
         key = key[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        new = _firsts(key)
         n = np.diff(np.append(new, len(key)))
-        order = order[new]
-        h, w, spread = history[order], token[order], spread[order]
-        order = np.argsort((spread.astype(U) << U(44)) | (h >> U(20)))  # by place, and histories together
-        h, w, n, spread = h[order], w[order], n[order], spread[order]
-        cut = np.searchsorted(spread, np.arange(ranges + 1))
+        h, w, key = history[order[new]], token[order[new]], key[new]
+        cut = _cuts(key, ranges)
         for i in np.flatnonzero(np.diff(cut)):
             a, b = cut[i], cut[i + 1]
-            first = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
-            yield BIGRAM, i, pack(h[a:b][first]), narrow(np.diff(np.append(first, b - a))), w[a:b].tobytes(), narrow(n[a:b])
+            yield BIGRAM, i, *_packed(h[a:b], w[a:b], n[a:b])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -121,47 +138,46 @@ def _counter(ranges: int) -> Callable:
     return run
 
 
-_COUNTED = "kind int, h long, w long, key long, part int, n long"
-
-
-def _merge(ranges: int) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        return _merged(table, ranges)
-
-    return run
+_MERGED = pa.schema([
+    ("kind", pa.int32()), ("part", pa.int32()), ("w", pa.int64()), ("n", pa.int64()),
+    ("a", pa.binary()), ("runs", pa.binary()), ("b", pa.binary()), ("m", pa.binary()),
+])
+_COUNTED = "kind int, part int, w long, n long, a binary, runs binary, b binary, m binary"
 
 
-def _merged(table: pa.Table, ranges: int) -> pa.Table:
-    """Counts of one range summed: every unigram (as ``w``), bigrams of LEAST at least, counts of
-    counts; ``part`` is the range of the n-gram's key, where scoring looks for it."""
-    kind = table.column("kind")[0].as_py()
+def _merged(table: pa.Table) -> pa.Table:
+    """Counts of one range summed: a row for every unigram, one row for all bigrams, and the counts
+    of counts, with ``part`` for the kind and ``w`` for the count."""
+    kind, part = (table.column(c)[0].as_py() for c in ("kind", "part"))
     rows = zip(*(table.column(c).to_pylist() for c in ("a", "runs", "b", "n")))
     hs, ws, ns = [], [], []
     for a, runs, b, n in rows:
-        first = unpack(a)
-        hs.append(np.repeat(first, widen(runs).astype(np.int64)) if runs else np.zeros(len(first), U))
-        ws.append(np.frombuffer(b, U) if runs else first)
-        ns.append(widen(n).astype(np.int64))
+        h, w, n = _unpacked(a, runs, b, n) if kind == BIGRAM else (U([]), unpack(a), widen(n).astype(np.int64))
+        hs.append(h), ws.append(w), ns.append(n)
     h, w, n = np.concatenate(hs), np.concatenate(ws), np.concatenate(ns)
+    del hs, ws, ns
     key = w if kind == UNIGRAM else pair_key(h, w)
     order = np.argsort(key)
-    key = key[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    new = _firsts(key[order])
+    del key
     n = np.add.reduceat(n[order], new)
-    h, w, key = h[order[new]], w[order[new]], key[new]
+    order = order[new]
     of_counts = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]
     of_counts[0] = len(n)
-    keep = np.ones(len(n), bool) if kind == UNIGRAM else n >= LEAST
+    w = w[order]
+    single = len(w) if kind == UNIGRAM else 0
+    packed = [] if kind == UNIGRAM else [_packed(h[order], w, n)]
     more = K + 3
+    rest = more + len(packed)
+    none = [None] * (single + more)
     signed = lambda x: x.view(np.int64)
-    return pa.table({
-        "kind": pa.array(np.concatenate([np.full(keep.sum(), kind), np.full(more, COUNTS)]).astype(np.int32)),
-        "h": pa.array(np.concatenate([signed(h[keep]), np.full(more, kind)])),
-        "w": pa.array(np.concatenate([signed(w[keep]), np.arange(more)])),
-        "key": pa.array(np.concatenate([signed(key[keep]), np.zeros(more, np.int64)])),
-        "part": pa.array(np.concatenate([_range_of(key[keep], ranges), np.zeros(more, np.int64)]).astype(np.int32)),
-        "n": pa.array(np.concatenate([n[keep], of_counts, [n.sum()]]).astype(np.int64)),
-    })
+    return pa.table([pa.array(c, f.type) for c, f in zip((
+        np.concatenate([np.full(single, kind), np.full(more, COUNTS), np.full(len(packed), kind)]),
+        np.concatenate([np.full(single, part), np.full(more, kind), np.full(len(packed), part)]),
+        np.concatenate([signed(w[:single]), np.arange(more), np.zeros(len(packed), np.int64)]),
+        np.concatenate([n[:single], of_counts, [n.sum()], np.zeros(rest - more, np.int64)]),
+        *([*none, *(p[i] for p in packed)] for i in range(4)),
+    ), _MERGED)], schema=_MERGED)
 
 
 # ---- the model
@@ -180,20 +196,35 @@ def discounts(of_counts: list[int]) -> list[float]:
 
 
 @dataclass
-class Model:
-    """``counts`` (kind, h, w, key, part, n), ``bigrams`` (h, key, part, gain, log_alpha: what a
-    seen bigram gains over backing off, and the weight of its history) and ``weights`` (h, log_alpha),
-    with what all tokens share. Logarithms are decimal."""
+class Shared:
+    """What all tokens share. The beginning is no token, so its values as a history are here."""
 
     ranges: int
-    counts: DataFrame
-    bigrams: DataFrame
-    weights: DataFrame
     tokens: int
     words: int
     unknown: float
-    begin_alpha: float
-    factors: tuple
+    scale: float
+    uni: list
+    bi: list
+    begin: tuple = (0, 0.0, 0.0)
+
+    def p_word(self, n: np.ndarray) -> np.ndarray:
+        """Probabilities of words by count; 0 is unknown."""
+        return np.where(n > 0, _discounted(n, self.uni) * self.scale / max(self.tokens, 1), self.unknown)
+
+
+@dataclass
+class Model:
+    """``counts`` (kind, part, w, n of a word; a, runs, b, m: the packed bigrams of a range) and
+    ``weights`` (h, n_history, log_alpha, log_scale: of each history). Logarithms are decimal."""
+
+    counts: DataFrame
+    weights: DataFrame
+    shared: Shared
+
+    @property
+    def tokens(self) -> int:
+        return self.shared.tokens
 
 
 def train(docs: DataFrame, ranges: int | None = None) -> Model:
@@ -201,9 +232,9 @@ def train(docs: DataFrame, ranges: int | None = None) -> Model:
     spark = docs.sparkSession
     ranges = ranges or groups_for(docs)
     sent = documents(docs).mapInArrow(_counter(ranges), "kind int, part int, a binary, runs binary, b binary, n binary")
-    counts = stored(sent.groupBy("kind", "part").applyInArrow(_merge(ranges), _COUNTED), "ngram-counts", "kind")
+    counts = stored(sent.groupBy("kind", "part").applyInArrow(_merged, _COUNTED), "ngram-counts", "kind")
     del sent
-    sums = {(r["h"], r["w"]): r["n"] for r in counts.filter(F.col("kind") == COUNTS).groupBy("h", "w").agg(F.sum("n").alias("n")).collect()}
+    sums = {(r["part"], r["w"]): r["n"] for r in counts.filter(F.col("kind") == COUNTS).groupBy("part", "w").agg(F.sum("n").alias("n")).collect()}
     release(spark)  # after another job: Spark holds on to the shuffles of its last one
     of = {kind: [sums.get((kind, r), 0) for r in range(K + 3)] for kind in (UNIGRAM, BIGRAM)}
     tokens, words = of[UNIGRAM][K + 2], of[UNIGRAM][0]
@@ -211,46 +242,77 @@ def train(docs: DataFrame, ranges: int | None = None) -> Model:
     left = sum((1 - d) * (r + 1) * of[UNIGRAM][r + 1] for r, d in enumerate(uni)) / max(tokens, 1)
     scale = 1.0 if left > 0 else tokens / (tokens + 1)  # nothing discounted: one token is set aside
     unknown = (left if left > 0 else 1 / (tokens + 1)) if tokens else 1.0
-    p_word = _discounted(F.col("n"), uni) * F.lit(scale / max(tokens, 1))
-    bigrams = stored(_gains(counts, p_word, bi), "bigrams")
-    drop_partition(spark, counts, f"kind={BIGRAM}")  # the gains stand for them now
-    counts = spark.read.schema(counts.schema).parquet(*{f.split("/kind=")[0] for f in counts.inputFiles()})
-    weights = stored(bigrams.groupBy("h").agg(F.max("log_alpha").alias("log_alpha")), "backoff")
-    begin_key = int(BEGIN.astype(np.int64))
-    begin = weights.filter(F.col("h") == begin_key).select("log_alpha").first()
+    shared = Shared(ranges, tokens, words, unknown, scale, uni, bi)
+    weights = stored(_weights(counts, shared), "backoff")
+    begin = weights.filter(F.col("h") == int(BEGIN.astype(np.int64))).select("n_history", "log_alpha", "log_scale").first()
     release(spark)
-    return Model(ranges, counts, bigrams, weights, tokens, words, unknown, begin[0] if begin else 0.0, (tuple(uni), scale))
+    shared.begin = tuple(begin) if begin else shared.begin
+    return Model(counts, weights, shared)
 
 
-def _discounted(n: Column, factors: list[float]) -> Column:
+def _discounted(n: np.ndarray, factors: list[float]) -> np.ndarray:
     """The discounted count."""
-    factor = F.element_at(F.array(*(F.lit(float(d)) for d in factors)), F.least(n, F.lit(K)).cast("int"))
-    return F.when(n <= K, n * factor).otherwise(n.cast("double"))
-
-
-def _gains(counts: DataFrame, p_word: Column, factors: list[float]) -> DataFrame:
-    """Seen bigrams with the backoff weight of their history and their gain over backing off.
-
-    Both words of a seen bigram occur LEAST times at least, so rarer words stay out of the joins.
-    The sums of a history and the rows they are joined back to share one shuffle.
-    """
-    end, begin = (int(x.astype(np.int64)) for x in (END, BEGIN))
-    often = counts.filter((F.col("kind") == UNIGRAM) & (F.col("n") >= LEAST))
-    of_word = often.select("w", p_word.alias("p_word"))
-    # a word is a history as often as it is a token; the beginning as often as the end
-    as_history = often.select(F.when(F.col("w") == end, F.lit(begin)).otherwise(F.col("w")).alias("h"), F.col("n").alias("n_history"))
-    if LEAST > 1:  # the beginning counts as a history even after a single document
-        once = counts.filter((F.col("kind") == UNIGRAM) & (F.col("w") == end) & (F.col("n") < LEAST))
-        as_history = as_history.unionByName(once.select(F.lit(begin).alias("h"), F.col("n").alias("n_history")))
-    two = counts.filter(F.col("kind") == BIGRAM).select("h", "w", "key", "part", "n").join(of_word, "w").join(as_history, "h")
-    two = two.select("h", "key", "part", "p_word", "n_history", (_discounted(F.col("n"), factors) / F.col("n_history")).alias("share"))
-    sums = two.groupBy("h").agg(F.sum("share").alias("kept"), F.sum("p_word").alias("covered"))
-    kept = F.col("kept")
+    return n * np.array([1.0, *factors, 1.0])[np.minimum(n, K + 1)]
+
+
+def _weights(counts: DataFrame, shared: Shared) -> DataFrame:
+    """What each history keeps for the words seen after it, and the weight of the others."""
+    pairs = counts.filter(F.col("kind") == BIGRAM)
+    words = counts.filter(F.col("kind") == UNIGRAM).select("part", "w", "n")
+    asked = pairs.select("part", "b").mapInArrow(_word_asker(shared.ranges), "part int, place int, keys binary")
+    told = asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_tell_words, "place int, part int, n binary")
+    sums = pairs.select("part", "a", "runs", "b", "m").groupBy("part").cogroup(told.groupBy("place")).applyInArrow(
+        _summer(shared), "h long, n long, kept double, covered double")
+    sums = sums.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "kept", "covered")))
+    kept = F.col("kept") / F.col("n")
     # where discounting took nothing from a history, one more occurrence leaves room to back off
-    scale = F.when(kept > 1 - 1e-9, F.col("n_history") / (F.col("n_history") + 1) / kept).otherwise(F.lit(1.0))
+    scale = F.when(kept > 1 - 1e-9, F.col("n") / (F.col("n") + 1) / kept).otherwise(F.lit(1.0))
     log_alpha = F.log10((1 - kept * scale) / (1 - F.col("covered")))
-    gain = F.log10(F.col("share") * scale) - log_alpha - F.log10("p_word")
-    return two.join(sums, "h").select("h", "key", "part", gain.cast("float").alias("gain"), log_alpha.cast("float").alias("log_alpha"))
+    return sums.select("h", F.col("n").alias("n_history"), log_alpha.cast("float").alias("log_alpha"), F.log10(scale).cast("float").alias("log_scale"))
+
+
+def _word_asker(ranges: int) -> Callable:
+    schema = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("keys", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, b in zip(batch.column("part").to_pylist(), batch.column("b")):
+                words = np.unique(np.frombuffer(b.as_py(), U))
+                cut = _cuts(words, ranges)
+                rows = [(i, place, pack(words[cut[i] : cut[i + 1]])) for i in np.flatnonzero(np.diff(cut))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _tell_words(asked: pa.Table, words: pa.Table) -> pa.Table:
+    """The counts of the words of one range, for each asking place in the order of its keys."""
+    key = np.asarray(words.column("w")).view(U)
+    order = np.argsort(key)
+    key, n = key[order], np.asarray(words.column("n"))[order]
+    rows = [(place, part, narrow(n[np.searchsorted(key, unpack(keys))]))
+            for part, place, keys in zip(*(asked.column(c).to_pylist() for c in ("part", "place", "keys")))]
+    columns = zip(*rows) if rows else [[]] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["place", "part", "n"])
+
+
+def _summer(shared: Shared) -> Callable:
+    def run(pairs: pa.Table, told: pa.Table) -> pa.Table:
+        hs, sums = [], []
+        for row in zip(*(pairs.column(c).to_pylist() for c in ("a", "runs", "b", "m"))):  # one row
+            h, w, m = _unpacked(*row)
+            answers = sorted(zip(*(told.column(c).to_pylist() for c in ("part", "n"))))
+            n = np.concatenate([widen(x) for _, x in answers]).astype(np.int64)  # of all distinct words, ascending
+            p = shared.p_word(n)[np.unique(w, return_inverse=True)[1]]
+            first = _firsts(h)
+            hs.append(h[first])
+            sums.append([np.add.reduceat(x, first) for x in (m, _discounted(m, shared.bi), p)])
+        n, kept, covered = (np.concatenate([s[i] for s in sums] or [[]]) for i in range(3))
+        h = np.concatenate(hs).view(np.int64) if hs else []
+        return pa.table([pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.float64()), pa.array(covered, pa.float64())],
+                        names=["h", "n", "kept", "covered"])
+
+    return run
 
 
 # ---- scoring
@@ -263,14 +325,16 @@ def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
 def _distinct(part: pa.RecordBatch) -> tuple:
     """Tokens of a block, and its distinct words and bigrams, ascending, with the place of each
-    token's word and bigram among them."""
+    token's word and bigram among them, and for each bigram the places of its history (-1 is the
+    beginning) and its word."""
     parts = [_tokens(x) for x in slices([part])]
     token, history = (np.concatenate([p[i] for p in parts]) for i in range(2))
     text = np.repeat(np.arange(part.num_rows), np.concatenate([np.bincount(p[2]) for p in parts]))
     del parts
     word, word_at = np.unique(token, return_inverse=True)
-    pair, pair_at = np.unique(pair_key(history, token), return_inverse=True)
-    return text, word, word_at, pair, pair_at
+    pair, at, pair_at = np.unique(pair_key(history, token), return_index=True, return_inverse=True)
+    before = np.where(history[at] == BEGIN, -1, word_at[at - 1])
+    return text, word, word_at, pair, pair_at, before, word_at[at]
 
 
 def _asker(ranges: int) -> Callable:
@@ -295,82 +359,82 @@ def _asker(ranges: int) -> Callable:
 
 def _tell(asked: pa.Table, model: pa.Table) -> pa.Table:
     """What the model has on the keys of one range, for each block in the order of its keys."""
-    key = np.asarray(model.column("key")).view(U)
+    packed = [_unpacked(*row) for row in zip(*(model.column(c).to_pylist() for c in ("a", "runs", "b", "m"))) if row[0] is not None]
+    if packed:  # one row of bigrams
+        h, w, n = packed[0]
+        key, values = pair_key(h, w), [n]
+    else:
+        key = np.asarray(model.column("w")).view(U)
+        values = [np.asarray(model.column(c)) for c in ("n", "log_alpha", "log_scale")]
     order = np.argsort(key)
     key = key[order]
-    n, x = np.asarray(model.column("n"))[order], np.asarray(model.column("x"))[order]
+    n, *floats = (v[order] for v in values)
     rows = []
     for kind, part, block, keys in zip(*(asked.column(c).to_pylist() for c in ("kind", "part", "block", "keys"))):
         keys = unpack(keys)
         at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
         has = key[at] == keys if len(key) else np.zeros(len(keys), bool)
-        values = x[at[has]].astype(np.float32)
-        rows.append((block, kind, part, np.packbits(has).tobytes(), narrow(n[at[has]]) if kind == UNIGRAM else b"", values.tobytes()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3))] if rows else
-                    [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3)],
+        at = at[has]
+        x = np.concatenate([v[at].astype(np.float32) for v in floats]).tobytes() if floats else b""
+        rows.append((block, kind, part, np.packbits(has).tobytes(), narrow(n[at]), x))
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3))],
                     names=["block", "kind", "part", "has", "n", "x"])
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scorer(model: "Shared") -> Callable:
+def _scorer(model: Shared) -> Callable:
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = whole(docs)
         ids = docs.column("doc_id")
         if not docs.num_rows:
             return pa.table([ids, *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]],
                             names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-        text, word, word_at, pair, pair_at = _distinct(docs)
-        count, alpha, gain = np.zeros(len(word), np.int64), np.zeros(len(word)), np.zeros(len(pair))
+        text, word, word_at, pair, pair_at, before, after = _distinct(docs)
+        # the last place of the words is the beginning
+        count, alpha, log_scale = np.zeros(len(word) + 1, np.int64), np.zeros(len(word) + 1), np.zeros(len(word) + 1)
+        seen = np.zeros(len(pair), np.int64)
         cuts = {UNIGRAM: _cuts(word, model.ranges), BIGRAM: _cuts(pair, model.ranges)}
         for kind, part, has, n, x in zip(*(told.column(c).to_pylist() for c in ("kind", "part", "has", "n", "x"))):
             a, b = cuts[kind][part], cuts[kind][part + 1]
             at = a + np.flatnonzero(np.unpackbits(np.frombuffer(has, np.uint8), count=b - a))
             if kind == BIGRAM:
-                gain[at] = np.frombuffer(x, np.float32)
+                seen[at] = widen(n)
             else:
-                count[at], alpha[at] = widen(n).astype(np.int64), np.frombuffer(x, np.float32)
-        uni, scale = model.factors
-        factor = np.array([1.0, *uni, 1.0])[np.minimum(count, K + 1)]
-        p = np.where(count > 0, count * factor * scale / max(model.tokens, 1), model.unknown)
-        base = np.log10((count + 1) / (model.tokens + model.words + 1))
-        of_word = np.log10(p) + np.where(word == END, 0.0, alpha)  # as a token, and as the next one's history
+                count[at] = widen(n)
+                alpha[at], log_scale[at] = np.frombuffer(x, np.float32).reshape(2, -1)
+        count[-1], alpha[-1], log_scale[-1] = model.begin
+        log_p = np.log10(model.p_word(count[:-1]))
+        base = np.log10((count[:-1] + 1) / (model.tokens + model.words + 1))
+        of_word = log_p + np.where(word == END, 0.0, alpha[:-1])  # as a token, and as the next one's history
+        # what a seen bigram gains over backing off
+        gain = np.zeros(len(pair))
+        at = np.flatnonzero(seen)
+        h = before[at]
+        gain[at] = np.log10(_discounted(seen[at], model.bi) / count[h]) + log_scale[h] - alpha[h] - log_p[after[at]]
         rows = docs.num_rows
         total = lambda v: np.bincount(text, v, minlength=rows)
         return pa.table([
             ids, pa.array(np.bincount(text, minlength=rows)), pa.array(total((count > 0)[word_at]).astype(np.int64)),
-            pa.array(total(base[word_at])), pa.array(total(of_word[word_at] + gain[pair_at]) + model.begin_alpha),
+            pa.array(total(base[word_at])), pa.array(total(of_word[word_at] + gain[pair_at]) + model.begin[1]),
         ], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-@dataclass
-class Shared:
-    """What scoring needs besides the tables."""
-
-    ranges: int
-    tokens: int
-    words: int
-    unknown: float
-    begin_alpha: float
-    factors: tuple
-
-
 def score(docs: DataFrame, model: Model, groups: int | None = None) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every whole text."""
-    ranges = model.ranges
+    ranges = model.shared.ranges
     base = _blocks(docs, groups or groups_for(docs))
     asked = base.mapInArrow(_asker(ranges), "kind int, part int, block int, keys binary")
-    one = model.counts.filter(F.col("kind") == UNIGRAM).select("w", "part", "n")
-    # words that are no history have no weight; only the others are looked up
-    often = one.filter(F.col("n") >= LEAST).join(model.weights.withColumnRenamed("h", "w"), "w", "left")
-    rare = one.filter(F.col("n") < LEAST).withColumn("log_alpha", F.lit(None).cast("float"))
-    one = often.select("w", "part", "n", "log_alpha").unionByName(rare)
-    table = one.select(F.lit(UNIGRAM).alias("kind"), "part", F.col("w").alias("key"), "n", F.coalesce("log_alpha", F.lit(0.0)).cast("float").alias("x"))
-    table = table.unionByName(model.bigrams.select(F.lit(BIGRAM).alias("kind"), "part", "key", F.lit(0).cast("long").alias("n"), F.col("gain").alias("x")))
+    # words that are no history have no weight
+    words = model.counts.filter(F.col("kind") == UNIGRAM).select("part", "w", "n").join(model.weights.withColumnRenamed("h", "w"), "w", "left")
+    values = (F.coalesce(c, F.lit(0.0)).cast("float").alias(c) for c in ("log_alpha", "log_scale"))
+    words = words.select(F.lit(UNIGRAM).alias("kind"), "part", "w", "n", *values)
+    pairs = model.counts.filter(F.col("kind") == BIGRAM).select("kind", "part", "a", "runs", "b", "m")
+    table = words.unionByName(pairs, allowMissingColumns=True)
     told = asked.groupBy("kind", "part").cogroup(table.groupBy("kind", "part")).applyInArrow(
         _tell, "block int, kind int, part int, has binary, n binary, x binary")
-    shared = Shared(ranges, model.tokens, model.words, model.unknown, model.begin_alpha, model.factors)
-    return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scorer(shared), SCORED)
+    return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scorer(model.shared), SCORED)

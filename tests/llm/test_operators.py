@@ -209,6 +209,44 @@ def test_katz_odd(odd, empty, ranges):
     assert {r.score for r in katz.score(odd, katz.train(empty)).collect()} == {0.0}
 
 
+def test_katz_keeps_bigrams_seen_once(spark):
+    """With no repeated bigram each is worth more than backing off to the same word, and the
+    probabilities after a history still sum to one."""
+    texts = ["a b c d", "b a d c", "a a e e f g", "h h b b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = [t.split() + [None] for t in texts]
+    uni = collections.Counter(w for t in tok for w in t)
+    bi = collections.Counter(x for t in tok for x in zip([0] + t[:-1], t))
+    of = collections.Counter(h for t in tok for h in [0] + t[:-1])
+    assert 1 in bi.values()
+
+    def factors(counts):
+        n = collections.Counter(counts.values())
+        return [1.0, *katz.discounts([0] + [n[r] for r in range(1, katz.K + 2)]), 1.0]
+
+    fu, fb = factors(uni), factors(bi)
+    cut = lambda n, f: n * f[min(n, katz.K + 1)]
+    total = sum(uni.values())
+    left = 1 - sum(cut(n, fu) for n in uni.values()) / total
+    scale, left = (1.0, left) if left > 1e-12 else (total / (total + 1), 1 / (total + 1))
+    p1 = {w: cut(n, fu) / total * scale for w, n in uni.items()}
+
+    def p2(h, w):
+        after = {x: n for (g, x), n in bi.items() if g == h}
+        kept = sum(cut(n, fb) for n in after.values()) / of[h] if after else 0.0
+        s = of[h] / (of[h] + 1) / kept if kept > 1 - 1e-9 else 1.0
+        if w in after:
+            return cut(after[w], fb) / of[h] * s
+        return (1 - kept * s) / (1 - sum(p1[x] for x in after)) * p1.get(w, left)
+
+    asked = [*texts, "c a", "x y", "g", ""]
+    got = katz.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), katz.train(docs, 3), 2).collect()
+    got = {r.doc_id: r.score for r in got}
+    for i, text in enumerate(asked):
+        t = [w if w in p1 else "?" for w in text.split()] + [None]
+        assert got[i] == pytest.approx(sum(math.log10(p2(h, w)) for h, w in zip([0] + t[:-1], t)), rel=1e-5)
+
+
 # ---- 5
 
 
