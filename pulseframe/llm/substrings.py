@@ -60,7 +60,8 @@ def _grouped(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _blocks(docs: DataFrame, groups: int) -> DataFrame:
-    """Documents with a ``block`` that grows with doc_id, dealt by it."""
+    """Documents with a ``block`` that grows with doc_id, dealt by it; those without one are dealt
+    over all blocks by their text."""
     bounds = []
     if groups > 1:
         found = docs.agg(F.percentile_approx("doc_id", [i / groups for i in range(1, groups)], 20 * groups)).first()[0]
@@ -71,8 +72,9 @@ def _blocks(docs: DataFrame, groups: int) -> DataFrame:
     def block_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="right").astype(np.int32))
 
-    first = F.lit(-(2**63)).cast("long")
-    return deal(docs, block_of(F.coalesce("doc_id", first)), len(bounds) + 1)
+    # rows without doc_id are no one's source, so any block will do
+    unnamed = F.pmod(F.xxhash64("text"), F.lit(groups)).cast("int")
+    return deal(docs, F.when(F.col("doc_id").isNull(), unnamed).otherwise(block_of(F.coalesce("doc_id", F.lit(0)))), groups)
 
 
 def _sender(width: int, buckets: int) -> Callable:

@@ -323,6 +323,19 @@ def test_substrings(docs, odd, empty, groups, width):
     assert substrings.drop_repeats(empty).count() == 0
 
 
+def test_rows_without_id_go_to_all_blocks(spark):
+    rows = [(None if i % 3 else i, f"t{i} u{i} v{i}") for i in range(600)]
+    dealt = substrings._blocks(spark.createDataFrame(rows, "doc_id long, text string"), 6)
+    unnamed = collections.Counter()
+    for row in dealt.collect():
+        unnamed[row.block] += sum(not (row.named[i // 8] >> (7 - i % 8)) & 1 for i in range(_packed_rows(row)))
+    assert sum(unnamed.values()) == 400 and len(unnamed) == 6 and max(unnamed.values()) < 120
+
+
+def _packed_rows(row):
+    return len(substrings.widen(bytes(row.sizes)))
+
+
 def test_removal_intervals_are_maximal(spark):
     text = " ".join(f"a{i}" for i in range(20))
     rows = spark.createDataFrame([(1, text), (2, "x y " + text + " z")], "doc_id long, text string")
