@@ -25,12 +25,13 @@ def _with_history(df, moved, dead):
     return [before.unionByName(ghosts.withColumn("ordinal", F.lit(1))), late, dead(ghosts).withColumn("ordinal", F.lit(2))]
 
 
-def _landed_in_order(spark, name, frames):
-    """Each frame as files of its own, taken one after the other."""
+def _landed_in_order(spark, name, frames, start):
+    """Each frame is written by all its tasks, and the query that ``start`` makes of the stream runs
+    over what is new before the next one lands."""
     path = work_folder(spark, name)
     for frame in frames:
-        frame.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        frame.write.mode("append").parquet(path)
+        start(spark.readStream.schema(frames[0].schema).parquet(path)).awaitTermination()
 
 
 def _shifted(*columns):
@@ -39,7 +40,7 @@ def _shifted(*columns):
 
 @query("stream_rollup", with_parts(f"SELECT {ROLLUP_OUT} FROM hourly"))
 def stream_rollup(spark, sf):
-    """Samples that arrive in three files: first some on wrong days and some that will be deleted,
+    """Samples that arrive in three loads: first some on wrong days and some that will be deleted,
     then all, then the deletes."""
     folder = work_folder(spark, "rollup")
     configure(spark)
@@ -48,7 +49,7 @@ def stream_rollup(spark, sf):
         samples, lambda df: _shifted("ts", "end_ts")(df).withColumn("metric_value", F.col("metric_value") + 1),
         lambda df: df.withColumn("deleted_at", F.lit("2024-03-01").cast("timestamp")),
     )
-    rollup.stream_rollup(_landed_in_order(spark, "samples", frames), folder, f"{folder}/cp", ("hour",)).awaitTermination()
+    _landed_in_order(spark, "samples", frames, lambda stream: rollup.stream_rollup(stream, folder, f"{folder}/cp", ("hour",)))
     return rollup_out(Store(spark, folder).read("rollup_hourly").drop("day"))
 
 
@@ -61,7 +62,7 @@ def stream_sessions(spark, sf):
     frames = _with_history(
         rows, _shifted("segment_start_ts", "segment_end_ts"), lambda df: df.withColumn("deleted_at", F.col("segment_start_ts"))
     )
-    live.stream_sessions(_landed_in_order(spark, "sleep", frames), folder, f"{folder}/cp").awaitTermination()
+    _landed_in_order(spark, "sleep", frames, lambda stream: live.stream_sessions(stream, folder, f"{folder}/cp"))
     return live.read_sessions(spark, folder).drop("session_id")
 
 
@@ -78,9 +79,12 @@ def stream_timeout(spark, sf):
     )
     early = F.col("ts").isNotNull() & (F.xxhash64("task_id") % 2 == 0)
     tick = starts.agg(F.lit("tick").alias("task_id"), F.lit("completed").alias("status"), (F.max("ts") + F.expr("interval 1000 days")).alias("ts"))
-    stream = _landed_in_order(spark, "reports", [ends.filter(early), starts, ends.filter(~early), tick])
-    writer = timeouts.stream_timeout(stream, "400 days").writeStream.format("parquet").option("path", f"{folder}/out")
-    writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    def start(stream):
+        writer = timeouts.stream_timeout(stream, "400 days").writeStream.format("parquet").option("path", f"{folder}/out")
+        return writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+
+    _landed_in_order(spark, "reports", [ends.filter(early), starts, ends.filter(~early), tick], start)
     return spark.read.schema(timeouts.OUTCOMES).parquet(f"{folder}/out").drop("age_s")
 
 

@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from pulseframe.catalog import streams
+from pulseframe.session import work_folder
 from pulseframe.streaming.bursts import coalesce_bursts
 
 START = dt.datetime(2024, 1, 1)
@@ -27,3 +29,16 @@ def test_bursts_of_a_stream(spark, tmp_path):
     # the last burst stays open until a later event closes it
     assert sorted(got) == sorted(batch.filter("burst_start < '2024-01-01 00:06:00'").collect())
     assert sorted(r.n for r in got) == [1, 2, 3]
+
+
+def test_loads_are_written_by_all_tasks_and_read_in_order(spark):
+    seen = []
+
+    def start(stream):
+        each = lambda batch, _: seen.append(([r.id for r in batch.collect()], batch.select(F.input_file_name()).distinct().count()))
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    checkpoint = work_folder(spark, "loads-cp")
+    streams._landed_in_order(spark, "loads", [spark.range(40, numPartitions=4), spark.range(40, 50, numPartitions=2)], start)
+    assert [sorted(ids) for ids, _ in seen] == [list(range(40)), list(range(40, 50))]
+    assert [files for _, files in seen] == [4, 2]
