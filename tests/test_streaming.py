@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
+from pulseframe import catalog
 from pulseframe.catalog import streams
 from pulseframe.session import work_folder
 from pulseframe.streaming.bursts import coalesce_bursts
+from tests.compare import compare
 
 START = dt.datetime(2024, 1, 1)
 
@@ -42,3 +45,15 @@ def test_loads_are_written_by_all_tasks_and_read_in_order(spark):
     streams._landed_in_order(spark, "loads", [spark.range(40, numPartitions=4), spark.range(40, 50, numPartitions=2)], start)
     assert [sorted(ids) for ids, _ in seen] == [list(range(40)), list(range(40, 50))]
     assert [files for _, files in seen] == [4, 2]
+
+
+def test_timeouts_over_a_long_span(spark, tmp_path):
+    """Uploads of several years: no end is late."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(60)
+    days = F.pmod(F.xxhash64("event_id"), F.lit(1500)).cast("int")
+    shifted = events.withColumn("ts", (F.col("ts") + F.make_dt_interval(days)).cast(events.schema["ts"].dataType))
+    shifted.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    name = "stream_timeout"
+    assert compare(spark, con, name, catalog.queries()[name], catalog.oracle_sql()[name], str(tmp_path)) == ""
