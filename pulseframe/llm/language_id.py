@@ -18,7 +18,7 @@ text gets ``und``. Equal code lengths: the smaller name. No rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,8 @@ from pulseframe.llm.words import slices, text_buffer
 ORDER = 3
 #: the sample: documents of each language, and bytes of an excerpt of each (from any place in it)
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 3000
-#: languages that a model holds at most: those with most documents (a documented bound of its size)
-MAX_LANGUAGES = 400
+#: languages of one model; more are dealt over several, which are sent apart
+BLOCK = 32
 UNDECIDED = "und"
 _RAW_BITS = 8.0
 
@@ -48,6 +48,7 @@ class Model:
     letters: int
     steps: list[np.ndarray]
     cost: np.ndarray
+    rest: tuple[Model, ...] = ()  # of the languages that follow, if there are many
 
 
 def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
@@ -56,22 +57,28 @@ def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, most_bytes: int = SAMP
     The window keeps the first rows of a language in every task before anything is shuffled.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    named = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = [r["lang"] for r in named.collect()]
     pick = F.xxhash64("doc_id", F.lit("sample"))
-    top = rows.filter(F.col("lang").isin(languages)).select("lang", "doc_id", pick.alias("pick"))
+    top = rows.select("lang", "doc_id", pick.alias("pick"))
     top = top.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "doc_id"))).filter(F.col("n") <= docs_each)
-    chosen = [tuple(r) for r in top.select("doc_id", "lang").collect()]  # at most docs_each a language
     spare = F.greatest(F.length("text") - most_bytes, F.lit(0))
     start = F.pmod(F.xxhash64("doc_id", F.lit("place")), spare + 1).cast("int") + 1
-    picked = rows.filter(F.col("doc_id").isin([c[0] for c in chosen]))
+    picked = rows.join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi")  # at most docs_each a language
     texts = picked.select("lang", "doc_id", F.substring(F.col("text"), start, F.lit(most_bytes)).alias("text"))
     texts = texts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "text"))).filter(F.col("n") <= docs_each)
     return texts.orderBy("lang", "doc_id", "text").select("lang", "text").toPandas()
 
 
-def train(examples: pd.DataFrame, order: int = ORDER) -> Model:
-    """Count the context trees of all languages and work the costs out."""
+def train(examples: pd.DataFrame, order: int = ORDER, block: int = BLOCK) -> Model:
+    """The model of all languages. A code length does not depend on the other languages of a model,
+    so they are dealt over models of ``block`` languages, whose size then grows with their number only."""
+    languages = sorted(examples["lang"].unique())
+    parts = [languages[i : i + block] for i in range(0, len(languages), block)] or [[]]
+    first, *rest = (_train(examples[examples["lang"].isin(part)], order) for part in parts)
+    return replace(first, rest=tuple(rest))
+
+
+def _train(examples: pd.DataFrame, order: int) -> Model:
+    """Count the context trees of some languages and work the costs out."""
     languages = sorted(examples["lang"].unique())
     texts = [t.encode() for t in examples["text"]]
     seen = np.unique(np.frombuffer(b"".join(texts), np.uint8)) if texts else np.zeros(0, np.uint8)
@@ -150,7 +157,7 @@ def _members(letters: int, seen: int) -> np.ndarray:
 
 
 def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each whole text in each language."""
+    """Bits of each whole text in each language of one model."""
     order, n = len(model.steps), len(offsets) - 1
     length = np.diff(offsets)
     out = np.zeros((n, len(model.languages)))
@@ -178,18 +185,24 @@ PREDICTED = "doc_id long, lang_pred string, score double, bits_per_byte double"
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
-def _predict(model: Model, part: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
+def _send(docs: DataFrame, model: Model) -> list:
+    """Broadcasts of the models of all languages, each its own."""
+    return [docs.sparkSession.sparkContext.broadcast(m) for m in (replace(model, rest=()), *model.rest)]
+
+
+def _predict(models: list[Model], part: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
     """Language, share of belief and bits a byte of each text of a slice."""
     raw, offsets = text_buffer(part.column("text"))
     n = len(offsets) - 1
-    if not model.languages:
+    languages = [lang for m in models for lang in m.languages]
+    if not languages:
         return [UNDECIDED] * n, np.zeros(n), np.zeros(n)
-    bits = code_lengths(model, raw, offsets)
+    bits = np.concatenate([code_lengths(m, raw, offsets) for m in models], axis=1)
     best = bits.argmin(1)
     least = bits[np.arange(n), best]
     belief = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
     lettered = np.asarray(part.column("lettered"), bool)
-    lang = [model.languages[b] if ok else UNDECIDED for b, ok in zip(best, lettered)]
+    lang = [languages[b] if ok else UNDECIDED for b, ok in zip(best, lettered)]
     return lang, np.where(lettered, belief, 0.0), least / np.maximum(np.diff(offsets), 1)
 
 
@@ -199,11 +212,11 @@ def _with_letters(docs: DataFrame) -> DataFrame:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score, bits_per_byte`` of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _send(docs, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            lang, score, rate = _predict(shared.value, part)
+            lang, score, rate = _predict([m.value for m in shared], part)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(lang), pa.array(score), pa.array(rate)], schema=_OUT
             )
@@ -214,13 +227,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_readable(docs: DataFrame, model: Model, most_bits: float = _RAW_BITS) -> DataFrame:
     """The documents with a language, all columns as they are: not ``und``, and described by some
     language in fewer bits than their plain bytes take. Rows pass through, nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _send(docs, model)
     columns = docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            lang, _, rate = _predict(shared.value, part)
+            lang, _, rate = _predict([m.value for m in shared], part)
             keep = np.array([x != UNDECIDED for x in lang], bool) & (rate < most_bits)
             yield pa.RecordBatch.from_arrays([part.column("row")], names=["row"]).filter(pa.array(keep))
 

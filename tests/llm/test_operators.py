@@ -125,6 +125,21 @@ def test_language_odd(odd, empty, docs):
     assert kept.columns == docs.columns and kept.count() > 0.95 * docs.count()
 
 
+def test_every_language_is_learned(spark, docs):
+    """Also the 401st and later ones, each of which writes one letter of its own."""
+    letters = [chr(0x4E00 + i) for i in range(403)]
+    rows = [(i, letters[i // 2] * 9, f"l{i // 2:03}") for i in range(2 * 403 - 1)]  # the last language has one document
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(language_id.sample(table), order=2)
+    assert [r.lang_pred for r in language_id.predict(table, model).orderBy("doc_id").collect()] == [r[2] for r in rows]
+    # how languages are dealt over models changes no code length
+    some = language_id.sample(docs, 20, 500)
+    one, dealt = language_id.train(some), language_id.train(some, block=1)
+    assert len(dealt.rest) == len(one.languages) - 1
+    a, b = ({r.doc_id: r for r in language_id.predict(docs, m).collect()} for m in (one, dealt))
+    assert all(a[i].lang_pred == b[i].lang_pred and a[i].bits_per_byte == pytest.approx(b[i].bits_per_byte, rel=1e-5) for i in a)
+
+
 # ---- 3
 
 
