@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII characters in lower case, so pun
 do not matter. A seed is a sequence of three words of a test item that is rare by the words' shares
 of the corpus: their product is at most ``RARE``, a property of the words alone, so a passage
 that very many documents hold keeps its seeds and the rule is the same at every size. An item
-with fewer than ``LEAST_SEEDS`` rare sequences takes all of its own. Seeds meet the documents
+with fewer than ``LEAST_SEEDS`` rare sequences takes all of its own, and any other takes all that
+have a word outside its rare ones, so that edits of the rare words hide no copy. Seeds meet the documents
 where they are read; each place where seeds of an item fall together is aligned with the whole
 item, and the score is the share of the best score the item could have. Substituted, inserted
 and dropped words lower it, and a passage of half an item or more that is copied well is found.
@@ -123,7 +124,12 @@ def prepare(docs: DataFrame, items: pa.Table) -> Items:
     item = words.text[begin]
     rare = rarity <= RARE
     enough = np.bincount(item, rare, minlength=items.num_rows) >= LEAST_SEEDS
-    chosen = np.flatnonzero(rare | ~enough[item])
+    # where rare sequences leave words of an item uncovered, all sequences with such a word are seeds
+    step = np.zeros(len(words) + 1, np.int64)
+    np.add.at(step, begin[rare], 1)
+    np.add.at(step, begin[rare] + SEED_WORDS, -1)
+    bare = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) == 0)])
+    chosen = np.flatnonzero(rare | ~enough[item] | (bare[begin + SEED_WORDS] > bare[begin]))
     chosen = chosen[np.argsort(hashes[chosen], kind="stable")]
     seeds, seed_first = np.unique(hashes[chosen], return_index=True)
     return Items(
@@ -197,6 +203,9 @@ def matches(words: Words, items: Items, known: Lookup, threshold: float) -> Iter
         have = words.hash[words.first[t] : words.first[t + 1]]
         best = (0.0, 0, 0)
         for x, y in _places(np.unique(place[a:b]), len(want), len(have)):
+            # no more of the item can align than its words that the stretch has at all
+            if np.isin(want, have[x:y]).sum() / max(len(want), 1) < threshold:
+                continue
             score, start, end = align(want, have[x:y])
             if score > best[0]:
                 best = (score, start + x, end + x)

@@ -501,6 +501,17 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontaminate.find_leaks(odd, odd_items).count() == 0
 
 
+def test_copies_with_edits_in_the_rare_words_are_found(spark):
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(50)]
+    plain = list(rng.choice(common, 14))
+    item = " ".join([f"rare{i}" for i in range(6)] + plain)
+    rows = [(i, " ".join(rng.choice(common, 1000))) for i in range(100)]
+    rows.append((100, " ".join(["other"] * 6 + plain)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(docs, bench).collect()] == [(100, 7, pytest.approx(0.7))]
+
+
 # ---- 10
 
 
