@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from pulseframe.llm import bpe, decontaminate, exact_dedup, katz, language_id, near_dedup, secrets, substrings, token_counts, toxicity
+from pulseframe.llm import bpe, decontaminate, exact_dedup, katz, language_id, near_dedup, quality_rules, secrets, substrings, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,28 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(read(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
+@query("op13_quality_rules", r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t)),
+    twice AS (SELECT doc_id, k FROM windows GROUP BY ALL HAVING count(*) > 1),
+    repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+                FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM windows JOIN twice USING (doc_id, k)) GROUP BY 1),
+    lines AS (SELECT doc_id, host, l, lower(trim(l, chr(9) || chr(11) || chr(12) || chr(13) || ' ')) AS k
+              FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+    dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, sum(length(k)) AS chars FROM lines GROUP BY 1),
+    common AS (SELECT host, k FROM lines GROUP BY ALL HAVING count(DISTINCT doc_id) > 10),
+    gone AS (SELECT doc_id, sum(length(k)) AS gone, count(*) AS n_common_lines FROM lines JOIN common USING (host, k) GROUP BY 1),
+    base AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(chars, 0) AS chars, coalesce(gone, 0) AS gone,
+                    coalesce(n_common_lines, 0) AS n_common_lines
+             FROM t LEFT JOIN repeats USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN gone USING (doc_id)),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND 2 * (chars - gone) >= chars AS kept, n_common_lines FROM judged
+""")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read(spark, sf_dir))
