@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from pulseframe.llm import bpe, decontaminate, exact_dedup, katz, language_id, near_dedup, quality_rules, secrets, substrings, token_counts, toxicity
+from pulseframe.llm import bpe, decontaminate, exact_dedup, importance, katz, language_id, near_dedup, quality_rules, secrets, substrings, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir))
+
+
+@query("op12_importance", f"""
+    WITH crc_table AS (
+        SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
+            FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))
+    ),
+    t AS (SELECT 'd' AS side, doc_id, regexp_extract_all({SQL_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+          UNION ALL SELECT 'b', NULL, regexp_extract_all({SQL_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+    feats AS (SELECT side, doc_id, unnest(ws) AS w FROM t),
+    hexed AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM feats)),
+    bucketed AS (
+        SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
+                   lambda c, b: xor(c // 256, crc_table.t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+        FROM hexed, crc_table
+    ),
+    hits AS (SELECT side, doc_id, bucket FROM feats JOIN bucketed USING (w)),
+    per AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM hits GROUP BY 1),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (S_ + 10000) AS DOUBLE) / CAST((s + 1) * (T_ + 10000) AS DOUBLE))) AS BIGINT) AS g
+             FROM per, (SELECT CAST(sum(s) AS BIGINT) AS S_, CAST(sum(t) AS BIGINT) AS T_ FROM per)),
+    sums AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS g, count(*) AS n FROM hits JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+    weighed AS (SELECT doc_id, len(ws) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+                       CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+                FROM t LEFT JOIN sums USING (doc_id) WHERE side = 'd'),
+    scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+    ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100 THEN r END AS rank
+    FROM ranked
+""")
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
