@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from pulseframe.llm import bpe, decontaminate, exact_dedup, importance, katz, language_id, near_dedup, quality_rules, secrets, substrings, token_counts, toxicity
+from pulseframe.llm import bpe, decontaminate, divergence, exact_dedup, importance, katz, language_id, near_dedup, quality_rules, secrets, substrings, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,31 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_divergence", f"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all({SQL_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    uses AS (SELECT doc_id, lang, source, unnest(ws) AS term FROM t),
+    kept AS (SELECT lang, term FROM uses GROUP BY ALL HAVING count(DISTINCT doc_id) >= 30),
+    vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+    groups AS (SELECT DISTINCT lang, source FROM t),
+    hits AS (SELECT lang, source, term, count(*) AS c FROM uses JOIN kept USING (lang, term) GROUP BY ALL),
+    ns AS (SELECT lang, source, coalesce(sum(c), 0)::BIGINT AS n FROM groups LEFT JOIN hits USING (lang, source) GROUP BY ALL),
+    p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 5)) // (n + 5 * v) AS p
+          FROM ns JOIN vs USING (lang) JOIN kept USING (lang) LEFT JOIN hits USING (lang, source, term)),
+    q AS (SELECT lang, term, 1 + (1000000000 * (sum(c)::BIGINT + 5)) // (any_value(big_n) + 5 * any_value(v)) AS q
+          FROM hits JOIN vs USING (lang) JOIN (SELECT lang, sum(n)::BIGINT AS big_n FROM ns GROUP BY 1) USING (lang) GROUP BY ALL),
+    pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d, 0) AS value
+             FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN (SELECT x.lang, x.source AS s1, y.source AS s2, sum(abs(x.p - y.p))::BIGINT AS d
+                        FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS z
+             ON z.lang = a.lang AND s1 = a.source AND s2 = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+          FROM (FROM pair UNION ALL FROM terms))
+    WHERE part = 'pair' OR rank <= 50
+""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir))

@@ -108,11 +108,12 @@ def lower(raw: np.ndarray) -> np.ndarray:
 
 class Words:
     """Words of all texts of a slice: ``start`` and ``end`` on the bytes, ``hash``, and ``first``,
-    the number of the first word of each text (one more at the end)."""
+    the number of the first word of each text (one more at the end). ``breaks`` tells for each
+    byte whether it separates, in place of the two usual choices."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, loose: bool = False, hashed: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, loose: bool = False, hashed: bool = True, breaks: np.ndarray | None = None):
         self.raw, self.offsets = raw, offsets
-        gap = (_IS_BREAK if loose else _IS_SPACE)[raw]
+        gap = (breaks if breaks is not None else _IS_BREAK if loose else _IS_SPACE)[raw]
         opens, closes = ~gap, ~gap
         before = np.ones(len(raw), bool)
         after = np.ones(len(raw), bool)
