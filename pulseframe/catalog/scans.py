@@ -66,10 +66,27 @@ def scan_mirror_csv(spark, sf):
     )
 
 
-@query("optional_columns", with_parts("""SELECT hk_uuid, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS end_ts, 'upsert' AS op FROM mirror"""))
+@query("optional_columns", with_parts("""SELECT user_id, hk_uuid, date_trunc('second', ts) AS ts, metric_type,
+ CAST(format('{:.4f}', metric_value) AS DOUBLE) AS metric_value,
+ CASE WHEN event_id % 4 IN (1, 2) THEN NULL ELSE date_trunc('second', CASE WHEN end_ts <> ts THEN end_ts END) END AS end_ts,
+ CASE WHEN event_id % 4 = 1 OR metric_type LIKE 'sleep_%' THEN NULL ELSE hk_source_name END AS hk_source_name,
+ CASE WHEN event_id % 4 <> 1 THEN tz_name END AS tz_name, 'upsert' AS op
+ FROM samples WHERE deleted_at IS NULL AND metric_type NOT LIKE 'sleep_%'"""))
 def optional_columns(spark, sf):
-    old = A.mirror_samples(spark, sf).select("user_id", "hk_uuid", "metric_type")
-    return C.with_optional_columns(old).select("hk_uuid", "unit", "end_ts", "op")
+    """Mirror files of four ages in one folder: full ones, old ones without operation, unit, end,
+    source and zone, ones without an end, and newer ones with more columns in another order."""
+    path = work_folder(spark, "ages")
+    live = R.live_rows(A.samples(spark, sf)).filter("metric_type NOT LIKE 'sleep_%'")
+    rows = C.export_mirror(live).withColumn("_age", F.substring("hk_uuid", 3, 20).cast("long") % 4)
+    base = list(S.MIRROR_COLUMNS)
+    old = ["user_id", "timestamp", "metric_type", "metric_value", "hk_uuid"]
+    ages = {0: base, 1: old, 2: [c for c in base if c != "end_ts"], 3: ["firmware", *reversed(base), "battery"]}
+    for age, columns in ages.items():
+        more = rows.filter(F.col("_age") == age).withColumns({"firmware": F.lit("9,1"), "battery": F.lit("7")})
+        C.write_mirror_csv(more.select(*columns), f"{path}/age={age}")
+    typed = O.parse_mirror(C.read_mirror_csv(spark, f"{path}/*"))
+    return typed.select("user_id", "hk_uuid", "ts", "metric_type", "metric_value", "end_ts", "hk_source_name",
+                        F.col("meta.tz_name").alias("tz_name"), "op")
 
 
 @query("scan_user_range", with_parts("""SELECT hk_uuid, ts, metric_type, metric_value FROM samples WHERE user_id = '7'

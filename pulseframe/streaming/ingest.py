@@ -6,7 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from pulseframe.plans.ingest import Store, apply_batch
-from pulseframe.sources.mirror_csv import stream_mirror_csv, with_ordinal
+from pulseframe.sources.mirror_csv import read_mirror_csv, stream_mirror_files
 
 
 def stream_ingest(
@@ -19,10 +19,12 @@ def stream_ingest(
     already taken; a replayed batch writes under the same batch id and gives the same
     tables. Late rows recompute whatever they touch, as far back as the retention goes.
     """
-    stream = stream_mirror_csv(spark, in_dir, max_files)
+    stream = stream_mirror_files(spark, in_dir, max_files)
 
     def each(batch, batch_id: int) -> None:
-        apply_batch(Store(batch.sparkSession, root), with_ordinal(batch), f"batch={batch_id}", at, **options)
+        files = [r.path for r in batch.collect()]  # names only, at most ``max_files``
+        if files:
+            apply_batch(Store(spark, root), read_mirror_csv(spark, files), f"batch={batch_id}", at, **options)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
