@@ -92,8 +92,11 @@ def optional_columns(spark, sf):
 @query("scan_user_range", with_parts("""SELECT hk_uuid, ts, metric_type, metric_value FROM samples WHERE user_id = '7'
  AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND metric_type IN ('heart_rate', 'steps')"""))
 def scan_user_range(spark, sf):
+    """From a stored table, of which the days of the range and the bucket of the user are read."""
+    path = work_folder(spark, "stored")
+    T.replace_slice(A.samples(spark, sf).select(*S.SAMPLES.fieldNames()), path, "ts", G.SAMPLE_KEYS, 2)
     t0, t1 = (F.lit(d).cast("timestamp") for d in ("2024-01-05", "2024-01-20"))
-    rows = T.scan_samples(A.samples(spark, sf), "7", t0, t1, ["heart_rate", "steps"])
+    rows = T.scan_samples(T.read_table(spark, path, S.SAMPLES), "7", t0, t1, ["heart_rate", "steps"], 2)
     return rows.select("hk_uuid", "ts", "metric_type", "metric_value")
 
 
@@ -101,13 +104,15 @@ def scan_user_range(spark, sf):
  coalesce(b.unit, s.unit) AS unit, CASE WHEN b.hk_uuid IS NULL THEN s.deleted_at END AS deleted_at
  FROM samples s LEFT JOIN batch b USING (user_id, hk_uuid)"""))
 def sink_upsert(spark, sf):
-    """Stored once, then a batch merged into the stored table."""
+    """Stored once, then a batch merged into the parts of the stored table that hold its rows."""
     root = work_folder(spark, "samples")
     base = A.samples(spark, sf).select(*S.SAMPLES.fieldNames())
-    T.replace_slice(base, f"{root}/t", "ts", G.SAMPLE_KEYS)
+    locator = T.Locator(spark, f"{root}/k", buckets=2)
+    locator.add(base, "ts")
+    T.replace_slice(base, f"{root}/t", "ts", G.SAMPLE_KEYS, locator.buckets)
     batch = A.upsert_batch(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp"))
     T.write_upsert(
-        spark, batch, f"{root}/t", S.SAMPLES, G.SAMPLE_KEYS, G.SAMPLE_OVERWRITE, G.SAMPLE_KEEP, f"{root}/s"
+        spark, batch, f"{root}/t", S.SAMPLES, G.SAMPLE_KEYS, G.SAMPLE_OVERWRITE, G.SAMPLE_KEEP, f"{root}/s", locator
     )
     return T.read_table(spark, f"{root}/t", S.SAMPLES).select(
         "user_id", "hk_uuid", "ts", "metric_value", "unit", "deleted_at"
@@ -121,8 +126,8 @@ def sink_replace_slice(spark, sf):
     fresh = R.rollup(A.samples(spark, sf), "hour").select(*ROLLUP.fieldNames())
     late = F.col("bucket_ts") >= F.lit("2024-01-15").cast("timestamp")
     stale = fresh.withColumn("n", F.when(late, F.col("n") + 1).otherwise(F.col("n")))
-    T.replace_slice(stale, path, "bucket_ts", R.BUCKET)
-    T.replace_slice(fresh.filter(late), path, "bucket_ts", R.BUCKET)
+    T.replace_slice(stale, path, "bucket_ts", R.BUCKET, 2)
+    T.replace_slice(fresh.filter(late), path, "bucket_ts", R.BUCKET, 2)
     return rollup_out(T.read_table(spark, path, ROLLUP))
 
 

@@ -15,6 +15,10 @@ from pulseframe.sources import adapter as A, mirror_csv as C
 from pulseframe.streaming import ingest, rollup, sessions as live, timeouts
 
 
+#: buckets of users for tables of this size
+FEW = 2
+
+
 def _with_history(df, moved, dead):
     """Every row, each with an ``ordinal``; every fifth came first on another day and with another
     value, and every seventh of the rest came first as live and was deleted later."""
@@ -49,8 +53,8 @@ def stream_rollup(spark, sf):
         samples, lambda df: _shifted("ts", "end_ts")(df).withColumn("metric_value", F.col("metric_value") + 1),
         lambda df: df.withColumn("deleted_at", F.lit("2024-03-01").cast("timestamp")),
     )
-    _landed_in_order(spark, "samples", frames, lambda stream: rollup.stream_rollup(stream, folder, f"{folder}/cp", ("hour",)))
-    return rollup_out(Store(spark, folder).read("rollup_hourly").drop("day"))
+    _landed_in_order(spark, "samples", frames, lambda stream: rollup.stream_rollup(stream, folder, f"{folder}/cp", ("hour",), buckets=FEW))
+    return rollup_out(Store(spark, folder).read("rollup_hourly").drop("day", "user_bucket"))
 
 
 @query("stream_sessions", with_parts("""SELECT user_id, min(segment_start_ts) AS session_start_ts, max(segment_end_ts) AS session_end_ts,
@@ -62,7 +66,7 @@ def stream_sessions(spark, sf):
     frames = _with_history(
         rows, _shifted("segment_start_ts", "segment_end_ts"), lambda df: df.withColumn("deleted_at", F.col("segment_start_ts"))
     )
-    _landed_in_order(spark, "sleep", frames, lambda stream: live.stream_sessions(stream, folder, f"{folder}/cp"))
+    _landed_in_order(spark, "sleep", frames, lambda stream: live.stream_sessions(stream, folder, f"{folder}/cp", buckets=FEW))
     return live.read_sessions(spark, folder).drop("session_id")
 
 
@@ -102,7 +106,7 @@ def stream_ingest(spark, sf):
     folder = work_folder(spark, "ingest")
     configure(spark)
     C.write_mirror_csv(C.export_mirror(R.live_rows(A.samples(spark, sf))), f"{folder}/in")
-    ingest.stream_ingest(spark, f"{folder}/in", f"{folder}/store", f"{folder}/cp", sleep_gap_s=GAP).awaitTermination()
+    ingest.stream_ingest(spark, f"{folder}/in", f"{folder}/store", f"{folder}/cp", buckets=FEW, sleep_gap_s=GAP).awaitTermination()
     return Store(spark, f"{folder}/store").read("samples").filter("deleted_at IS NULL").select(
         "user_id", "hk_uuid", "ts", "metric_type", "metric_value"
     )
@@ -118,7 +122,7 @@ def ingest_incremental(spark, sf):
     configure(spark)
     live = R.live_rows(A.samples(spark, sf))
     early, late, gone = _with_history(live, _shifted("ts", "end_ts"), lambda df: df)
-    store = Store(spark, f"{folder}/store")
+    store = Store(spark, f"{folder}/store", FEW)
     at = F.lit("2024-03-01").cast("timestamp")
     texts = [C.export_mirror(early.drop("ordinal")), C.export_mirror(late.drop("ordinal")), C.export_deletes(gone)]
     for i, text in enumerate(texts):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pulseframe import schema as S
 
 #: fixed values: blank, tab, line feed, vertical tab, form feed, carriage return
 WHITE = " \t\n\x0b\f\r"
@@ -34,6 +35,16 @@ def to_offset_minutes(col: Column) -> Column:
     return to_number(col).try_cast("int")
 
 
+def latest_end(start: Column | str) -> Column:
+    return (F.col(start) if isinstance(start, str) else start) + F.make_dt_interval(days=F.lit(S.MAX_SPAN_DAYS))
+
+
+def within_span(start: Column | str, end: Column | str) -> Column:
+    """An end that no interval join has to lay onto more days than a span may have."""
+    end = F.col(end) if isinstance(end, str) else end
+    return F.when(end > latest_end(start), latest_end(start)).otherwise(end)
+
+
 def is_finite(col: Column) -> Column:
     return col.isNotNull() & ~F.isnan(col) & (F.abs(col) < F.lit(float("inf")))
 

@@ -112,14 +112,17 @@ def parse_mirror(text: DataFrame) -> DataFrame:
 
 
 def as_samples(metrics: DataFrame) -> DataFrame:
-    """Sample rows of a batch ready for the merge."""
+    """Sample rows of a batch ready for the merge; ends beyond the longest span are cut."""
+    metrics = metrics.withColumn("end_ts", C.within_span("ts", "end_ts"))
     cols = [c for c in S.SAMPLES.fieldNames() if c != "deleted_at"]
     return complete_rows(metrics).filter(F.col("hk_uuid").isNotNull()).select(*cols, "ordinal")
 
 
 def as_events(events: DataFrame) -> DataFrame:
-    """Event rows of a batch ready for the merge; the zone context goes into the metadata."""
-    typed = events.withColumnsRenamed({"metric_type": "event_type", "metric_value": "value"}).withColumn(
+    """Event rows of a batch ready for the merge; the zone context goes into the metadata, and ends
+    beyond the longest span are cut."""
+    typed = events.withColumn("end_ts", C.within_span("ts", "end_ts"))
+    typed = typed.withColumnsRenamed({"metric_type": "event_type", "metric_value": "value"}).withColumn(
         "hk_metadata", M.merge_metadata(F.col("hk_metadata"), F.col("meta"))
     )
     cols = [c for c in S.EVENTS.fieldNames() if c != "deleted_at"]
@@ -134,18 +137,20 @@ def batch_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def outcome(df: DataFrame) -> DataFrame:
-    """What becomes of each mirror row: deleted, metric, event, dropped as incomplete, or (where
-    the row's ``cutoff`` is known) expired."""
+    """What becomes of each mirror row: deleted, metric, event, dropped as incomplete, stored with its
+    end cut to the longest span, or (where the row's ``cutoff`` is known) expired."""
     value = F.col("metric_value")
     complete = F.col("ts").isNotNull() & F.col("metric_type").isNotNull() & value.isNotNull() & ~F.isnan(value)
     if "user_id" in df.columns:
         complete = complete & F.col("user_id").isNotNull()
     expired = F.col("ts") < F.col("cutoff") if "cutoff" in df.columns else F.lit(False)
+    cut = F.col("end_ts") > C.latest_end("ts") if "end_ts" in df.columns else F.lit(False)
     return df.withColumn(
         "outcome",
         F.when(C.is_delete(F.col("op")), "deleted")
         .when(~complete, "dropped")
         .when(expired, "expired")
+        .when(cut, "cut")
         .when(is_event(F.col("metric_type")), "event")
         .otherwise("metric"),
     )

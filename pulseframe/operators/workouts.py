@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe import schema as S
 from pulseframe.functions import meta as M
-from pulseframe.functions.clean import blank_to_null, strip
+from pulseframe.functions.clean import blank_to_null, strip, within_span
 from pulseframe.operators.intervals import points_in_spans
 from pulseframe.operators.rollup import live_rows
 
@@ -86,11 +86,12 @@ def workout_pivot(events: DataFrame) -> DataFrame:
 
 
 def workout_end(df: DataFrame) -> DataFrame:
-    """Missing ends become start plus duration."""
-    by_duration = F.timestamp_micros(
-        F.unix_micros("start_ts") + F.floor(F.col("duration_min") * 60_000_000 + 0.5)
-    )
-    return df.withColumn("end_ts", F.coalesce("end_ts", by_duration))
+    """Missing ends become start plus duration; no workout is longer than ``MAX_SPAN_DAYS``."""
+    longest = F.lit(S.MAX_SPAN_DAYS * 1_440.0)
+    known = F.col("duration_min").isNotNull() & ~F.isnan("duration_min")
+    minutes = F.when(known, F.least("duration_min", longest))
+    by_duration = F.timestamp_micros(F.unix_micros("start_ts") + F.floor(minutes * 60_000_000 + 0.5))
+    return df.withColumn("end_ts", F.coalesce(within_span("start_ts", "end_ts"), by_duration))
 
 
 def workouts(events: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Ingest of one batch of mirror rows into raw and derived tables.
 
 Everything the batch changes is described by the hours of each user it touches: raw facts are
-merged on the days of these, and derived tables are recomputed on the days around them. Days are
-read with partition pruning and replaced whole. To find where replaced and deleted rows lie, the
-keys of a batch are looked up in the stored facts, of which only key, instant and day are read.
+merged on the days of these, and derived tables are recomputed on the days around them. What is read
+and replaced are parts, one day of one bucket of users each. Where replaced and deleted rows lie is
+looked up in locators; no stored table is read beyond the parts that are found.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,14 +20,17 @@ from pulseframe import schema as S
 from pulseframe.operators import clean as O, merge as G, rollup as R, sleep as L, splits as P, workouts as W
 from pulseframe.operators.timeline import fit_width
 from pulseframe.sources.mirror_csv import with_optional_columns
-from pulseframe.sources.tables import days_of, on_days, read_table, rewrite_days
+from pulseframe.sources.tables import BUCKETS, Locator, Part, bucket_of, on_parts, parts_of, read_table, remove, rewrite_parts
+
 
 @dataclass(frozen=True)
 class Store:
-    """Table folders under one root, which must be shared by all executors."""
+    """Table folders under one root, which must be shared by all executors. ``buckets`` of users is
+    fixed for the life of the store."""
 
     spark: SparkSession
     root: str
+    buckets: int = BUCKETS
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -34,11 +38,18 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return read_table(self.spark, self.path(name), TABLES[name][0])
 
-    def rewrite(self, name: str, days, change, batch_id: str) -> None:
+    def locator(self, name: str) -> Locator:
+        """Where rows of raw facts lie by their ids; where workouts and their splits lie."""
+        return Locator(self.spark, f"{self.root}/_keys/{name}", "workout_uuid" if name == "workouts" else "hk_uuid", self.buckets)
+
+    def parts(self, df: DataFrame, day: Column | str = "day") -> set[Part]:
+        return parts_of(df, day, self.buckets)
+
+    def rewrite(self, name: str, parts: set[Part], change, batch_id: str) -> None:
         schema, day_col, sort = TABLES[name]
-        rewrite_days(
-            self.spark, self.path(name), schema, days, day_col, sort, change,
-            f"{self.root}/_staging/{batch_id}/{name}",
+        rewrite_parts(
+            self.spark, self.path(name), schema, parts, day_col, sort, change,
+            f"{self.root}/_staging/{batch_id}/{name}", self.buckets,
         )
 
 
@@ -76,9 +87,8 @@ def apply_batch(
     )
     # what is touched depends on the stored rows as they were; a replay after a partial attempt
     # finds them changed already, so the first complete answer of a batch stands
-    hours = _kept(
-        store, G.touched_hours(samples, store.read("samples"), ids), f"_staging/{batch_id}/hours", once=True
-    )
+    found = on_parts(store.read("samples"), store.locator("samples").parts(_keys(samples, ids)))
+    hours = _kept(store, G.touched_hours(samples, found, ids), f"_staging/{batch_id}/hours", once=True)
     windows = hours.groupBy("user_id").agg(F.min("hour").alias("t_min"), (F.max("hour") + F.expr("interval 1 hour")).alias("t_max"))
     _together(
         store,
@@ -95,7 +105,7 @@ def apply_batch(
     )
     counts = O.batch_counts(O.outcome(parsed.join(cutoffs, "user_id", "left")))
     rows = [tuple(r) for r in counts.collect()]  # one row an outcome
-    _remove(store, f"_staging/{batch_id}")
+    _finish(store, batch_id)
     return store.spark.createDataFrame(rows, counts.schema)
 
 
@@ -109,11 +119,12 @@ def apply_samples(store: Store, changes: DataFrame, batch_id: str, units: dict[s
     last = F.max_by(F.struct(*changes.columns), "ordinal").alias("row")
     latest = _kept(store, changes.groupBy(*G.SAMPLE_KEYS).agg(last).select("row.*"), f"_staging/{batch_id}/changes", once=True)
     dead, live = latest.filter("deleted_at IS NOT NULL"), latest.filter("deleted_at IS NULL")
-    hours = _kept(store, G.touched_hours(live, store.read("samples"), dead), f"_staging/{batch_id}/hours", once=True)
+    found = on_parts(store.read("samples"), store.locator("samples").parts(_keys(live, dead)))
+    hours = _kept(store, G.touched_hours(live, found, dead), f"_staging/{batch_id}/hours", once=True)
     _merge_raw(store, "samples", live, dead.select("user_id", "hk_uuid"), None, F.current_timestamp(), G.merge_samples, batch_id)
     units = units or {"rollup_hourly": "hour", "rollup_daily": "day"}
     _together(store, *(lambda n=n, u=u: _refresh_rollup(store, hours, n, u, batch_id) for n, u in units.items()))
-    _remove(store, f"_staging/{batch_id}")
+    _finish(store, batch_id)
 
 
 def _together(store: Store, *steps: Callable[[], None]) -> None:
@@ -129,9 +140,15 @@ def _folder(store: Store, path: str):
     return at, at.getFileSystem(store.spark._jsc.hadoopConfiguration())
 
 
-def _remove(store: Store, name: str) -> None:
-    at, files = _folder(store, store.path(name))
-    files.delete(at, True)
+def _finish(store: Store, batch_id: str) -> None:
+    remove(store.spark, store.path(f"_staging/{batch_id}"))
+    for name in ("samples", "events", "workouts"):
+        store.locator(name).compact()
+
+
+def _keys(*rows: DataFrame) -> DataFrame:
+    """Ids of rows, each once."""
+    return reduce(DataFrame.union, (r.select("user_id", "hk_uuid") for r in rows)).distinct()
 
 
 def _kept(store: Store, df: DataFrame, name: str, once: bool = False) -> DataFrame:
@@ -155,20 +172,18 @@ def _prepare(store, text, batch_id, user_id, retention_days, at) -> tuple[DataFr
 
 
 def _merge_raw(store, name, batch, ids, cutoffs, at, merge, batch_id) -> None:
-    """Prune, tombstone, then upsert, all in one rewrite of the affected days."""
-    stored = store.read(name)
-    expired_days = set()
+    """Prune, tombstone, then upsert, all in one rewrite of the affected parts."""
+    locator = store.locator(name)
+    parts = locator.parts(_keys(ids, batch)) | store.parts(batch, F.to_date("ts"))
     if cutoffs is not None:
         oldest_kept = cutoffs.agg(F.max(F.to_date("cutoff"))).first()[0]
-        # only days up to the newest cutoff can hold expired rows
-        expired = stored.filter(F.col("day") <= F.lit(oldest_kept)).join(cutoffs, "user_id").filter(
-            F.col("ts") < F.col("cutoff")
-        )
-        expired_days = set(days_of(expired))
-    hit = stored.join(ids.union(batch.select("user_id", "hk_uuid")).distinct(), ["user_id", "hk_uuid"], "left_semi")
-    days = expired_days | set(days_of(hit)) | set(days_of(batch, F.to_date("ts")))
+        buckets = sorted(r[0] for r in cutoffs.select(bucket_of(buckets=store.buckets)).distinct().collect())
+        # only days up to the newest cutoff, of the users of the batch, can hold expired rows
+        old = store.read(name).filter((F.col("day") <= F.lit(oldest_kept)) & F.col("user_bucket").isin(*buckets))
+        parts |= store.parts(old.join(cutoffs, "user_id").filter(F.col("ts") < F.col("cutoff")))
+    locator.add(batch, "ts")
     pruned = (lambda base: base) if cutoffs is None else (lambda base: G.prune(base, cutoffs))
-    store.rewrite(name, sorted(days), lambda base: merge(G.tombstone(pruned(base), ids, at), batch), batch_id)
+    store.rewrite(name, parts, lambda base: merge(G.tombstone(pruned(base), ids, at), batch), batch_id)
 
 
 def _dates(hours: DataFrame, before: int = 0, after: int = 0, name: str = "day") -> DataFrame:
@@ -178,19 +193,19 @@ def _dates(hours: DataFrame, before: int = 0, after: int = 0, name: str = "day")
 
 
 def _refresh_rollup(store: Store, hours: DataFrame, name: str, unit: str, batch_id: str) -> None:
-    days = days_of(_dates(hours))
-    samples = on_days(store.read("samples"), days).drop("day")
-    store.rewrite(name, days, lambda base: G.refresh_buckets(base, samples, hours, unit), batch_id)
+    parts = store.parts(_dates(hours))
+    samples = on_parts(store.read("samples"), parts).drop("day", "user_bucket")
+    store.rewrite(name, parts, lambda base: G.refresh_buckets(base, samples, hours, unit), batch_id)
 
 
 def _refresh_sleep(store: Store, hours: DataFrame, batch_id: str, gap_s: float) -> None:
     """Recompute the nights around changed samples: nights are written from one day before to two
     days after a touched day, and rows are read two days further to either side."""
     dates, reach = _dates(hours, 1, 2, "sleep_date"), _dates(hours, 3, 4)
-    write_days, read_days = days_of(dates, "sleep_date"), days_of(reach)
-    if not write_days:
+    writes, reads = store.parts(dates, "sleep_date"), store.parts(reach)
+    if not writes:
         return
-    near = on_days(store.read("samples"), read_days).join(reach, ["user_id", "day"], "left_semi").drop("day")
+    near = on_parts(store.read("samples"), reads).join(reach, ["user_id", "day"], "left_semi").drop("day", "user_bucket")
 
     def touched(df: DataFrame) -> DataFrame:
         return df.join(dates, ["user_id", "sleep_date"], "left_semi")
@@ -201,10 +216,10 @@ def _refresh_sleep(store: Store, hours: DataFrame, batch_id: str, gap_s: float)
     width_s = fit_width(L.sleep_rows(near), ["user_id"], "segment_start_ts")
     fresh = touched(L.sleep_segments(L.label_sleep(near, gap_s, width_s)))
     store.rewrite(
-        "sleep_segments", write_days,
+        "sleep_segments", writes,
         lambda base: others(base).unionByName(fresh.select(*S.SEGMENTS.fieldNames())), batch_id,
     )
-    stored = on_days(store.read("sleep_segments"), write_days).drop("day")
+    stored = on_parts(store.read("sleep_segments"), writes).drop("day", "user_bucket")
     nights = L.sleep_daily_from_segments(touched(stored)).select(*S.NIGHTS.fieldNames())
 
     def change(base: DataFrame) -> DataFrame:
@@ -212,32 +227,32 @@ def _refresh_sleep(store: Store, hours: DataFrame, batch_id: str, gap_s: float)
         old = base.join(nights.select("user_id", "sleep_date"), ["user_id", "sleep_date"], "left_semi")
         return others(base).unionByName(L.upsert_sleep_daily(old, nights))
 
-    store.rewrite("sleep_daily", write_days, change, batch_id)
+    store.rewrite("sleep_daily", writes, change, batch_id)
 
 
 def _refresh_workouts(store, upserted, gone, hours, windows, batch_id) -> None:
-    events = store.read("events").drop("day")
-    near = on_days(store.read("events"), days_of(_dates(hours, 0, 4)))
+    places = store.locator("workouts")
+    starts = on_parts(store.read("events"), store.parts(_dates(hours, 0, 4)))
+    # a workout under way began at most the longest span before
+    running = on_parts(store.read("workouts"), store.parts(_dates(hours, S.MAX_SPAN_DAYS + 1)))
     touched = _kept(
-        store,
-        G.touched_workouts(near, upserted.select("user_id", "hk_uuid"), windows, stored=store.read("workouts")),
+        store, G.touched_workouts(starts, upserted.select("user_id", "hk_uuid"), windows, stored=running),
         f"_staging/{batch_id}/touched",
     )
+    ids = touched.select("user_id", F.col("workout_uuid").alias("hk_uuid"))
+    events = on_parts(store.read("events"), store.locator("events").parts(ids)).drop("day", "user_bucket")
     mine = W.split_workout_id(events).join(touched, list(W.WORKOUT), "left_semi").select(*events.columns)
     new = _kept(store, W.workouts(mine).select(*S.WORKOUTS.fieldNames()), f"_staging/{batch_id}/new_workouts")
     changed = new.select(*W.WORKOUT).union(gone).distinct()
 
-    stored = store.read("workouts").join(changed, list(W.WORKOUT), "left_semi")
-    days = sorted(set(days_of(stored)) | set(days_of(new, F.to_date("start_ts"))))
-    store.rewrite("workouts", days, lambda base: W.upsert_workouts(G.cascade_delete(base, gone), new), batch_id)
-
-    old_parts = store.read("workout_splits").join(changed, list(W.WORKOUT), "left_semi")
-    days = sorted(set(days_of(old_parts)) | set(days_of(new, F.to_date("start_ts"))))
-    span = F.sequence(F.to_date("start_ts"), F.to_date(F.coalesce("end_ts", "start_ts")), F.expr("interval 1 day"))
-    sample_days = days_of(new.select(F.explode(span).alias("day")))
-    if not days:
+    # splits lie on the day of their workout's start, so one locator serves both
+    parts = places.parts(changed) | store.parts(new, F.to_date("start_ts"))
+    if not parts:
         return
-    samples = on_days(store.read("samples"), sample_days)
+    places.add(new, "start_ts")
+    store.rewrite("workouts", parts, lambda base: W.upsert_workouts(G.cascade_delete(base, gone), new), batch_id)
+    days = F.sequence(F.to_date("start_ts"), F.to_date(F.coalesce("end_ts", "start_ts")), F.expr("interval 1 day"))
+    samples = on_parts(store.read("samples"), store.parts(new.select("user_id", F.explode(days).alias("day"))))
     bare = _kept(store, P.splits(P.distance_stream(samples, new)), f"_staging/{batch_id}/splits")  # read twice below
-    parts = P.split_measures(bare, samples).select(*S.SPLITS.fieldNames())
-    store.rewrite("workout_splits", days, lambda base: G.replace_splits(base, parts, changed), batch_id)
+    measured = P.split_measures(bare, samples).select(*S.SPLITS.fieldNames())
+    store.rewrite("workout_splits", parts, lambda base: G.replace_splits(base, measured, changed), batch_id)

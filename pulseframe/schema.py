@@ -127,3 +127,5 @@ MICRO_KM = 1_000_000
 MICRO_KM_PER_MILE = 1_609_344
 MAX_UPLOAD_BYTES = 200 * 1024 * 1024
 PROCESSING_TIMEOUT_S = 300
+# Ours: a sample or workout ends at most this long after its start; later ends are cut.
+MAX_SPAN_DAYS = 31

@@ -7,11 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulseframe.plans.ingest import Store, apply_batch
 from pulseframe.sources.mirror_csv import read_mirror_csv, stream_mirror_files
+from pulseframe.sources.tables import BUCKETS
 
 
 def stream_ingest(
     spark: SparkSession, in_dir: str, root: str, checkpoint: str, at: Column | None = None,
-    available_now: bool = True, max_files: int = 1_000, **options,
+    available_now: bool = True, max_files: int = 1_000, buckets: int = BUCKETS, **options,
 ) -> StreamingQuery:
     """Apply every new mirror file once, one micro-batch after the other.
 
@@ -24,7 +25,7 @@ def stream_ingest(
     def each(batch, batch_id: int) -> None:
         files = [r.path for r in batch.collect()]  # names only, at most ``max_files``
         if files:
-            apply_batch(Store(spark, root), read_mirror_csv(spark, files), f"batch={batch_id}", at, **options)
+            apply_batch(Store(spark, root, buckets), read_mirror_csv(spark, files), f"batch={batch_id}", at, **options)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

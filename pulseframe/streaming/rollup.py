@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from pulseframe.plans.ingest import Store, apply_samples
+from pulseframe.sources.tables import BUCKETS
 
 TABLES = {"hour": "rollup_hourly", "day": "rollup_daily"}
 
 
 def stream_rollup(
-    stream: DataFrame, root: str, checkpoint: str, units: tuple[str, ...] = ("hour", "day"), available_now: bool = True
+    stream: DataFrame, root: str, checkpoint: str, units: tuple[str, ...] = ("hour", "day"), available_now: bool = True,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Keep the rollups under ``root`` equal to a full rollup of all samples seen.
 
@@ -22,7 +24,7 @@ def stream_rollup(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_samples(Store(batch.sparkSession, root), batch, f"batch={batch_id}", {TABLES[u]: u for u in units})
+        apply_samples(Store(batch.sparkSession, root, buckets), batch, f"batch={batch_id}", {TABLES[u]: u for u in units})
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

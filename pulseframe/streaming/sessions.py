@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulseframe.operators import sleep as L
 from pulseframe.schema import table
-from pulseframe.sources.tables import days_of, on_days, read_table, rewrite_days
+from pulseframe.sources.tables import BUCKETS, Locator, Part, on_parts, parts_of, read_table, rewrite_parts
 
 ROWS = table(
     "user_id string, hk_uuid string, metric_type string, metric_value double, "
@@ -16,14 +16,14 @@ ROWS = table(
 
 
 def stream_sessions(
-    stream: DataFrame, root: str, checkpoint: str, available_now: bool = True
+    stream: DataFrame, root: str, checkpoint: str, available_now: bool = True, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Keep the table of sleep rows current; sessions are derived from it on read.
 
     A row seen again replaces its earlier version, also on another day, and one with a
     ``deleted_at`` takes it away. Of several versions in a micro-batch the last by ``ordinal``
-    counts, or else the one that starts last. A stored row is found by its key, of which only
-    key and day are read; both the day it leaves and the day it enters are rewritten.
+    counts, or else the one that starts last. Where a row lay is looked up in a locator; the part it
+    leaves and the part it enters are read and rewritten, and no other.
 
     A session boundary depends on the row before in start order, and late rows may fall
     between rows seen long ago. Per-key operator state would have to hold a user's whole
@@ -40,21 +40,22 @@ def stream_sessions(
         batch.groupBy(*keys).agg(last).select("row.*").select(*names).write.mode("overwrite").parquet(staged)
         changes = spark.read.parquet(staged)
         rows = changes.filter(~F.col("gone")).drop("gone")
-        # the days a row left are rewritten whole, so a replay need not find them again
-        moved = read_table(spark, path, ROWS).join(changes.select(*keys), keys, "left_semi")
-        days = sorted(set(days_of(rows, F.to_date("segment_start_ts"))) | set(days_of(moved)))
-        rewrite_days(
-            spark, path, ROWS, days, "segment_start_ts", ("user_id", "hk_uuid"),
+        locator = Locator(spark, f"{root}/_keys/sleep_rows", buckets=buckets)
+        parts = locator.parts(changes) | parts_of(rows, F.to_date("segment_start_ts"), buckets)
+        locator.add(rows, "segment_start_ts")
+        rewrite_parts(
+            spark, path, ROWS, parts, "segment_start_ts", ("user_id", "hk_uuid"),
             lambda stored: stored.join(changes.select(*keys), keys, "left_anti").unionByName(rows),
-            f"{root}/_staging/batch={batch_id}/sleep_rows",
+            f"{root}/_staging/batch={batch_id}/sleep_rows", buckets,
         )
+        locator.compact()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_sessions(spark: SparkSession, root: str, gap_s: float = L.GAP_S, days=None) -> DataFrame:
-    """Sessions of the rows stored so far, optionally of some days only."""
+def read_sessions(spark: SparkSession, root: str, gap_s: float = L.GAP_S, parts: set[Part] | None = None) -> DataFrame:
+    """Sessions of the rows stored so far, optionally of some parts only."""
     rows = read_table(spark, f"{root}/sleep_rows", ROWS)
-    rows = rows if days is None else on_days(rows, days)
-    return L.session_bounds(L.sleep_sessions_of(rows.drop("day"), gap_s))
+    rows = rows if parts is None else on_parts(rows, parts)
+    return L.session_bounds(L.sleep_sessions_of(rows.drop("day", "user_bucket"), gap_s))
