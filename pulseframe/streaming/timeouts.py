@@ -4,70 +4,95 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulseframe import schema as S
 
 OUTCOMES = "task_id string, status string, started_at timestamp, age_s double"
+#: the store that this kind of state needs
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_FOUND = "task_id string, status string, started long, age long"
 
 
-def stream_timeout(reports: DataFrame, watermark: str, seconds: int = S.PROCESSING_TIMEOUT_S) -> DataFrame:
-    """One outcome per upload: completed, failed, or timeout when nothing came in time.
+class _Upload(StatefulProcessor):
+    """One upload: first start, first end, and whether its outcome is out.
 
-    Input are status reports ``(task_id, status, ts)``; an upload starts with its ``pending``
-    report. Time is event time, so reruns decide alike. ``watermark`` is how late a report may
-    come: reports may come in any order within it. The key is one upload and its state two
-    instants and a status, so no group can grow. An end whose start does not come within the
-    lateness is given up.
+    Instants are microseconds. A decided upload stays known for ``keep`` milliseconds after its
+    outcome, so that a report that is delivered again gives no second one; a timer then clears it.
     """
 
-    def run(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        (task_id,) = key
-        started, ended, status = state.get if state.exists else (None, None, None)
-        if state.hasTimedOut:
-            state.remove()
-            if started is not None:
-                yield _outcome(task_id, "timeout", started, float(seconds))
+    def __init__(self, limit: int, keep: int):
+        self.limit, self.keep = limit * 1_000_000, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.upload = handle.getValueState("upload", "started long, ended long, status string, decided boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        started, ended, status, decided = self.upload.get() if self.upload.exists() else (None, None, None, False)
+        if decided:
             return
-        # one pass in whatever order reports come
-        for frame in frames:
-            for at in frame.loc[frame["status"] == "pending", "ts"]:
-                started = at if started is None else min(pd.Timestamp(started), at)
-            for row in frame[frame["status"].isin(["completed", "failed"])].itertuples(index=False):
-                if ended is None or row.ts < pd.Timestamp(ended):
-                    ended, status = row.ts, row.status
-        if started is not None and ended is not None:
-            age = (pd.Timestamp(ended) - pd.Timestamp(started)).total_seconds()
-            if state.exists:
-                state.remove()
-            yield _outcome(task_id, status if age < seconds else "timeout", started, min(age, float(seconds)))
+        for row in rows:  # in whatever order they come
+            if row.status == "pending":
+                started = row.at if started is None else min(started, row.at)
+            elif row.status in ("completed", "failed") and (ended is None or row.at < ended):
+                ended, status = row.at, row.status
+        if started is None and ended is None:
             return
-        known = started if started is not None else ended
-        if known is None:
+        if started is not None and ended is not None:
+            age = ended - started
+            yield self._decide(key, status if age < self.limit else "timeout", started, min(age, self.limit), timerValues)
             return
-        deadline = int(pd.Timestamp(known).timestamp() * 1_000) + seconds * 1_000
-        if deadline <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
+        deadline = (ended if started is None else started) // 1_000 + self.limit // 1_000
+        if deadline <= timerValues.getCurrentWatermarkInMs():
             if started is not None:
-                yield _outcome(task_id, "timeout", started, float(seconds))
+                yield self._decide(key, "timeout", started, self.limit, timerValues)
+            else:
+                self.upload.clear()
             return
-        plain = lambda t: None if t is None else pd.Timestamp(t).to_pydatetime()
-        state.update((plain(started), plain(ended), status))
-        state.setTimeoutTimestamp(deadline)
+        self.upload.update((started, ended, status, False))
+        self._wake(deadline)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.upload.exists():
+            return
+        started, _, _, decided = self.upload.get()
+        if decided or started is None:  # remembered long enough, or an end whose start did not come
+            self.upload.clear()
+        else:
+            yield self._decide(key, "timeout", started, self.limit, timerValues)
+
+    def _wake(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def _decide(self, key, status: str, started: int, age: int, timerValues) -> Row:
+        self.upload.update((started, None, status, True))
+        self._wake(max(timerValues.getCurrentWatermarkInMs(), (started + age) // 1_000) + self.keep)
+        return Row(task_id=key[0], status=status, started=started, age=age)
+
+    def close(self) -> None:
+        pass
 
-    return (
-        reports.withWatermark("ts", watermark)
-        .groupBy("task_id")
-        .applyInPandasWithState(
-            run, OUTCOMES, "started timestamp, ended timestamp, status string", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
 
+def stream_timeout(reports: DataFrame, watermark: str, seconds: int = S.PROCESSING_TIMEOUT_S) -> DataFrame:
+    """Exactly one outcome per upload: completed, failed, or timeout when nothing came in time.
 
-def _outcome(task_id: str, status: str, started, age: float) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"task_id": [task_id], "status": [status], "started_at": [pd.Timestamp(started)], "age_s": [age]}
+    Input are status reports ``(task_id, status, ts)``; an upload starts with its ``pending``
+    report. Time is event time, so reruns decide alike. ``watermark`` is how late a report may
+    come: reports may come in any order within it, and more than once. The key is one upload and
+    its state two instants and a status, so no group can grow. An end whose start does not come
+    within the lateness is given up.
+    """
+    spark = reports.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    keep = spark.range(1).select(F.expr(f"unix_millis(timestamp '1970-01-01 00:00:00' + interval {watermark})")).first()[0]
+    found = (
+        reports.select("task_id", "status", "ts", F.unix_micros("ts").alias("at"))
+        .withWatermark("ts", watermark)
+        .groupBy("task_id")
+        .transformWithState(_Upload(seconds, keep), _FOUND, "append", "eventTime")
     )
+    return found.select("task_id", "status", F.timestamp_micros("started").alias("started_at"), (F.col("age") / 1e6).alias("age_s"))

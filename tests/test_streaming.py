@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulseframe import catalog
 from pulseframe.catalog import streams
 from pulseframe.session import work_folder
+from pulseframe.streaming import timeouts
 from pulseframe.streaming.bursts import coalesce_bursts
 from tests.compare import compare
 
@@ -57,3 +58,29 @@ def test_timeouts_over_a_long_span(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     name = "stream_timeout"
     assert compare(spark, con, name, catalog.queries()[name], catalog.oracle_sql()[name], str(tmp_path)) == ""
+
+
+def test_one_outcome_an_upload(spark, tmp_path):
+    """Reports are delivered again after the outcome, in the same and in later micro-batches."""
+    at = lambda s: START + dt.timedelta(seconds=s)
+    loads = [
+        [("a", "pending", at(0)), ("b", "pending", at(1)), ("c", "completed", at(30)), ("d", "completed", at(5))],
+        [("a", "completed", at(10)), ("a", "pending", at(0)), ("c", "pending", at(20)), ("e", "pending", at(2))],
+        [("a", "pending", at(0)), ("a", "completed", at(10)), ("c", "failed", at(40)), ("c", "pending", at(20)), ("e", "completed", at(900))],
+        [("tick", "completed", at(2_000))],  # passes the deadline of b, within the lateness of its reports
+        [("tick", "completed", at(2_001))],
+        [("b", "pending", at(1_500)), ("b", "completed", at(1_501)), ("e", "pending", at(1_400))],
+        [("tick", "completed", at(9_000))],
+        [("tick", "completed", at(9_001))],
+    ]
+    frames = [spark.createDataFrame(rows, "task_id string, status string, ts timestamp") for rows in loads]
+
+    def start(stream):
+        writer = timeouts.stream_timeout(stream, "1000 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        return writer.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+
+    streams._landed_in_order(spark, "again", frames, start)
+    got = spark.read.schema(timeouts.OUTCOMES).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.task_id, r.status, r.age_s) for r in got) == [
+        ("a", "completed", 10.0), ("b", "timeout", 300.0), ("c", "completed", 10.0), ("e", "timeout", 300.0)]
+    assert {r.task_id: r.started_at for r in got}["c"] == at(20)
