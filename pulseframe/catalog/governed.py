@@ -102,3 +102,25 @@ def calendar_spine(spark, sf):
     spine = bounds.select(V.calendar_days(F.col("lo"), F.col("hi")).alias("step_ts"))
     per_day = samples.groupBy(F.date_trunc("day", "ts").alias("step_ts")).agg(F.count("hk_uuid").alias("n"))
     return spine.join(per_day, "step_ts", "left").select("step_ts", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("governed_arrays", with_parts(f"""SELECT 'day' AS kind, CAST(c.d AS VARCHAR) AS item, count(r.metric_type) AS n
+ FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS d) c
+ LEFT JOIN (SELECT * FROM rb {MINE}) r ON CAST({local('r.bucket_ts', "'" + TZ + "'")} AS DATE) = c.d GROUP BY ALL
+ UNION ALL SELECT 'part', p, count(*) FROM (SELECT unnest(string_split(workout_uuid, '-')) AS p FROM wk {MINE}) GROUP BY ALL
+ UNION ALL SELECT 'attribute', a, count(*) FROM (SELECT unnest(['km ' || workout_type, 'kcal ' || workout_type]) AS a FROM wk {MINE}) GROUP BY ALL""",
+    rb=rebucket("daily", "day", TZ)))
+def governed_arrays(spark, sf):
+    """Ad-hoc texts with a calendar, an array as a lateral table, and an expanded array column."""
+    session = _session(spark, sf)
+    texts = [
+        """SELECT 'day' AS kind, CAST(to_date(c.value) AS STRING) AS item, count(r.metric_type) AS n
+           FROM generate_series(timestamp'2024-01-01', timestamp'2024-02-05') c LEFT JOIN derived_rollup_daily r
+           ON to_date(from_utc_timestamp(r.bucket_ts, :tz_name)) = to_date(c.value) AND r.user_id = :user_id GROUP BY 2""",
+        """SELECT 'part' AS kind, u.value AS item, count(*) AS n
+           FROM derived_workouts w, LATERAL unnest(split(w.workout_uuid, '-')) u WHERE w.user_id = :user_id GROUP BY 2""",
+        """SELECT 'attribute' AS kind, a AS item, count(*) AS n FROM derived_workouts
+           LATERAL VIEW explode(array('km ' || workout_type, 'kcal ' || workout_type)) t AS a WHERE user_id = :user_id GROUP BY 2""",
+    ]
+    rows = [V.ask(session, text, USER, TZ) for text in texts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -43,6 +43,17 @@ _ALLOWED = {
     "Project", "Filter", "Join", "LateralJoin", "SubqueryAlias", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit",
     "Offset", "Distinct", "Union", "Except", "Intersect", "OneRowRelation", "LocalRelation", "UnresolvedInlineTable",
     "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Window", "Pivot", "Unpivot", "UnresolvedRelation", "UnresolvedWith",
+    "Generate", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases",
+}
+#: leaves of an analysed plan that hold no stored rows
+_BARE = {"OneRowRelation", "LocalRelation", "CTERelationRef"}
+_SUBQUERIES = ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+#: functions that may stand for a table; the first two are defined in the session
+TABLE_FUNCTIONS = {"generate_series", "unnest", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
+_DEFINED = {
+    "generate_series": "(first TIMESTAMP, last TIMESTAMP, step INTERVAL DAY TO SECOND DEFAULT INTERVAL 1 DAY) RETURNS TABLE (value TIMESTAMP) "
+                       "RETURN SELECT explode(sequence(first, last, step)) AS value",
+    "unnest": "(items ARRAY<STRING>) RETURNS TABLE (value STRING) RETURN SELECT explode(items) AS value",
 }
 #: functions that run code or look outside the rows
 _REFUSED = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "version"}
@@ -54,12 +65,15 @@ def governed_session(
     """A session with the governed views of one user, to be used through :func:`ask`.
 
     ``load`` builds the derived tables in the session it is given. The session shares the
-    catalog and the global views with others; ``ask`` sees to it that a text reaches none.
+    catalog and the global views with others; ``ask`` sees to it that a text reaches none. Besides
+    the built-in functions it has ``generate_series`` over instants and ``unnest`` over texts.
     """
     session = configure(spark.newSession())
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     session.conf.set(GOVERNED_USER, user_id)
     register_views(session, load(session), user_id, tz)
+    for name, body in _DEFINED.items():
+        session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     return session
 
 
@@ -67,7 +81,9 @@ def ask(session: SparkSession, sql: str, user_id: str, tz: str) -> DataFrame:
     """Run one ad-hoc query with the two binds ``:user_id`` and ``:tz_name``.
 
     The text is parsed on its own, so it must be one whole statement, and its plan may only hold
-    query parts, governed views and the text's own common table expressions.
+    query parts, views that the session itself has, built-in functions, the listed table functions
+    and the text's own common table expressions. Once analysed, the plan is looked at again: every
+    stored row in it must come through one of the session's views.
     """
     if session.conf.get(GOVERNED_USER, None) != user_id:
         raise PermissionError("the session holds the views of another user")
@@ -75,47 +91,88 @@ def ask(session: SparkSession, sql: str, user_id: str, tz: str) -> DataFrame:
         plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:
         raise ValueError(f"not one whole query: {error}") from error
-    _check(plan, {*SCOPED, *ROLLUPS})
-    return session.sql(sql, args={"user_id": user_id, "tz_name": tz})
+    catalog = session._jsparkSession.sessionState().catalog()
+    views = {n for n in (*SCOPED, *ROLLUPS) if catalog.getTempView(n).isDefined()}
+    built_in = {r.function.lower() for r in session.sql("SHOW SYSTEM FUNCTIONS").collect()}
+    _Check(built_in).plan(plan, views)
+    answer = session.sql(sql, args={"user_id": user_id, "tz_name": tz})
+    _check_sources(answer._jdf.queryExecution().analyzed(), views)
+    return answer
 
 
 def _seq(items) -> list:
     return [items.apply(i) for i in range(items.size())]
 
 
-def _check(plan, known: set[str]) -> None:
-    """Refuse a parsed plan that reaches for more than the ``known`` relations."""
-    kind = plan.getClass().getSimpleName()
-    if kind not in _ALLOWED:
-        raise PermissionError(f"not allowed in a query: {kind}")
-    if kind == "UnresolvedRelation":
-        name = [str(x) for x in _seq(plan.multipartIdentifier())]
-        if len(name) != 1 or name[0].lower() not in known:
-            raise PermissionError(f"not a governed view: {'.'.join(name)}")
-    if kind == "UnresolvedWith":
-        for entry in _seq(plan.cteRelations()):  # each sees those before it
-            _check(entry._2(), known)
-            known = known | {str(entry._1()).lower()}
-        _check(plan.child(), known)
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+class _Check:
+    """Refuses a parsed plan that reaches for more than it may."""
+
+    def __init__(self, built_in: set[str]):
+        self.built_in = built_in - _REFUSED
+
+    def plan(self, plan, known: set[str]) -> None:
+        kind = _kind(plan)
+        if kind not in _ALLOWED:
+            raise PermissionError(f"not allowed in a query: {kind}")
+        if kind == "UnresolvedRelation":
+            name = [str(x) for x in _seq(plan.multipartIdentifier())]
+            if len(name) != 1 or name[0].lower() not in known:
+                raise PermissionError(f"not a governed view: {'.'.join(name)}")
+        if kind == "UnresolvedTableValuedFunction":
+            self.table_function([str(x).lower() for x in _seq(plan.name())])
+        if kind == "UnresolvedWith":
+            for entry in _seq(plan.cteRelations()):  # each sees those before it
+                self.plan(entry._2(), known)
+                known = known | {str(entry._1()).lower()}
+            self.plan(plan.child(), known)
+            return
+        if kind == "WithWindowDefinition":  # the definitions are no children of the plan
+            for definition in _seq(plan.windowDefinitions().values().toSeq()):
+                self.expression(definition, known)
+        for child in _seq(plan.children()):
+            self.plan(child, known)
+        for expression in _seq(plan.expressions()):
+            self.expression(expression, known)
+
+    def table_function(self, name: list[str]) -> None:
+        if len(name) != 1 or name[0] not in TABLE_FUNCTIONS:
+            raise PermissionError(f"function not allowed: {'.'.join(name)}")
+
+    def expression(self, expression, known: set[str]) -> None:
+        kind = _kind(expression)
+        if kind == "UnresolvedFunction":
+            name = [str(x).lower() for x in _seq(expression.nameParts())]
+            if name[-1] not in self.built_in or name[:-1] not in ([], ["system", "builtin"], ["builtin"]):
+                raise PermissionError(f"function not allowed: {'.'.join(name)}")
+        if kind == "UnresolvedGenerator":
+            self.table_function(str(expression.name().unquotedString()).lower().split("."))
+        if kind.startswith("ExpressionWithUnresolvedIdentifier"):
+            raise PermissionError("identifiers are written out")
+        if kind in _SUBQUERIES:
+            self.plan(expression.plan(), known)
+        for child in _seq(expression.children()):
+            self.expression(child, known)
+
+
+def _check_sources(plan, views: set[str]) -> None:
+    """Refuse an analysed plan that reads anything but the session's views."""
+    kind = _kind(plan)
+    if kind == "View" and plan.isTempView() and str(plan.desc().identifier().table()).lower() in views:
         return
-    for child in _seq(plan.children()):
-        _check(child, known)
-    for expression in _seq(plan.expressions()):
-        _check_expression(expression, known)
+    children = _seq(plan.children())
+    if not children and kind not in _BARE:
+        raise PermissionError(f"not a governed view: {kind}")
+    for child in [*children, *(p for e in _seq(plan.expressions()) for p in _plans_in(e))]:
+        _check_sources(child, views)
 
 
-def _check_expression(expression, known: set[str]) -> None:
-    kind = expression.getClass().getSimpleName()
-    if kind == "UnresolvedFunction":
-        name = [str(x).lower() for x in _seq(expression.nameParts())]
-        if name[-1] in _REFUSED or name[:-1] not in ([], ["system", "builtin"], ["builtin"]):
-            raise PermissionError(f"function not allowed: {'.'.join(name)}")
-    if kind.startswith("ExpressionWithUnresolvedIdentifier"):
-        raise PermissionError("identifiers are written out")
-    if hasattr(expression, "plan") and kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-        _check(expression.plan(), known)
-    for child in _seq(expression.children()):
-        _check_expression(child, known)
+def _plans_in(expression) -> list:
+    own = [expression.plan()] if _kind(expression) in _SUBQUERIES else []
+    return own + [p for child in _seq(expression.children()) for p in _plans_in(child)]
 
 
 def post_filter(df: DataFrame, condition: Column | str) -> DataFrame:
