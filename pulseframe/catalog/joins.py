@@ -95,6 +95,14 @@ def event_tz(spark, sf):
     return N.event_tz(events.select("user_id", "ts").distinct(), events)
 
 
+@query("localise_events", with_parts(f"""SELECT user_id, hk_uuid, event_type, strftime({local('ts', 'z')}, '%Y-%m-%d %I:%M %p') AS ts, row_tz AS event_tz
+ FROM (SELECT e.*, z.row_tz, coalesce(z.row_tz, '{REQUEST}') AS z
+  FROM wevents e LEFT JOIN (SELECT user_id, ts, min(hk_zone) AS row_tz FROM wevents GROUP BY 1, 2) z USING (user_id, ts))"""))
+def localise_events(spark, sf):
+    events = A.workout_events(spark, sf)
+    return N.localise_events(events.select("user_id", "hk_uuid", "event_type", "ts"), events, REQUEST)
+
+
 @query("workout_splits_join", with_parts("""SELECT p.user_id, p.workout_uuid, segment_unit, segment_index, start_ts, end_ts, workout_type, distance_km
  FROM parts p JOIN wk w USING (user_id, workout_uuid)""".replace("start_ts, end_ts", "p.start_ts, p.end_ts")))
 def workout_splits_join(spark, sf):

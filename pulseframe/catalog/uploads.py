@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pulseframe.catalog.registry import query
 from pulseframe.catalog.sql import with_parts
 from pulseframe.operators import ledger as L
+from pulseframe.session import work_folder
 from pulseframe.sources import adapter as A
+from pulseframe.sources.ledger import StoredLedger
 
 NOW = "2024-02-01 00:00:00"
 
@@ -120,3 +122,32 @@ def coalesce_inflight(spark, sf):
     ledger = _ledger(spark, sf)
     deltas = ledger.filter("upload_mode = 'delta'").select("user_id", "content_hash")
     return L.coalesce_inflight(deltas, ledger, _states(spark, sf))
+
+
+@query("ledger_upkeep", with_parts("""SELECT user_id, content_hash, CASE WHEN ask THEN CASE WHEN s2 = 'completed' THEN s2 ELSE 'pending' END
+  WHEN s2 IN ('pending', 'processing') AND user_id IN (SELECT user_id FROM steps WHERE ask) THEN 'timeout' ELSE s2 END AS status,
+ TIMESTAMP '2024-02-01' + to_seconds(CASE WHEN ask AND s2 IS DISTINCT FROM 'completed' THEN 600 WHEN n % 2 = 0 THEN 0 ELSE 200 END) AS created_at,
+ CAST((n % 2 = 0) AS BIGINT) + CAST((n % 4 < 2) AS BIGINT) + CAST(ask AS BIGINT) AS request_count
+ FROM steps WHERE s2 IS NOT NULL OR ask""", steps="""SELECT user_id, 'h' || event_id AS content_hash, event_id AS n, event_id % 7 < 4 AS ask,
+ CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'completed' WHEN event_id % 5 = 0 THEN 'failed'
+   WHEN event_id % 3 = 1 THEN 'processing' ELSE 'pending' END
+  WHEN event_id % 4 = 1 THEN CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'pending' END END AS s2 FROM ev"""))
+def ledger_upkeep(spark, sf):
+    """Three sets of arrivals with task reports between them, every one of them applied twice."""
+    ledger = StoredLedger(spark, work_folder(spark, "uploads"), 2)
+    e = A.events(spark, sf)
+    uploads = e.select("user_id", "event_id", F.concat(F.lit("h"), "event_id").alias("content_hash"), F.concat(F.lit("t"), "event_id").alias("task_id"), F.col("event_id").alias("ordinal"))
+    n, at = F.col("event_id"), lambda s: F.lit("2024-02-01").cast("timestamp") + F.make_dt_interval(secs=F.lit(s))
+    state = F.when(n % 3 == 0, "SUCCESS").when(n % 3 == 1, "STARTED")
+    tasks = uploads.select("user_id", "task_id", "event_id")
+    for _ in range(2):
+        ledger.arrive(1, uploads.filter(n % 2 == 0).drop("event_id"), at(0))
+    for _ in range(2):
+        ledger.report(2, tasks.withColumn("state", state).filter("state IS NOT NULL"), at(100))
+    for _ in range(2):
+        ledger.arrive(3, uploads.filter(n % 4 < 2).drop("event_id"), at(200))
+    for _ in range(2):
+        ledger.report(4, tasks.filter(n % 5 == 0).withColumn("state", F.lit("FAILURE")), at(250))
+    for _ in range(2):
+        ledger.arrive(5, uploads.filter(n % 7 < 4).drop("event_id"), at(600))
+    return ledger.read().select("user_id", "content_hash", "status", "created_at", "request_count")
