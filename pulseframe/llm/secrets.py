@@ -58,7 +58,7 @@ def _word(text: str, any_case: bool = False) -> tuple:
 
 VALUE = _set("A-Za-z0-9+/_.=-")
 _ASSIGN_TAIL = ((_set("\"'"), 0, 1), (_set(" "), 0, None), (_set(":="), 1, 1), (_set(" "), 0, None), (_set("\"'"), 0, 1), (VALUE, 2, None))
-_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: the base kinds, in the order in which equal starts are listed, then what the method adds
 RULES = (
     *(Rule("assign", _ASSIGN, 2, 6, _word(k, True) + _ASSIGN_TAIL) for k in ("password", "passwd", "secret", "token", "apikey", "api_key")),
