@@ -8,38 +8,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseframe.functions import zones as Z
 from pulseframe.functions.clean import blank_to_null
+from pulseframe.operators.timeline import DAY_S, SLICE, slice_of
 
 
-def history_spans(history: DataFrame) -> DataFrame:
-    """Zone history as half-open spans; clients keep at most 64 entries per user."""
-    chain = Window.partitionBy("user_id").orderBy("effective_at")
-    until = F.lead("effective_at").over(chain)
-    return history.select(
-        "user_id", F.col("effective_at").alias("since"), until.alias("until"), "tz", "src"
-    )
+#: stretch of time whose zone entries are held together; a client changes zones a few times in it
+STRETCH_S = 30 * DAY_S
+
 
+def zone_index(points: DataFrame, geo: DataFrame, device: DataFrame, ts: str = "ts", width_s: int = STRETCH_S) -> DataFrame:
+    """One row for each user and stretch of time that holds a point or an entry: the entries of both
+    histories in it, in order, and the ones in force when it begins. An open-ended entry is thus
+    carried into later stretches and never laid out over them."""
+    entry = lambda df, kind, tz: df.select("user_id", slice_of(F.col("effective_at"), width_s).alias(SLICE), F.lit(kind).alias("kind"),
+                                           F.struct(F.col("effective_at").alias("since"), tz.alias("tz")).alias("entry"))
+    stated = F.when(F.col("src") == "geocode", Z.known_zone(F.col("tz")))
+    entries = entry(geo, "geo", stated).unionByName(entry(device, "dev", Z.known_zone(F.col("tz"))))
+    met = points.select("user_id", slice_of(F.col(ts), width_s).alias(SLICE)).distinct()
+    none = F.lit(None)
+    rows = entries.unionByName(met.select("*", none.cast("string").alias("kind"), none.cast(entries.schema["entry"].dataType).alias("entry")))
+    listed = rows.groupBy("user_id", SLICE).agg(*(
+        F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("entry")))).alias(k) for k in ("geo", "dev")))
+    before = Window.partitionBy("user_id").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda k: F.last(F.try_element_at(k, F.lit(-1)), ignorenulls=True).over(before)
+    return listed.select("*", last("geo").alias("geo_before"), last("dev").alias("dev_before"))
 
-def stamp_zone(samples: DataFrame, geo: DataFrame, device: DataFrame, ts: str = "ts") -> DataFrame:
+
+def stamp_zone(samples: DataFrame, geo: DataFrame, device: DataFrame, ts: str = "ts", width_s: int = STRETCH_S) -> DataFrame:
     """Add the zone a sample was taken in and its offset.
 
     The geocoded entry in force wins; if the entry in force is only a placeholder, or
     its zone is unknown, the device history decides; before any entry the zone is NULL.
-    Samples meet a handful of spans per user, so nothing is sorted by time.
+    A sample meets the one index row of its user and stretch, whatever the length of the
+    history; samples are joined on both and not sorted by time.
     """
     at = F.col(ts)
+    index = zone_index(samples, geo, device, ts, width_s)
+    joined = samples.withColumn(SLICE, slice_of(at, width_s)).join(index, ["user_id", SLICE], "left")
 
-    def attach(df: DataFrame, spans: DataFrame, out: str) -> DataFrame:
-        s = spans.select(F.col("user_id").alias("_u"), "since", "until", F.col("tz").alias(out))
-        inside = (at >= F.col("since")) & (F.col("until").isNull() | (at < F.col("until")))
-        return df.join(s, (F.col("user_id") == F.col("_u")) & inside, "left").drop("_u", "since", "until")
+    def in_force(k: str) -> Column:
+        begun = F.filter(k, lambda e: e["since"] <= at)
+        return F.coalesce(F.try_element_at(begun, F.lit(-1)), F.col(f"{k}_before"))["tz"]
 
-    geo_spans = history_spans(geo).withColumn(
-        "tz", F.when(F.col("src") == "geocode", Z.known_zone(F.col("tz")))
-    )
-    dev_spans = history_spans(device).withColumn("tz", Z.known_zone(F.col("tz")))
-    both = attach(attach(samples, geo_spans.filter("tz is not null"), "_geo"), dev_spans.filter("tz is not null"), "_dev")
-    zone = F.coalesce("_geo", "_dev")
-    return both.select(*samples.columns, zone.alias("timezone")).withColumn(
+    return joined.select(*samples.columns, F.coalesce(in_force("geo"), in_force("dev")).alias("timezone")).withColumn(
         "utc_offset_min", Z.offset_minutes(at, F.col("timezone"))
     )
 
