@@ -12,7 +12,7 @@ from pulseframe.operators import chunks as H, merge as G, rollup as R, sleep as
 from pulseframe.plans.ingest import Store, apply_batch
 from pulseframe.session import configure, work_folder
 from pulseframe.sources import adapter as A, mirror_csv as C
-from pulseframe.streaming import ingest, rollup, sessions as live, timeouts
+from pulseframe.streaming import ingest, late, rollup, sessions as live, timeouts
 
 
 #: buckets of users for tables of this size
@@ -133,6 +133,36 @@ def ingest_incremental(spark, sf):
         "user_id", "metric_type", "bucket_ts", "n", "min_value", "max_value", F.round(total, 3).alias("total"))
 
 
+@query("late_stream", with_parts("""SELECT user_id, metric_type, date_trunc('hour', ts) AS bucket_ts, count(*) AS n, round(sum(metric_value), 6) AS total,
+ min(metric_value) AS min_value, max(metric_value) AS max_value FROM samples GROUP BY 1, 2, 3
+ UNION ALL SELECT 'too late', 'rows', NULL, (SELECT count(*) FROM samples WHERE event_id % 11 = 0), NULL, NULL, NULL"""))
+def late_stream(spark, sf):
+    """Samples in three loads: the later half, then all of them, so that late ones and repeats come,
+    and after a row of another year old ones that are past the lateness."""
+    folder = work_folder(spark, "late")
+    configure(spark)
+    samples = A.samples(spark, sf).select("user_id", "hk_uuid", "ts", "metric_type", "metric_value")
+    days = lambda n: F.col("ts") + F.make_dt_interval(days=F.lit(n))
+    middle = F.expr("timestamp '2024-01-15'")
+    tick = samples.agg(F.lit("tick").alias("user_id"), F.lit("tick").alias("hk_uuid"), F.max(days(400)).alias("ts"),
+                       F.lit("tick").alias("metric_type"), F.lit(0.0).alias("metric_value"))
+    number = F.substring("hk_uuid", 3, 20).cast("long")
+    old = samples.filter(number % 11 == 0).withColumn("ts", days(-30))
+    dropped = []
+
+    def start(stream):
+        writer = late.late_rollup(stream).writeStream.format("parquet").option("path", f"{folder}/out")
+        query = writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+        dropped.append(late.too_late(query))
+        return query
+
+    _landed_in_order(spark, "late", [samples.filter(F.col("ts") >= middle), samples, tick, old], start)
+    schema = late.late_rollup(samples).schema
+    found = spark.read.schema(schema).parquet(f"{folder}/out").withColumn("total", F.round("total", 6))
+    return found.unionByName(spark.createDataFrame([("too late", "rows", None, sum(dropped), None, None, None)], schema))
+
+
 @query("late_recompute", with_parts(f"SELECT {ROLLUP_OUT} FROM hourly"))
 def late_recompute(spark, sf):
     """Every third sample arrives late; refreshing the touched buckets gives the full rollup."""
