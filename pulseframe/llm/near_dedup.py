@@ -10,7 +10,10 @@ Links are confirmed on the full sets. Documents of equal sets are one node. In a
 are compared with the least of them first, which also tells how far each is from it. What this
 leaves in different components is compared with ever larger shares of the band, until the band is
 one component or every pair of different components was compared or ruled out: by their sizes, by
-the triangle inequality of the Jaccard distance, or by sketches that agree far too seldom.
+the triangle inequality of the Jaccard distance, or by sketches that agree far too seldom. Where
+the pairs of a band would outgrow its rows, only those are made that share one of their rarest
+shingles: with any one order of shingles, the first that two linked sets share is among the first
+``n - ceil(0.8 n) + 1`` of both, and in the order of frequency a common line comes last.
 So the work on a large group of copies follows its size, no pair within
 a component is made for nothing, and no candidate is dropped.
 
@@ -25,7 +28,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.llm.components import components, files_for
 from pulseframe.llm.tables import documents, release, stored
@@ -36,6 +39,8 @@ BAND_ROWS, BANDS = 7, 54
 BINS = BAND_ROWS * BANDS
 #: a link needs 100 * shared >= PERCENT * joint shingles
 PERCENT = 80
+#: pairs that a band may make for each of its rows before rare shingles choose among them
+PAIRS_A_ROW = 16
 _EMPTY = U(2**64 - 1)
 
 
@@ -130,6 +135,31 @@ def _set_maker(width: int) -> Callable:
     return run
 
 
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of a set, a set at a time."""
+    for batch in batches:
+        for node, packed in zip(batch.column("doc_id").to_pylist(), batch.column("shingles").to_pylist()):
+            x = unpack(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node, np.int64)), pa.array(x.view(np.int64))], names=["node", "shingle"])
+
+
+def rare_shingles(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``node, keys``: those of the rarest shingles of each set, rarest first, that others have too.
+
+    Frequencies are those among the given sets. The first shingle in this order that two sets
+    share is a key of both if 100 * shared >= percent * joint: of ``n`` shingles at least
+    ``ceil(percent n / 100)`` are shared, so it is not further back than the rest and one more. Shingles
+    of one set only come before all others, and are no keys.
+    """
+    rows = sets.mapInArrow(_unpacked, "node long, shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    common = rows.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ordered"))
+    own = F.col("n_shingles") - F.size("ordered")
+    length = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1 - own
+    keys = F.slice("ordered", 1, F.greatest(length, F.lit(0)).cast("int")).getField("shingle")
+    return common.join(sizes, "node").select("node", keys.alias("keys")).filter("size(keys) > 0")
+
+
 def _alike(percent: int) -> Callable:
     """Pairs whose sketches agree nearly as often as linked sets do: five deviations below, which a
     linked pair misses once in millions. It spares the full sets of the others a shuffle."""
@@ -231,15 +261,29 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
         columns = ("node", "n_shingles", "component", "least", "most", "bands")
         found = rest.join(mixed, "band").filter(minor | some).select("band", *columns[:-1], minor.alias("minor"), some.alias("some"))
         found = stored(found.join(nodes.select("node", "bands"), "node"), "open", files=files)
-        left = found.filter("minor").select("band", *(F.col(c).alias(f"{c}_a") for c in columns))
-        right = found.filter("some").select("band", *(F.col(c).alias(f"{c}_b") for c in columns))
+        sizes = found.groupBy("band").agg(F.count_if("minor").alias("n"), F.count_if("some").alias("m"))
+        heavy = stored(sizes.filter(F.col("n") * F.col("m") > PAIRS_A_ROW * (F.col("n") + F.col("m"))).select("band"), "heavy")
+
         # by the triangle inequality linked documents are about as far from the pivot; and a pair
         # is made in the first band that both have, in no other
-        pairs = left.join(right, "band").filter(
+        possible = (
             (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
             & (F.col("least_a") - F.col("most_b") <= most) & (F.col("least_b") - F.col("most_a") <= most)
             & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band"))
-        ).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+        )
+
+        def made(rows: DataFrame, on: list[str], carried: tuple[str, ...], condition: Column) -> DataFrame:
+            left, right = (rows.filter(flag).select(*on, *(F.col(c).alias(f"{c}_{side}") for c in carried)) for flag, side in (("minor", "a"), ("some", "b")))
+            return left.join(right, on).filter(condition).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+
+        pairs = made(found.join(heavy, "band", "left_anti"), ["band"], columns, possible)
+        if not heavy.isEmpty():
+            many = stored(found.join(heavy, "band"), "many", files=files)
+            among = many.select("node", "n_shingles").distinct()
+            keys = rare_shingles(sets.join(among.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), among, percent)
+            keyed = stored(many.join(stored(keys, "keys", files=files), "node").withColumn("key", F.explode("keys")), "keyed", files=files)
+            first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
+            pairs = pairs.unionAll(made(keyed, ["band", "key"], (*columns, "keys"), possible & first))
         near = alike(pairs.distinct())
         if not near.isEmpty():
             fresh = compared(near).filter(linked)

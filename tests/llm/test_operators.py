@@ -443,6 +443,52 @@ def test_a_large_group_of_edited_copies(spark):
     assert got == brute_near(rows, 2)
 
 
+@pytest.mark.parametrize("share", [0.6, 0.75])
+def test_documents_that_share_a_common_line(spark, monkeypatch, share):
+    """Many short documents are nearly alike through one line; a few of them are linked."""
+    rng = np.random.default_rng(8)
+    line, rows = " ".join(f"line{i}" for i in range(int(40 * share))), []
+    for d in range(1000):
+        rest = [f"own{d}x{i}" for i in range(40 - int(40 * share))]
+        if d % 50 == 7:  # an edited copy of the document before
+            rest = rows[-1][1].split()[int(40 * share):]
+            rest[rng.integers(len(rest))] = "edited"
+        rows.append((d, f"{line} {' '.join(rest)}"))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    made, write = {}, near_dedup.stored
+
+    def counted(df, name, *args, **kwargs):
+        out = write(df, name, *args, **kwargs)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table, 2).collect()}
+    assert got == brute_near(rows, 2) and sum(not kept for _, _, kept in got.values()) == 20
+    assert made["heavy"] > 0 and made["candidates"] < 16 * 1000
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_linked_sets_share_a_rare_shingle(spark, percent):
+    rng = np.random.default_rng(9)
+    sets = [set(rng.choice(40, rng.integers(1, 20), replace=False).tolist()) for _ in range(60)]
+    sets += [s | {99} for s in sets[:20]] + [{7}, {7}, {1000}]
+    rows = [(i, len(s), np.array(sorted(s), np.uint64)) for i, s in enumerate(sets)]
+    packed = spark.createDataFrame([(i, bytearray(near_dedup.pack(x))) for i, _, x in rows], "doc_id long, shingles binary")
+    sizes = spark.createDataFrame([(i, n) for i, n, _ in rows], "node long, n_shingles long")
+    keys = {r.node: r["keys"] for r in near_dedup.rare_shingles(packed, sizes, percent).collect()}
+    often = {x: sum(x in s for s in sets) for x in range(1001)}
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        if any(often[x] > 1 for x in order):
+            assert keys[i] == [x for x in order if often[x] > 1]
+        else:
+            assert i not in keys
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
+                assert set(keys[i]) & set(keys[j])
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 900, dtype=np.uint64)
