@@ -26,6 +26,19 @@ def rollup_daily(spark, sf):
     return rollup_out(R.rollup(A.samples(spark, sf), "day"))
 
 
+@query("daily_from_hours", with_parts(f"SELECT {ROLLUP_OUT} FROM daily"))
+def daily_from_hours(spark, sf):
+    """Hourly states of all samples; then the samples before noon expire, those of the evenings are
+    sent with other values and sent right again. Days merged from the hours are those of all samples."""
+    samples = A.samples(spark, sf)
+    hour = F.hour("ts")
+    there, evening = samples.filter(hour >= 12), hour >= 18
+    hours = samples.filter(evening).select("user_id", F.date_trunc("hour", "ts").alias("hour"))
+    wrong = there.withColumn("metric_value", F.when(evening, F.col("metric_value") + 1).otherwise(F.col("metric_value")))
+    once = R.refresh_states(R.states(samples), wrong, hours)
+    return rollup_out(R.finish(R.merge_states(R.refresh_states(once, there, hours), "day")))
+
+
 @query("latest_unit", with_parts("SELECT user_id, metric_type, bucket_ts, unit FROM daily"))
 def latest_unit(spark, sf):
     return R.compact(A.samples(spark, sf), "day").groupBy(*R.BUCKET).agg(

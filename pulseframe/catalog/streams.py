@@ -12,7 +12,7 @@ from pulseframe.operators import chunks as H, merge as G, rollup as R, sleep as
 from pulseframe.plans.ingest import Store, apply_batch
 from pulseframe.session import configure, work_folder
 from pulseframe.sources import adapter as A, mirror_csv as C
-from pulseframe.streaming import ingest, late, rollup, sessions as live, timeouts
+from pulseframe.streaming import ingest, late, retract, rollup, sessions as live, timeouts
 
 
 #: buckets of users for tables of this size
@@ -57,6 +57,25 @@ def stream_rollup(spark, sf):
     return rollup_out(Store(spark, folder).read("rollup_hourly").drop("day", "user_bucket"))
 
 
+@query("stream_retract", with_parts("""SELECT user_id, metric_type, date_trunc('hour', ts) AS bucket_ts, count(*) AS n,
+ round(sum(metric_value), 6) AS total, round(avg(metric_value), 6) AS avg_value
+ FROM samples WHERE deleted_at IS NULL AND metric_type NOT LIKE 'sleep_%' GROUP BY 1, 2, 3"""))
+def stream_retract(spark, sf):
+    """As ``stream_rollup``, with the last versions in operator state; the middle load comes twice."""
+    folder = work_folder(spark, "retract")
+    configure(spark)
+    samples = A.samples(spark, sf).select("user_id", "hk_uuid", "ts", "metric_type", "metric_value", "deleted_at")
+    first, last = samples.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    lateness = (last - first if first is not None else 0) + 4 * 86400  # of the rows' own span and the shift: none is late
+    early, all_rows, dead = _with_history(
+        samples, lambda df: _shifted("ts")(df).withColumn("metric_value", F.col("metric_value") + 1),
+        lambda df: df.withColumn("deleted_at", F.lit("2024-03-01").cast("timestamp")),
+    )
+    _landed_in_order(spark, "versions", [early, all_rows, all_rows, dead],
+                     lambda stream: retract.retractable_rollup(stream, folder, f"{folder}/cp", f"{lateness} seconds", shards=FEW))
+    return rounded(retract.read_rollup(spark, folder), "total", "avg_value")
+
+
 @query("stream_sessions", with_parts("""SELECT user_id, min(segment_start_ts) AS session_start_ts, max(segment_end_ts) AS session_end_ts,
  arg_max(tz_name, segment_start_ts) AS session_tz FROM two GROUP BY user_id, session_id""", two=sessions("2 HOUR")))
 def stream_sessions(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pulseframe.functions.clean import blank_to_null, strip, to_offset_minutes
+from pulseframe.functions.clean import blank_to_null, to_offset_minutes
 from pulseframe.schema import META, SOURCES
 
 RAW_KEY = "_raw_hk_metadata"
@@ -29,10 +29,7 @@ def context_json(meta: Column) -> Column:
 
 def json_object(text: Column) -> Column:
     """Open JSON object as a map of raw JSON values; NULL when the text is no object."""
-    return F.when(
-        F.try_parse_json(text).isNotNull() & strip(text).startswith("{"),
-        F.try_parse_json(text).try_cast("map<string,variant>"),
-    )
+    return F.try_parse_json(text).try_cast("map<string,variant>")
 
 
 def merge_metadata(text: Column, meta: Column) -> Column:

@@ -88,6 +88,50 @@ def rollup(samples: DataFrame, unit: str) -> DataFrame:
     )
 
 
+def states(samples: DataFrame, unit: str = "hour") -> DataFrame:
+    """Mergeable rollup rows: sum and count of every metric, and the latest unit and context each
+    with its instant, so that rows of small buckets add up to those of large ones."""
+    at = F.col("latest").alias("at")
+    return compact(samples, unit).groupBy(*BUCKET).agg(
+        F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"),
+        F.max(F.when(F.col("unit").isNotNull(), F.struct(at, "unit"))).alias("last_unit"),
+        F.max(F.when(F.col("has_context"), F.struct(at, "zone", "offset_min"))).alias("last_context"),
+        distinct_sources().alias("hk_sources"),
+    )
+
+
+def merge_states(parts: DataFrame, unit: str) -> DataFrame:
+    """States of smaller buckets, or several of one bucket, merged into those of ``unit``."""
+    return parts.withColumn("bucket_ts", F.date_trunc(unit, "bucket_ts")).groupBy(*BUCKET).agg(
+        F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"),
+        F.max("last_unit").alias("last_unit"), F.max("last_context").alias("last_context"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hk_sources")))).cast(S.SOURCES).alias("hk_sources"),
+    )
+
+
+def finish(merged: DataFrame) -> DataFrame:
+    """States as rollup rows."""
+    metric = F.col("metric_type")
+    return merged.select(
+        *BUCKET, F.col("last_unit.unit").alias("unit"),
+        F.when(metric.isin(*S.AVERAGE_METRICS), F.col("total") / F.col("n")).alias("avg_value"),
+        F.when(metric.isin(*S.SUM_METRICS), F.col("total")).alias("sum_value"),
+        F.col("low").alias("min_value"), F.col("high").alias("max_value"), "n",
+        M.context_struct(F.col("last_context.zone"), F.col("last_context.offset_min")).alias("meta"), "hk_sources",
+    )
+
+
+def refresh_states(stored: DataFrame, samples: DataFrame, hours: DataFrame) -> DataFrame:
+    """Hourly states with those of the touched hours (``user_id, hour``) computed again from the
+    samples that are there. Hours whose samples have since been pruned keep their states, so a day
+    merged from hours keeps them too, where a day computed again from samples would lose them."""
+    touched = hours.select("user_id", F.col("hour").alias("bucket_ts")).distinct()
+    keys = ["user_id", "bucket_ts"]
+    mine = samples.withColumn("bucket_ts", F.date_trunc("hour", "ts")).join(touched, keys, "left_semi")
+    kept = stored.join(touched, keys, "left_anti")
+    return kept.select(*stored.columns).unionByName(states(mine.select(*samples.columns), "hour"))
+
+
 def local_day_rollup(samples: DataFrame) -> DataFrame:
     """Daily rollup cut at the local midnights of each sample's own zone.
 
