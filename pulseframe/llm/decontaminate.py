@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and case
-do not matter. A seed is a sequence of three words of a test item that is rare by the words' shares
+Words are runs of letters, digits and marks in lower case, so punctuation and case do not matter;
+in scripts written without blanks every character is a word. A seed is a sequence of three words of a test item that is rare by the words' shares
 of the corpus: their product is at most ``RARE``, a property of the words alone, so a passage
 that very many documents hold keeps its seeds and the rule is the same at every size. An item
 with fewer than ``LEAST_SEEDS`` rare sequences takes all of its own, and any other takes all that
@@ -13,8 +13,14 @@ and dropped words lower it, and a passage of half an item or more that is copied
 The test items are read in blocks of a fixed greatest size, each sent to all tasks; more items
 take more blocks, never a larger one. No document is shuffled.
 
-Null texts have no words. Items of fewer than three words show nothing and match nothing. Equal
-items match alike; equal scores of one pair: the first place. No rows give no rows.
+An item too short for a seed is its whole sequence, if ``least_words`` admits items of so few words
+(:func:`drop_contaminated` takes all, :func:`find_leaks` by default those that have a seed): where that is as rare as a seed, every document
+that holds it matches, and where it is not (a single common word, say), the documents that have
+no other words.
+
+Null texts have no words, and items without words match nothing. Items without ``item_id`` cannot be
+named: :func:`find_leaks` leaves them out, :func:`drop_contaminated` drops their copies like others. Equal items match alike; equal scores of one pair: the first
+place. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.llm.tables import documents
 from pulseframe.llm.words import U, Words, slices, text_buffer, windows
@@ -36,6 +42,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: text of the test items that is sent to the tasks at once
 BLOCK_BYTES = 16 << 20
 _BITS = 22
+#: characters of scripts written without blanks, which are words by themselves; and what separates
+_UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+_APART = rf"([{_UNSPACED}]\p{{M}}*)|[^\p{{L}}\p{{N}}\p{{M}}\x00-\x7F]"
 
 HITS = "doc_id long, item_id long, score double, start_word int, end_word int"
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
@@ -61,15 +70,17 @@ class Lookup:
 
 @dataclass
 class Items:
-    """Test items of a block: ids, word hashes end to end, seeds and where items have them."""
+    """Test items of a block: ids, word hashes end to end, seeds and where items have them. ``short``
+    has for each width below a seed's: hashes of items of so many words in order, the items, and whether they are rare."""
 
-    ids: np.ndarray
+    ids: list
     words: np.ndarray
     first: np.ndarray
     seeds: np.ndarray
     seed_first: np.ndarray
     seed_item: np.ndarray
     seed_at: np.ndarray
+    short: dict
 
 
 def _words(part: pa.RecordBatch | pa.Table) -> Words:
@@ -80,7 +91,12 @@ def _words(part: pa.RecordBatch | pa.Table) -> Words:
 
 
 def _lowered(docs: DataFrame, *more: str) -> DataFrame:
-    return documents(docs, *more).withColumn("text", F.lower("text"))
+    return documents(docs, *more).withColumn("text", _spaced(F.col("text")))
+
+
+def _spaced(text: Column) -> Column:
+    """Lower case, blanks around characters that are words and in place of what is none."""
+    return F.regexp_replace(F.lower(text), _APART, " $1 ")
 
 
 def item_blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> int:
@@ -113,14 +129,16 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return counts, total
 
 
-def prepare(docs: DataFrame, items: pa.Table) -> Items:
-    """Seeds of a block of items, rare by the words' shares of the documents."""
+def prepare(docs: DataFrame, items: pa.Table, least_words: int = SEED_WORDS) -> Items:
+    """Seeds of a block of items, rare by the words' shares of the documents; of items too short
+    for one, those of ``least_words`` at least are sought whole."""
     words = _words(items)
     begin, hashes = windows(words.hash, words.first, SEED_WORDS)
     vocabulary, word = np.unique(words.hash, return_inverse=True)
-    counts, total = _word_counts(docs, vocabulary) if len(begin) else (np.zeros(len(vocabulary)), 0)
+    counts, total = _word_counts(docs, vocabulary) if len(words) else (np.zeros(len(vocabulary)), 0)
     share = np.maximum(counts, 1) / max(total, 1)
-    rarity = np.prod([share[word[begin + i]] for i in range(SEED_WORDS)], axis=0) if len(begin) else np.zeros(0)
+    rarity_of = lambda begin, width: np.prod([share[word[begin + i]] for i in range(width)], axis=0) if len(begin) else np.zeros(0)
+    rarity = rarity_of(begin, SEED_WORDS)
     item = words.text[begin]
     rare = rarity <= RARE
     enough = np.bincount(item, rare, minlength=items.num_rows) >= LEAST_SEEDS
@@ -132,9 +150,18 @@ def prepare(docs: DataFrame, items: pa.Table) -> Items:
     chosen = np.flatnonzero(rare | ~enough[item] | (bare[begin + SEED_WORDS] > bare[begin]))
     chosen = chosen[np.argsort(hashes[chosen], kind="stable")]
     seeds, seed_first = np.unique(hashes[chosen], return_index=True)
+    short = {}
+    for width in range(max(1, least_words), SEED_WORDS):
+        at = np.flatnonzero(np.diff(words.first) == width)
+        if len(at):
+            place, hashed = windows(words.hash, words.first, width)
+            keys = hashed[np.searchsorted(place, words.first[at])]
+            order = np.argsort(keys, kind="stable")
+            short[width] = keys[order], at[order], (rarity_of(words.first[at], width) <= RARE)[order]
     return Items(
-        np.array(items.column("item_id"), np.int64), words.hash, words.first, seeds,
+        items.column("item_id").to_pylist(), words.hash, words.first, seeds,
         np.append(seed_first, len(chosen)), item[chosen], begin[chosen] - words.first[item[chosen]],
+        short,
     )
 
 
@@ -183,6 +210,28 @@ def _places(places: np.ndarray, length: int, words: int) -> list[tuple[int, int]
 
 def matches(words: Words, items: Items, known: Lookup, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """``text, item, score, start, end`` of every text that holds enough of an item."""
+    yield from _aligned(words, items, known, threshold)
+    for width, short in items.short.items():
+        yield from _whole(words, width, *short)
+
+
+def _whole(words: Words, width: int, keys: np.ndarray, item: np.ndarray, rare: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    """Texts that hold the whole of an item of ``width`` words, at the first place."""
+    begin, hashes = windows(words.hash, words.first, width)
+    low, high = (np.searchsorted(keys, hashes, side=side) for side in ("left", "right"))
+    hit = np.flatnonzero(high > low)
+    text = words.text[begin[hit]]
+    alone = np.diff(words.first)[text] == width
+    seen = set()
+    for h, t, only in zip(hit, text, alone):
+        for i in range(low[h], high[h]):
+            if (rare[i] or only) and (t, i) not in seen:
+                seen.add((t, i))
+                start = int(begin[h] - words.first[t])
+                yield int(t), int(item[i]), 1.0, start, start + width
+
+
+def _aligned(words: Words, items: Items, known: Lookup, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     begin, hashes = windows(words.hash, words.first, SEED_WORDS)
     hit, seed = known.find(hashes)
     if not len(hit):
@@ -213,18 +262,19 @@ def matches(words: Words, items: Items, known: Lookup, threshold: float) -> Iter
             yield int(t), int(i), *best
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
+def _blocks(docs: DataFrame, benchmark: DataFrame, least_words: int) -> Iterator[Items]:
+    """The items, prepared block by block."""
     n = item_blocks(benchmark)
-    rows = benchmark.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).filter("item_id is not null")
+    rows = benchmark.select("item_id", _spaced(F.coalesce("text", F.lit(""))).alias("text"))
     for i in range(n):
         block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text")
-        yield prepare(docs, block.toArrow())  # one block of the bounded size
+        yield prepare(docs, block.toArrow(), least_words)  # one block of the bounded size
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = SEED_WORDS) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word`` of each document that holds an item."""
     spark, out = docs.sparkSession, None
-    for items in _blocks(docs, benchmark):
+    for items in _blocks(docs, benchmark.filter(F.col("item_id").isNotNull()), least_words):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -232,7 +282,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             known = Lookup(items.seeds)
             for part in slices(batches):
                 ids = part.column("doc_id").to_pylist()
-                rows = [(ids[t], int(items.ids[i]), s, a, b) for t, i, s, a, b in matches(_words(part), items, known, threshold)]
+                rows = [(ids[t], items.ids[i], s, a, b) for t, i, s, a, b in matches(_words(part), items, known, threshold)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
@@ -241,13 +291,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = 1) -> DataFrame:
     """The documents that hold no item, all columns as they are; nothing is shuffled."""
     columns = docs.columns
     out = docs
-    for items in _blocks(docs, benchmark):
+    for items in _blocks(docs, benchmark, least_words):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        whole = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.lower("text").alias("text"))
+        whole = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _spaced(F.col("text")).alias("text"))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value

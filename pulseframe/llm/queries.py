@@ -116,7 +116,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_decontaminate")
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontaminate.find_leaks(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    hits = decontaminate.find_leaks(read(spark, sf_dir), read(spark, sf_dir, "benchmark"), least_words=1)
     return hits.withColumn("contaminated", F.lit(True))
 
 
