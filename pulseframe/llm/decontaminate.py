@@ -30,7 +30,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.llm.tables import documents
 from pulseframe.llm.words import U, Words, slices, text_buffer, windows
@@ -43,7 +44,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20
 _BITS = 22
 #: characters of scripts written without blanks, which are words by themselves; and what separates
-_UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+_UNSPACED = "".join(rf"\p{{{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 _APART = rf"([{_UNSPACED}]\p{{M}}*)|[^\p{{L}}\p{{N}}\p{{M}}\x00-\x7F]"
 
 HITS = "doc_id long, item_id long, score double, start_word int, end_word int"
@@ -86,17 +87,18 @@ class Items:
 def _words(part: pa.RecordBatch | pa.Table) -> Words:
     column = part.column("text")
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    raw, offsets = text_buffer(column)
+    raw, offsets = text_buffer(_spaced(column))
     return Words(raw, offsets, loose=True)
 
 
-def _lowered(docs: DataFrame, *more: str) -> DataFrame:
-    return documents(docs, *more).withColumn("text", _spaced(F.col("text")))
+def _spaced(column: pa.Array) -> pa.Array:
+    """Blanks around characters that are words and in place of what is none. Arrow's expressions
+    read bytes by an automaton; Spark's took four times the processor time of all else."""
+    return pc.replace_substring_regex(column, _APART, r" \1 ")
 
 
-def _spaced(text: Column) -> Column:
-    """Lower case, blanks around characters that are words and in place of what is none."""
-    return F.regexp_replace(F.lower(text), _APART, " $1 ")
+def _lowered(docs: DataFrame, *more: str) -> DataFrame:
+    return documents(docs, *more).withColumn("text", F.lower("text"))
 
 
 def item_blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> int:
@@ -265,7 +267,7 @@ def _aligned(words: Words, items: Items, known: Lookup, threshold: float) -> Ite
 def _blocks(docs: DataFrame, benchmark: DataFrame, least_words: int) -> Iterator[Items]:
     """The items, prepared block by block."""
     n = item_blocks(benchmark)
-    rows = benchmark.select("item_id", _spaced(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = benchmark.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     for i in range(n):
         block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text")
         yield prepare(docs, block.toArrow(), least_words)  # one block of the bounded size
@@ -297,7 +299,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     out = docs
     for items in _blocks(docs, benchmark, least_words):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        whole = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _spaced(F.col("text")).alias("text"))
+        whole = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.lower("text").alias("text"))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
