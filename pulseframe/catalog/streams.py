@@ -38,6 +38,11 @@ def _landed_in_order(spark, name, frames, start):
         start(spark.readStream.schema(frames[0].schema).parquet(path)).awaitTermination()
 
 
+def _shards(n: int) -> int:
+    """Groups of some thousand rows each, however many rows there are."""
+    return max(64, n // 2_000)
+
+
 def _shifted(*columns):
     return lambda df: df.withColumns({c: F.col(c) + F.expr("interval 3 days") for c in columns})
 
@@ -65,14 +70,14 @@ def stream_retract(spark, sf):
     folder = work_folder(spark, "retract")
     configure(spark)
     samples = A.samples(spark, sf).select("user_id", "hk_uuid", "ts", "metric_type", "metric_value", "deleted_at")
-    first, last = samples.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    first, last, n = samples.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.count("*")).first()
     lateness = (last - first if first is not None else 0) + 4 * 86400  # of the rows' own span and the shift: none is late
     early, all_rows, dead = _with_history(
         samples, lambda df: _shifted("ts")(df).withColumn("metric_value", F.col("metric_value") + 1),
         lambda df: df.withColumn("deleted_at", F.lit("2024-03-01").cast("timestamp")),
     )
     _landed_in_order(spark, "versions", [early, all_rows, all_rows, dead],
-                     lambda stream: retract.retractable_rollup(stream, folder, f"{folder}/cp", f"{lateness} seconds", shards=FEW))
+                     lambda stream: retract.retractable_rollup(stream, folder, f"{folder}/cp", f"{lateness} seconds", shards=_shards(n)))
     return rounded(retract.read_rollup(spark, folder), "total", "avg_value")
 
 
@@ -102,13 +107,13 @@ def stream_timeout(spark, sf):
     )
     early = F.col("ts").isNotNull() & (F.xxhash64("task_id") % 2 == 0)
     # no report is later than the reports' own span, and the tick comes when all are over
-    first, last = starts.union(ends).agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    first, last, n = starts.union(ends).agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.count("*")).first()
     lateness = (last - first if first is not None else 0) + 86400
     after = F.make_dt_interval(secs=F.lit(2 * lateness))
     tick = starts.agg(F.lit("tick").alias("task_id"), F.lit("completed").alias("status"), (F.max("ts") + after).alias("ts"))
 
     def start(stream):
-        writer = timeouts.stream_timeout(stream, f"{lateness} seconds").writeStream.format("parquet").option("path", f"{folder}/out")
+        writer = timeouts.stream_timeout(stream, f"{lateness} seconds", shards=_shards(n)).writeStream.format("parquet").option("path", f"{folder}/out")
         return writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
 
     _landed_in_order(spark, "reports", [ends.filter(early), starts, ends.filter(~early), tick], start)
