@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pandas as pd
 import pytest
 
-from pulseframe.streaming import timeouts
+from pulseframe.streaming import retract, timeouts
 
 START_US = 1_704_067_200_000_000
 
@@ -85,3 +85,20 @@ def test_uploads_of_a_shard_are_read_and_written_once():
     assert [tuple(r) for r in _rows(uploads.handleExpiredTimer((0,), _at(late), None))] == [("t499", "timeout", START_US + 499, 300_000_000)]
     assert _rows(uploads.handleExpiredTimer((0,), _at(late + 10_000), None)) == []
     assert handle.value is None
+
+
+def test_versions_of_a_shard_are_read_and_written_once():
+    samples = retract._Samples()
+    handle = _started(samples)
+    versions = lambda *rows: iter([pd.DataFrame(
+        [("u", f"s{i}", n, START_US + i, "steps", value, dead) for i, n, value, dead in rows],
+        columns=["user_id", "hk_uuid", "ordinal", "at", "metric_type", "value", "dead"])])
+    all_of_them = [(i, 1, 1.0, False) for i in range(500)]
+    first = _rows(samples.handleInputRows((0,), versions(*all_of_them), _at(0)))
+    assert [r.sign for r in first] == [1] * 500 and handle.calls <= 3
+    handle.calls = 0
+    assert _rows(samples.handleInputRows((0,), versions(*all_of_them), _at(0))) == []
+    again = _rows(samples.handleInputRows((0,), versions((3, 2, 4.0, False), (4, 2, 1.0, True)), _at(0)))
+    assert [(r.sign, r.value) for r in again] == [(-1, 1.0), (1, 4.0), (-1, 1.0)] and handle.calls <= 4
+    cut = (START_US + 300) // 1_000 + 1
+    assert _rows(samples.handleExpiredTimer((0,), _at(cut), None)) == [] and handle.value is None
