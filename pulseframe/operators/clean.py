@@ -49,13 +49,14 @@ def retention_cutoffs(df: DataFrame, days: int = S.RETENTION_DAYS, now=None) ->
     )
 
 
-def retention_filter(df: DataFrame, days: int = S.RETENTION_DAYS, now=None) -> DataFrame:
-    """Rows inside the retention window; deletes always stay.
+def retention_filter(df: DataFrame, days: int = S.RETENTION_DAYS, now=None, cutoffs: DataFrame | None = None) -> DataFrame:
+    """Rows inside the retention window; deletes always stay. ``cutoffs`` are those of the rows, where
+    they are known already.
 
     The per-user cutoffs are an aggregate with map-side combine, joined back on user;
     AQE splits the probe side where one user is large.
     """
-    cut = retention_cutoffs(df, days, now)
+    cut = retention_cutoffs(df, days, now) if cutoffs is None else cutoffs
     return (
         df.join(cut, "user_id")
         .filter((F.col("ts") >= F.col("cutoff")) | C.is_delete(F.col("op")))

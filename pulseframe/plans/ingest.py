@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pulseframe import schema as S
 from pulseframe.operators import clean as O, merge as G, rollup as R, sleep as L, splits as P, workouts as W
 from pulseframe.operators.timeline import fit_width
+from pulseframe.session import measured_joins
 from pulseframe.sources.mirror_csv import with_optional_columns
 from pulseframe.sources.tables import BUCKETS, Locator, Part, bucket_of, on_parts, parts_of, read_table, remove, rewrite_parts
 
@@ -74,13 +75,19 @@ def apply_batch(
 
     Replaying a batch gives the same tables, as a stream may do after a failure.
     """
-    at = F.current_timestamp() if at is None else at
+    with measured_joins(store.spark):
+        return _apply_batch(store, text, batch_id, F.current_timestamp() if at is None else at, user_id, retention_days, sleep_gap_s)
+
+
+def _apply_batch(store, text, batch_id, at, user_id, retention_days, sleep_gap_s) -> DataFrame:
     parsed, cutoffs = _prepare(store, text, batch_id, user_id, retention_days, at)
-    rows = O.retention_filter(parsed, retention_days, at)
+    rows = O.retention_filter(parsed, retention_days, at, cutoffs)
     deletes, upserts = O.split_ops(rows)
     event_rows, metric_rows = O.route(upserts)
-    ids = G.deleted_ids(deletes)
-    events, samples = O.as_events(event_rows), O.as_samples(metric_rows)
+    # each is read many times below
+    kept = lambda df, name: _kept(store, df, f"_staging/{batch_id}/{name}")
+    ids = kept(G.deleted_ids(deletes), "deleted")
+    events, samples = kept(O.as_events(event_rows), "new_events"), kept(O.as_samples(metric_rows), "new_samples")
     gone = G.deleted_workouts(ids)
     flags = gone.withColumn("f", F.explode(F.array(*[F.lit(f) for f in S.LEGACY_FLAGS]))).select(
         "user_id", F.concat_ws("|", "workout_uuid", "f").alias("hk_uuid")
@@ -114,6 +121,11 @@ def apply_samples(store: Store, changes: DataFrame, batch_id: str, units: dict[s
 
     ``ordinal`` orders the versions of one sample; without it the latest ``created_at`` counts.
     """
+    with measured_joins(store.spark):
+        _apply_samples(store, changes, batch_id, units)
+
+
+def _apply_samples(store: Store, changes: DataFrame, batch_id: str, units: dict[str, str] | None) -> None:
     if "ordinal" not in changes.columns:
         changes = changes.withColumn("ordinal", F.struct(F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp")), "ts"))
     last = F.max_by(F.struct(*changes.columns), "ordinal").alias("row")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +24,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_BY_FILES, _MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that are run within send a side to all tasks only if its rows, once shuffled, are measured
+    to be few.
+
+    Files are compressed, so by their sizes a side may seem small that is many times larger, and a
+    plan that was made to send it, through the driver, keeps to that whatever is measured later.
+    """
+    before = {k: spark.conf.get(k, None) for k in (_BY_FILES, _MEASURED)}
+    spark.conf.set(_MEASURED, before[_MEASURED] or spark.conf.get(_BY_FILES))
+    spark.conf.set(_BY_FILES, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables and stream checkpoints.
 

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulseframe.operators import sleep as L
 from pulseframe.schema import table
+from pulseframe.session import measured_joins
 from pulseframe.sources.tables import BUCKETS, Locator, Part, on_parts, parts_of, read_table, rewrite_parts
 
 ROWS = table(
@@ -32,6 +33,10 @@ def stream_sessions(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        with measured_joins(batch.sparkSession):
+            merge(batch, batch_id)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
         spark, path, keys = batch.sparkSession, f"{root}/sleep_rows", ["user_id", "hk_uuid"]
         gone = F.col("deleted_at").isNotNull() if "deleted_at" in batch.columns else F.lit(False)
         order = F.col("ordinal") if "ordinal" in batch.columns else F.struct("segment_start_ts", "segment_end_ts", "metric_value")
