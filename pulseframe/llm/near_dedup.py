@@ -11,9 +11,12 @@ are compared with the least of them first, which also tells how far each is from
 leaves in different components is compared with ever larger shares of the band, until the band is
 one component or every pair of different components was compared or ruled out: by their sizes, by
 the triangle inequality of the Jaccard distance, or by sketches that agree far too seldom. Where
-the pairs of a band would outgrow its rows, only those are made that share one of their rarest
-shingles: with any one order of shingles, the first that two linked sets share is among the first
-``n - ceil(0.8 n) + 1`` of both, and in the order of frequency a common line comes last.
+the pairs of a band would outgrow its rows, its members meet by their rarest shingles instead, once
+and for all: with any one order of shingles, the first that two linked sets share is among the first
+``n - ceil(0.8 n) + 1`` of both, and in the order of frequency a common line comes last. What comes
+before it is not shared, so its place bounds the size of the other set: a member with many shingles
+of its own meets none through those that all have, and an edited copy that is too far from all others
+is no pair with each of them.
 So the work on a large group of copies follows its size, no pair within
 a component is made for nothing, and no candidate is dropped.
 
@@ -24,11 +27,12 @@ without doc_id link with nothing and are kept. No rows give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.llm.components import components, files_for
 from pulseframe.llm.tables import documents, release, stored
@@ -41,6 +45,10 @@ BINS = BAND_ROWS * BANDS
 PERCENT = 80
 #: pairs that a band may make for each of its rows before rare shingles choose among them
 PAIRS_A_ROW = 16
+#: places of which one bit is sent along with rare shingles
+SIGNS = 256
+#: sizes of sets that meet at a rare shingle, larger by this factor from class to class
+SIZE_STEP = 1.1
 _EMPTY = U(2**64 - 1)
 
 
@@ -144,7 +152,8 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rare_shingles(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """``node, keys``: those of the rarest shingles of each set, rarest first, that others have too.
+    """``node, keys, own``: those of the rarest shingles of each set, rarest first, that others have
+    too, and how many it has alone.
 
     Frequencies are those among the given sets. The first shingle in this order that two sets
     share is a key of both if 100 * shared >= percent * joint: of ``n`` shingles at least
@@ -157,7 +166,57 @@ def rare_shingles(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     own = F.col("n_shingles") - F.size("ordered")
     length = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1 - own
     keys = F.slice("ordered", 1, F.greatest(length, F.lit(0)).cast("int")).getField("shingle")
-    return common.join(sizes, "node").select("node", keys.alias("keys")).filter("size(keys) > 0")
+    return common.join(sizes, "node").select("node", keys.alias("keys"), own.alias("own")).filter("size(keys) > 0")
+
+
+def _signs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of each of the first places: those of unequal places agree half the time."""
+    for batch in batches:
+        places = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.uint8).reshape(-1, BINS)
+        bits = np.packbits(places[:, :SIGNS] & 1, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)],
+                                         names=["node", *(f"sign{i}" for i in range(SIGNS // 64))])
+
+
+def signs_apart(percent: int) -> int:
+    """So many signs of linked sets differ at most, but for one in ten millions."""
+    p, total = (1 - percent / 100) / 2, 0.0
+    for k in range(SIGNS, 0, -1):
+        total += math.comb(SIGNS, k) * p**k * (1 - p) ** (SIGNS - k)
+        if total > 1e-7:
+            return k
+    return 0
+
+
+def rare_pairs(keyed: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of different components that share a rare shingle and may be linked, one of them
+    ``minor``; of ``node, n_shingles, component, minor, keys, own`` and signs, one row a set.
+
+    What is shared from a key on is no more than what either set has left, if it is the first that
+    they share. So a key far back in a set leads to smaller sets only, and to none at last: rows are
+    sent to the classes of sizes that are possible, and a hot key is met by few.
+    """
+    signs = [f"sign{i}" for i in range(SIGNS // 64)]
+    rows = keyed.select("node", "n_shingles", "component", "minor", "own", *signs, F.posexplode("keys").alias("i", "key"))
+    rows = rows.withColumn("left", F.col("n_shingles") - F.col("own") - F.col("i")).drop("own", "i")
+    n = F.col("n_shingles")
+    least = F.ceil(F.lit(percent) * n / 100)
+    most = F.floor(F.least(F.lit(100) * n / percent, F.lit(100 + percent) * F.col("left") / percent - n))
+    size_class = lambda x: F.floor(F.log(x) / math.log(SIZE_STEP)).cast("int")
+    rows = rows.withColumn("least", least).withColumn("most", most).filter("least <= most")
+    carried = ("node", "n_shingles", "component", "minor", "left", *signs)
+    side = lambda rows, at, name: rows.select("key", at.alias("class"), *(F.col(c).alias(f"{c}_{name}") for c in carried))
+    left = side(rows.filter("minor"), F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))), "a")
+    right = side(rows, size_class(n), "b")
+    sizes = F.col("n_shingles_a") + F.col("n_shingles_b")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in signs), F.lit(0))
+    possible = (
+        (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("node_a") < F.col("node_b")))
+        & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+        & ((100 + percent) * F.least("left_a", "left_b") >= percent * sizes) & (apart <= signs_apart(percent))
+    )
+    pairs = left.join(right, ["key", "class"]).filter(possible)
+    return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
 
 
 def _alike(percent: int) -> Callable:
@@ -250,19 +309,20 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
     share, before = 4, 2
     while True:
         rest = members.filter(F.col("members") > before).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        counts = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.max("members").alias("m"))
+        some = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / share)) == 0
+        counts = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.count_if(some).alias("m"))
         # the largest component of a band needs no member of its own: the others come to it
-        mixed = counts.groupBy("band").agg(F.count("*").alias("parts"), F.max("m").alias("m"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-        mixed = stored(mixed.filter("parts > 1").drop("parts"), "mixed", files=files)
+        mixed = counts.groupBy("band").agg(
+            F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"),
+            (F.sum("n") - F.max("n")).alias("n"), F.sum("m").alias("m"))
+        crowd = F.col("n") * F.col("m") > PAIRS_A_ROW * (F.col("n") + F.col("m"))
+        mixed = stored(mixed.filter("parts > 1").select("band", "largest", crowd.alias("crowd")), "mixed", files=files)
         if mixed.isEmpty():
             return labels
-        minor = F.col("component") != F.col("largest")
-        some = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / share)) == 0
+        placed = rest.join(mixed, "band").withColumn("minor", F.col("component") != F.col("largest"))
         columns = ("node", "n_shingles", "component", "least", "most", "bands")
-        found = rest.join(mixed, "band").filter(minor | some).select("band", *columns[:-1], minor.alias("minor"), some.alias("some"))
+        found = placed.filter(~F.col("crowd") & (F.col("minor") | some)).select("band", *columns[:-1], "minor", some.alias("some"))
         found = stored(found.join(nodes.select("node", "bands"), "node"), "open", files=files)
-        sizes = found.groupBy("band").agg(F.count_if("minor").alias("n"), F.count_if("some").alias("m"))
-        heavy = stored(sizes.filter(F.col("n") * F.col("m") > PAIRS_A_ROW * (F.col("n") + F.col("m"))).select("band"), "heavy")
 
         # by the triangle inequality linked documents are about as far from the pivot; and a pair
         # is made in the first band that both have, in no other
@@ -271,19 +331,17 @@ def _linked(docs: DataFrame, linkable: DataFrame, classes: DataFrame, width: int
             & (F.col("least_a") - F.col("most_b") <= most) & (F.col("least_b") - F.col("most_a") <= most)
             & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band"))
         )
-
-        def made(rows: DataFrame, on: list[str], carried: tuple[str, ...], condition: Column) -> DataFrame:
-            left, right = (rows.filter(flag).select(*on, *(F.col(c).alias(f"{c}_{side}") for c in carried)) for flag, side in (("minor", "a"), ("some", "b")))
-            return left.join(right, on).filter(condition).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
-
-        pairs = made(found.join(heavy, "band", "left_anti"), ["band"], columns, possible)
+        left, right = (found.filter(flag).select("band", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for flag, side in (("minor", "a"), ("some", "b")))
+        pairs = left.join(right, "band").filter(possible).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+        heavy = stored(mixed.filter("crowd").select("band"), "heavy", files=1)
         if not heavy.isEmpty():
-            many = stored(found.join(heavy, "band"), "many", files=files)
-            among = many.select("node", "n_shingles").distinct()
-            keys = rare_shingles(sets.join(among.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), among, percent)
-            keyed = stored(many.join(stored(keys, "keys", files=files), "node").withColumn("key", F.explode("keys")), "keyed", files=files)
-            first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
-            pairs = pairs.unionAll(made(keyed, ["band", "key"], (*columns, "keys"), possible & first))
+            among = placed.filter("crowd").groupBy("node", "n_shingles", "component").agg(F.max("minor").alias("minor"))
+            among = stored(among, "many", files=files)
+            keys = rare_shingles(sets.join(among.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), among.select("node", "n_shingles"), percent)
+            signs = nodes.select("node", "places").mapInArrow(_signs, "node long, " + ", ".join(f"sign{i} long" for i in range(SIGNS // 64)))
+            keyed = stored(keys.join(among, "node").join(signs, "node"), "keys", files=files)
+            pairs = pairs.unionAll(rare_pairs(keyed, percent))
+            members = members.join(heavy, "band", "left_anti")
         near = alike(pairs.distinct())
         if not near.isEmpty():
             fresh = compared(near).filter(linked)
