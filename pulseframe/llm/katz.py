@@ -13,6 +13,8 @@ Scoring: a token's probability is its bigram's, else the history's weight times
 else that of an unknown word. The sum over a text is taken as unigrams and weights of all tokens,
 plus for each seen bigram what it gains over backing off. Documents are dealt into blocks once;
 a block asks for each distinct n-gram once, whatever its number of copies, and hears the counts.
+Questions and answers take more disk than the texts, so documents are scored in rounds, and those
+of a round are dropped when its scores are written.
 
 Tokens are words (runs of anything but white space, A-Z in lower case) and one end a document;
 its first history is a beginning that is no token. A null text is empty and has its end alone.
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.llm.blocks import deal, opened, whole
 from pulseframe.llm.tables import documents, groups_for, release, stored
@@ -34,6 +36,8 @@ from pulseframe.llm.words import U, Words, lower, mix, narrow, pack, slices, tex
 
 #: discounts apply to counts up to K; bigrams of LEAST occurrences at least are seen, which is all of them
 K, LEAST = 5, 1
+#: rounds in which documents are scored, if they make as many blocks
+ROUNDS = 4
 #: tokens that a task counts before it sends the counts on
 HELD = 2_000_000
 UNIGRAM, BIGRAM, COUNTS = 1, 2, 0
@@ -319,8 +323,12 @@ def _summer(shared: Shared) -> Callable:
 
 
 def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int")
-    return deal(docs, block, blocks)
+    return deal(docs, F.pmod(_dealt(), F.lit(blocks)).cast("int"), blocks)
+
+
+def _dealt() -> Column:
+    """What a document is dealt by."""
+    return F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
 
 
 def _distinct(part: pa.RecordBatch) -> tuple:
@@ -424,10 +432,26 @@ def _scorer(model: Shared) -> Callable:
     return run
 
 
-def score(docs: DataFrame, model: Model, groups: int | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, groups: int | None = None, rounds: int | None = None) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every whole text."""
+    groups = groups or groups_for(docs)
+    rounds = rounds or min(ROUNDS, groups)
+    if rounds == 1:
+        return _scored(docs, model, groups)
+    # by other bits than those that choose the block
+    turn = F.pmod(F.shiftright(_dealt(), 32), F.lit(rounds))
+    out = None
+    for i in range(rounds):
+        part = stored(_scored(docs.filter(turn == i), model, -(-groups // rounds)), "scores")
+        part.agg(F.count("*")).first()
+        release(docs.sparkSession)  # after another job, as above
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _scored(docs: DataFrame, model: Model, groups: int) -> DataFrame:
     ranges = model.shared.ranges
-    base = _blocks(docs, groups or groups_for(docs))
+    base = _blocks(docs, groups)
     asked = base.mapInArrow(_asker(ranges), "kind int, part int, block int, keys binary")
     # words that are no history have no weight
     words = model.counts.filter(F.col("kind") == UNIGRAM).select("part", "w", "n").join(model.weights.withColumnRenamed("h", "w"), "w", "left")
