@@ -112,7 +112,7 @@ def sink_upsert(spark, sf):
     T.replace_slice(base, f"{root}/t", "ts", G.SAMPLE_KEYS, locator.buckets)
     batch = A.upsert_batch(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp"))
     T.write_upsert(
-        spark, batch, f"{root}/t", S.SAMPLES, G.SAMPLE_KEYS, G.SAMPLE_OVERWRITE, G.SAMPLE_KEEP, f"{root}/s", locator
+        spark, batch, f"{root}/t", S.SAMPLES, G.SAMPLE_KEYS, G.SAMPLE_OVERWRITE, G.SAMPLE_KEEP, locator
     )
     return T.read_table(spark, f"{root}/t", S.SAMPLES).select(
         "user_id", "hk_uuid", "ts", "metric_value", "unit", "deleted_at"

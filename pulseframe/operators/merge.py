@@ -30,14 +30,17 @@ EVENT_KEEP = (
 
 def merge_by_policy(
     base: DataFrame, batch: DataFrame, keys: Sequence[str], overwrite: Sequence[str],
-    keep: Sequence[str], ordinal: str = "ordinal",
+    keep: Sequence[str], ordinal: str = "ordinal", whole: bool = False,
 ) -> DataFrame:
     """Upsert of a batch, row by row in order of ``ordinal`` (any orderable type).
 
     ``overwrite`` columns take the last row's value even when NULL; ``keep`` columns
-    take the last non-NULL value.
+    take the last non-NULL value. With ``whole`` all of ``base``, which then must have one row a
+    key, is shuffled by key once and meets the batch there: for batches that touch much of it.
     """
     cols = [*keys, *overwrite, *keep]
+    if whole:
+        return _merge_whole(base.select(*cols), batch, keys, overwrite, keep, ordinal)
     touched_keys = batch.select(*keys).distinct()
     untouched = base.join(touched_keys, list(keys), "left_anti").select(*cols)
     touched = base.join(touched_keys, list(keys), "left_semi").select(*cols, F.lit(0).alias("_new"))
@@ -55,16 +58,30 @@ def merge_by_policy(
     return untouched.unionByName(merged.select(*cols))
 
 
-def merge_samples(base: DataFrame, batch: DataFrame) -> DataFrame:
+def _merge_whole(base, batch, keys, overwrite, keep, ordinal) -> DataFrame:
+    order = F.col(ordinal)
+    new = batch.groupBy(*keys).agg(
+        F.max_by(F.struct(*overwrite), order).alias("_last"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in keep],
+        F.lit(True).alias("_hit"),
+    )
+    return base.join(new, list(keys), "full_outer").select(
+        *keys,
+        *[F.when(F.col("_hit"), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) for c in overwrite],
+        *[F.coalesce(f"_{c}", c).alias(c) for c in keep],
+    )
+
+
+def merge_samples(base: DataFrame, batch: DataFrame, whole: bool = False) -> DataFrame:
     """Upsert of samples; a sample that comes back loses its tombstone."""
     live = batch.withColumn("deleted_at", F.lit(None).cast("timestamp"))
-    return merge_by_policy(base, live, SAMPLE_KEYS, SAMPLE_OVERWRITE, SAMPLE_KEEP)
+    return merge_by_policy(base, live, SAMPLE_KEYS, SAMPLE_OVERWRITE, SAMPLE_KEEP, whole=whole)
 
 
-def merge_events(base: DataFrame, batch: DataFrame) -> DataFrame:
+def merge_events(base: DataFrame, batch: DataFrame, whole: bool = False) -> DataFrame:
     """Upsert of workout and event attributes."""
     live = batch.withColumn("deleted_at", F.lit(None).cast("timestamp"))
-    return merge_by_policy(base, live, EVENT_KEYS, EVENT_OVERWRITE, EVENT_KEEP)
+    return merge_by_policy(base, live, EVENT_KEYS, EVENT_OVERWRITE, EVENT_KEEP, whole=whole)
 
 
 def deleted_ids(batch: DataFrame) -> DataFrame:

@@ -46,12 +46,9 @@ class Store:
     def parts(self, df: DataFrame, day: Column | str = "day") -> set[Part]:
         return parts_of(df, day, self.buckets)
 
-    def rewrite(self, name: str, parts: set[Part], change, batch_id: str) -> None:
+    def rewrite(self, name: str, parts: set[Part], change) -> None:
         schema, day_col, sort = TABLES[name]
-        rewrite_parts(
-            self.spark, self.path(name), schema, parts, day_col, sort, change,
-            f"{self.root}/_staging/{batch_id}/{name}", self.buckets,
-        )
+        rewrite_parts(self.spark, self.path(name), schema, parts, day_col, sort, change, self.buckets)
 
 
 # table -> schema, column that gives the day, sort key
@@ -94,20 +91,20 @@ def _apply_batch(store, text, batch_id, at, user_id, retention_days, sleep_gap_s
     )
     # what is touched depends on the stored rows as they were; a replay after a partial attempt
     # finds them changed already, so the first complete answer of a batch stands
-    found = on_parts(store.read("samples"), store.locator("samples").parts(_keys(samples, ids)))
-    hours = _kept(store, G.touched_hours(samples, found, ids), f"_staging/{batch_id}/hours", once=True)
+    places = store.locator("samples").parts(_keys(samples, ids))
+    hours = _kept(store, G.touched_hours(samples, on_parts(store.read("samples"), places), ids), f"_staging/{batch_id}/hours", once=True)
     windows = hours.groupBy("user_id").agg(F.min("hour").alias("t_min"), (F.max("hour") + F.expr("interval 1 hour")).alias("t_max"))
     _together(
         store,
-        lambda: _merge_raw(store, "events", events, ids.union(flags), cutoffs, at, G.merge_events, batch_id),
-        lambda: _merge_raw(store, "samples", samples, ids, cutoffs, at, G.merge_samples, batch_id),
+        lambda: _merge_raw(store, "events", events, ids.union(flags), cutoffs, at, G.merge_events),
+        lambda: _merge_raw(store, "samples", samples, ids, cutoffs, at, G.merge_samples, places),
     )
     # raw facts are in place; the derived tables do not depend on each other
     _together(
         store,
-        lambda: _refresh_rollup(store, hours, "rollup_hourly", "hour", batch_id),
-        lambda: _refresh_rollup(store, hours, "rollup_daily", "day", batch_id),
-        lambda: _refresh_sleep(store, hours, batch_id, sleep_gap_s),
+        lambda: _refresh_rollup(store, hours, "rollup_hourly", "hour"),
+        lambda: _refresh_rollup(store, hours, "rollup_daily", "day"),
+        lambda: _refresh_sleep(store, hours, sleep_gap_s),
         lambda: _refresh_workouts(store, events, gone, hours, windows, batch_id),
     )
     counts = O.batch_counts(O.outcome(parsed.join(cutoffs, "user_id", "left")))
@@ -131,11 +128,11 @@ def _apply_samples(store: Store, changes: DataFrame, batch_id: str, units: dict[
     last = F.max_by(F.struct(*changes.columns), "ordinal").alias("row")
     latest = _kept(store, changes.groupBy(*G.SAMPLE_KEYS).agg(last).select("row.*"), f"_staging/{batch_id}/changes", once=True)
     dead, live = latest.filter("deleted_at IS NOT NULL"), latest.filter("deleted_at IS NULL")
-    found = on_parts(store.read("samples"), store.locator("samples").parts(_keys(live, dead)))
-    hours = _kept(store, G.touched_hours(live, found, dead), f"_staging/{batch_id}/hours", once=True)
-    _merge_raw(store, "samples", live, dead.select("user_id", "hk_uuid"), None, F.current_timestamp(), G.merge_samples, batch_id)
+    places = store.locator("samples").parts(_keys(live, dead))
+    hours = _kept(store, G.touched_hours(live, on_parts(store.read("samples"), places), dead), f"_staging/{batch_id}/hours", once=True)
+    _merge_raw(store, "samples", live, dead.select("user_id", "hk_uuid"), None, F.current_timestamp(), G.merge_samples, places)
     units = units or {"rollup_hourly": "hour", "rollup_daily": "day"}
-    _together(store, *(lambda n=n, u=u: _refresh_rollup(store, hours, n, u, batch_id) for n, u in units.items()))
+    _together(store, *(lambda n=n, u=u: _refresh_rollup(store, hours, n, u) for n, u in units.items()))
     _finish(store, batch_id)
 
 
@@ -183,19 +180,30 @@ def _prepare(store, text, batch_id, user_id, retention_days, at) -> tuple[DataFr
     return parsed, cutoffs
 
 
-def _merge_raw(store, name, batch, ids, cutoffs, at, merge, batch_id) -> None:
-    """Prune, tombstone, then upsert, all in one rewrite of the affected parts."""
+def _merge_raw(store, name, batch, ids, cutoffs, at, merge, places=None) -> None:
+    """Prune, tombstone, then upsert, all in one rewrite of the affected parts; what has nothing to do
+    costs no join of the stored rows. ``places`` are the parts of the keys, where known already."""
     locator = store.locator(name)
-    parts = locator.parts(_keys(ids, batch)) | store.parts(batch, F.to_date("ts"))
+    new, dead, oldest_kept = not batch.isEmpty(), not ids.isEmpty(), None
+    places = locator.parts(_keys(ids, batch)) if places is None and (new or dead) else places
+    parts = (places or set()) | (store.parts(batch, F.to_date("ts")) if new else set())
     if cutoffs is not None:
         oldest_kept = cutoffs.agg(F.max(F.to_date("cutoff"))).first()[0]
         buckets = sorted(r[0] for r in cutoffs.select(bucket_of(buckets=store.buckets)).distinct().collect())
         # only days up to the newest cutoff, of the users of the batch, can hold expired rows
         old = store.read(name).filter((F.col("day") <= F.lit(oldest_kept)) & F.col("user_bucket").isin(*buckets))
         parts |= store.parts(old.join(cutoffs, "user_id").filter(F.col("ts") < F.col("cutoff")))
-    locator.add(batch, "ts")
-    pruned = (lambda base: base) if cutoffs is None else (lambda base: G.prune(base, cutoffs))
-    store.rewrite(name, parts, lambda base: merge(G.tombstone(pruned(base), ids, at), batch), batch_id)
+    if new:
+        locator.add(batch, "ts")
+    # rows of a day after that of the newest cutoff are not expired
+    expiring = oldest_kept is not None and any(day <= oldest_kept for day, _ in parts)
+
+    def change(base: DataFrame) -> DataFrame:
+        base = G.prune(base, cutoffs) if expiring else base
+        base = G.tombstone(base, ids, at) if dead else base
+        return merge(base, batch, whole=True) if new else base
+
+    store.rewrite(name, parts, change)
 
 
 def _dates(hours: DataFrame, before: int = 0, after: int = 0, name: str = "day") -> DataFrame:
@@ -204,13 +212,13 @@ def _dates(hours: DataFrame, before: int = 0, after: int = 0, name: str = "day")
     return hours.select("user_id", F.explode(near).alias(name)).distinct()
 
 
-def _refresh_rollup(store: Store, hours: DataFrame, name: str, unit: str, batch_id: str) -> None:
+def _refresh_rollup(store: Store, hours: DataFrame, name: str, unit: str) -> None:
     parts = store.parts(_dates(hours))
     samples = on_parts(store.read("samples"), parts).drop("day", "user_bucket")
-    store.rewrite(name, parts, lambda base: G.refresh_buckets(base, samples, hours, unit), batch_id)
+    store.rewrite(name, parts, lambda base: G.refresh_buckets(base, samples, hours, unit))
 
 
-def _refresh_sleep(store: Store, hours: DataFrame, batch_id: str, gap_s: float) -> None:
+def _refresh_sleep(store: Store, hours: DataFrame, gap_s: float) -> None:
     """Recompute the nights around changed samples: nights are written from one day before to two
     days after a touched day, and rows are read two days further to either side."""
     dates, reach = _dates(hours, 1, 2, "sleep_date"), _dates(hours, 3, 4)
@@ -227,10 +235,7 @@ def _refresh_sleep(store: Store, hours: DataFrame, batch_id: str, gap_s: float)
 
     width_s = fit_width(L.sleep_rows(near), ["user_id"], "segment_start_ts")
     fresh = touched(L.sleep_segments(L.label_sleep(near, gap_s, width_s)))
-    store.rewrite(
-        "sleep_segments", writes,
-        lambda base: others(base).unionByName(fresh.select(*S.SEGMENTS.fieldNames())), batch_id,
-    )
+    store.rewrite("sleep_segments", writes, lambda base: others(base).unionByName(fresh.select(*S.SEGMENTS.fieldNames())))
     stored = on_parts(store.read("sleep_segments"), writes).drop("day", "user_bucket")
     nights = L.sleep_daily_from_segments(touched(stored)).select(*S.NIGHTS.fieldNames())
 
@@ -239,7 +244,7 @@ def _refresh_sleep(store: Store, hours: DataFrame, batch_id: str, gap_s: float)
         old = base.join(nights.select("user_id", "sleep_date"), ["user_id", "sleep_date"], "left_semi")
         return others(base).unionByName(L.upsert_sleep_daily(old, nights))
 
-    store.rewrite("sleep_daily", writes, change, batch_id)
+    store.rewrite("sleep_daily", writes, change)
 
 
 def _refresh_workouts(store, upserted, gone, hours, windows, batch_id) -> None:
@@ -262,9 +267,9 @@ def _refresh_workouts(store, upserted, gone, hours, windows, batch_id) -> None:
     if not parts:
         return
     places.add(new, "start_ts")
-    store.rewrite("workouts", parts, lambda base: W.upsert_workouts(G.cascade_delete(base, gone), new), batch_id)
+    store.rewrite("workouts", parts, lambda base: W.upsert_workouts(G.cascade_delete(base, gone), new))
     days = F.sequence(F.to_date("start_ts"), F.to_date(F.coalesce("end_ts", "start_ts")), F.expr("interval 1 day"))
     samples = on_parts(store.read("samples"), store.parts(new.select("user_id", F.explode(days).alias("day"))))
     bare = _kept(store, P.splits(P.distance_stream(samples, new)), f"_staging/{batch_id}/splits")  # read twice below
     measured = P.split_measures(bare, samples).select(*S.SPLITS.fieldNames())
-    store.rewrite("workout_splits", parts, lambda base: G.replace_splits(base, measured, changed), batch_id)
+    store.rewrite("workout_splits", parts, lambda base: G.replace_splits(base, measured, changed))

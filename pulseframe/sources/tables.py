@@ -92,23 +92,36 @@ def in_parts(df: DataFrame, day_col: str, buckets: int = BUCKETS) -> DataFrame:
 
 def rewrite_parts(
     spark: SparkSession, path: str, schema: T.StructType, parts: set[Part], day_col: str,
-    sort: Sequence[str], change: Callable[[DataFrame], DataFrame], staging: str, buckets: int = BUCKETS,
+    sort: Sequence[str], change: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS,
 ) -> None:
     """Replace whole parts of a stored table by what ``change`` makes of them.
 
-    The result goes to a staging folder of its own first, so nothing is overwritten while
-    it is still being read and a lost executor only repeats its tasks. Parts that end up
-    without rows take no part in a dynamic overwrite; their folders are removed.
+    A dynamic overwrite keeps what its tasks write aside and replaces parts when all tasks are done,
+    so nothing is overwritten while it is still being read, a lost executor only repeats its tasks,
+    and the rows are written once. Parts that end up without rows take no part in it; their folders,
+    which still hold their old files, are removed.
     """
     if not parts:
         return
     stored = on_parts(read_table(spark, path, schema), parts)
     fresh = change(stored.drop(DAY, BUCKET)).select(*schema.fieldNames())
-    fresh.write.mode("overwrite").parquet(staging)
-    staged = in_parts(spark.read.schema(schema).parquet(staging), day_col, buckets)
-    write_parts(staged, path, sort)
-    for day, bucket in parts - parts_of(staged, buckets=buckets):  # a folder operation a part, no job
-        remove(spark, f"{path}/{DAY}={day}/{BUCKET}={bucket}")
+    old = _files(spark, path, parts)
+    write_parts(in_parts(fresh, day_col, buckets), path, sort)
+    for part, names in _files(spark, path, set(old)).items():
+        if names & old[part]:
+            remove(spark, _folder_of(path, part))
+
+
+def _folder_of(path: str, part: Part) -> str:
+    return f"{path}/{DAY}={part[0]}/{BUCKET}={part[1]}"
+
+
+def _files(spark: SparkSession, path: str, parts: set[Part]) -> dict[Part, set[str]]:
+    """Names of the files of each part that has a folder: a folder operation a part, no job."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = ((part, spark._jvm.org.apache.hadoop.fs.Path(_folder_of(path, part))) for part in parts)
+    return {part: {f.getPath().getName() for f in files.listStatus(folder)} for part, folder in folders if files.exists(folder)}
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -183,7 +196,7 @@ class Locator:
 
 def write_upsert(
     spark: SparkSession, batch: DataFrame, path: str, schema: T.StructType, keys: Sequence[str],
-    overwrite: Sequence[str], keep: Sequence[str], staging: str, locator: Locator,
+    overwrite: Sequence[str], keep: Sequence[str], locator: Locator,
 ) -> set[Part]:
     """Merge a batch into a stored table; only parts that hold touched rows are read and rewritten.
 
@@ -194,7 +207,7 @@ def write_upsert(
     locator.add(batch, "ts")
     rewrite_parts(
         spark, path, schema, parts, "ts", keys,
-        lambda stored: merge_by_policy(stored, batch, keys, overwrite, keep), staging, locator.buckets,
+        lambda stored: merge_by_policy(stored, batch, keys, overwrite, keep, whole=True), locator.buckets,
     )
     return parts
 

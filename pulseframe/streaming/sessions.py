@@ -50,8 +50,7 @@ def stream_sessions(
         locator.add(rows, "segment_start_ts")
         rewrite_parts(
             spark, path, ROWS, parts, "segment_start_ts", ("user_id", "hk_uuid"),
-            lambda stored: stored.join(changes.select(*keys), keys, "left_anti").unionByName(rows),
-            f"{root}/_staging/batch={batch_id}/sleep_rows", buckets,
+            lambda stored: stored.join(changes.select(*keys), keys, "left_anti").unionByName(rows), buckets,
         )
         locator.compact()
 
